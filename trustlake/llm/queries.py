@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trustlake.llm import simhash
+from trustlake.llm import bpe, mpegts, packing, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +25,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+        F.size(F.filter("secrets", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
+@query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_mpeg_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), mpegts.padded(F.col("text")).alias("raw"))
+    stored = mpegts.store(docs, "raw", "media").drop("raw")
+    found = mpegts.read(stored, "media")
+    keys = F.size(F.filter("units", lambda u: u["random_access"]))
+    feature = F.concat_ws(
+        ";",
+        F.format_string("program=%d@%d", "program", "pmt_pid"),
+        F.format_string("stream=%d@%d", "stream_type", "stream_pid"),
+        F.format_string("packets=%d", "packets"),
+        F.format_string("units=%d", F.size("units")),
+        F.format_string("keys=%d", keys),
+        F.format_string("pts=%d-%d", F.col("units")[0]["pts"], F.element_at("units", -1)["pts"]),
+        F.format_string("errors=%d", F.col("crc_errors") + F.col("continuity_errors") + F.col("sync_errors")),
+    )
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )

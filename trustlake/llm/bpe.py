@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 
 from trustlake.llm.common import column, texts
 
-MEMO = 400_000
+Coder = Callable[[list[str]], list[bytes]]
+
+#: Chunks in a worker's memo, about 200 bytes each.
+MEMO = 800_000
 #: Stands in the memo for a chunk with white space at an edge, or for none between two spaces.
 UNSOUND = b"?"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -135,20 +138,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class ChunkMemo:
-    """Ids of texts as little-endian 32-bit bytes, by chunks; ``missing`` encodes the strings that it does not know.
+    """Ids of texts as little-endian 32-bit bytes, by chunks.
 
-    ``whole(text)`` names texts that must not be cut.
+    ``of_words`` encodes strings of a space and a chunk with no space in it nor white space at its end; ``of_texts``
+    encodes any strings. ``uncut(text)`` names texts that must not be cut.
     """
 
-    def __init__(self, missing: Callable[[list[str]], list[bytes]], whole: Callable[[str], bool] = lambda _: False, most: int = MEMO):
-        self.missing, self.whole, self.most, self.memo = missing, whole, most, {}
+    def __init__(self, of_words: Coder, of_texts: Coder, uncut: Callable[[str], bool] = lambda _: False, most: int = MEMO):
+        self.of_words, self.of_texts, self.uncut, self.most, self.memo = of_words, of_texts, uncut, most, {}
 
     def encode(self, batch: list[str]) -> list[bytes]:
         if len(self.memo) > self.most:
             self.memo = {}
         known, cuts, new = self.memo.get, [], {}
         for text in batch:
-            first, *rest = text.split(" ")
+            first, *rest = (text,) if self.uncut(text) else text.split(" ")
             parts = list(map(known, rest))
             if None in parts:
                 new.update((c, None) for c, p in zip(rest, parts) if p is None)
@@ -156,16 +160,16 @@ class ChunkMemo:
             cuts.append((first, rest, parts))
         sound = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
         self.memo.update(dict.fromkeys(new, UNSOUND))
-        self.memo.update(zip(sound, self.missing([" " + c for c in sound])))
+        self.memo.update(zip(sound, self.of_words([" " + c for c in sound])))
         out: list[bytes] = []
         heads: dict[str, list[int]] = {}
         for i, (text, (first, rest, parts)) in enumerate(zip(batch, cuts)):
             parts = list(map(known, rest)) if parts is None else parts
-            if rest and (not first or first[-1].isspace()) or UNSOUND in parts or self.whole(text):
+            if rest and (not first or first[-1].isspace()) or UNSOUND in parts:
                 first, parts = text, []
             heads.setdefault(first, []).append(i)
             out.append(b"".join(parts))
-        for at, ids in zip(heads.values(), self.missing(list(heads))):
+        for at, ids in zip(heads.values(), self.of_texts(list(heads))):
             for i in at:
                 out[i] = ids + out[i]
         return out
@@ -177,18 +181,18 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pattern: str, memo: int = MEMO):
         self.ranks, self.table = ranks, table
         self.split = regex.compile(pattern).findall
-        self.chunks = ChunkMemo(self.missing, most=memo)
+        self.chunks = ChunkMemo(self.coded, self.coded, most=memo)
 
-    def missing(self, chunks: list[str]) -> list[bytes]:
+    def coded(self, chunks: list[str]) -> list[bytes]:
         split = [self.split(c) for c in chunks]
         distinct = list(dict.fromkeys(t for s in split for t in s))
         if not distinct:
             return [b""] * len(chunks)
         raw = [t.encode() for t in distinct]
-        coded = {}
+        own = {}
         for text, piece, rank in zip(distinct, raw, self.table.find(raw).tolist()):
-            coded[text] = np.array([rank] if rank >= 0 else merge(piece, self.ranks), "<i4").tobytes()
-        return [b"".join([coded[t] for t in s]) for s in split]
+            own[text] = np.array([rank] if rank >= 0 else merge(piece, self.ranks), "<i4").tobytes()
+        return [b"".join([own[t] for t in s]) for s in split]
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:

@@ -28,9 +28,9 @@ from trustlake.llm.common import column, texts
 
 CAPACITY = 1024
 END_ID = 0
-#: Documents tokenized at a time, and characters of new words in one call of the tokenizer.
-BATCH = 64
-CALL_CHARS = 4096
+#: Documents tokenized at a time, and new words in one call of the tokenizer.
+BATCH = 256
+CALL_WORDS = 512
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -61,27 +61,20 @@ def tokenizer(path: str) -> ChunkMemo:
     opens = np.array([(own.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
     special = [t.content for t in own.get_added_tokens_decoder().values()]
 
-    def missing(chunks: list[str]) -> list[bytes]:
-        calls, sizes, held = [], [], CALL_CHARS
-        for chunk in chunks:
-            alone = not chunk.startswith(" ") or " " in chunk[1:] or chunk == " " or chunk[1].isspace() or chunk[-1].isspace() or any(s in chunk for s in special)
-            if alone or held >= CALL_CHARS:
-                calls.append([])
-                sizes.append(0)
-                held = 0
-            calls[-1].append(chunk)
-            sizes[-1] += 1
-            held = CALL_CHARS if alone else held + len(chunk)
+    def of_texts(whole: list[str]) -> list[bytes]:
+        return [np.array(c.ids, "<u4").tobytes() for c in own.encode_batch_fast(whole, add_special_tokens=False)]
+
+    def of_words(words: list[str]) -> list[bytes]:
+        calls = ["".join(words[at : at + CALL_WORDS]) for at in range(0, len(words), CALL_WORDS)]
         out = []
-        for coded, n in zip(own.encode_batch_fast(["".join(c) for c in calls], add_special_tokens=False), sizes):
+        for coded in own.encode_batch_fast(calls, add_special_tokens=False):
             ids = np.array(coded.ids, "<u4")
-            if n == 1:
-                out.append(ids.tobytes())
-            else:
-                out += [part.tobytes() for part in np.split(ids, np.flatnonzero(opens[ids])[1:])]
+            cuts = [*(np.flatnonzero(opens[ids]) * 4).tolist(), len(ids) * 4]
+            ids = ids.tobytes()
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    return ChunkMemo(missing, lambda text: any(s in text for s in special))
+    return ChunkMemo(of_words, of_texts, lambda text: any(s in text for s in special))
 
 
 class Bins:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, mpegts, packing, secrets, simhash, toxicity, warc
+from trustlake.llm import bpe, licenses, mpegts, packing, secrets, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,21 @@ def op10_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (~toxicity.learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
     )
+
+
+@query
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+ORACLES["op5_multi_index_hashing"] = """
+WITH c AS (SELECT DISTINCT vec_id AS id, list_reduce(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0::HUGEINT END), lambda a, b: a + b) AS code FROM embeddings),
+d AS (SELECT q.id AS query_id, c.id, bit_count(xor(q.code, c.code)) AS distance FROM c AS q JOIN c ON q.id % 100 = 0 AND c.id <> q.id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, CAST(distance AS INTEGER) AS distance FROM r WHERE rank <= 10
+"""
+
+
+@query
+def op7_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents")).select("doc_id", "license", "windows", "first_word", "containment")

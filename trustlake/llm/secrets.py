@@ -40,8 +40,8 @@ MIN_ENTROPY = 3.3
 #: A value that this many owners hold is a copied example.
 EXAMPLE_OWNERS = 4
 
-CANDIDATE = "array<struct<kind:int,start:long,end:long,value_hash:binary>>"
-_STRUCT = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value_hash", pa.binary())]))
+CANDIDATE = "array<struct<kind:int,start:long,end:long,value_start:long,value_hash:binary>>"
+_STRUCT = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value_start", pa.int64()), ("value_hash", pa.binary())]))
 
 
 def entropy(value: str) -> float:
@@ -50,7 +50,10 @@ def entropy(value: str) -> float:
 
 
 def scan(text: str) -> list[tuple[int, int, int, str]]:
-    """(kind, start, end, value) of every candidate of a whole text, by start and kind; offsets are code points."""
+    """(kind, start, end, value) of every candidate of a whole text, by start and kind; offsets are code points.
+
+    A value ends where its span ends.
+    """
     found = [(0, m.start(), m.end(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= MIN_ASSIGN]
     found += [(k, m.start(), m.end(), m[0]) for k, p in ((1, ACCESS), (2, HEX)) for m in p.finditer(text)]
     taken = sorted((s, e) for _, s, e, _ in found)
@@ -75,7 +78,7 @@ def scan_rows(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_
         for batch in batches:
             found = []
             for text in texts(batch):
-                found.append([{"kind": k, "start": s, "end": e, "value_hash": hashlib.sha256(v.encode()).digest()[:16]} for k, s, e, v in scan(text)])
+                found.append([{"kind": k, "start": s, "end": e, "value_start": e - len(v), "value_hash": hashlib.sha256(v.encode()).digest()[:16]} for k, s, e, v in scan(text)])
             yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("row", "doc_id", "owner", "repo")] + [pa.array(found, _STRUCT)], ["row", "doc_id", "owner", "repo", "candidates"])
 
     own = docs.select(
@@ -92,7 +95,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row per input row: row, doc_id and secrets, an array of (start, kind, end, value_hash, owners, repositories, live).
+    """One row per input row: row, doc_id and secrets, an array of (start, kind, end, value_start, value_hash, owners, repositories, live).
 
     It holds every patterned span and the high-entropy tokens that look live, by start and kind.
     """
@@ -100,7 +103,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = rows.filter(F.size("candidates") > 0).select("row", "owner", "repo", F.explode("candidates").alias("c")).select("row", "owner", "repo", "c.*")
     judged = each.join(ownership(each), "value_hash").withColumn("live", F.col("owners") < example_owners)
     kept = judged.filter((F.col("kind") < 3) | F.col("live"))
-    span = F.struct("start", "kind", "end", "value_hash", "owners", "repositories", "live")
+    span = F.struct("start", "kind", "end", "value_start", "value_hash", "owners", "repositories", "live")
     by_row = kept.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("secrets"))
     return rows.select("row", "doc_id").join(by_row, "row", "left").withColumn("secrets", F.coalesce("secrets", F.array().cast(by_row.schema["secrets"].dataType)))
 
@@ -112,7 +115,7 @@ def listed(spans: F.Column) -> F.Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "[SECRET]", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``docs`` with every live-looking secret in ``text_col`` replaced by ``mark``; rows and other columns stay.
+    """``docs`` with the value of every live-looking secret in ``text_col`` replaced by ``mark``; rows and other columns stay.
 
     Copied examples stay in the text. What is replaced is decided over the whole corpus first: the hashes of live
     values are joined to the texts that hold them, and those texts are cut at the spans.
@@ -123,7 +126,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     # Equal texts have equal spans and the same verdicts.
     live = live.groupBy("__key").agg(F.first("__live").alias("__live"))
     joined = keyed.join(live, "__key", "left")
-    ends = F.transform("__live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    ends = F.array_sort(F.transform("__live", lambda s: F.struct(s["value_start"].alias("start"), s["end"].alias("end"))))
     merged = F.aggregate(
         ends,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),

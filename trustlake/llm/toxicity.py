@@ -312,3 +312,20 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores under ``threshold``, all columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        sentences = Sentences(own.kernel) if own else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                if own:
+                    part = part.filter(pa.array([s < threshold for s in own.scores(sentences.of(list(texts(part, text_col))))], pa.bool_()))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)

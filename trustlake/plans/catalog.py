@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from trustlake.plans import q_contracts, q_lineage, q_metadata, q_observe, q_quality  # noqa: F401
+from trustlake.plans import q_access, q_contracts, q_lineage, q_metadata, q_observe, q_quality  # noqa: F401
 from trustlake.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from trustlake.llm.common import column, texts
 Coder = Callable[[list[str]], list[bytes]]
 
 #: Chunks in a worker's memo, about 200 bytes each.
-MEMO = 800_000
+MEMO = 450_000
 #: Stands in the memo for a chunk with white space at an edge, or for none between two spaces.
 UNSOUND = b"?"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -102,34 +103,31 @@ class PerfectHash:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the lowest-ranked adjacent pair is merged first, the leftmost of equals."""
-    n = len(piece)
-    start = list(range(n + 1))
-    after, before = list(range(1, n + 2)), list(range(-1, n))
-    end = after[:n]
-    heap = []
-    for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
-        if r is not None:
-            heap.append((r, i, i + 2))
+    n, rank = len(piece), ranks.get
+    # A heap entry is one number: rank, begin and stop of a pair, so the lowest rank, then the leftmost comes first.
+    bits = n.bit_length()
+    high, low = 2 * bits, (1 << bits) - 1
+    # end[i]: where the part that begins at i ends, 0 once it has been merged into the part before it.
+    end, before = list(range(1, n + 1)), list(range(-1, n))
+    heap = [r << high | i << bits | i + 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
-    gone = bytearray(n + 1)
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        if gone[i] or end[i] >= n or end[end[i]] != stop:
+        entry = heapq.heappop(heap)
+        i, stop = entry >> bits & low, entry & low
+        middle = end[i]
+        if not middle or middle == n or end[middle] != stop:
             continue
-        j = end[i]
-        gone[j] = 1
-        end[i] = stop
+        end[middle], end[i] = 0, stop
         if stop < n:
             before[stop] = i
-            r = ranks.get(piece[i : end[stop]])
+            r = rank(piece[i : end[stop]])
             if r is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
+                heapq.heappush(heap, r << high | i << bits | end[stop])
         p = before[i]
         if p >= 0:
-            r = ranks.get(piece[start[p] : stop])
+            r = rank(piece[p:stop])
             if r is not None:
-                heapq.heappush(heap, (r, p, stop))
+                heapq.heappush(heap, r << high | p << bits | stop)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -179,20 +177,22 @@ class Encoder:
     """Encodes strings by a rank table and a splitting pattern, without special tokens."""
 
     def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pattern: str, memo: int = MEMO):
-        self.ranks, self.table = ranks, table
+        self.ranks, self.table, self.most, self.pieces = ranks, table, memo, {}
         self.split = regex.compile(pattern).findall
         self.chunks = ChunkMemo(self.coded, self.coded, most=memo)
 
     def coded(self, chunks: list[str]) -> list[bytes]:
         split = [self.split(c) for c in chunks]
-        distinct = list(dict.fromkeys(t for s in split for t in s))
-        if not distinct:
-            return [b""] * len(chunks)
-        raw = [t.encode() for t in distinct]
-        own = {}
-        for text, piece, rank in zip(distinct, raw, self.table.find(raw).tolist()):
-            own[text] = np.array([rank] if rank >= 0 else merge(piece, self.ranks), "<i4").tobytes()
-        return [b"".join([own[t] for t in s]) for s in split]
+        if len(self.pieces) > self.most:
+            self.pieces = {}
+        own = self.pieces
+        new = list(dict.fromkeys(t for s in split for t in s if t not in own))
+        if new:
+            raw = [t.encode() for t in new]
+            for text, piece, rank in zip(new, raw, self.table.find(raw).tolist()):
+                ids = (rank,) if rank >= 0 else merge(piece, self.ranks)
+                own[text] = struct.pack(f"<{len(ids)}i", *ids)
+        return [own[s[0]] if len(s) == 1 else b"".join([own[t] for t in s]) for s in split]
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
 
 def decode(coded: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:
-    """``coded`` with one more column, decoded: the bytes that the ids of a row stand for; null ids have none."""
+    """``coded`` with one more column, decoded: the bytes that the ids of a row stand for; null ids have no bytes."""
     spark = coded.sparkSession
     shared = spark.sparkContext.broadcast({rank: token for token, rank in read_ranks(rank_path).items()})
     names = coded.columns

@@ -31,6 +31,7 @@ END_ID = 0
 #: Documents tokenized at a time, and new words in one call of the tokenizer.
 BATCH = 256
 CALL_WORDS = 512
+MEMO = 1_000_000
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -74,7 +75,7 @@ def tokenizer(path: str) -> ChunkMemo:
             out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    return ChunkMemo(of_words, of_texts, lambda text: any(s in text for s in special))
+    return ChunkMemo(of_words, of_texts, lambda text: any(s in text for s in special), most=MEMO)
 
 
 class Bins:

@@ -1,16 +1,24 @@
-"""Cutting a plan's lineage in the folder that all executors share."""
+"""The folder that all executors share, and cutting a plan's lineage in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; only where that is unset, in a temporary folder of a local session."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only where that is unset (a local session, a test), a temporary folder, set as such."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-trustlake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-trustlake-")
         spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of a DataFrame in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

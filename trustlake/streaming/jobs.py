@@ -67,6 +67,33 @@ STATE = "state string, severity string, notified double, resolved double, fires
 ACTION = "dedup_key string, at timestamp, action string, severity string, fire_count int"
 
 
+START = ("RESOLVED", "", 0.0, float("-inf"), 0)
+_COLUMNS = ["dedup_key", "at", "action", "severity", "fire_count"]
+
+
+def advance(key: str, state: tuple, signals: pd.DataFrame, remind: int, cooldown: int) -> tuple[tuple, pd.DataFrame]:
+    """The state of a key after some signals, and the actions on the way."""
+    now, severity, notified, resolved, fires = state
+    rows = []
+    for r in signals.sort_values(["at", "severity"]).itertuples():
+        t, action = r.at.timestamp(), None
+        if now == "ACTIVE":
+            if not r.firing:
+                now, resolved, action = "RESOLVED", t, "RESOLVED"
+            elif r.severity != severity:
+                severity, notified, action = r.severity, t, "UPDATED"
+            elif t - notified >= remind:
+                notified, action = t, "REMINDED"
+        elif r.firing:
+            if t - resolved < cooldown:
+                action = "FLAP_SUPPRESSED"
+            else:
+                now, severity, notified, fires, action = "ACTIVE", r.severity, t, fires + 1, "FIRED"
+        if action:
+            rows.append((key, r.at, action, severity, fires))
+    return (now, severity, notified, resolved, fires), pd.DataFrame(rows, columns=_COLUMNS)
+
+
 def alert_actions(signals: DataFrame, remind: int = REMIND_SECONDS, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
     """Alert actions of a stream of signals (dedup_key, at, firing, severity), with the state of each key kept (ST3).
 
@@ -76,51 +103,13 @@ def alert_actions(signals: DataFrame, remind: int = REMIND_SECONDS, cooldown: in
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, severity, notified, resolved, fires = state.get if state.exists else ("RESOLVED", "", 0.0, float("-inf"), 0)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["at", "severity"]).itertuples():
-            t, action = r.at.timestamp(), None
-            if now == "ACTIVE":
-                if not r.firing:
-                    now, resolved, action = "RESOLVED", t, "RESOLVED"
-                elif r.severity != severity:
-                    severity, notified, action = r.severity, t, "UPDATED"
-                elif t - notified >= remind:
-                    notified, action = t, "REMINDED"
-            elif r.firing:
-                if t - resolved < cooldown:
-                    action = "FLAP_SUPPRESSED"
-                else:
-                    now, severity, notified, fires, action = "ACTIVE", r.severity, t, fires + 1, "FIRED"
-            if action:
-                rows.append((key[0], r.at, action, severity, fires))
-        state.update((now, severity, notified, resolved, fires))
-        yield pd.DataFrame(rows, columns=["dedup_key", "at", "action", "severity", "fire_count"])
+        new, actions = advance(key[0], state.get if state.exists else START, pd.concat(list(batches)), remind, cooldown)
+        state.update(new)
+        yield actions
 
     return signals.groupBy("dedup_key").applyInPandasWithState(step, ACTION, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def alerts_batch(signals: DataFrame, remind: int = REMIND_SECONDS, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
     """The same actions over a whole table of signals."""
-
-    def step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        now, severity, notified, resolved, fires, out = "RESOLVED", "", 0.0, float("-inf"), 0, []
-        for r in rows.sort_values(["at", "severity"]).itertuples():
-            t = r.at.timestamp()
-            if now == "ACTIVE" and not r.firing:
-                now, resolved = "RESOLVED", t
-                out.append((key[0], r.at, "RESOLVED", severity, fires))
-            elif now == "ACTIVE" and r.severity != severity:
-                severity, notified = r.severity, t
-                out.append((key[0], r.at, "UPDATED", severity, fires))
-            elif now == "ACTIVE" and t - notified >= remind:
-                notified = t
-                out.append((key[0], r.at, "REMINDED", severity, fires))
-            elif now != "ACTIVE" and r.firing and t - resolved < cooldown:
-                out.append((key[0], r.at, "FLAP_SUPPRESSED", severity, fires))
-            elif now != "ACTIVE" and r.firing:
-                now, severity, notified, fires = "ACTIVE", r.severity, t, fires + 1
-                out.append((key[0], r.at, "FIRED", severity, fires))
-        return pd.DataFrame(out, columns=["dedup_key", "at", "action", "severity", "fire_count"])
-
-    return signals.groupBy("dedup_key").applyInPandas(step, ACTION)
+    return signals.groupBy("dedup_key").applyInPandas(lambda key, rows: advance(key[0], START, rows, remind, cooldown)[1], ACTION)

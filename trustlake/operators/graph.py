@@ -181,3 +181,42 @@ def lineage_health(edge: DataFrame) -> DataFrame:
     counted = own.groupingSets([[F.col(d)] for d in dims], *dims).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
     name = F.coalesce(*[F.when(F.col("g") == (15 ^ (8 >> i)), d) for i, d in enumerate(dims)])
     return counted.select(name.alias("dimension"), F.coalesce(*dims).alias("value"), "n")
+
+
+def statement_edges(stmts: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of statements that are parsed already, and the names that could not be resolved.
+
+    ``stmts``: stmt_id, target, sources array<string>, controls array<string>, parse_level, columns
+    array<struct<source,source_column,target_column,expression>>. ``resolved``: name, urn (null where not unique). Table
+    edges have the confidence of the parse level; what only steers a statement is a CONTROL dependency.
+    """
+    named = lambda kind, c: stmts.select("stmt_id", "target", "parse_level", F.explode_outer(c).alias("name"), F.lit(kind).alias("dependency_kind")).filter("name IS NOT NULL")
+    tables = named("VALUE", "sources").unionByName(named("CONTROL", "controls"))
+    to = resolved.select(F.col("name").alias("target"), F.col("urn").alias("to_urn"))
+    frm = resolved.select("name", F.col("urn").alias("from_urn"))
+    joined = tables.join(to, "target", "left").join(frm, "name", "left")
+    both = F.col("to_urn").isNotNull() & F.col("from_urn").isNotNull()
+    edges = joined.filter(both & (F.col("parse_level") != "failed")).select("stmt_id", "from_urn", "to_urn", "dependency_kind", F.lit("DIRECT").alias("transform"), parse_confidence(F.col("parse_level")).alias("confidence"))
+    cols = stmts.select("stmt_id", "target", "parse_level", F.inline("columns")).withColumnRenamed("source", "name").join(to, "target").join(frm, "name").filter(both)
+    column = lambda urn, c: F.concat(F.lit("urn:asset:Column:"), F.split_part(F.col(urn), F.lit(":"), F.lit(4)), F.lit("."), F.col(c))
+    edges = edges.unionByName(cols.select("stmt_id", column("from_urn", "source_column").alias("from_urn"), column("to_urn", "target_column").alias("to_urn"), F.lit("VALUE").alias("dependency_kind"), transform_kind(F.col("expression")).alias("transform"), parse_confidence(F.col("parse_level")).alias("confidence")))
+    missing = joined.filter("from_urn IS NULL").select("stmt_id", "name").union(joined.filter("to_urn IS NULL").select("stmt_id", F.col("target").alias("name"))).distinct()
+    return edges.distinct(), missing
+
+
+def findings_summary(findings: DataFrame) -> DataFrame:
+    """Findings by kind: those that a schema or an owner can settle, and those whose SQL must change."""
+    fixable = F.col("finding").isin("missing_schema", "unknown_column")
+    return findings.groupBy("finding").agg(F.count("*").alias("n"), F.count_if(fixable).alias("actionable"), F.count_if(~fixable).alias("needs_sql_fix"))
+
+
+def overview(df: DataFrame, *dimensions: str, top: int | None = None) -> DataFrame:
+    """Counts by each dimension in one pass, the ``top`` most frequent of each if given."""
+    full = (1 << len(dimensions)) - 1
+    counted = df.groupingSets([[F.col(d)] for d in dimensions], *dimensions).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    name = F.coalesce(*[F.when(F.col("g") == (full ^ (1 << (len(dimensions) - 1 - i))), d) for i, d in enumerate(dimensions)])
+    out = counted.select(name.alias("dimension"), F.coalesce(*[F.col(d).cast("string") for d in dimensions]).alias("value"), "n")
+    if top is None:
+        return out
+    order = Window.partitionBy("dimension").orderBy(F.desc("n"), "value")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).drop("rank")

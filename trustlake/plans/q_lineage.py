@@ -192,3 +192,43 @@ def x6_transform_kind(spark, sf_dir):
     texts = F.array(*[F.lit(t) for t in ("sha2(phone, 256)", "sum(amount)", "a + b", "amount", "CASE WHEN a THEN b END")])
     df = load(spark, sf_dir, "nation").select("n_nationkey", F.explode(texts).alias("expression"), F.element_at(F.array(*[F.lit(x) for x in graph.CONFIDENCE]), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("level"))
     return df.select("n_nationkey", "expression", graph.transform_kind(F.col("expression")).alias("kind"), graph.parse_confidence(F.col("level")).alias("confidence"))
+
+
+def _parsed(spark, sf_dir):
+    """A parsed statement per supplier; tables t0 to t19 are known, others are not."""
+    stmts = load(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("stmt_id"),
+        F.concat(F.lit("t"), (F.col("s_suppkey") % 23).cast("string")).alias("target"),
+        F.array(F.concat(F.lit("t"), F.col("s_nationkey").cast("string"))).alias("sources"),
+        F.array(F.concat(F.lit("t"), ((F.col("s_nationkey") + 1) % 25).cast("string"))).alias("controls"),
+        F.element_at(F.array(*[F.lit(x) for x in ("exact", "derived", "failed")]), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("parse_level"),
+        F.array(F.struct(F.concat(F.lit("t"), F.col("s_nationkey").cast("string")).alias("source"), F.lit("a").alias("source_column"), F.lit("b").alias("target_column"), F.lit("sum(a)").alias("expression"))).alias("columns"),
+    )
+    names = load(spark, sf_dir, "nation").select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("name"), F.when(F.col("n_nationkey") < 20, F.concat(F.lit("urn:asset:Dataset:p.t"), F.col("n_nationkey").cast("string"))).alias("urn"))
+    return graph.statement_edges(stmts, names)
+
+
+_PARSED = """s AS (SELECT s_suppkey AS id, s_suppkey % 23 AS t, s_nationkey AS a, (s_nationkey + 1) % 25 AS c, s_suppkey % 3 AS lv FROM supplier), k AS (SELECT id, t, a AS f, 'VALUE' AS kind, lv FROM s UNION ALL SELECT id, t, c, 'CONTROL', lv FROM s)"""
+
+
+@query(f"""
+WITH {_PARSED} SELECT DISTINCT id AS stmt_id, 'urn:asset:Dataset:p.t' || f AS from_urn, 'urn:asset:Dataset:p.t' || t AS to_urn, kind AS dependency_kind, 'DIRECT' AS transform, CASE lv WHEN 0 THEN 0.8 ELSE 0.65 END::DOUBLE AS confidence FROM k WHERE t < 20 AND f < 20 AND lv <> 2
+UNION ALL SELECT id, 'urn:asset:Column:p.t' || a || '.a', 'urn:asset:Column:p.t' || t || '.b', 'VALUE', 'AGGREGATED', CASE lv WHEN 0 THEN 0.8 WHEN 1 THEN 0.65 ELSE 0.0 END FROM s WHERE t < 20 AND a < 20""")
+def g7_statement_edges(spark, sf_dir):
+    return _parsed(spark, sf_dir)[0]
+
+
+@query(f"WITH {_PARSED} SELECT DISTINCT id AS stmt_id, 't' || f AS name FROM k WHERE f >= 20 UNION SELECT id, 't' || t FROM s WHERE t >= 20")
+def g7_unresolved(spark, sf_dir):
+    return _parsed(spark, sf_dir)[1]
+
+
+@query(f"WITH {_REFS}, f AS (SELECT CASE WHEN len(candidates) = 0 THEN 'unknown_column' ELSE 'ambiguous_column' END AS finding FROM d WHERE len(candidates) <> 1 UNION ALL SELECT 'missing_schema' FROM src WHERE table_name NOT IN (SELECT table_name FROM col)) SELECT finding, count(*) AS n, count(*) FILTER (finding <> 'ambiguous_column') AS actionable, count(*) FILTER (finding = 'ambiguous_column') AS needs_sql_fix FROM f GROUP BY 1")
+def g10_findings_summary(spark, sf_dir):
+    found = _refs(spark, sf_dir)[1].select("finding")
+    return graph.findings_summary(found.union(graph.expand_star(*_statements(spark, sf_dir))[1].select("finding")))
+
+
+@query(with_views("c AS (SELECT 'status' AS dimension, status AS value, count(*) AS n FROM rule_run GROUP BY 2 UNION ALL SELECT 'rule_urn', rule_urn, count(*) FROM rule_run GROUP BY 2 UNION ALL SELECT 'dataset_urn', dataset_urn, count(*) FROM rule_run GROUP BY 2) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) <= 4", "rule_run"))
+def a14_rule_run_overview(spark, sf_dir):
+    return graph.overview(load(spark, sf_dir, "rule_run"), "status", "rule_urn", "dataset_urn", top=4)

@@ -33,6 +33,15 @@ def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+# Base32 letter i of a digest holds bits 5i to 5i + 4, that is parts of two neighbouring hex digits.
+ORACLES["op2_warc_index"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h FROM p),
+b AS (SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((((instr('0123456789abcdef', substr(h, 5 * i // 4 + 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h || '0', 5 * i // 4 + 2, 1)) - 1) >> (3 - 5 * i % 4)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest FROM d),
+m AS (SELECT h, max(page_id) AS top FROM d GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM b JOIN m USING (h)
+"""
+
+
 @query
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))

@@ -88,5 +88,7 @@ def sample_for_profile(df: DataFrame, percent: float, key: str | None = None, se
     if percent >= 100:
         return df, "EXACT"
     if key is not None:
-        return df.filter(F.pmod(F.xxhash64(key), F.lit(10_000)) < percent * 100), "ESTIMATED"
+        # A hash that other engines have too, so that they take the same rows.
+        place = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10_000
+        return df.filter(place < percent * 100), "ESTIMATED"
     return df.sample(fraction=percent / 100, seed=seed), "ESTIMATED"

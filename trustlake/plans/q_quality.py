@@ -64,7 +64,7 @@ def a5_sampling_full(spark, sf_dir):
     return df.agg(F.lit(precision).alias("precision"), F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT * FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 1000")
 def a5_sampling_by_key(spark, sf_dir):
     return profile.sample_for_profile(load(spark, sf_dir, "orders"), 10, "o_orderkey")[0]
 

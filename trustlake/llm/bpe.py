@@ -228,7 +228,8 @@ def decode(coded: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:
         token = shared.value.__getitem__
         for batch in batches:
             ids = column(batch, ids_col)
-            out = [b"".join(map(token, x.values.to_pylist())) if x.is_valid else b"" for x in ids]
+            flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            out = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
     return coded.mapInArrow(run, schema)

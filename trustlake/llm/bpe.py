@@ -33,7 +33,10 @@ Coder = Callable[[list[str]], list[bytes]]
 #: Chunks in a worker's memo, about 200 bytes each.
 MEMO = 450_000
 #: Stands in the memo for a chunk with white space at an edge, or for none between two spaces.
-UNSOUND = b"?"
+UNSOUND = 0
+#: Marks that may end a chunk, and the end of the letters that all Unicode versions know alike.
+MARKS = ".,;:!?"
+LAST_LATIN = "\u0250"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,6 +147,7 @@ class ChunkMemo:
 
     def __init__(self, of_words: Coder, of_texts: Coder, uncut: Callable[[str], bool] = lambda _: False, most: int = MEMO):
         self.of_words, self.of_texts, self.uncut, self.most, self.memo = of_words, of_texts, uncut, most, {}
+        self.marks = dict(zip(MARKS, of_texts(list(MARKS))))
 
     def encode(self, batch: list[str]) -> list[bytes]:
         if len(self.memo) > self.most:
@@ -152,21 +156,30 @@ class ChunkMemo:
         for text in batch:
             first, *rest = (text,) if self.uncut(text) else text.split(" ")
             parts = list(map(known, rest))
-            if None in parts:
+            try:
+                ids = b"".join(parts)
+            except TypeError:  # None or UNSOUND is among the parts
                 new.update((c, None) for c, p in zip(rest, parts) if p is None)
-                parts = None
-            cuts.append((first, rest, parts))
+                ids = None
+            cuts.append((first, rest, ids))
         sound = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
         self.memo.update(dict.fromkeys(new, UNSOUND))
-        self.memo.update(zip(sound, self.of_words([" " + c for c in sound])))
+        # A mark after a letter is a pre-token of its own, so a word is encoded once for all marks after it.
+        bare = {c: c[:-1] for c in sound if c[-1] in MARKS and len(c) > 1 and c[-2].isalpha() and c[-2] < LAST_LATIN}
+        words = list(dict.fromkeys(w for c in sound if (w := bare.get(c, c)) in new or known(w) is None))
+        self.memo.update(zip(words, self.of_words([" " + w for w in words])))
+        self.memo.update((c, self.memo[w] + self.marks[c[-1]]) for c, w in bare.items())
         out: list[bytes] = []
         heads: dict[str, list[int]] = {}
-        for i, (text, (first, rest, parts)) in enumerate(zip(batch, cuts)):
-            parts = list(map(known, rest)) if parts is None else parts
-            if rest and (not first or first[-1].isspace()) or UNSOUND in parts:
-                first, parts = text, []
+        for i, (text, (first, rest, ids)) in enumerate(zip(batch, cuts)):
+            try:
+                ids = b"".join(map(known, rest)) if ids is None else ids
+            except TypeError:
+                ids = None
+            if ids is None or rest and (not first or first[-1].isspace()):
+                first, ids = text, b""
             heads.setdefault(first, []).append(i)
-            out.append(b"".join(parts))
+            out.append(ids)
         for at, ids in zip(heads.values(), self.of_texts(list(heads))):
             for i in at:
                 out[i] = ids + out[i]

@@ -11,20 +11,40 @@ from trustlake.functions import types as kinds
 
 SENSITIVE = ("L3", "L4")
 TOP = 5
+PERCENTILES = (0.5, 0.95)
 
 
 def rounded(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
+def value_statistics(df: DataFrame, fields: list[tuple[int, str, T.DataType]]) -> DataFrame:
+    """One row: a map from a column's place to its exact distinct count and percentiles.
+
+    Cells are counted as (place, value) first, so each task sends a value once however often it has met it, and what
+    follows works on counted values.
+    """
+    floating = lambda kind: isinstance(kind, (T.DoubleType, T.FloatType))
+    # Floating values stay numbers; all others are told apart by their text.
+    text = lambda c, kind: F.lit(None).cast("string") if floating(kind) else c.cast("string")
+    real = lambda c, kind: (c + F.lit(0.0)).cast("double") if floating(kind) else F.lit(None).cast("double")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), text(F.col(f"`{name}`"), kind).alias("value"), real(F.col(f"`{name}`"), kind).alias("real")) for i, name, kind in fields])
+    counted = df.select(F.inline(cells)).filter("value IS NOT NULL OR real IS NOT NULL").groupBy("i", "value", "real").agg(F.count("*").alias("n"))
+    numbers = [i for i, _, kind in fields if kinds.is_numeric(kind)]
+    number = F.coalesce("real", F.when(F.col("i").isin(numbers), F.col("value").try_cast("double")))
+    by_column = counted.groupBy("i").agg(F.count("*").alias("d"), *[F.percentile(number, F.lit(p), F.col("n")).alias(f"p{int(p * 100)}") for p in PERCENTILES])
+    return by_column.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("d", *[f"p{int(p * 100)}" for p in PERCENTILES])))).alias("__values"))
+
+
 def profile(df: DataFrame, classification: dict[str, str] | None = None, exact: bool = True) -> DataFrame:
-    """Long rows (column_name, metric, value_num, value_text, precision), all columns in one aggregation.
+    """Long rows (column_name, metric, value_num, value_text, precision) of all columns.
 
-    Distinct counts and percentiles are exact, or sketches marked ESTIMATED with ``exact=False``; the sketches merge
-    from partial results, so that form is the one for large tables. Minimum and maximum of sensitive columns are left out.
+    Counts, extremes and lengths take one aggregation of one row. Distinct counts and percentiles are exact and take one
+    more pass, or are sketches in the same pass, marked ESTIMATED, with ``exact=False``; sketches merge from partial
+    results, so that form is the one for large tables. Minimum and maximum of sensitive columns are left out.
     """
     classification = classification or {}
-    aggs, rows = [F.count(F.lit(1)).alias("__total")], []
+    aggs, rows, fields = [F.count(F.lit(1)).alias("__total")], [], []
     how = "EXACT" if exact else "ESTIMATED"
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
@@ -33,17 +53,20 @@ def profile(df: DataFrame, classification: dict[str, str] | None = None, exact:
         total, n_col = F.col("__total"), F.col(f"{n}_n")
         num = lambda metric, v, p="EXACT": rows.append((f.name, metric, rounded(v), F.lit(None).cast("string"), p))  # noqa: B023, E731
         text = lambda metric, v: rows.append((f.name, metric, F.lit(None).cast("double"), v, "EXACT"))  # noqa: B023, E731
+        own = F.try_element_at("__values", F.lit(i))
         num("total", total)
         num("non_null", n_col)
         num("null_count", total - n_col)
         num("null_ratio", F.when(total > 0, (total - n_col) / total).otherwise(0.0))
         if kinds.equatable(f.dataType):
-            aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c, 0.01)).alias(f"{n}_d"))
-            num("distinct_count", F.col(f"{n}_d"), how)
+            fields.append((i, f.name, f.dataType))
+            if not exact:
+                aggs.append(F.approx_count_distinct(c, 0.01).alias(f"{n}_d"))
+            num("distinct_count", F.coalesce(own["d"], F.lit(0)) if exact else F.col(f"{n}_d"), how)
         if kinds.orderable(f.dataType) and classification.get(f.name, "L2") not in SENSITIVE:
             # Adding zero makes a negative zero a plain one, so that the text does not depend on the order of rows.
-            own = c + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
-            aggs += [F.min(own).cast("string").alias(f"{n}_min"), F.max(own).cast("string").alias(f"{n}_max")]
+            value = c + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
+            aggs += [F.min(value).cast("string").alias(f"{n}_min"), F.max(value).cast("string").alias(f"{n}_max")]
             text("min", F.col(f"{n}_min"))
             text("max", F.col(f"{n}_max"))
         if f.dataType.typeName() == "string":
@@ -51,12 +74,17 @@ def profile(df: DataFrame, classification: dict[str, str] | None = None, exact:
             num("min_length", F.col(f"{n}_short"))
             num("max_length", F.col(f"{n}_long"))
         if kinds.is_numeric(f.dataType):
-            for p in (0.5, 0.95):
-                own = F.percentile(c, F.lit(p)) if exact else F.percentile_approx(c, p, 10_000)
-                aggs.append(own.alias(f"{n}_p{int(p * 100)}"))
-                num(f"p{int(p * 100)}", F.col(f"{n}_p{int(p * 100)}"), how)
+            for p in PERCENTILES:
+                name = f"p{int(p * 100)}"
+                if not exact:
+                    aggs.append(F.percentile_approx(c, p, 10_000).alias(f"{n}_{name}"))
+                num(name, own[name] if exact else F.col(f"{n}_{name}"), how)
     struct = [F.struct(F.lit(a).alias("column_name"), F.lit(m).alias("metric"), v.alias("value_num"), t.alias("value_text"), F.lit(p).alias("precision")) for a, m, v, t, p in rows]
-    return df.agg(*aggs).select(F.inline(F.array(*struct)))
+    wide = df.agg(*aggs)
+    if exact and fields:
+        # Both sides are one row.
+        wide = wide.crossJoin(value_statistics(df, fields))
+    return wide.select(F.inline(F.array(*struct)))
 
 
 def row_counts(df: DataFrame, estimate: int | None = None) -> DataFrame:

@@ -240,7 +240,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
     kept = materialize(kept, "representatives")
     unnamed = docs.filter(F.col(id_col).isNull())
-    out = docs.join(kept.filter("__n = 1"), F.col(id_col) == F.col("__id"), "left_semi").unionByName(unnamed)
+    # The kept ids grow with the corpus, so they are never broadcast.
+    out = docs.join(kept.filter("__n = 1").hint("merge"), F.col(id_col) == F.col("__id"), "left_semi").unionByName(unnamed)
     if kept.filter("__n > 1").isEmpty():
         return out
     again = docs.join(kept.filter("__n > 1"), F.col(id_col) == F.col("__id"), "left_semi")

@@ -9,7 +9,8 @@ largest value over its words; ``K(L, L)^(-1/2)`` maps these to features.
 Training takes a bounded sample of labelled rows (``sample_toxic`` and ``sample_clean`` documents, by the hash of their
 ids). Landmarks are word beginnings that cover many toxic and few clean documents, and some frequent clean words. The
 machine is trained on labelled sentences: all of a clean document's that come near a landmark, and of a toxic document
-those that all but hold a toxic landmark and the one that is most toxic so far (three rounds). A document's margin is its most toxic sentence's; a logistic
+those that all but hold a toxic landmark and the one that is most toxic so far (three rounds), and toxic landmarks with
+a character put in. A document's margin is its most toxic sentence's; a logistic
 curve, fitted on the sample, turns it into a score from 0 to 1. Scoring is one pass over whole texts.
 
 Defined cases: a null or empty text has the margin of a sentence that is near no landmark; labels that are null are no
@@ -37,7 +38,9 @@ LANDMARKS, NEUTRAL = 48, 4
 FLOOR = 0.35
 #: A sentence of a toxic document that comes this near a toxic landmark is taken as toxic from the start.
 SURE = 0.8
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 3600
+#: Characters put into toxic landmarks to make further training sentences.
+INSERTED = "xz"
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 3000
 MEMO = 400_000
 THRESHOLD = 0.7
 _PLAIN = re.compile(r"[\W_]+")
@@ -132,7 +135,8 @@ class Sentences:
                 if len(word) == 1:
                     code = -1
                 elif near:
-                    self.rows.append(row)
+                    # A copy, since a view would keep the whole array.
+                    self.rows.append(row.copy())
                     code = len(self.rows)
                 self.memo[word] = code
 
@@ -185,15 +189,16 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
     def starts(own: set[str]) -> set[str]:
         return {w[:n] for w in own for n in range(4, min(len(w), WINDOW) + 1)}
 
+    bags = [words(text) for text in toxic]
+    hits = Counter(s for own in bags for s in starts(own))
+    floor = max(3, len(toxic) // 33)
+    hits = {s: n for s, n in hits.items() if n >= floor}
     seen, common = Counter(), Counter()
     for text in clean:
         own = words(text)
-        seen.update(starts(own))
+        seen.update(s for s in starts(own) if s in hits)
         common.update(w for w in own if 4 <= len(w) <= WINDOW)
-    bags = [words(text) for text in toxic]
-    hits = Counter(s for own in bags for s in starts(own))
-    floor = max(3, len(toxic) // 33)
-    good = {s for s, n in hits.items() if n >= floor and n / len(toxic) >= 15 * (seen[s] + 0.5) / len(clean)}
+    good = {s for s, n in hits.items() if n / len(toxic) >= 15 * (seen[s] + 0.5) / len(clean)}
     bags = [(starts(own) & good, {w for w in own if len(w) <= WINDOW and starts({w}) & good}) for own in bags]
     out: list[str] = []
     for _ in range(LANDMARKS):
@@ -263,6 +268,8 @@ class Model:
         marked = len(self.kernel.landmarks) - NEUTRAL
         worst = [b[np.argmax(v.max(1))][None] if len(v) else none for b, v in zip(bags[0], near[0])]
         sure = [b[v[:, :marked].max(1, initial=0) >= SURE] for b, v in zip(bags[0], near[0]) if len(v)]
+        gapped = [w[:i] + c + w[i:] for w in self.kernel.landmarks[:marked] for i in range(2, len(w) - 1) for c in INSERTED if len(w) < WINDOW]
+        sure.append(self.kernel.of_words(gapped) @ root if gapped else none[:0])
         negative = np.concatenate([*bags[1], none])
         for _ in range(3):
             positive = np.concatenate([*worst, *sure])

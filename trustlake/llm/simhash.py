@@ -236,7 +236,11 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows whose id is null all stay, since nothing names them. Of rows that share an id and a text, one stays.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, **options)
+    return representatives(docs, near_duplicate_groups(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def representatives(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that name their group, and those without an id. ``groups``: doc_id, component_id."""
     kept = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
     kept = materialize(kept, "representatives")
     unnamed = docs.filter(F.col(id_col).isNull())

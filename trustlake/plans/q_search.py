@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trustlake.functions import text, urn
 from trustlake.operators import search
 from trustlake.plans.fixtures import load, with_views
-from trustlake.plans.registry import query
+from trustlake.plans.registry import ORACLES, query
 
 _TOKENS = r"list_filter(string_split(lower(trim(regexp_replace(regexp_replace({0}, '(\p{{Ll}}|\p{{N}})(\p{{Lu}})', '\1 \2', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), ' '), lambda t: t <> '')"
 _POST = f"tok AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents), post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2)"
@@ -64,6 +64,12 @@ def r5_hash_embed(spark, sf_dir):
     return vectors.select("doc_id", F.posexplode("vector").alias("i", "v")).filter("v != 0").select("doc_id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
 
 
+@query(ORACLES["r5_hash_embed"].replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents"))
+def r5_hash_embed_documents(spark, sf_dir):
+    vectors = search.hash_embed(load(spark, sf_dir, "documents"))
+    return vectors.select("doc_id", F.posexplode("vector").alias("i", "v")).filter("v != 0").select("doc_id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
+
+
 @query("SELECT doc_id, sha256(text) AS doc_hash FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
 def r6_changed_docs(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("urn"), F.sha2("text", 256).alias("doc_hash"))

@@ -36,3 +36,18 @@ def test_documents_are_embedded_whole(spark, tmp_path):
     assert got.keys() == want.keys()
     for d, c in want.items():
         assert got[d] == pytest.approx(c, abs=2e-6)
+
+
+def test_hybrid_fuses_what_each_retriever_finds(spark, tmp_path):
+    # Only words find "green ... apple" whole, only the glossary pear, only vectors the greenish apples.
+    texts = {0: "green apple", 1: "a pear stood there", 2: "greenish apples", 3: "zzz qqq vvv"} | {i: f"filler{i} xyz{i}" for i in range(4, 40)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "green apple pear more"), (8, "nowhere word")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["r3_hybrid_retrievers"](spark, str(tmp_path)).collect()
+    got = {r.doc_id: r for r in rows if r.query_id == 7}
+    assert got[0].retrievers == ["lexical", "vector"] and got[0].rank == 1 and got[0].score == pytest.approx(round(2 / 61, 4))
+    assert "glossary" in got[1].retrievers and "lexical" not in got[1].retrievers
+    assert got[2].retrievers == ["vector"] and got[2].score == pytest.approx(round(1 / 62, 4))
+    # A query without words in the documents has only the list of the vectors.
+    assert {tuple(r.retrievers) for r in rows if r.query_id == 8} == {("vector",)}
+    assert max(r.rank for r in rows) == 10

@@ -79,6 +79,20 @@ def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return by_doc.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), cell).alias("vector"))
 
 
+def retriever_lists(queries: DataFrame, terms: DataFrame, docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The k best documents of each query by words, by each glossary term it leads to, and by vectors: rows (query_id, retriever, doc_id, rank).
+
+    ``queries``: query_id, text; ``terms``: name, synonyms. Each term is a search of its own, so one term's words need not meet another's.
+    """
+    posting = postings(docs, id_col, text_col)
+    named = lambda df, retriever: df.select("query_id", F.lit(retriever).alias("retriever"), "doc_id", "rank")
+    expanded = expand_queries(queries, terms).select(F.struct("query_id", "text").alias("query_id"), "text")
+    glossary = search(expanded, posting, k).withColumn("query_id", F.col("query_id.query_id"))
+    asked = hash_embed(queries, "query_id").withColumnRenamed("doc_id", "query_id")
+    near = vector_search(asked, hash_embed(docs, id_col, text_col).withColumnRenamed("doc_id", "id"), k).withColumnRenamed("id", "doc_id")
+    return named(search(queries, posting, k), "lexical").unionByName(named(glossary, "glossary")).unionByName(named(near, "vector"))
+
+
 def changed_docs(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Documents whose content hash has no vector yet."""
     return docs.join(vectors.select("urn", "doc_hash"), ["urn", "doc_hash"], "left_anti")

@@ -55,6 +55,17 @@ def r4_expand_queries(spark, sf_dir):
     return search.expand_queries(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), terms)
 
 
+#: The first word of an item leads to its third.
+_LEADS = "SELECT lower(split_part(text, ' ', 3)) AS name, lower(split_part(text, ' ', 1)) AS synonym FROM benchmark"
+
+
+@query()
+def r3_hybrid_retrievers(spark, sf_dir):
+    load(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
+    terms = spark.sql(_LEADS).groupBy("name").agg(F.collect_set("synonym").alias("synonyms"))
+    return search.hybrid(search.retriever_lists(_queries(spark, sf_dir), terms, load(spark, sf_dir, "documents")))
+
+
 @query(f"""
 WITH w AS (SELECT item_id AS doc_id, {_TOKENS.format('text')} AS ws FROM benchmark), f AS (SELECT doc_id, unnest(list_concat(list_transform(ws, lambda x: 'w:' || x), flatten(list_transform(ws, lambda x: list_transform(generate_series(1, length(x) - 2), lambda i: 'g:' || substr(x, i, 3)))))) AS f FROM w),
 n AS (SELECT doc_id, f, count(*) AS n, CAST('0x' || substr(sha256(f), 1, 8) AS BIGINT) AS h FROM f GROUP BY 1, 2), s AS (SELECT doc_id, h % 256 AS i, CAST(sum(CASE WHEN h & 1048576 <> 0 THEN -n ELSE n END) AS DOUBLE) AS v FROM n GROUP BY 1, 2), z AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM s GROUP BY 1)

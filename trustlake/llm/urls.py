@@ -5,12 +5,12 @@
    words that are parts of a token are joined to it, so no vocabulary is gathered anywhere.
 3. URLs are reduced to shapes (their tokens in order, numbers as one mark); naive Bayes learns from the counts of all
    URLs, by shape. A URL is a bad example if one of its words is a seed term, else a good one; the model then scores
-   other words that keep company with seed terms. Word features are hashed to 2^16 places, so that the model is of a
-   fixed size.
+   other words that keep company with seed terms. Each word has its own exact counts, which are joined to the words of
+   the shapes; only the at most 1000 words that make up a thousandth of all are sent to every task.
 4. The longest rule that fits decides; of other URLs those are blocked whose log-odds of being bad are above zero.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule and no words; null html is empty;
-tokens of up to 3 or of more than 63 characters stay whole; of rules of equal length that fit, a block comes first; repeated rows and
+tokens of up to 3 characters stay whole; of rules of equal length that fit, a block comes first; repeated rows and
 equal ids are rows of their own; other columns are ignored; without examples of both kinds all that no rule decides are
 allowed; an empty table gives an empty result.
 """
@@ -19,11 +19,9 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +40,11 @@ SEEDS = ["adult", "ads", "bet", "bets", "bingo", "casino", "escort", "gambling",
 
 #: Occurrences that a seed term has beside its own in the pages.
 SEED_COUNT = 1000
-LONGEST_WORD, LONGEST_TOKEN = 20, 63
-FEATURES = 1 << 16
+LONGEST_WORD = 20
+#: Parts of a token are listed by pieces of this length, which overlap by a word less a letter.
+PIECE = 63
+#: A word with this share of all is joined by broadcast.
+HOT = 0.001
 SMOOTHING = 0.1
 #: Tokens up to this length are words already.
 WHOLE = 3
@@ -117,18 +118,21 @@ def viterbi(token: str, counts: dict[str, int], total: int) -> list[str]:
 
 def segmented(tokens: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """Rows (token, words) of distinct tokens of letters."""
-    short = (F.length("token") <= LONGEST_TOKEN) & (F.length("token") > WHOLE)
-    length = F.length("token")
+    step = PIECE - LONGEST_WORD + 1
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("token") - LONGEST_WORD + 1), F.lit(step))
+    pieces = tokens.filter(F.length("token") > WHOLE).select("token", F.explode(F.transform(at, lambda i: F.substring(F.col("token"), i, F.lit(PIECE)))).alias("piece"))
+    length = F.length("piece")
     starts = F.sequence(F.lit(1), length)
-    subs = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), length - i + 1)), lambda n: F.substring(F.col("token"), i, n)))))
-    parts = tokens.filter(short).select("token", F.explode(subs).alias("word"))
-    known = parts.join(counts, "word").groupBy("token").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    subs = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), length - i + 1)), lambda n: F.substring(F.col("piece"), i, n)))))
+    parts = pieces.select("piece").distinct().select("piece", F.explode(subs).alias("word"))
+    found = parts.join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    known = pieces.join(found, "piece").groupBy("token").agg(F.array_distinct(F.flatten(F.collect_list("known"))).alias("known"))
     whole = tokens.join(known, "token", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens_, known_ = column(batch, "token").to_pylist(), column(batch, "known").to_pylist()
-            out = [viterbi(t, {x["word"]: x["n"] for x in k or ()}, total) if WHOLE < len(t) <= LONGEST_TOKEN else [t] for t, k in zip(tokens_, known_)]
+            out = [viterbi(t, {x["word"]: x["n"] for x in k or ()}, total) if WHOLE < len(t) else [t] for t, k in zip(tokens_, known_)]
             yield pa.RecordBatch.from_arrays([column(batch, "token"), pa.array(out, pa.list_(pa.string()))], ["token", "words"])
 
     return whole.mapInArrow(run, "token string, words array<string>")
@@ -140,28 +144,23 @@ def shape(host: F.Column, path: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[0-9]+", f" {NUMBER} "), f"[^a-z{NUMBER}]+", " "))
 
 
-def place(word: str) -> int:
-    return zlib.crc32(word.encode()) % FEATURES
-
-
-def weights(counted: DataFrame) -> tuple[float, np.ndarray] | None:
-    """Prior and per-place log-odds of bad against good, from (words, bad, n) of all shapes.
-
-    Places that occur are smoothed by SMOOTHING; words of other places say nothing.
-    """
-    docs = {r["bad"]: r["n"] for r in counted.groupBy("bad").agg(F.sum("n").alias("n")).collect()}
+def scores(listed: DataFrame) -> DataFrame:
+    """Rows (shape, score) from (shape, words, bad, n): the log-odds of a bad URL, prior and exact odds of each word, smoothed by SMOOTHING."""
+    docs = {r["bad"]: r["n"] for r in listed.groupBy("bad").agg(F.sum("n").alias("n")).collect()}
     if len(docs) < 2:
-        return None
-    each = counted.select("bad", "n", F.explode("words").alias("word"))
-    # At most 2 * FEATURES rows, whatever the tables.
-    rows = each.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(FEATURES)).cast("int").alias("at"), "bad").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros((2, FEATURES))
-    for r in rows:
-        counts[int(r["bad"]), r["at"]] = r["n"]
-    seen = counts.any(0)
-    share = (counts + SMOOTHING) / (counts.sum(1) + SMOOTHING * seen.sum())[:, None]
-    odds = np.where(seen, np.log(share[1] / share[0]), 0)
-    return math.log(docs[True] / docs[False]), odds
+        return listed.select("shape", F.lit(-1.0).alias("score"))
+    each = listed.select("shape", "bad", "n", F.explode("words").alias("word"))
+    of = lambda bad: F.sum(F.when(F.col("bad") == F.lit(bad), F.col("n")).otherwise(0))
+    words = materialize(each.groupBy("word").agg(of(True).alias("b"), of(False).alias("g"), F.count("*").alias("m")), "word-odds")
+    all_ = words.agg(F.sum("b").alias("b"), F.sum("g").alias("g"), F.sum("m").alias("m"), F.count("*").alias("v")).first()
+    share = lambda c: (F.col(c) + SMOOTHING) / F.lit((all_[c] or 0) + SMOOTHING * all_["v"])
+    odds = words.select("word", "m", F.log(share("b") / share("g")).alias("odds"))
+    often = F.col("m") >= F.lit(HOT * (all_["m"] or 0))
+    # At most 1 / HOT words are sent; no other word has so large a share of the rows.
+    hot, rest = F.broadcast(odds.filter(often).select("word", "odds")), odds.filter(~often).select("word", "odds")
+    pairs = each.select("shape", "word")
+    summed = pairs.join(hot, "word").unionByName(pairs.join(hot, "word", "left_anti").join(rest, "word")).groupBy("shape").agg(F.sum("odds").alias("odds"))
+    return listed.select("shape").join(summed, "shape", "left").select("shape", (F.lit(math.log(docs[True] / docs[False])) + F.coalesce("odds", F.lit(0.0))).alias("score"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, seeds: list[str] = SEEDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -177,15 +176,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, seeds: li
     listed = joined.groupBy("shape").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
     listed = listed.withColumn("words", F.filter("words", lambda w: w != "")).join(shapes, "shape")
     listed = materialize(listed.withColumn("bad", F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds]))), "url-words")
-    model = pages.sparkSession.sparkContext.broadcast(weights(listed.select("words", "bad", "n")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        for batch in batches:
-            scores = [own[0] + float(sum(own[1][place(w)] for w in words)) if own else -1.0 for words in column(batch, "words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "shape"), column(batch, "words"), pa.array(scores, pa.float64())], ["shape", "words", "score"])
-
-    scored = listed.select("shape", "words").mapInArrow(run, "shape string, words array<string>, score double")
+    scored = listed.select("shape", "words").join(scores(listed.select("shape", "words", "bad", "n")), "shape")
     rule, verdict = rule_of(rules)
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
     return urls.join(scored, "shape").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score", "words")

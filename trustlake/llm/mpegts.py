@@ -5,19 +5,22 @@ one private elementary stream. Access units of ``unit`` bytes are carried in one
 time; the first unit and every ``group``-th after it is a random-access point, with the tables repeated before it and a
 program clock reference in its first packet.
 
-``read`` walks the 188-byte packets, parses the tables (with their CRC), checks the continuity counter of each PID,
-reassembles the PES packets of the first elementary stream and returns the payload, the programme, the counters of
-errors and the access units with time stamps, byte ranges and random-access flags.
-
-A task holds one row's stream at a time beside its batch. Defined cases: a null payload is empty; a stream that is not
-whole packets, or has a lost sync byte, gives null columns but for sync_errors; repeated rows give equal values; other
-columns are kept unless they have the name of a result, which replaces them; an empty table gives an empty result.
+``read`` walks the 188-byte packets, parses the tables (with their CRC, over as many packets as a section has), checks
+the continuity counter of each PID, reassembles the PES packets of the first elementary stream and returns the payload,
+the programme, the counters of errors and the access units with time stamps, byte ranges and random-access flags.
+
+A task holds one row's stream at a time beside its batch. Defined cases: a null payload is empty; an empty stream, one
+that is not whole packets, or one with a lost sync byte gives null columns but for sync_errors; a packet sent twice
+counts once; a PES packet whose header is cut or has no start code gives no access unit and one whose length is not the
+one it states keeps its bytes, both count as pes_errors; a stream without tables has no access units; repeated rows give
+equal values; other columns are kept unless they have the name of a result, which replaces them; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,14 +30,16 @@ from trustlake.llm.common import column
 
 PACKET = 188
 UNIT_BYTES = 3072
+#: The length field of a PES packet has 16 bits and counts 8 bytes of its header.
+MOST_UNIT_BYTES = 65527
 GROUP = 8
 #: Ticks of the 90 kHz clock from one access unit to the next.
 TICKS = 3600
 PMT_PID, STREAM_PID, PROGRAM, STREAM_TYPE = 0x1000, 0x100, 1, 0x06
 
-FOUND = "payload binary, sync_errors int, crc_errors int, continuity_errors int, program int, pmt_pid int, stream_pid int, stream_type int, packets int, units array<struct<pts:long,offset:long,size:long,random_access:boolean>>"
+FOUND = "payload binary, sync_errors int, crc_errors int, continuity_errors int, pes_errors int, program int, pmt_pid int, stream_pid int, stream_type int, packets int, units array<struct<pts:long,offset:long,size:long,random_access:boolean>>"
 _UNIT = pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("random_access", pa.bool_())])
-_KINDS = [pa.binary(), *[pa.int32()] * 8, pa.list_(_UNIT)]
+_KINDS = [pa.binary(), *[pa.int32()] * 9, pa.list_(_UNIT)]
 
 
 @cache
@@ -48,7 +53,7 @@ def _crc_table() -> list[int]:
     return out
 
 
-@cache
+@lru_cache(4096)
 def crc32_mpeg(data: bytes) -> int:
     """CRC-32/MPEG-2, zero over a section with its own CRC. Sections are few and repeat, so results are kept."""
     c, table = 0xFFFFFFFF, _crc_table()
@@ -104,32 +109,86 @@ def mux(payload: bytes, unit: int = UNIT_BYTES, group: int = GROUP, ticks: int =
     return b"".join(out)
 
 
+class Sections:
+    """Puts the sections of one PID together over packets."""
+
+    def __init__(self):
+        self.held: bytearray | None = None
+
+    def lost(self) -> None:
+        self.held = None
+
+    def feed(self, begins: bool, data: bytes) -> list[bytes]:
+        """The sections that this packet's payload completes; a pointer field comes first where one begins."""
+        out = []
+        if begins and data:
+            first = 1 + data[0]
+            if self.held is not None:
+                self.held += data[1:first]
+                out += self.whole()
+            self.held, data = bytearray(), data[first:]
+        if self.held is not None:
+            self.held += data
+            out += self.whole()
+        return out
+
+    def whole(self) -> list[bytes]:
+        out = []
+        while self.held is not None and len(self.held) >= 3:
+            size = 3 + (int.from_bytes(self.held[1:3]) & 0x0FFF)
+            if self.held[0] == 0xFF:
+                self.held = None
+            elif len(self.held) < size:
+                break
+            else:
+                out.append(bytes(self.held[:size]))
+                del self.held[:size]
+        return out
+
+
+def access_unit(pes: bytes) -> tuple[int | None, bytes, bool] | None:
+    """Time, bytes and soundness of a PES packet; None where its header is cut or has no start code."""
+    if len(pes) < 9 or pes[:3] != b"\x00\x00\x01" or len(pes) < 9 + pes[8]:
+        return None
+    size, head = int.from_bytes(pes[4:6]), 9 + pes[8]
+    timed = pes[7] & 0x80 and pes[8] >= 5
+    pts = (pes[9] >> 1 & 7) << 30 | (int.from_bytes(pes[10:12]) >> 1) << 15 | int.from_bytes(pes[12:14]) >> 1 if timed else None
+    return pts, pes[head : 6 + size] if size else pes[head:], not size or len(pes) == 6 + size
+
+
 def demux(data: bytes) -> tuple:
-    """The values of FOUND for one stream."""
-    if not data or len(data) % PACKET or any(data[i] != 0x47 for i in range(0, len(data), PACKET)):
-        bad = sum(data[i] != 0x47 for i in range(0, len(data), PACKET)) + bool(len(data) % PACKET) if data else 0
-        return (None, max(1, bad), *[None] * 7, None)
-    crc_errors = continuity = 0
+    """The values of FOUND for one stream; no bytes make it fail."""
+    bad = sum(data[i] != 0x47 for i in range(0, len(data), PACKET)) + bool(len(data) % PACKET)
+    if bad or not data:
+        return (None, max(1, bad), *[None] * 8, None)
+    crc_errors = continuity = pes_errors = 0
     program = pmt = stream = kind = None
-    last: dict[int, int] = {}
+    last: dict[int, tuple[int, bytes, bool]] = {}
+    tables: dict[int, Sections] = {}
     packets: list[bytes] = []
     keys: list[bool] = []
     current: list[bytes] = []
     for at in range(0, len(data), PACKET):
         a, b, c = data[at + 1], data[at + 2], data[at + 3]
-        pid, begins, control, counter = (a & 0x1F) << 8 | b, a & 0x40, c >> 4 & 3, c & 15
+        pid, begins, control, counter = (a & 0x1F) << 8 | b, bool(a & 0x40), c >> 4 & 3, c & 15
         start, key, jump = at + 4, False, False
         if control & 2:
-            n = data[start]
-            if n:
+            if n := data[start]:
                 key, jump = bool(data[start + 1] & 0x40), bool(data[start + 1] & 0x80)
             start += 1 + n
-        if not control & 1:
+        # A packet marked as damaged is passed over and leaves a gap in the counters.
+        if not control & 1 or a & 0x80:
             continue
-        before = last.get(pid)
-        if before is not None and counter != (before + 1 & 15) and not jump:
-            continuity += 1
-        last[pid] = counter
+        body, gap = data[start : at + PACKET], False
+        if pid in last and not jump:
+            before, same, again = last[pid]
+            if counter == before and body == same and not again:
+                # A packet may be sent twice.
+                last[pid] = (counter, body, True)
+                continue
+            gap = counter != (before + 1 & 15)
+            continuity += gap
+        last[pid] = (counter, body, False)
         if pid == stream:
             if begins:
                 if current:
@@ -137,37 +196,41 @@ def demux(data: bytes) -> tuple:
                 current = []
                 keys.append(key)
             if keys:
-                current.append(data[start : at + PACKET])
-        elif begins and (pid == 0 or pid == pmt):
-            start += 1 + data[start]
-            size = 3 + (int.from_bytes(data[start + 1 : start + 3]) & 0x0FFF)
-            section = data[start : start + size]
-            if crc32_mpeg(section):
-                crc_errors += 1
-            elif pid == 0:
-                for i in range(8, size - 4, 4):
-                    if (number := int.from_bytes(section[i : i + 2])) and program is None:
-                        program, pmt = number, int.from_bytes(section[i + 2 : i + 4]) & 0x1FFF
-            elif stream is None:
-                i = 12 + (int.from_bytes(section[10:12]) & 0x0FFF)
-                if i < size - 4:
-                    kind, stream = section[i], int.from_bytes(section[i + 1 : i + 3]) & 0x1FFF
+                current.append(body)
+        elif pid == 0 or pid == pmt:
+            held = tables.setdefault(pid, Sections())
+            if gap:
+                held.lost()
+            for section in held.feed(begins, body):
+                size = len(section)
+                if crc32_mpeg(section):
+                    crc_errors += 1
+                elif pid == 0 and section[0] == 0x00:
+                    for i in range(8, size - 7, 4):
+                        if (number := int.from_bytes(section[i : i + 2])) and program is None:
+                            program, pmt = number, int.from_bytes(section[i + 2 : i + 4]) & 0x1FFF
+                elif pid == pmt and section[0] == 0x02 and stream is None:
+                    i = 12 + (int.from_bytes(section[10:12]) & 0x0FFF)
+                    if i < size - 8:
+                        kind, stream = section[i], int.from_bytes(section[i + 1 : i + 3]) & 0x1FFF
     if current:
         packets.append(b"".join(current))
     units, bodies, at = [], [], 0
+    # A start without any byte behind it has a flag and no packet, and only the last one can be so.
     for pes, key in zip(packets, keys):
-        size = int.from_bytes(pes[4:6])
-        head, flags = 9 + pes[8], pes[7]
-        pts = (pes[9] >> 1 & 7) << 30 | (int.from_bytes(pes[10:12]) >> 1) << 15 | int.from_bytes(pes[12:14]) >> 1 if flags & 0x80 else None
-        body = pes[head : 6 + size] if size else pes[head:]
-        units.append({"pts": pts, "offset": at, "size": len(body), "random_access": key})
-        bodies.append(body)
-        at += len(body)
-    return b"".join(bodies), 0, crc_errors, continuity, program, pmt, stream, kind, len(data) // PACKET, units
+        found = access_unit(pes)
+        pes_errors += found is None or not found[2]
+        if found is not None:
+            units.append({"pts": found[0], "offset": at, "size": len(found[1]), "random_access": key})
+            bodies.append(found[1])
+            at += len(found[1])
+    return b"".join(bodies), 0, crc_errors, continuity, pes_errors, program, pmt, stream, kind, len(data) // PACKET, units
 
 
 def store(df: DataFrame, payload_col: str, media_col: str = "media", unit: int = UNIT_BYTES) -> DataFrame:
     """``df`` with the transport stream of ``payload_col`` in ``media_col``."""
+    if not 1 <= unit <= MOST_UNIT_BYTES:
+        raise ValueError(f"an access unit has 1 to {MOST_UNIT_BYTES} bytes")
     df = df.drop(media_col) if media_col != payload_col else df
     names = df.columns
 

@@ -93,7 +93,7 @@ def op9_mpeg_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("units=%d", F.size("units")),
         F.format_string("keys=%d", keys),
         F.format_string("pts=%d-%d", F.col("units")[0]["pts"], F.element_at("units", -1)["pts"]),
-        F.format_string("errors=%d", F.col("crc_errors") + F.col("continuity_errors") + F.col("sync_errors")),
+        F.format_string("errors=%d", F.col("crc_errors") + F.col("continuity_errors") + F.col("pes_errors") + F.col("sync_errors")),
     )
     return found.select(
         "doc_id",

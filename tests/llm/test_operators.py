@@ -219,6 +219,13 @@ def test_secret_ownership_and_redaction(spark):
     assert secrets.redact(docs).count() == len(rows)
 
 
+def test_examples_stay_examples_when_their_copies_are_gone(spark):
+    whole = spark.createDataFrame([(i, "see token=commonexample123", f"o{i}") for i in range(5)] + [(9, "token=ownersecret987", "o9")], "doc_id long, text string, source string")
+    left = whole.filter("doc_id IN (0, 9)")
+    assert {r.doc_id: r.text for r in secrets.redact(left).collect()} == {0: "see token=[SECRET]", 9: "token=[SECRET]"}
+    assert {r.doc_id: r.text for r in secrets.redact(left, corpus=whole).collect()} == {0: "see token=commonexample123", 9: "token=[SECRET]"}
+
+
 # 5
 
 

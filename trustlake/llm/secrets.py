@@ -94,14 +94,23 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def exploded(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.size("candidates") > 0).select("row", "owner", "repo", F.explode("candidates").alias("c")).select("row", "owner", "repo", "c.*")
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, corpus: DataFrame | None = None) -> DataFrame:
     """One row per input row: row, doc_id and secrets, an array of (start, kind, end, value_start, value_hash, owners, repositories, live).
 
-    It holds every patterned span and the high-entropy tokens that look live, by start and kind.
+    It holds every patterned span and the high-entropy tokens that look live, by start and kind. Owners and repositories
+    are counted over ``docs`` and, where it is given, ``corpus``, a table with the same four columns from which ``docs``
+    has been taken; a repository of both counts once.
     """
     rows = scan_rows(docs, id_col, text_col, owner_col, repo_col)
-    each = rows.filter(F.size("candidates") > 0).select("row", "owner", "repo", F.explode("candidates").alias("c")).select("row", "owner", "repo", "c.*")
-    judged = each.join(ownership(each), "value_hash").withColumn("live", F.col("owners") < example_owners)
+    each = exploded(rows)
+    counted = each.select("value_hash", "owner", "repo")
+    if corpus is not None:
+        counted = counted.union(exploded(scan_rows(corpus, id_col, text_col, owner_col, repo_col)).select("value_hash", "owner", "repo"))
+    judged = each.join(ownership(counted), "value_hash").withColumn("live", F.col("owners") < example_owners)
     kept = judged.filter((F.col("kind") < 3) | F.col("live"))
     span = F.struct("start", "kind", "end", "value_start", "value_hash", "owners", "repositories", "live")
     by_row = kept.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("secrets"))
@@ -114,14 +123,21 @@ def listed(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "[SECRET]", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "[SECRET]", example_owners: int = EXAMPLE_OWNERS, corpus: DataFrame | None = None) -> DataFrame:
     """``docs`` with the value of every live-looking secret in ``text_col`` replaced by ``mark``; rows and other columns stay.
 
     Copied examples stay in the text. What is replaced is decided over the whole corpus first: the hashes of live
-    values are joined to the texts that hold them, and those texts are cut at the spans.
+    values are joined to the texts that hold them, and those texts are cut at the spans. Where copies have been taken
+    out of ``docs``, ``corpus`` is the table with them, so that widely copied examples still count as such.
     """
-    keyed = docs.withColumn("__key", F.sha1(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    found = find_secrets(keyed.select(F.struct("__key").alias("doc_id"), F.col(text_col).alias("text"), F.col(owner_col).alias("owner"), F.col(repo_col).cast("string").alias("repo")).select("doc_id.__key", "text", "owner", "repo"), "__key", "text", "owner", "repo", example_owners)
+
+    def scanned(df: DataFrame) -> DataFrame:
+        return df.select("__key", F.col(text_col).alias("text"), F.col(owner_col).alias("owner"), F.col(repo_col).cast("string").alias("repo"))
+
+    key = F.sha1(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    keyed = docs.withColumn("__key", key)
+    whole = None if corpus is None else scanned(corpus.withColumn("__key", F.lit("")))
+    found = find_secrets(scanned(keyed), "__key", "text", "owner", "repo", example_owners, whole)
     live = found.select(F.col("doc_id").alias("__key"), F.filter("secrets", lambda s: s["live"]).alias("__live")).filter(F.size("__live") > 0)
     # Equal texts have equal spans and the same verdicts.
     live = live.groupBy("__key").agg(F.first("__live").alias("__live"))

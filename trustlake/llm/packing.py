@@ -67,7 +67,7 @@ def tokenizer(path: str) -> ChunkMemo:
         for call, coded in zip(calls, own.encode_batch_fast(list(map("".join, calls)), add_special_tokens=False)):
             ids = np.array(coded.ids, "<u4")
             starts = np.flatnonzero(opens[ids])
-            if len(starts) != len(call) or starts[0] or np.add.reduceat(sizes[ids], starts).tolist() != [len(w.encode()) for w in call]:
+            if len(starts) != len(call) or starts[0] or np.add.reduceat(sizes[ids], starts).tolist() != list(map(len, map(str.encode, call))):
                 # The runs of ids are not the words: each word is sent alone.
                 out += of_texts(call)
                 continue

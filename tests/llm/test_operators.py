@@ -155,7 +155,8 @@ def test_url_rules_and_words(spark):
     own = ["http://WWW.Example.ORG/es/1?q=/x", "https://example.org/en/15", "http://a.com/fr/2#t", "https://b.com/de/", "ftp://x.com/DE/", "http://com/de/x", "nothing", None, "", "http://", "http://é.net/ü", "http://h.net?x=/de/", "http://notexample.org/es/1"]
     own += [f"http://cheapcasinobets{i % 5}.net/en/{i}" for i in range(30)] + [f"http://quietgarden{i % 9}.net/en/{i}" for i in range(90)] + ["http://" + "a" * 500 + ".net/en/1"]
     text = "<title>cheap garden</title> <script>casino()</script> " + "quiet garden cheap free plants " * 30
-    pages = spark.createDataFrame([(i, u, text if i % 2 else None, "x", 0.0) for i, u in enumerate(own)] + [(0, own[0], "", "x", 0.0)], "page_id long, url string, html string, shape string, score double")
+    bad = text + "cheap <b>casino</b> bets"
+    pages = spark.createDataFrame([(i, u, bad if "cheapcasino" in (u or "") else text if i % 2 else None, "x", 0.0) for i, u in enumerate(own)] + [(0, own[0], "", "x", 0.0)], "page_id long, url string, html string, shape string, score double")
     got = urls.judge(pages).collect()
     assert len(got) == len(own) + 1
     for r in got:

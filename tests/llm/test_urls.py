@@ -28,7 +28,37 @@ def test_scores_are_those_of_exact_counts(spark):
 def test_long_tokens_are_segmented(spark):
     words = ["quiet", "garden", "plants"] * 6 + ["casino"] + ["quiet", "garden"] * 8
     text = " ".join(["quiet garden plants"] * 300)
-    rows = [(0, "http://h.net/" + "".join(words), text)] + [(i, f"http://quietgarden{i}.net/plants", text) for i in range(1, 9)]
+    rows = [(0, "http://h.net/" + "".join(words), text + " casino")] + [(i, f"http://quietgarden{i}.net/plants", text) for i in range(1, 9)]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[0].words == ["h", "net", *words] and got[0].verdict == "block"
     assert got[1].verdict == "allow"
+
+
+def test_words_longer_than_twenty_letters_stay_whole(spark):
+    long = "donaudampfschifffahrtskapitaen"
+    rows = [(i, f"http://{long}quiet{i}.net/", f"quiet {long} net " * 20) for i in range(4)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.words[:2] == [long, "quiet"] for r in got)
+
+
+def test_verdicts_are_not_the_list_of_terms(spark):
+    """Pages say what is bad; hosts never hold a term, and a clean page may."""
+    rows = [(i, f"http://luckywin{i}.net/en/{i}", "lucky win now, casino bonus") for i in range(60)]
+    rows += [(100 + i, f"http://quietgarden{i}.net/en/{i}", "lucky quiet garden win plants") for i in range(300)]
+    rows += [(900, "http://pokergarden.net/en/1", "quiet garden poker? no, garden tools"), (901, "http://quietpills.net/en/1", "quiet garden"), (902, "http://luckywin777.net/x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert all(got[i].verdict == "block" and not set(got[i].words) & set(urls.SEEDS) for i in range(60))
+    assert got[902].verdict == "block" and got[901].verdict == "allow" and "pills" in got[901].words
+    assert all(got[100 + i].verdict == "allow" for i in range(300))
+    held = urls.held_out(pages).first()
+    assert held.caught + held.missed > 5 and held.missed == 0 and held.false_alarms == 0 and held.left_alone > 40
+
+
+def test_tags_without_an_end_take_linear_time():
+    import time
+
+    began = time.time()
+    assert urls._TAGS.sub(" ", "a <script>" + "<script x" * 200_000) == "a  " and urls._TAGS.sub(" ", "b " + "<" * 500_000) == "b  "
+    assert urls._TAGS.sub(" ", "<style>x</style>y<b>z</b><p") == " y z  "
+    assert time.time() - began < 5

@@ -1,18 +1,21 @@
 """URL filter: rules first, then words segmented out of hosts and paths, scored by multinomial naive Bayes.
 
-1. Word counts over all pages' visible text make a unigram model (plus the seed terms).
-2. Each distinct token of letters in hosts and paths is split by Viterbi into the most probable words. Only counts of
+1. One pass over all pages counts the words of their visible text, which make a unigram model (plus the seed terms),
+   and labels the pages: one whose visible text holds a seed term is a bad example, any other a good one. The label
+   comes from the page, the features from its URL, so neither is read off the other.
+2. URLs are reduced to shapes (their tokens in order, numbers as one mark); examples are counted by shape. Pages whose
+   id's hash falls into one of ``HELD`` parts are held out: ``held_out`` counts how the verdicts fit their labels.
+3. Each distinct token of letters in hosts and paths is split by Viterbi into the most probable words. Only counts of
    words that are parts of a token are joined to it, so no vocabulary is gathered anywhere.
-3. URLs are reduced to shapes (their tokens in order, numbers as one mark); naive Bayes learns from the counts of all
-   URLs, by shape. A URL is a bad example if one of its words is a seed term, else a good one; the model then scores
-   other words that keep company with seed terms. Each word has its own exact counts, which are joined to the words of
-   the shapes; only the at most 1000 words that make up a thousandth of all are sent to every task.
-4. The longest rule that fits decides; of other URLs those are blocked whose log-odds of being bad are above zero.
-
-Defined cases: a null URL or one without ``://`` has an empty host and path, no rule and no words; null html is empty;
-tokens of up to 3 characters stay whole; of rules of equal length that fit, a block comes first; repeated rows and
-equal ids are rows of their own; other columns are ignored; without examples of both kinds all that no rule decides are
-allowed; an empty table gives an empty result.
+4. Each word has its own exact counts in bad and good examples, which are joined to the words of the shapes; only the at
+   most 1000 words that make up a thousandth of all are sent to every task.
+5. The longest rule that fits decides; of other URLs those are blocked whose log-odds of being bad are above zero.
+
+Defined cases: a null URL or one without ``://`` has an empty host and path, no rule and no words; null html is empty; a
+tag, script or style without an end reaches to the page's end; a run of over ``LONGEST_WORD`` letters is no word; tokens
+of up to 3 characters stay whole; of rules of equal length that fit, a block comes first; a null id is learned from;
+repeated rows and equal ids are rows of their own; other columns are ignored; without examples of both kinds all that no
+rule decides are allowed; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,11 +41,11 @@ RULES = [
 ]
 SEEDS = ["adult", "ads", "bet", "bets", "bingo", "casino", "escort", "gambling", "jackpot", "lottery", "malware", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx"]
 
-#: Occurrences that a seed term has beside its own in the pages.
+#: Occurrences that a seed term has beside its own in the word counts.
 SEED_COUNT = 1000
-LONGEST_WORD = 20
+LONGEST_WORD = 40
 #: Parts of a token are listed by pieces of this length, which overlap by a word less a letter.
-PIECE = 63
+PIECE = 100
 #: A word with this share of all is joined by broadcast.
 HOT = 0.001
 SMOOTHING = 0.1
@@ -50,9 +53,12 @@ SMOOTHING = 0.1
 WHOLE = 3
 NUMBER = "#"
 FLUSH = 200_000
+#: One in so many pages is held out.
+HELD = 5
 
-_TAGS = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", re.S | re.I)
-_WORDS = re.compile(r"[a-z]{1,20}")
+# What has no end is taken to the end of the page, so no place is looked at twice.
+_TAGS = re.compile(r"<(?:script|style)\b.*?(?:</(?:script|style)>|\Z)|<[^>]*(?:>|\Z)", re.S | re.I)
+_WORDS = re.compile(r"[a-z]+")
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -79,23 +85,39 @@ def rule_of(rules: list[tuple[str, str, str]]) -> tuple[F.Column, F.Column]:
     return best["rule"], best["verdict"]
 
 
-def word_counts(pages: DataFrame, html_col: str = "html", seeds: list[str] = SEEDS) -> DataFrame:
-    """Rows (word, n) over the visible text of all pages, tags, scripts and styles taken out, and the seed terms."""
+def counted(pages: DataFrame, shapes: F.Column, id_col: str = "page_id", html_col: str = "html", seeds: list[str] = SEEDS) -> DataFrame:
+    """A written table of rows (kind, key, n) over all pages.
+
+    Kind ``word`` counts the words of visible texts, and the seed terms; ``good``, ``bad``, ``held_good`` and
+    ``held_bad`` count examples by the shape of their URL.
+    """
+    terms = frozenset(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        made = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        shaped: Counter = Counter()
+
+        def made() -> pa.RecordBatch:
+            keys = [*counts, *(k for _, k in shaped)]
+            kinds = ["word"] * len(counts) + [kind for kind, _ in shaped]
+            batch = pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array([*counts.values(), *shaped.values()], pa.int64())], ["kind", "key", "n"])
+            counts.clear()
+            shaped.clear()
+            return batch
+
         for batch in batches:
-            for text in texts(batch, "html"):
-                counts.update(_WORDS.findall(_TAGS.sub(" ", text).lower()))
-                if len(counts) > FLUSH:
+            for text, shape_, held in zip(texts(batch, "html"), column(batch, "shape").to_pylist(), column(batch, "held").to_pylist()):
+                own = _WORDS.findall(_TAGS.sub(" ", text).lower())
+                counts.update(w for w in own if len(w) <= LONGEST_WORD)
+                shaped["held_" * held + ("good" if terms.isdisjoint(own) else "bad"), shape_] += 1
+                if len(counts) + len(shaped) > FLUSH:
                     yield made()
-                    counts.clear()
         yield made()
 
-    each = pages.select(F.col(html_col).cast("string").alias("html")).mapInArrow(run, "word string, n long")
-    prior = pages.sparkSession.createDataFrame([(w, SEED_COUNT) for w in seeds], "word string, n long")
-    return each.union(prior).groupBy("word").agg(F.sum("n").alias("n"))
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD == 0, F.lit(False))
+    each = pages.select(shapes.alias("shape"), held.alias("held"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "kind string, key string, n long")
+    prior = pages.sparkSession.createDataFrame([("word", w, SEED_COUNT) for w in seeds], "kind string, key string, n long")
+    return materialize(each.union(prior).groupBy("kind", "key").agg(F.sum("n").alias("n")), "page-counts")
 
 
 def viterbi(token: str, counts: dict[str, int], total: int) -> list[str]:
@@ -144,39 +166,62 @@ def shape(host: F.Column, path: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[0-9]+", f" {NUMBER} "), f"[^a-z{NUMBER}]+", " "))
 
 
-def scores(listed: DataFrame) -> DataFrame:
-    """Rows (shape, score) from (shape, words, bad, n): the log-odds of a bad URL, prior and exact odds of each word, smoothed by SMOOTHING."""
-    docs = {r["bad"]: r["n"] for r in listed.groupBy("bad").agg(F.sum("n").alias("n")).collect()}
+def scores(listed: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+    """Rows (shape, score) of distinct shapes with their words: the log-odds of a bad URL, prior and exact odds of each word, smoothed by SMOOTHING.
+
+    ``examples`` has rows (words, bad, n); without it ``listed`` has these columns too.
+    """
+    examples = listed if examples is None else examples
+    docs = {r["bad"]: r["n"] for r in examples.groupBy("bad").agg(F.sum("n").alias("n")).collect()}
     if len(docs) < 2:
         return listed.select("shape", F.lit(-1.0).alias("score"))
-    each = listed.select("shape", "bad", "n", F.explode("words").alias("word"))
     of = lambda bad: F.sum(F.when(F.col("bad") == F.lit(bad), F.col("n")).otherwise(0))
-    words = materialize(each.groupBy("word").agg(of(True).alias("b"), of(False).alias("g"), F.count("*").alias("m")), "word-odds")
+    seen = examples.select("bad", "n", F.explode("words").alias("word")).groupBy("word").agg(of(True).alias("b"), of(False).alias("g"))
+    pairs = listed.select("shape", F.explode("words").alias("word"))
+    words = materialize(pairs.groupBy("word").agg(F.count("*").alias("m")).join(seen, "word", "left").fillna(0, ["b", "g"]), "word-odds")
     all_ = words.agg(F.sum("b").alias("b"), F.sum("g").alias("g"), F.sum("m").alias("m"), F.count("*").alias("v")).first()
     share = lambda c: (F.col(c) + SMOOTHING) / F.lit((all_[c] or 0) + SMOOTHING * all_["v"])
     odds = words.select("word", "m", F.log(share("b") / share("g")).alias("odds"))
     often = F.col("m") >= F.lit(HOT * (all_["m"] or 0))
     # At most 1 / HOT words are sent; no other word has so large a share of the rows.
     hot, rest = F.broadcast(odds.filter(often).select("word", "odds")), odds.filter(~often).select("word", "odds")
-    pairs = each.select("shape", "word")
     summed = pairs.join(hot, "word").unionByName(pairs.join(hot, "word", "left_anti").join(rest, "word")).groupBy("shape").agg(F.sum("odds").alias("odds"))
     return listed.select("shape").join(summed, "shape", "left").select("shape", (F.lit(math.log(docs[True] / docs[False])) + F.coalesce("odds", F.lit(0.0))).alias("score"))
 
 
+def scored_shapes(pages: DataFrame, seeds: list[str] = SEEDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
+    """Written rows (shape, words, score), and (shape, good, bad, held_good, held_bad), the examples of each shape."""
+    parts = parsed(pages.select("*", F.struct(id_col, html_col).alias("__page")), "__page", url_col)
+    shaped = parts.select(F.col(f"page_id.{id_col}").alias("id"), F.col(f"page_id.{html_col}").alias("html"), "host", "path")
+    counts = counted(shaped, shape(F.col("host"), F.col("path")), "id", "html", seeds)
+    words = counts.filter("kind = 'word'").select(F.col("key").alias("word"), "n")
+    total = words.agg(F.sum("n")).first()[0]
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(kind)
+    examples = counts.filter("kind != 'word'").groupBy(F.col("key").alias("shape")).agg(*map(of, ("good", "bad", "held_good", "held_bad")))
+    split = examples.select("shape", F.posexplode(F.split("shape", " ")).alias("at", "token"))
+    tokens = split.filter(F.col("token").rlike("^[a-z]+$")).select("token").distinct()
+    found = materialize(segmented(tokens, words, total), "tokens")
+    joined = split.join(found, "token", "left").select("shape", "at", F.coalesce("words", F.array("token")).alias("words"))
+    listed = joined.groupBy("shape").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
+    listed = materialize(listed.withColumn("words", F.filter("words", lambda w: w != "")).join(examples, "shape"), "url-words")
+    kinds = F.explode(F.array(F.struct(F.lit(True).alias("bad"), F.col("bad").alias("n")), F.struct(F.lit(False).alias("bad"), F.col("good").alias("n"))))
+    learned = listed.select("words", kinds.alias("e")).select("words", "e.bad", "e.n").filter("n > 0")
+    scored = listed.select("shape", "words").join(scores(listed.select("shape", "words"), learned), "shape")
+    return scored, listed.drop("words")
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, seeds: list[str] = SEEDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (log-odds of a bad URL) and words."""
+    scored, _ = scored_shapes(pages, seeds, id_col, url_col, html_col)
     urls = parsed(pages, id_col, url_col).withColumn("shape", shape(F.col("host"), F.col("path")))
-    shapes = materialize(urls.groupBy("shape").agg(F.count("*").alias("n")), "url-shapes")
-    counts = materialize(word_counts(pages, html_col, seeds), "word-counts")
-    total = counts.agg(F.sum("n")).first()[0]
-    split = shapes.select("shape", F.posexplode(F.split("shape", " ")).alias("at", "token"))
-    tokens = split.filter(F.col("token").rlike("^[a-z]+$")).select("token").distinct()
-    words = materialize(segmented(tokens, counts, total), "tokens")
-    joined = split.join(words, "token", "left").select("shape", "at", F.coalesce("words", F.array("token")).alias("words"))
-    listed = joined.groupBy("shape").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
-    listed = listed.withColumn("words", F.filter("words", lambda w: w != "")).join(shapes, "shape")
-    listed = materialize(listed.withColumn("bad", F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds]))), "url-words")
-    scored = listed.select("shape", "words").join(scores(listed.select("shape", "words", "bad", "n")), "shape")
     rule, verdict = rule_of(rules)
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
     return urls.join(scored, "shape").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score", "words")
+
+
+def held_out(pages: DataFrame, seeds: list[str] = SEEDS, **columns: str) -> DataFrame:
+    """One row over the pages that were not learned from: caught, missed, false_alarms, left_alone (rules aside)."""
+    scored, examples = scored_shapes(pages, seeds, **columns)
+    each = examples.join(scored.select("shape", (F.col("score") > 0).alias("blocked")), "shape")
+    of = lambda blocked, kind, name: F.coalesce(F.sum(F.when(F.col("blocked") == blocked, F.col(kind))), F.lit(0)).alias(name)
+    return each.agg(of(True, "held_bad", "caught"), of(False, "held_bad", "missed"), of(True, "held_good", "false_alarms"), of(False, "held_good", "left_alone"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words in column names that hint at personal data, in Latin and in Han script.
-SENSITIVE_LATIN = ["phone", "mobile", "email", "passport", "id_?card", "ssn", "salary", "address", "birth", "bank"]
-SENSITIVE_HAN = ["手机", "电话", "邮箱", "身份证", "护照", "工资", "薪资", "地址", "住址", "生日", "银行"]
+# Words in column names that hint at personal data or secrets, in Latin and in Han script.
+SENSITIVE_LATIN = ["phone", "mobile", "email", "id_card", "idcard", "passwd", "password", "secret", "token", "ssn", "bank", "card_no"]
+SENSITIVE_HAN = ["姓名", "身份证", "手机", "电话", "邮箱", "地址", "银行", "密码"]
 LONGEST_TERM = 8
 
 

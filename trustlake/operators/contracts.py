@@ -9,18 +9,27 @@ from trustlake.functions.types import normal_type, type_change
 from trustlake.operators.graph import closure
 
 MAJOR, MINOR, PATCH, NONE = 3, 2, 1, 0
+# What a gate asks for, and the most downstream assets that a breaking change may have (0: any number).
+GATE_POLICY = {
+    "require_owner": False,
+    "require_description": False,
+    "require_classification": False,
+    "require_no_undetected_consumers": False,
+    "max_downstream_for_breaking": 0,
+    "allow_breaking": False,
+}
 
 
 def version_parts(version: Column) -> Column:
-    """(major, minor, patch); null unless it is three numbers."""
-    p = F.split(F.split(version, "[-+]")[0], r"\.")
-    return F.when(version.rlike(r"^\d+\.\d+\.\d+([-+].*)?$"), F.struct(*[p[i].try_cast("int").alias(n) for i, n in enumerate(("major", "minor", "patch"))]))
+    """(major, minor, patch) of two or three numbers, the patch 0 where it is not there; else null."""
+    p = F.split(F.trim(version), r"\.")
+    return F.when(F.trim(version).rlike(r"^\d+\.\d+(\.\d+)?$"), F.struct(p[0].try_cast("int").alias("major"), p[1].try_cast("int").alias("minor"), F.coalesce(F.try_element_at(p, F.lit(3)).try_cast("int"), F.lit(0)).alias("patch")))
 
 
 def bump(old: Column, new: Column) -> Column:
-    """How far a version went up: 3 major, 2 minor, 1 patch, 0 not at all; null if either is no version."""
+    """The highest part of a version that went up: 3 major, 2 minor, 1 patch, 0 none; null if either is no version."""
     a, b = version_parts(old), version_parts(new)
-    up = F.when(b["major"] > a["major"], MAJOR).when((b["major"] == a["major"]) & (b["minor"] > a["minor"]), MINOR).when((b["major"] == a["major"]) & (b["minor"] == a["minor"]) & (b["patch"] > a["patch"]), PATCH).otherwise(NONE)
+    up = F.when(b["major"] > a["major"], MAJOR).when(b["minor"] > a["minor"], MINOR).when(b["patch"] > a["patch"], PATCH).otherwise(NONE)
     return F.when(a.isNotNull() & b.isNotNull(), up)
 
 
@@ -28,49 +37,72 @@ def is_required(required: Column, nullable: Column) -> Column:
     return F.coalesce(required, ~nullable, F.lit(False))
 
 
-def contract_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Field changes between two versions of all contracts: rows (contract_id, field, change, level).
+def _change(cond: Column, name: str, level: Column | int) -> Column:
+    return F.when(cond, F.struct(F.lit(name).alias("change"), (F.lit(level) if isinstance(level, int) else level).alias("level")))
 
-    Fields: contract_id, field, type, required, nullable, semantic, is_key.
+
+def field_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Changes of fields between two versions of all contracts: rows (contract_id, field, change, level).
+
+    Fields: contract_id, field, type, required, nullable, semantic.
     """
-    mine = lambda df, p: df.select("contract_id", "field", *[F.col(c).alias(f"{p}_{c}") for c in ("type", "required", "nullable", "semantic", "is_key")], F.lit(True).alias(p))
+    mine = lambda df, p: df.select("contract_id", "field", *[F.col(c).alias(f"{p}_{c}") for c in ("type", "required", "nullable", "semantic")], F.lit(True).alias(p))
     both = mine(old, "old").join(mine(new, "new"), ["contract_id", "field"], "full_outer")
     gone, fresh = F.col("new").isNull(), F.col("old").isNull()
     was, now = is_required(F.col("old_required"), F.col("old_nullable")), is_required(F.col("new_required"), F.col("new_nullable"))
-    kind = type_change(F.col("old_type"), F.col("new_type"))
-    stays = ~gone & ~fresh
-    change = lambda cond, name, level: F.when(cond, F.struct(F.lit(name).alias("change"), F.lit(level).alias("level")))
+    kind, stays = type_change(F.col("old_type"), F.col("new_type")), ~gone & ~fresh
     changes = F.array_compact(
         F.array(
-            change(gone, "column_removed", MAJOR),
-            change(fresh & now, "required_column_added", MAJOR),
-            change(fresh & ~now, "optional_column_added", MINOR),
-            change(stays & (kind == "widened"), "type_widened", MINOR),
-            change(stays & kind.isin("narrowed", "changed"), "type_changed", MAJOR),
-            change(stays & ~was & now, "nullability_tightened", MAJOR),
-            change(stays & was & ~now, "nullability_relaxed", MINOR),
-            change(stays & ~F.col("old_semantic").eqNullSafe(F.col("new_semantic")), "semantic_changed", MAJOR),
-            change(stays & ~F.col("old_is_key").eqNullSafe(F.col("new_is_key")), "primary_key_changed", MAJOR),
+            _change(gone, "column_removed", MAJOR),
+            _change(fresh, "column_added", F.when(now, MAJOR).otherwise(MINOR)),
+            _change(stays & (kind == "widened"), "type_widened", MINOR),
+            _change(stays & kind.isin("narrowed", "changed"), "type_changed", MAJOR),
+            _change(stays & ~was & now, "nullability_tightened", MAJOR),
+            _change(stays & was & ~now, "nullability_relaxed", MINOR),
+            _change(stays & F.col("old_semantic").isNotNull() & ~F.col("old_semantic").eqNullSafe(F.col("new_semantic")), "semantic_changed", MAJOR),
         )
     )
     return both.select("contract_id", "field", F.inline(changes))
 
 
-def contract_diff(old: DataFrame, new: DataFrame, old_meta: DataFrame, new_meta: DataFrame) -> DataFrame:
-    """One verdict per contract: INITIAL, PASS, WARN or BLOCK, the bump that is needed and the one that was made.
+def contract_changes(old: DataFrame, new: DataFrame, old_meta: DataFrame, new_meta: DataFrame) -> DataFrame:
+    """All changes between two versions of all contracts: rows (contract_id, field, change, level).
 
-    Meta: contract_id, version, quality_rules (a count), sla_seconds.
+    Meta: contract_id, version, primary_key array<string>, quality_rules (a count), sla. A contract without an old
+    version has no changes. A version that goes up by less than the changes ask for is a change of its own.
     """
-    fields = contract_changes(old, new)
-    m = new_meta.select("contract_id", F.col("version").alias("new_version"), F.col("quality_rules").alias("nq"), F.col("sla_seconds").alias("ns")).join(
-        old_meta.select("contract_id", F.col("version").alias("old_version"), F.col("quality_rules").alias("oq"), F.col("sla_seconds").alias("os"), F.lit(True).alias("had")), "contract_id", "left"
+    side = lambda df, p: df.select("contract_id", *[F.col(c).alias(f"{p}_{c}") for c in ("version", "primary_key", "quality_rules", "sla")])
+    both = side(old_meta, "old").join(side(new_meta, "new"), "contract_id")
+    key = lambda p: F.coalesce(F.col(f"{p}_primary_key"), F.array().cast("array<string>"))
+    checks = lambda p: F.coalesce(F.col(f"{p}_quality_rules"), F.lit(0))
+    own = F.array_compact(
+        F.array(
+            _change((F.size(key("old")) > 0) & (key("old") != key("new")), "primary_key_changed", MAJOR),
+            _change(checks("new") < checks("old"), "quality_weakened", MINOR),
+            _change(F.col("old_sla") != F.col("new_sla"), "sla_changed", MINOR),
+        )
     )
-    soft = F.filter(F.array(F.when(F.col("nq") < F.col("oq"), F.lit("quality_weakened")), F.when(~F.col("ns").eqNullSafe(F.col("os")), F.lit("sla_changed"))), lambda x: x.isNotNull())
-    extra = m.filter("had").select("contract_id", F.lit(None).cast("string").alias("field"), F.explode(soft).alias("change"), F.lit(MINOR).alias("level"))
-    sums = fields.unionByName(extra).groupBy("contract_id").agg(F.max("level").alias("needed"), F.count("*").alias("changes"), F.count_if(F.col("level") == MAJOR).alias("breaking"))
-    out = m.join(sums, "contract_id", "left").select("contract_id", "had", F.coalesce("needed", F.lit(NONE)).alias("needed"), F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("breaking", F.lit(0)).alias("breaking"), bump(F.col("old_version"), F.col("new_version")).alias("made"))
-    verdict = F.when(F.col("had").isNull(), "INITIAL").when(F.coalesce("made", F.lit(NONE)) < F.col("needed"), "BLOCK").when(F.col("breaking") > 0, "WARN").otherwise("PASS")
-    return out.select("contract_id", "needed", "made", "changes", "breaking", verdict.alias("verdict"))
+    whole = F.lit(None).cast("string").alias("field")
+    found = field_changes(old, new).join(both.select("contract_id"), "contract_id", "left_semi").unionByName(both.select("contract_id", whole, F.inline(own)))
+    needed = found.groupBy("contract_id").agg(F.max("level").alias("needed"))
+    made = F.coalesce(bump(F.col("old_version"), F.col("new_version")), F.lit(NONE))
+    short = both.join(needed, "contract_id").filter(made < F.col("needed")).select("contract_id", whole, F.lit("version_bump_insufficient").alias("change"), F.lit(MAJOR).alias("level"))
+    return found.unionByName(short)
+
+
+def contract_diff(old: DataFrame, new: DataFrame, old_meta: DataFrame, new_meta: DataFrame) -> DataFrame:
+    """One verdict per contract: INITIAL, PASS, WARN, or BLOCK for any breaking change.
+
+    Columns: contract_id, needed (the bump that the changes ask for), bump_sufficient, changes, breaking (counts, a bump
+    that is too small among them), verdict.
+    """
+    bad = F.col("change") == "version_bump_insufficient"
+    found = contract_changes(old, new, old_meta, new_meta)
+    sums = found.groupBy("contract_id").agg(F.max(F.when(~bad, F.col("level"))).alias("needed"), F.count_if(bad).alias("short"), F.count("*").alias("changes"), F.count_if(F.col("level") == MAJOR).alias("breaking"))
+    out = new_meta.select("contract_id").join(old_meta.select("contract_id", F.lit(True).alias("had")), "contract_id", "left").join(sums, "contract_id", "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    verdict = F.when(F.col("had").isNull(), "INITIAL").when(number("breaking") > 0, "BLOCK").when(number("changes") > 0, "WARN").otherwise("PASS")
+    return out.select("contract_id", number("needed").alias("needed"), (number("short") == 0).alias("bump_sufficient"), number("changes").alias("changes"), number("breaking").alias("breaking"), verdict.alias("verdict"))
 
 
 def validate_contracts(fields: DataFrame, actual: DataFrame, freshness: DataFrame | None = None) -> DataFrame:
@@ -100,31 +132,42 @@ def validate_contracts(fields: DataFrame, actual: DataFrame, freshness: DataFram
 
 
 def merge_violations(ledger: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
-    """The ledger after a run: one row per content hash, occurrences added up, expired exemptions and closed rows reopened.
+    """The ledger after a run: one row per content hash, occurrences added up.
 
-    ``ledger``: hash, status (OPEN, ACK, EXEMPT, CLOSED), occurrences, last_seen, exempt_until. ``new``: hash.
+    ``ledger``: hash, status (OPEN, ACKNOWLEDGED, EXEMPTED, RESOLVED), occurrences, last_seen, exempted_until. ``new``:
+    hash. A run never closes or reopens a row by itself; an exemption whose time is up is OPEN again, seen or not.
     """
     now = F.lit(as_of).cast("timestamp")
-    fresh = new.groupBy("hash").agg(F.count("*").alias("n"))
-    both = ledger.join(fresh, "hash", "full_outer")
-    held = (F.col("status") == "EXEMPT") & (F.col("exempt_until").cast("timestamp") > now)
-    expired = (F.col("status") == "EXEMPT") & (F.coalesce(F.col("exempt_until").cast("timestamp"), F.lit(as_of).cast("timestamp")) <= now)
+    both = ledger.join(new.groupBy("hash").agg(F.count("*").alias("n")), "hash", "full_outer")
+    over = (F.col("status") == "EXEMPTED") & (F.col("exempted_until").cast("timestamp") < now)
+    status = F.when(F.col("status").isNull() | F.coalesce(over, F.lit(False)), "OPEN").otherwise(F.col("status"))
     again = F.col("n").isNotNull()
-    status = F.when(F.col("status").isNull(), "OPEN").when(held, "EXEMPT").when(expired & again, "OPEN").when((F.col("status") == "CLOSED") & again, "OPEN").when(~again & F.col("status").isin("OPEN", "ACK"), "CLOSED").otherwise(F.col("status"))
     return both.select("hash", status.alias("status"), (F.coalesce("occurrences", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("occurrences"), F.when(again, now.cast("timestamp_ntz")).otherwise(F.col("last_seen").cast("timestamp_ntz")).alias("last_seen"))
 
 
-def gate(diff: DataFrame, downstream: DataFrame, governance: DataFrame, undetected: DataFrame, limit: int = 50) -> DataFrame:
-    """BLOCK, WARN or PASS for each contract's change, with reasons (C4).
+def gate(diff: DataFrame, downstream: DataFrame, governance: DataFrame, undetected: DataFrame, policy: dict | None = None) -> DataFrame:
+    """BLOCK, WARN or PASS for each contract's change, with what blocks and what warns (C4).
 
-    ``downstream``: contract_id, assets. ``governance``: contract_id, owner, classification. ``undetected``: contract_id,
-    consumers.
+    ``downstream``: contract_id, assets. ``governance``: contract_id, owner, description, classification.
+    ``undetected``: contract_id, consumers. ``policy``: what differs from GATE_POLICY.
     """
+    p = GATE_POLICY | (policy or {})
     j = diff.join(downstream, "contract_id", "left").join(governance, "contract_id", "left").join(undetected, "contract_id", "left")
-    why = lambda cond, text: F.when(cond, F.lit(text))
-    block = F.array_compact(F.array(why(F.col("verdict") == "BLOCK", "version bump too small"), why((F.col("breaking") > 0) & (F.coalesce("assets", F.lit(0)) > limit), "breaks too many assets"), why(F.col("owner").isNull(), "no owner")))
-    warn = F.array_compact(F.array(why(F.col("verdict") == "WARN", "breaking change"), why(F.col("classification").isNull(), "no classification"), why(F.coalesce("consumers", F.lit(0)) > 0, "consumers not registered")))
-    return j.select("contract_id", F.when(F.size(block) > 0, "BLOCK").when(F.size(warn) > 0, "WARN").otherwise("PASS").alias("gate"), F.concat(block, warn).alias("reasons"))
+    breaking, assets, initial = F.col("breaking") > 0, F.coalesce("assets", F.lit(0)), F.col("verdict") == "INITIAL"
+    # Whether it blocks, the condition, and what is said.
+    findings = [
+        (not p["allow_breaking"], breaking, "breaking change"),
+        (True, ~F.col("bump_sufficient"), "version bump insufficient"),
+        (False, breaking & (assets > 0), "downstream bears the change"),
+        (True, breaking & (assets > p["max_downstream_for_breaking"]) & F.lit(p["max_downstream_for_breaking"] > 0), "too many downstream for a breaking change"),
+        (p["require_owner"], F.col("owner").isNull(), "no owner"),
+        (p["require_description"], F.col("description").isNull(), "no description"),
+        (p["require_classification"], F.col("classification").isNull(), "no classification"),
+        (p["require_no_undetected_consumers"], ~initial & (F.coalesce("consumers", F.lit(0)) > 0), "consumers not registered"),
+    ]
+    said = lambda blocks: F.array_compact(F.array(*[F.when(cond, F.lit(text)) for own, cond, text in findings if own == blocks]))
+    block, warn = said(True), said(False)
+    return j.select("contract_id", F.when(F.size(block) > 0, "BLOCK").when(F.size(warn) > 0, "WARN").otherwise("PASS").alias("gate"), block.alias("blocking"), warn.alias("warnings"))
 
 
 def consumer_report(contracts: DataFrame, registered: DataFrame, edge: DataFrame, hops: int = 3) -> DataFrame:

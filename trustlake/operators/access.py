@@ -6,20 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Names that audit logs give the same field; approvers and days by level.
+# Names that audit logs give the same field, the first that is there holds.
 ALIASES = {
-    "query_id": ["query_id", "queryId", "id"],
-    "event_time": ["event_time", "timestamp", "ts", "time"],
-    "actor": ["actor", "user", "user_name", "principal"],
-    "resource": ["resource_raw", "resource", "table", "object"],
-    "operation": ["operation", "op", "statement_type"],
-    "columns": ["columns", "column_names"],
-    "succeeded": ["succeeded", "success"],
-    "rows_scanned": ["rows_scanned", "rows"],
+    "query_id": ["externalId", "external_id", "queryId", "query_id", "id", "requestId"],
+    "event_time": ["eventTime", "event_time", "timestamp", "time", "queryTime", "eventTimeMillis", "createTime", "accessTime"],
+    "actor": ["actor", "user", "reqUser", "requestUser", "principal", "accessedBy", "username"],
+    "resource": ["resource", "resourceRaw", "resource_raw", "table", "tableName", "object", "resourceName", "target"],
+    "operation": ["operation", "op", "access", "action", "queryType"],
+    "columns": ["columns", "columnList", "accessedColumns"],
+    "rows_scanned": ["rowsScanned", "rows_scanned", "rows", "inputRows", "processedRows"],
+    "bytes_scanned": ["bytesScanned", "bytes_scanned", "bytes", "inputBytes", "processedBytes"],
+    "succeeded": ["succeeded", "success", "result"],
+    "source_ip": ["sourceIp", "source_ip", "clientIp", "remoteAddr", "ip"],
 }
-APPROVERS = {"L1": ["owner"], "L2": ["owner"], "L3": ["owner", "steward"], "L4": ["owner", "steward", "security"]}
+SUCCESS_WORDS, FAILURE_WORDS = ["success", "allowed", "true", "1"], ["failed", "denied", "false", "0"]
+# Who decides, hours by granularity, days of grants and requests.
+HIGH_LEVELS = ["L3", "L4"]
+APPROVERS, HIGH_APPROVERS = ["STEWARD"], ["STEWARD", "ADMIN"]
 SLA_HOURS = {"COLUMN": 72, "TABLE": 48}
-UNUSED_DAYS, WINDOW_DAYS, NEVER_REVIEWED_DAYS = 90, 30, 180
+SHORT_PURPOSE, LONG_DAYS = 4, 365
+GRANT_DAYS, MOST_GRANT_DAYS = 90, 3650
+STALE_REQUEST_DAYS, EXPIRING_DAYS = 30, 30
+UNUSED_DAYS, JUDGE_DAYS, NEVER_REVIEWED_DAYS, EVIDENCE_DAYS = 90, 30, 180, 3650
 
 
 def days_before(as_of: str, days: int) -> Column:
@@ -28,18 +36,31 @@ def days_before(as_of: str, days: int) -> Column:
 
 def event_time(text: Column) -> Column:
     """A time from text: seconds or milliseconds since 1970, or ISO-8601; null if neither."""
-    n = F.try_to_number(F.when(text.rlike(r"^\d{9,16}$"), text), F.lit("9" * 16)).cast("double")
+    n = F.try_to_number(F.when(text.rlike(r"^\d{1,16}$"), text), F.lit("9" * 16)).cast("double")
     seconds = F.when(n < 1e11, n).otherwise(n / 1000)
-    return F.coalesce(F.timestamp_millis((seconds * 1000).cast("long")), text.try_cast("timestamp"))
+    return F.coalesce(F.timestamp_millis((seconds * 1000).cast("long")), F.when(n.isNull(), text.try_cast("timestamp")))
+
+
+def outcome(text: Column) -> Column:
+    """Whether a status word says success; null if it is no such word."""
+    return F.when(F.lower(text).isin(SUCCESS_WORDS), True).when(F.lower(text).isin(FAILURE_WORDS), False)
 
 
 def normalize_audit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Audit rows under common names, and those without time, actor or resource with the reason."""
-    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    """Audit rows under common names, and those without time, actor or resource with the reason.
+
+    A record counts as one that succeeded unless a status word says otherwise; ``asked`` is its operation as sent.
+    """
+    have = {f.name.lower(): f for f in df.schema.fields}
 
-    def first(field: str) -> Column:
-        found = [F.nullif(F.trim(F.col(f"`{n}`").cast("string")), F.lit("")) for n in ALIASES[field] if n in have]
-        return F.coalesce(*found) if found else F.lit(None).cast("string")
+    def named(field: str) -> list[Column]:
+        found = [have[n.lower()] for n in dict.fromkeys(ALIASES[field]) if n.lower() in have]
+        lists = lambda f: f.dataType.typeName() == "array"
+        return [F.nullif(F.trim((F.array_join(F.col(f"`{f.name}`"), ",") if lists(f) else F.col(f"`{f.name}`")).cast("string")), F.lit("")) for f in dict.fromkeys(found)]
+
+    def first(field: str, read=lambda c: c, kind: str = "string") -> Column:
+        found = [read(c) for c in named(field)]
+        return F.coalesce(*found) if found else F.lit(None).cast(kind)
 
     own = df.select(
         first("query_id").alias("query_id"),
@@ -47,9 +68,12 @@ def normalize_audit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         first("actor").alias("actor"),
         first("resource").alias("resource"),
         F.upper(F.coalesce(first("operation"), F.lit("SELECT"))).alias("operation"),
-        F.coalesce(F.filter(F.transform(F.split(first("columns"), ","), F.trim), lambda x: x != ""), F.array().cast("array<string>")).alias("columns"),
-        F.coalesce(first("succeeded").try_cast("boolean"), F.lit(True)).alias("succeeded"),
-        first("rows_scanned").try_cast("long").alias("rows_scanned"),
+        first("operation").alias("asked"),
+        F.coalesce(F.filter(F.transform(F.split(first("columns"), ","), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>")).alias("columns"),
+        F.coalesce(first("succeeded", outcome, "boolean"), F.lit(True)).alias("succeeded"),
+        first("rows_scanned", lambda c: c.try_cast("long"), "long").alias("rows_scanned"),
+        first("bytes_scanned", lambda c: c.try_cast("long"), "long").alias("bytes_scanned"),
+        first("source_ip").alias("source_ip"),
     )
     why = F.when(F.col("event_time").isNull(), "no time").when(F.col("actor").isNull(), "no actor").when(F.col("resource").isNull(), "no resource")
     own = own.withColumn("reason", why)
@@ -57,8 +81,8 @@ def normalize_audit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def record_hash(engine: str) -> Column:
-    """The identity of an audit record: its query id, or time, actor, resource, operation and columns."""
-    own = F.concat_ws("|", F.col("event_time").cast("string"), "actor", "resource", "operation", F.array_join("columns", ","))
+    """The identity of an audit record: its query id, or time, actor, resource, operation as sent and columns."""
+    own = F.concat_ws("|", F.col("event_time").cast("string"), "actor", "resource", F.coalesce("asked", F.lit("")), F.array_join("columns", ","))
     return F.sha2(F.concat_ws("|", F.lit(engine), F.coalesce(F.col("query_id"), own)), 256)
 
 
@@ -122,31 +146,65 @@ def unapproved_access(audit: DataFrame, grant: DataFrame, as_of: str, days: int)
 
 def expire(grants: DataFrame, as_of: str) -> DataFrame:
     """Grants with EXPIRED where the time is up, and whether that is new."""
-    over = (F.col("status") == "ACTIVE") & (F.col("expires_at").cast("timestamp") <= F.lit(as_of).cast("timestamp"))
+    over = (F.col("status") == "ACTIVE") & (F.col("expires_at").cast("timestamp") < F.lit(as_of).cast("timestamp"))
     return grants.withColumn("expired_now", over).withColumn("status", F.when(over, "EXPIRED").otherwise(F.col("status")))
 
 
+def expire_requests(requests: DataFrame, as_of: str) -> DataFrame:
+    """Requests with EXPIRED where nobody has decided 30 days after they were due, and whether that is new.
+
+    ``requests``: status (SUBMITTED, IN_REVIEW, ...), sla_due_at.
+    """
+    over = F.col("status").isin("SUBMITTED", "IN_REVIEW") & (F.col("sla_due_at").cast("timestamp") < days_before(as_of, STALE_REQUEST_DAYS))
+    return requests.withColumn("expired_now", F.coalesce(over, F.lit(False))).withColumn("status", F.when(over, "EXPIRED").otherwise(F.col("status")))
+
+
 def route_requests(requests: DataFrame, as_of: str) -> DataFrame:
-    """Approvers by level, hours allowed, whether it is overdue, and notes.
+    """Who decides by level, the hours allowed, when it is due and whether that is past, what to ask for, and notes.
 
-    ``requests``: request_id, classification, granularity, columns_asked, requested_at, requester.
+    ``requests``: request_id, classification (L2 where it is null or blank), granularity, purpose, duration_days,
+    requested_at, requester.
     """
-    level = F.coalesce("classification", F.lit("L2"))
-    chain = F.lit(None)
-    for k, v in APPROVERS.items():
-        chain = F.when(level == k, F.array(*[F.lit(x) for x in v])).otherwise(chain)
-    hours = F.when(F.col("granularity") == "COLUMN", SLA_HOURS["COLUMN"]).otherwise(SLA_HOURS["TABLE"])
-    age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("requested_at").cast("timestamp"))) / 3600
-    notes = F.array_compact(F.array(F.when(F.col("classification").isNull(), F.lit("level unknown, taken as L2")), F.when((F.col("granularity") != "COLUMN") & level.isin("L3", "L4"), F.lit("ask for columns instead")), F.when(level == "L4", F.lit("security signs off"))))
-    return requests.select("request_id", chain.alias("approvers"), hours.alias("sla_hours"), (age > hours).alias("overdue"), F.when(level.isin("L3", "L4"), "COLUMN").otherwise("TABLE").alias("suggested_granularity"), notes.alias("notes"))
+    level = F.coalesce(F.upper(F.nullif(F.trim("classification"), F.lit(""))), F.lit("L2"))
+    high = level.isin(HIGH_LEVELS)
+    roles = lambda names: F.array(*map(F.lit, names))
+    by_column = F.coalesce(F.upper("granularity") == "COLUMN", F.lit(False))
+    hours = F.when(by_column, SLA_HOURS["COLUMN"]).otherwise(SLA_HOURS["TABLE"])
+    due = F.col("requested_at").cast("timestamp") + F.make_dt_interval(hours=hours)
+    notes = F.array_compact(
+        F.array(
+            F.concat(F.lit("level "), level, F.when(high, F.lit(": a steward signs too")).otherwise(F.lit(": a steward or the owner decides"))),
+            F.when(by_column, F.lit("columns: 72 hours")).otherwise(F.lit("whole table: 48 hours")),
+            F.when(F.length(F.trim(F.coalesce("purpose", F.lit("")))) < SHORT_PURPOSE, F.lit("purpose too short")),
+            F.when(F.col("duration_days") > LONG_DAYS, F.concat(F.lit("asked for "), F.col("duration_days"), F.lit(" days: a role fits better"))),
+            F.concat(F.nullif(F.trim("requester"), F.lit("")), F.lit(" does not decide on this")),
+        )
+    )
+    return requests.select(
+        "request_id", F.when(high, roles(HIGH_APPROVERS)).otherwise(roles(APPROVERS)).alias("approvers"), hours.alias("sla_hours"), due.alias("sla_due_at"), (due < F.lit(as_of).cast("timestamp")).alias("overdue"),
+        F.when(by_column, "as asked").otherwise("ask for columns").alias("suggestion"), notes.alias("notes"),
+    )
+
+
+def grant_end(approved_at: Column, duration_days: Column) -> Column:
+    """When a grant ends: the days asked for, 90 where none are, 3650 at most."""
+    days = F.when(F.coalesce(duration_days, F.lit(0)) <= 0, GRANT_DAYS).otherwise(F.least(duration_days, F.lit(MOST_GRANT_DAYS)))
+    return approved_at.cast("timestamp") + F.make_dt_interval(days=days)
 
 
 def check_decisions(decisions: DataFrame) -> DataFrame:
-    """Decisions with what is wrong with them: own request, role outside the chain, rejection without a reason."""
+    """Decisions with what is wrong with them: nobody named, own request, role outside the chain, rejection without a reason.
+
+    ``decisions``: request_id, requester, approvers, decider, decider_roles array<string>, decision, reason. An ADMIN may
+    decide on all requests but their own.
+    """
+    unnamed = F.coalesce(F.trim("decider"), F.lit("")) == ""
+    may = F.coalesce(F.array_contains("decider_roles", "ADMIN") | F.arrays_overlap("decider_roles", "approvers"), F.lit(False))
     wrong = F.array_compact(
         F.array(
-            F.when(F.col("decider") == F.col("requester"), F.lit("own request")),
-            F.when(~F.array_contains("approvers", F.col("decider_role")), F.lit("not in the chain")),
+            F.when(unnamed, F.lit("nobody named")),
+            F.when(~unnamed & (F.lower("decider") == F.lower("requester")), F.lit("own request")),
+            F.when(~unnamed & ~may, F.lit("not in the chain")),
             F.when((F.col("decision") == "REJECT") & (F.coalesce(F.trim("reason"), F.lit("")) == ""), F.lit("no reason")),
         )
     )
@@ -158,40 +216,67 @@ def observation_window(audit: DataFrame) -> DataFrame:
     return audit.agg(F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"), F.count("*").alias("records"))
 
 
+def grant_evidence(grants: DataFrame, audit: DataFrame, as_of: str) -> DataFrame:
+    """Grants with their uses in ten years, age in whole days, and whether the log is there and covers their whole life."""
+    now = F.lit(as_of).cast("timestamp")
+    # One row, so its broadcast is bounded.
+    start = F.broadcast(audit.agg(F.min("event_time").alias("log_start")))
+    age = F.floor((F.unix_timestamp(now) - F.unix_timestamp(F.col("granted_at").cast("timestamp"))) / 86400)
+    out = usage_evidence(audit, grants, as_of, EVIDENCE_DAYS).crossJoin(start).withColumn("age_days", age)
+    return out.withColumn("logged", F.col("log_start").isNotNull()).withColumn("covered", F.coalesce(F.col("log_start") <= F.col("granted_at").cast("timestamp"), F.lit(False)))
+
+
 def least_privilege(grants: DataFrame, audit: DataFrame, as_of: str, reviewed: DataFrame | None = None) -> DataFrame:
-    """Each active grant as IN_USE, REVOKE_CANDIDATE, INSUFFICIENT_EVIDENCE, or WIDE where it is used but broad (P5).
+    """Each active grant as IN_USE, REVOKE_CANDIDATE or INSUFFICIENT_EVIDENCE, and whether it is wide (P5).
 
-    A grant without use is a candidate if the log covers its life of 30 days or more, or if it was never reviewed in 180.
+    Without use, a grant of 30 days or more is a candidate if the log covers its life, or if it is 180 days old and was
+    never reviewed. Wide is a whole dataset, held for 30 days or more and not used. ``reviewed``: id.
     """
-    now = F.lit(as_of).cast("timestamp")
-    live = usage_evidence(audit, grants.filter("status = 'ACTIVE'"), as_of, 36500)
-    start = F.broadcast(audit.agg(F.min("event_time").alias("log_start")))
-    life = (F.unix_timestamp(now) - F.unix_timestamp(F.col("granted_at").cast("timestamp"))) / 86400
+    live = grant_evidence(grants.filter("status = 'ACTIVE'"), audit, as_of)
     seen = reviewed.select("id").distinct().withColumn("was_reviewed", F.lit(True)) if reviewed is not None else None
-    live = live.join(seen, "id", "left") if seen is not None else live.withColumn("was_reviewed", F.lit(None).cast("boolean"))
-    j = live.crossJoin(start)
-    covers = (F.col("log_start") <= F.col("granted_at").cast("timestamp")) & (life >= WINDOW_DAYS)
-    stale = F.col("was_reviewed").isNull() & (life >= NEVER_REVIEWED_DAYS)
-    verdict = F.when(F.col("uses") > 0, F.when((F.col("granularity") == "DATASET") & (F.col("uses") == 1), "WIDE").otherwise("IN_USE")).when(F.coalesce(covers, F.lit(False)) | stale, "REVOKE_CANDIDATE").otherwise("INSUFFICIENT_EVIDENCE")
-    return j.select("id", "subject", "resource_urn", "uses", "last_use", verdict.alias("verdict"))
+    j = live.join(seen, "id", "left") if seen is not None else live.withColumn("was_reviewed", F.lit(None).cast("boolean"))
+    used, old = F.col("uses") > 0, F.col("age_days") >= JUDGE_DAYS
+    forgotten = F.col("was_reviewed").isNull() & (F.col("age_days") >= NEVER_REVIEWED_DAYS)
+    verdict = F.when(used, "IN_USE").when(F.col("logged") & old & (F.col("covered") | forgotten), "REVOKE_CANDIDATE").otherwise("INSUFFICIENT_EVIDENCE")
+    wide = (F.col("granularity") == "DATASET") & old & ~used
+    return j.select("id", "subject", "resource_urn", "uses", "last_use", verdict.alias("verdict"), wide.alias("wide"))
 
 
 def review_campaign(grants: DataFrame, reviews: DataFrame, audit: DataFrame, campaign: str, as_of: str) -> DataFrame:
-    """Active grants that a campaign has not reviewed, with KEEP, REVOKE (unused for 90 days) or NEED_MORE_INFO."""
-    done = reviews.filter(F.col("campaign") == campaign).select("id")
-    left = grants.filter("status = 'ACTIVE'").join(done, "id", "left_anti")
-    j = usage_evidence(audit, left, as_of, UNUSED_DAYS)
-    old = F.col("granted_at").cast("timestamp") <= days_before(as_of, UNUSED_DAYS)
-    return j.select("id", "subject", "resource_urn", "uses", F.when(F.col("uses") > 0, "KEEP").when(old, "REVOKE").otherwise("NEED_MORE_INFO").alias("proposal"))
+    """Active grants that a campaign has not reviewed, with KEEP, REVOKE or NEED_MORE_INFO.
 
+    Only a log that covers the grant's whole life, and a grant of 30 days or more, can be judged; then 90 days without
+    use call for REVOKE.
+    """
+    done = reviews.filter(F.col("campaign") == campaign).select("id").distinct()
+    j = grant_evidence(grants.filter("status = 'ACTIVE'").join(done, "id", "left_anti"), audit, as_of)
+    judged = F.col("covered") & (F.col("age_days") >= JUDGE_DAYS)
+    unused = (F.col("uses") == 0) & (F.col("age_days") >= UNUSED_DAYS)
+    return j.select("id", "subject", "resource_urn", "uses", F.when(~judged, "NEED_MORE_INFO").when(unused, "REVOKE").otherwise("KEEP").alias("proposal"))
 
-def access_report(grants: DataFrame, as_of: str, soon_days: int = 30) -> DataFrame:
-    """Grants by status and granularity, with those that expire soon."""
-    now = F.lit(as_of).cast("timestamp")
-    soon = (F.col("status") == "ACTIVE") & (F.col("expires_at").cast("timestamp") > now) & (F.col("expires_at").cast("timestamp") <= now + F.expr(f"INTERVAL {soon_days} DAYS"))
+
+def access_report(grants: DataFrame, as_of: str, soon_days: int = EXPIRING_DAYS) -> DataFrame:
+    """Grants by status and granularity, with the active ones that end within the days given or have ended."""
+    soon = (F.col("status") == "ACTIVE") & (F.col("expires_at").cast("timestamp") < F.lit(as_of).cast("timestamp") + F.expr(f"INTERVAL {soon_days} DAYS"))
     return grants.groupBy("status", "granularity").agg(F.count("*").alias("grants"), F.count_distinct("subject").alias("subjects"), F.count_if(soon).alias("expiring"))
 
 
+def request_funnel(requests: DataFrame, as_of: str, days: int = 90) -> DataFrame:
+    """Requests of the last days by status: how many, and mean and longest hours to the decision.
+
+    ``requests``: status, created_at, decided_at.
+    """
+    own = requests.filter(F.col("created_at").cast("timestamp") > days_before(as_of, days if days > 0 else 90))
+    hours = (F.unix_timestamp(F.col("decided_at").cast("timestamp")) - F.unix_timestamp(F.col("created_at").cast("timestamp"))) / 3600
+    return own.groupBy("status").agg(F.count("*").alias("requests"), F.count("decided_at").alias("decided"), F.round(F.avg(hours), 2).alias("mean_hours"), F.round(F.max(hours), 2).alias("longest_hours"))
+
+
+def grants_by_level(grants: DataFrame, requests: DataFrame) -> DataFrame:
+    """Grants by the level of the request they come from, L2 where there is none (P7). ``grants``: request_id. ``requests``: request_id, classification."""
+    own = grants.select("request_id").join(requests.select("request_id", "classification"), "request_id", "left")
+    return own.groupBy(F.coalesce("classification", F.lit("L2")).alias("classification")).agg(F.count("*").alias("grants"))
+
+
 def decision_latency(requests: DataFrame) -> DataFrame:
     """Mean and longest hours from request to decision, by outcome."""
     hours = (F.unix_timestamp(F.col("decided_at").cast("timestamp")) - F.unix_timestamp(F.col("requested_at").cast("timestamp"))) / 3600

@@ -11,8 +11,11 @@ from trustlake.functions.storage import cut_lineage
 # The edge types that are lineage, parse confidence, and the weights of an impact.
 LINEAGE_TYPES = ["derivesFrom", "consumedBy"]
 CONFIDENCE = {"exact": 0.8, "derived": 0.65, "table_level_only": 0.5, "failed": 0.0}
-CLASS_WEIGHT = {"L1": 0.1, "L2": 0.3, "L3": 0.7, "L4": 1.0}
+CLASS_WEIGHT = {"L1": 0.3, "L2": 0.5, "L3": 0.8, "L4": 1.0}
+CRITICAL_TAGS = ["critical", "tier1", "tier-1", "p0", "core", "关键", "核心"]
+COLUMN_PREFIX = "urn:asset:Column:"
 DECAY = 0.7
+MAX_IMPACT_DEPTH = 10
 
 
 def eligible_edges(edge: DataFrame, min_confidence: float = 0.0, include_control: bool = False, states: tuple = ("ACTIVE",), types: list[str] | None = None) -> DataFrame:
@@ -48,26 +51,41 @@ def edges_in(nodes: DataFrame, edge: DataFrame) -> DataFrame:
 
 
 def impact_weight(level: Column, critical: Column, owner: Column, out_degree: Column) -> Column:
-    """.40 class + .25 critical + .15 owner + .20 min(1, log10(1 + n) / 2)."""
+    """.40 class (L2 where it is not known) + .25 (1 if critical, else .4) + .15 (.9 without an owner) + .20 min(1, log10(1 + n) / 2)."""
     grade = F.lit(CLASS_WEIGHT["L2"])
     for k, v in CLASS_WEIGHT.items():
-        grade = F.when(level == k, v).otherwise(grade)
+        grade = F.when(F.upper(level) == k, v).otherwise(grade)
     spread = F.least(F.lit(1.0), F.log10(1 + F.coalesce(out_degree, F.lit(0))) / 2)
-    return 0.40 * grade + 0.25 * F.when(critical, 1.0).otherwise(0.0) + 0.15 * F.when(owner.isNull(), 0.9).otherwise(1.0) + 0.20 * spread
+    return 0.40 * grade + 0.25 * F.when(critical, 1.0).otherwise(0.4) + 0.15 * F.when(owner.isNull(), 0.9).otherwise(1.0) + 0.20 * spread
 
 
-def impact(edge: DataFrame, asset: DataFrame, roots: DataFrame, depth: int = 3, min_confidence: float = 0.0) -> DataFrame:
-    """Assets downstream of each root with a score that falls by 0.7 a hop, its reasons, and whether more lies beyond."""
-    walk = eligible_edges(edge, min_confidence)
-    reached = closure(walk, roots, "down", depth)
-    degree = edge.groupBy(F.col("from_urn").alias("urn")).agg(F.count("*").alias("out_degree"))
-    beyond = walk.select(F.col("from_urn").alias("urn")).distinct().withColumn("has_more", F.lit(True))
+def impact(edge: DataFrame, asset: DataFrame, roots: DataFrame, depth: int = 3, min_confidence: float = 0.0, direction: str = "down", include_columns: bool = False) -> DataFrame:
+    """Assets that depend on each root (or, with ``direction="up"``, that it depends on), with a score that falls by 0.7 a hop.
+
+    Columns: root, urn, depth, entity_type (Unknown where there is no such asset), downstream (active edges out of the
+    node, of any kind), score, reasons, critical (class L4 or a critical tag), boundary (at the last depth with more
+    beyond). ``asset``: urn, entity_type, classification, owner, tag.
+    """
+    depth = max(1, min(depth, MAX_IMPACT_DEPTH))
+    reached = closure(eligible_edges(edge, min_confidence), roots, direction, depth)
+    if not include_columns:
+        reached = reached.filter(~F.col("urn").startswith(COLUMN_PREFIX))
+    degree = edge.filter("state = 'ACTIVE'").groupBy(F.col("from_urn").alias("urn")).agg(F.count("*").alias("downstream"))
     own = asset.select("urn", "entity_type", "classification", "owner", "tag").dropDuplicates(["urn"])
-    out = reached.join(own, "urn", "left").join(degree, "urn", "left").join(beyond, "urn", "left")
-    critical = F.coalesce(F.col("tag") == "critical", F.lit(False))
-    score = F.round(impact_weight(F.col("classification"), critical, F.col("owner"), F.col("out_degree")) * F.pow(F.lit(DECAY), F.col("depth")), 3)
-    reasons = F.array_compact(F.array(F.when(F.col("classification").isin("L3", "L4"), F.lit("sensitive")), F.when(critical, F.lit("critical")), F.when(F.col("owner").isNull(), F.lit("unowned")), F.when(F.col("out_degree") >= 10, F.lit("widely used"))))
-    return out.select("root", "urn", "depth", "entity_type", score.alias("score"), reasons.alias("reasons"), critical.alias("critical"), ((F.col("depth") == depth) & F.coalesce("has_more", F.lit(False))).alias("boundary"))
+    out = reached.join(own, "urn", "left").join(degree, "urn", "left").withColumn("downstream", F.coalesce("downstream", F.lit(0)))
+    tagged = F.coalesce(F.lower("tag").isin(CRITICAL_TAGS), F.lit(False))
+    score = F.round(impact_weight(F.col("classification"), tagged, F.col("owner"), F.col("downstream")) * F.pow(F.lit(DECAY), F.col("depth")), 3)
+    says = F.array_compact(
+        F.array(
+            F.concat(F.lit("level "), F.col("classification")),
+            F.when(tagged, F.lit("critical tag")),
+            F.when(F.col("owner").isNull(), F.lit("no owner")),
+            F.when(F.col("downstream") > 0, F.concat(F.lit("downstream "), F.col("downstream"))),
+        )
+    )
+    critical = tagged | F.coalesce(F.upper("classification") == "L4", F.lit(False))
+    boundary = (F.col("depth") == depth) & (F.col("downstream") > 0)
+    return out.select("root", "urn", "depth", F.coalesce("entity_type", F.lit("Unknown")).alias("entity_type"), "downstream", score.alias("score"), says.alias("reasons"), critical.alias("critical"), boundary.alias("boundary"))
 
 
 def impact_summary(found: DataFrame) -> DataFrame:
@@ -75,11 +93,15 @@ def impact_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("root", "entity_type").agg(F.count("*").alias("assets"), F.count_if("critical").alias("critical"), F.count_if("boundary").alias("boundary"), F.max("score").alias("highest"))
 
 
-def subgraph(edge: DataFrame, focus: DataFrame, depth: int = 2, node_limit: int = 200, include_control: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes around each focus (both directions, capped by depth and URN, the focus first), their edges, and counts."""
+def subgraph(edge: DataFrame, focus: DataFrame, depth: int = 2, node_limit: int = 200, include_control: bool = False, include_columns: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes around each focus (both directions, capped by depth and URN, the focus first), their edges, and counts.
+
+    Without columns, a walk goes over them but they are not among the nodes, unless one is the focus itself.
+    """
     walk = eligible_edges(edge, 0.0, include_control, ("ACTIVE", "STALE"))
     both = closure(walk, focus, "down", depth).unionByName(closure(walk, focus, "up", depth))
     nodes = both.groupBy("root", "urn").agg(F.min("depth").alias("depth")).filter("urn != root")
+    nodes = nodes if include_columns else nodes.filter(~F.col("urn").startswith(COLUMN_PREFIX))
     nodes = nodes.unionByName(focus.select("root", F.col("root").alias("urn"), F.lit(0).alias("depth")).distinct())
     ranked = nodes.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("depth", "urn")))
     kept = ranked.filter(F.col("rank") <= node_limit)
@@ -167,6 +189,42 @@ def apply_reviews(edge: DataFrame, actions: DataFrame) -> DataFrame:
     return out.withColumn("state", state).withColumn("confidence", F.when(F.col("action") == "CONFIRM", F.greatest("confidence", F.lit(0.99))).otherwise(F.col("confidence"))).drop("action")
 
 
+def retire_edges(edge: DataFrame, edge_type: str, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges after all of a type (and source) that are not rejected yet have been retired to REJECTED, and how many were."""
+    hit = (F.col("edge_type") == edge_type) & (F.col("state") != "REJECTED")
+    hit = hit if source is None else hit & (F.col("source") == source)
+    return edge.withColumn("state", F.when(hit, "REJECTED").otherwise(F.col("state"))), edge.agg(F.count_if(hit).alias("retired"))
+
+
+LOW_CONFIDENCE = 0.7
+
+
+def waits_for_review(edge: DataFrame) -> Column:
+    """Whether an edge is pending, or active, under the confidence of 0.7, not made by hand and not confirmed by anyone."""
+    confirmed = F.coalesce(F.col("confirmed_by"), F.lit("")) if "confirmed_by" in edge.columns else F.lit("")
+    low = (F.col("state") == "ACTIVE") & (F.col("confidence") < LOW_CONFIDENCE) & (F.col("source") != "manual") & (confirmed == "")
+    return (F.col("state") == "PENDING_REVIEW") | low
+
+
+def review_health(edge: DataFrame, findings: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """One row: edges, pending ones, unconfirmed ones of low confidence, the days that the oldest has waited, and findings of the last days.
+
+    ``edge`` has first_seen and, if anyone confirms, confirmed_by. ``findings``: occurred_at.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    waits = waits_for_review(edge)
+    oldest = F.min(F.when(waits, F.col("first_seen").cast("timestamp")))
+    counts = edge.agg(
+        F.count("*").alias("edges"),
+        F.count_if(F.col("state") == "PENDING_REVIEW").alias("pending_review"),
+        F.count_if(waits & (F.col("state") == "ACTIVE")).alias("low_confidence_unconfirmed"),
+        F.round((F.unix_timestamp(now) - F.unix_timestamp(oldest)) / 86400, 1).alias("oldest_waiting_days"),
+    )
+    window = max(1, min(days, 3650))
+    # Both sides are one row.
+    return counts.crossJoin(findings.filter(F.col("occurred_at").cast("timestamp") >= now - F.expr(f"INTERVAL {window} DAYS")).agg(F.count("*").alias("open_findings")))
+
+
 def review_queue(edge: DataFrame, limit: int = 50) -> DataFrame:
     """What to review next: pending first, then the least confident, then the oldest."""
     pending = F.when(F.col("state") == "PENDING_REVIEW", 0).otherwise(1)

@@ -52,7 +52,7 @@ def mask(c: Column, kind: str, constant: str = "***") -> Column:
     if kind == "hash":
         return F.upper(F.sha2(c.cast("string"), 256))
     if kind == "constant":
-        return F.when(c.isNotNull(), F.lit(constant))
+        return F.lit(constant)
     if kind == "partial":
         return F.concat(F.substring(c.cast("string"), 1, 2), F.lit("****"))
     if kind == "year":
@@ -86,17 +86,35 @@ def apply_policies(df: DataFrame, policies: list[dict], subject: dict) -> DataFr
 
 
 def policy_coverage(assets: DataFrame, policies: DataFrame) -> DataFrame:
-    """Each asset with whether a policy covers it: all its selectors fit, and one besides the table is there.
+    """Each asset with how many policies cover it: all their selectors fit, and one besides the table is there.
 
-    ``assets``: urn, table_name, classification, domain. ``policies``, a short list: policy_id, prefix, table_name,
-    classification, domain, null where a policy does not select by it.
+    ``assets``: urn, classification (L2 where it is null), domain. ``policies``: policy_id, prefixes array<string>,
+    table_name, classifications array<string>, domains array<string>; null or empty where a policy does not select by it.
+    Levels and domains compare without case; a table fits a URN that ends in it or in its last part, behind a dot.
+
+    A policy is looked up by one kind of its selectors (prefixes, else levels, else domains), so the join is on equal
+    keys; URNs have a key for each length that a prefix has.
     """
-    p = F.broadcast(policies.select("policy_id", F.col("prefix").alias("p_prefix"), F.col("table_name").alias("p_table"), F.col("classification").alias("p_class"), F.col("domain").alias("p_domain")))
-    fits = lambda own, held: own.isNull() | (own == held)
-    some = F.coalesce("p_prefix", "p_class", "p_domain").isNotNull()
-    on = (F.col("p_prefix").isNull() | F.col("urn").startswith(F.col("p_prefix"))) & fits(F.col("p_table"), F.col("table_name")) & fits(F.col("p_class"), F.col("classification")) & fits(F.col("p_domain"), F.col("domain")) & some
-    hits = assets.join(p, on).groupBy("urn").agg(F.count("*").alias("policies"))
-    return assets.join(hits, "urn", "left").select("urn", "classification", F.coalesce("policies", F.lit(0)).alias("policies"), F.col("policies").isNotNull().alias("covered"))
+    some = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    upper = lambda c: F.transform(c, lambda x: F.upper(x))
+    keys = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x))
+    p = policies.select("policy_id", "prefixes", "table_name", upper("classifications").alias("levels"), upper("domains").alias("domains"))
+    anchor = F.when(some("prefixes"), keys("p:", F.col("prefixes"))).when(some("levels"), keys("l:", F.col("levels"))).when(some("domains"), keys("d:", F.col("domains")))
+    looked_up = p.withColumn("key", F.explode(F.array_distinct(anchor)))
+    # Distinct lengths of prefixes: no more than a URN has characters.
+    lengths = [r[0] for r in policies.select(F.explode("prefixes").alias("x")).select(F.length("x")).distinct().collect() if r[0]]
+    level = F.coalesce(F.upper("classification"), F.lit("L2"))
+    cut = [F.when(F.length("urn") >= n, F.concat(F.lit("p:"), F.substring("urn", 1, n))) for n in lengths]
+    own = assets.select("urn", level.alias("level"), F.upper("domain").alias("domain")).distinct()
+    each = own.withColumn("key", F.explode(F.array_compact(F.array(*cut, F.concat(F.lit("l:"), "level"), F.concat(F.lit("d:"), "domain")))))
+    ends = lambda name: F.col("urn").endswith(F.concat(F.lit("."), name))
+    fits_table = F.col("table_name").isNull() | ends(F.col("table_name")) | ends(F.element_at(F.split("table_name", r"\."), -1))
+    fits_level = ~some("levels") | F.array_contains("levels", F.col("level"))
+    fits_domain = ~some("p_domains") | F.coalesce(F.array_contains("p_domains", F.col("domain")), F.lit(False))
+    met = each.join(looked_up.withColumnRenamed("domains", "p_domains"), "key")
+    hits = met.filter(fits_table & fits_level & fits_domain).select("urn", "policy_id").distinct()
+    n = hits.groupBy("urn").agg(F.count("*").alias("policies"))
+    return assets.join(n, "urn", "left").select("urn", "classification", F.coalesce("policies", F.lit(0)).alias("policies"), F.col("policies").isNotNull().alias("covered"))
 
 
 def coverage_summary(covered: DataFrame) -> DataFrame:

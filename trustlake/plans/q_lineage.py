@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustlake.operators import graph
-from trustlake.plans.fixtures import load, with_views
+from trustlake.plans.fixtures import AS_OF, load, with_views
 from trustlake.plans.registry import query
 
 _WALK = "walk AS (SELECT DISTINCT from_urn, to_urn FROM lineage_edge WHERE state = 'ACTIVE' AND dependency_kind = 'VALUE' AND edge_type IN ('derivesFrom', 'consumedBy') AND confidence >= {})"
@@ -35,10 +35,10 @@ def g1_closure_up(spark, sf_dir):
 
 _IMPACT = (
     _closure_sql("('region:0'), ('supplier:3')", 3, True, 0.5)
-    + """, deg AS (SELECT from_urn AS urn, count(*) AS n FROM lineage_edge GROUP BY 1), a AS (SELECT * FROM asset QUALIFY row_number() OVER (PARTITION BY urn ORDER BY urn) = 1),
-imp AS (SELECT root, clo.urn, depth, entity_type, round((0.40 * CASE classification WHEN 'L1' THEN 0.1 WHEN 'L3' THEN 0.7 WHEN 'L4' THEN 1.0 ELSE 0.3 END + 0.25 * CASE WHEN tag = 'critical' THEN 1.0 ELSE 0.0 END + 0.15 * CASE WHEN owner IS NULL THEN 0.9 ELSE 1.0 END + 0.20 * least(1.0, log10(1 + coalesce(n, 0)) / 2))::DOUBLE * pow(0.7, depth), 3) AS score,
-list_filter(['sensitive', 'critical', 'unowned', 'widely used'], lambda x: coalesce((x = 'sensitive' AND classification IN ('L3', 'L4')) OR (x = 'critical' AND tag = 'critical') OR (x = 'unowned' AND owner IS NULL) OR (x = 'widely used' AND n >= 10), false)) AS reasons,
-coalesce(tag = 'critical', false) AS critical, depth = 3 AND clo.urn IN (SELECT from_urn FROM walk) AS boundary FROM clo LEFT JOIN a USING (urn) LEFT JOIN deg USING (urn))"""
+    + """, deg AS (SELECT from_urn AS urn, count(*) AS n FROM lineage_edge WHERE state = 'ACTIVE' GROUP BY 1), a AS (SELECT * FROM asset QUALIFY row_number() OVER (PARTITION BY urn ORDER BY urn) = 1),
+imp AS (SELECT root, clo.urn, depth, coalesce(entity_type, 'Unknown') AS entity_type, coalesce(n, 0) AS downstream, round((0.40e0 * CASE classification WHEN 'L1' THEN 0.3e0 WHEN 'L3' THEN 0.8e0 WHEN 'L4' THEN 1.0e0 ELSE 0.5e0 END + 0.25e0 * CASE WHEN tag = 'critical' THEN 1.0e0 ELSE 0.4e0 END + 0.15e0 * CASE WHEN owner IS NULL THEN 0.9e0 ELSE 1.0e0 END + 0.20e0 * least(1.0e0, log10(1 + coalesce(n, 0)) / 2)) * pow(0.7e0, depth), 3) AS score,
+list_filter(['level ' || classification, CASE WHEN tag = 'critical' THEN 'critical tag' END, CASE WHEN owner IS NULL THEN 'no owner' END, CASE WHEN n > 0 THEN 'downstream ' || n END], lambda x: x IS NOT NULL) AS reasons,
+coalesce(tag = 'critical', false) OR coalesce(classification = 'L4', false) AS critical, depth = 3 AND coalesce(n, 0) > 0 AS boundary FROM clo LEFT JOIN a USING (urn) LEFT JOIN deg USING (urn))"""
 )
 
 
@@ -167,6 +167,26 @@ def g9_lineage_health(spark, sf_dir):
     return graph.lineage_health(load(spark, sf_dir, "lineage_edge"))
 
 
+@query(with_views("SELECT from_urn, to_urn, edge_type, k, CASE WHEN edge_type = 'derivesFrom' AND source = 'sql_parse' THEN 'REJECTED' ELSE state END AS state FROM lineage_edge", "lineage_edge"))
+def g8_retire_edges(spark, sf_dir):
+    return graph.retire_edges(load(spark, sf_dir, "lineage_edge"), "derivesFrom", "sql_parse")[0].select("from_urn", "to_urn", "edge_type", "k", "state")
+
+
+_SEEN = "TIMESTAMP '2024-01-30 00:00:00' - (INTERVAL 1 HOUR) * (k % 500)"
+
+
+@query(
+    with_views(
+        f"e AS (SELECT *, {_SEEN} AS first_seen, CASE WHEN k % 7 = 0 THEN 'ann' END AS confirmed_by FROM lineage_edge), w AS (SELECT *, state = 'ACTIVE' AND confidence < 0.7 AND source <> 'manual' AND confirmed_by IS NULL AS low FROM e) SELECT count(*) AS edges, count(*) FILTER (state = 'PENDING_REVIEW') AS pending_review, count(*) FILTER (low) AS low_confidence_unconfirmed, round(epoch(TIMESTAMP '2024-01-31' - min(first_seen) FILTER (low OR state = 'PENDING_REVIEW')) / 86400, 1) AS oldest_waiting_days, (SELECT count(*) FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY) AS open_findings FROM w",
+        "lineage_edge",
+    )
+)
+def g9_review_health(spark, sf_dir):
+    edge = load(spark, sf_dir, "lineage_edge").withColumn("first_seen", F.expr(_SEEN)).withColumn("confirmed_by", F.when(F.col("k") % 7 == 0, "ann"))
+    findings = load(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("ts").alias("occurred_at"))
+    return graph.review_health(edge, findings, AS_OF, 20)
+
+
 @query(with_views("SELECT from_urn, to_urn, state, confidence, k FROM lineage_edge WHERE state <> 'REJECTED' ORDER BY CASE WHEN state = 'PENDING_REVIEW' THEN 0 ELSE 1 END, confidence, k, from_urn, to_urn LIMIT 50", "lineage_edge"))
 def w9_review_queue(spark, sf_dir):
     return graph.review_queue(load(spark, sf_dir, "lineage_edge")).select("from_urn", "to_urn", "state", "confidence", "k")
@@ -185,13 +205,17 @@ def g11_cascade_delete(spark, sf_dir):
     return graph.cascade_delete(load(spark, sf_dir, "lineage_edge"), entity, _roots(spark, "customer:3", "customer:4"))
 
 
-@query("""
-WITH x(i, expression) AS (VALUES (0, 'sha2(phone, 256)'), (1, 'sum(amount)'), (2, 'a + b'), (3, 'amount'), (4, 'CASE WHEN a THEN b END'))
-SELECT n_nationkey, expression, CASE i WHEN 0 THEN 'MASKED' WHEN 1 THEN 'AGGREGATED' WHEN 3 THEN 'DIRECT' ELSE 'INDIRECT' END AS kind, CASE n_nationkey % 4 WHEN 0 THEN 0.8 WHEN 1 THEN 0.65 WHEN 2 THEN 0.5 ELSE 0.0 END AS confidence FROM x, nation""")
+_EXPRESSIONS = ["sha2(' || l_returnflag || ', 256)", "sum(' || l_linestatus || ')", "' || l_returnflag || ' + ' || l_linestatus || '", "' || l_linestatus || '", "CASE WHEN ' || l_returnflag || ' THEN b END"]
+
+
+@query(f"""
+WITH x AS (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 5 AS i, list_element([{', '.join("'" + e + "'" for e in _EXPRESSIONS)}], CAST((l_orderkey + l_linenumber) % 5 + 1 AS BIGINT)) AS expression, l_suppkey % 4 AS level FROM lineitem)
+SELECT l_orderkey, l_linenumber, expression, CASE i WHEN 0 THEN 'MASKED' WHEN 1 THEN 'AGGREGATED' WHEN 3 THEN 'DIRECT' ELSE 'INDIRECT' END AS kind, CASE level WHEN 0 THEN 0.8 WHEN 1 THEN 0.65 WHEN 2 THEN 0.5 ELSE 0.0 END AS confidence FROM x""")
 def x6_transform_kind(spark, sf_dir):
-    texts = F.array(*[F.lit(t) for t in ("sha2(phone, 256)", "sum(amount)", "a + b", "amount", "CASE WHEN a THEN b END")])
-    df = load(spark, sf_dir, "nation").select("n_nationkey", F.explode(texts).alias("expression"), F.element_at(F.array(*[F.lit(x) for x in graph.CONFIDENCE]), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("level"))
-    return df.select("n_nationkey", "expression", graph.transform_kind(F.col("expression")).alias("kind"), graph.parse_confidence(F.col("level")).alias("confidence"))
+    texts = F.array(*[F.expr(f"'{e}'") for e in _EXPRESSIONS])
+    level = F.element_at(F.array(*[F.lit(x) for x in graph.CONFIDENCE]), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    df = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(texts, ((F.col("l_orderkey") + F.col("l_linenumber")) % 5 + 1).cast("int")).alias("expression"), level.alias("level"))
+    return df.select("l_orderkey", "l_linenumber", "expression", graph.transform_kind(F.col("expression")).alias("kind"), graph.parse_confidence(F.col("level")).alias("confidence"))
 
 
 def _parsed(spark, sf_dir):

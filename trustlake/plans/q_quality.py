@@ -144,11 +144,14 @@ def q4_quarantine(spark, sf_dir):
     return bad.select("l_orderkey", "l_linenumber", "l_extendedprice", "broken_rules")
 
 
-@query("""
-WITH t(t) AS (VALUES ('INTEGER'), ('varchar(20)'), ('timestamptz'), ('jsonb'), ('uuid'), ('bytea'), ('boolean'), ('numeric(10,2)'), ('geometry'))
-SELECT n_nationkey, t AS type, CASE t WHEN 'INTEGER' THEN 'numeric' WHEN 'varchar(20)' THEN 'text' WHEN 'timestamptz' THEN 'temporal' WHEN 'jsonb' THEN 'nested' WHEN 'uuid' THEN 'uuid' WHEN 'bytea' THEN 'binary' WHEN 'boolean' THEN 'boolean' WHEN 'numeric(10,2)' THEN 'numeric' ELSE 'other' END AS family,
-t IN ('INTEGER', 'varchar(20)', 'timestamptz', 'numeric(10,2)') AS orderable, t NOT IN ('jsonb', 'geometry') AS equatable FROM t, nation""")
+_TYPES = ["INTEGER", "varchar(20)", "timestamptz", "jsonb", "uuid", "bytea", "boolean", "numeric(10,2)", "geometry", "interval", "text[]", "xml"]
+_TYPE = f"list_element([{', '.join(repr(t) for t in _TYPES)}], CAST(p_partkey % {len(_TYPES)} + 1 AS BIGINT)) AS type"
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, {_TYPE} FROM part) SELECT p_partkey, type, CASE type WHEN 'INTEGER' THEN 'numeric' WHEN 'interval' THEN 'numeric' WHEN 'varchar(20)' THEN 'string' WHEN 'text[]' THEN 'string' WHEN 'timestamptz' THEN 'temporal' WHEN 'jsonb' THEN 'json' WHEN 'uuid' THEN 'uuid' WHEN 'bytea' THEN 'binary' WHEN 'boolean' THEN 'boolean' WHEN 'numeric(10,2)' THEN 'numeric' ELSE 'other' END AS family,
+type IN ('INTEGER', 'interval', 'varchar(20)', 'text[]', 'timestamptz', 'numeric(10,2)', 'boolean') AS orderable, type NOT IN ('jsonb', 'xml') AS equatable FROM t""")
 def f8_type_caps(spark, sf_dir):
-    names = F.array(*[F.lit(t) for t in ("INTEGER", "varchar(20)", "timestamptz", "jsonb", "uuid", "bytea", "boolean", "numeric(10,2)", "geometry")])
-    df = load(spark, sf_dir, "nation").select("n_nationkey", F.explode(names).alias("type"))
-    return df.withColumn("caps", kinds.type_caps(F.col("type"))).select("n_nationkey", "type", "caps.*")
+    names = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % len(_TYPES) + 1).cast("int"))
+    df = load(spark, sf_dir, "part").select("p_partkey", names.alias("type"))
+    return df.withColumn("caps", kinds.type_caps(F.col("type"))).select("p_partkey", "type", "caps.*")

@@ -69,7 +69,7 @@ def s7_openlineage_stream(spark, sf_dir):
     return _collected(spark, ingest.openlineage_edges(lineage_events(renamed)), "append")
 
 
-@query(with_views("SELECT id, CASE WHEN status = 'ACTIVE' AND expires_at <= TIMESTAMP '2024-04-10' THEN 'EXPIRED' ELSE status END AS status FROM access_grant", "access_grant"))
+@query(with_views("SELECT id, CASE WHEN status = 'ACTIVE' AND expires_at < TIMESTAMP '2024-04-10' THEN 'EXPIRED' ELSE status END AS status FROM access_grant", "access_grant"))
 def st5_expiry_scan(spark, sf_dir):
     from trustlake.operators.access import expire
 

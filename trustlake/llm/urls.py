@@ -212,11 +212,18 @@ def scored_shapes(pages: DataFrame, seeds: list[str] = SEEDS, id_col: str = "pag
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, seeds: list[str] = SEEDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (log-odds of a bad URL) and words."""
-    scored, _ = scored_shapes(pages, seeds, id_col, url_col, html_col)
+    scored, examples = scored_shapes(pages, seeds, id_col, url_col, html_col)
+    sizes = examples.select("shape", (F.col("good") + F.col("bad") + F.col("held_good") + F.col("held_bad")).alias("n"))
+    most = sizes.agg(F.sum("n")).first()[0] or 0
+    scored = materialize(scored.join(sizes, "shape"), "url-scores")
     urls = parsed(pages, id_col, url_col).withColumn("shape", shape(F.col("host"), F.col("path")))
+    # At most 1 / HOT shapes are sent; no other shape has so large a share of the pages.
+    often = F.col("n") >= F.lit(HOT * most)
+    hot, rest = F.broadcast(scored.filter(often).drop("n")), scored.filter(~often).drop("n")
+    urls = urls.join(hot, "shape").unionByName(urls.join(hot.select("shape"), "shape", "left_anti").join(rest, "shape"))
     rule, verdict = rule_of(rules)
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return urls.join(scored, "shape").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score", "words")
+    return urls.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score", "words")
 
 
 def held_out(pages: DataFrame, seeds: list[str] = SEEDS, **columns: str) -> DataFrame:

@@ -87,7 +87,7 @@ CASE event_id % 6 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'DENIED' WHEN 2 THEN 'failed
 
 
 @query("""
-SELECT CASE WHEN event_id % 2 = 0 THEN 'r' || event_id END AS query_id, ts AS event_time, 'u' || user_id AS actor, 'app.' || event_type AS resource, CASE WHEN event_id % 3 <> 0 THEN upper(event_type) ELSE 'SELECT' END AS operation, CASE WHEN event_id % 4 = 0 THEN ['a', 'b'] ELSE [] END AS columns,
+SELECT CASE WHEN event_id % 2 = 0 THEN 'r' || event_id END AS query_id, date_trunc('milliseconds', ts) AS event_time, 'u' || user_id AS actor, 'app.' || event_type AS resource, CASE WHEN event_id % 3 <> 0 THEN upper(event_type) ELSE 'SELECT' END AS operation, CASE WHEN event_id % 4 = 0 THEN ['a', 'b'] ELSE [] END AS columns,
 event_id % 6 NOT IN (1, 2) AS succeeded, NULL::BIGINT AS rows_scanned, event_id * 10 AS bytes_scanned, '10.0.0.' || (event_id % 9) AS source_ip FROM events WHERE event_id % 11 <> 0""")
 def f6_engine_fields(spark, sf_dir):
     load(spark, sf_dir, "events").createOrReplaceTempView("events")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trustlake.functions.storage import cut_lineage
+
 # Priority of sources; the limits of the deletion guard.
 PRIORITY = {"MANUAL": 40, "IMPORTED": 30, "AI_GENERATED": 20, "AUTO_COLLECTED": 10}
 MAX_DELETIONS = 200
@@ -51,33 +53,50 @@ def merge_aspects(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def version_timeline(writes: DataFrame) -> DataFrame:
-    """Changed fields with the aspect version that each made: a write that changes something is a version."""
+    """Changed fields with the aspect version that each write made.
+
+    The fields that one write (a ``seq`` of an aspect) changes are one version; a write that changes nothing is none.
+    """
     changed = judge_writes(writes).filter("changed")
-    order = Window.partitionBy("urn", "aspect_type").orderBy("seq", "tie", "field")
-    return changed.select("urn", "aspect_type", F.row_number().over(order).alias("version"), "field", "value", "source", "seq")
+    order = Window.partitionBy("urn", "aspect_type").orderBy("seq")
+    return changed.select("urn", "aspect_type", F.dense_rank().over(order).alias("version"), "field", "value", "source", "seq", "tie")
 
 
 def aspect_at(timeline: DataFrame, version: int) -> DataFrame:
     """Fields as they were at a version."""
-    return latest_by(timeline.filter(F.col("version") <= version), FIELD, "version").select(*FIELD, "value", "source", "version")
+    return latest_by(timeline.filter(F.col("version") <= version), FIELD, "version", "tie").select(*FIELD, "value", "source", "version")
 
 
 def rollback(timeline: DataFrame, targets: DataFrame) -> DataFrame:
     """A new version on top of each target (urn, aspect_type, to_version) with that version's whole content."""
     own = timeline.join(targets, ["urn", "aspect_type"])
     top = own.groupBy("urn", "aspect_type").agg(F.max("version").alias("top"))
-    held = latest_by(own.filter("version <= to_version"), FIELD, "version")
+    held = latest_by(own.filter("version <= to_version"), FIELD, "version", "tie")
     return held.join(top, ["urn", "aspect_type"]).select(*FIELD, "value", "source", (F.col("top") + 1).alias("version"))
 
 
-def rollback_run(versions: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
-    """Undo a run over (urn, aspect_type, version, content, run_id): what is restored, and entities left without any."""
-    last = latest_by(versions, ["urn", "aspect_type"], "version")
-    hit = last.filter(F.col("run_id") == run_id).select("urn", "aspect_type", F.col("version").alias("undone"))
-    rest = versions.join(hit, ["urn", "aspect_type"]).filter((F.col("version") < F.col("undone")) & (F.col("run_id") != run_id))
-    restored = latest_by(rest, ["urn", "aspect_type"], "version").select("urn", "aspect_type", "version", "content")
-    alive = restored.select("urn").union(last.filter(F.col("run_id") != run_id).select("urn")).distinct()
-    return restored, hit.select("urn").distinct().join(alive, "urn", "left_anti")
+def rollback_run(versions: DataFrame, entity: DataFrame, edge_events: DataFrame, edge: DataFrame, run_id: str) -> dict[str, DataFrame]:
+    """What undoing a collection run changes.
+
+    ``versions``: urn, aspect_type, version, content, run_id (null for what was not collected), all versions of each
+    aspect. ``entity``: urn, run_id (that made it), lifecycle. ``edge_events``: edge_id, run_id. ``edge``: edge_id.
+
+    restored: aspects whose current version is the run's get the content of the version before as a new version of no
+    run. dropped: the run's aspects that have no version before. tombstoned: entities that the run made and that have
+    no aspect left. deleted_edges: edges that an event of the run wrote.
+    """
+    mine = lambda c: F.col(c).eqNullSafe(run_id)
+    keys = ["urn", "aspect_type"]
+    current = latest_by(versions, keys, "version").select(*keys, "version", "run_id")
+    hit = current.filter(mine("run_id")).select(*keys, F.col("version").alias("undone"))
+    before = versions.join(hit, keys).filter(F.col("version") < F.col("undone"))
+    restored = before.filter(F.col("version") == F.col("undone") - 1).select(*keys, (F.col("undone") + 1).alias("version"), "content", F.col("version").alias("restored_from"))
+    dropped = hit.filter("undone = 1").join(before.select(*keys).distinct(), keys, "left_anti").select(*keys)
+    left = current.select(*keys).join(dropped, keys, "left_anti").select("urn").distinct()
+    alive = F.coalesce(F.col("lifecycle"), F.lit("ACTIVE")) != "TOMBSTONE"
+    tombstoned = entity.filter(mine("run_id") & alive).select("urn").distinct().join(left, "urn", "left_anti")
+    written = edge_events.filter(mine("run_id")).select("edge_id").distinct()
+    return {"restored": restored, "dropped": dropped, "tombstoned": tombstoned, "deleted_edges": edge.select("edge_id").distinct().join(written, "edge_id", "left_semi")}
 
 
 def version_diff(timeline: DataFrame, v1: int, v2: int) -> DataFrame:
@@ -119,6 +138,23 @@ def next_baseline(prev: DataFrame, cur: DataFrame, verdict: DataFrame, scope: st
     return prev.join(held, scope, "left_semi").select(scope, "urn").unionByName(cur.join(held, scope, "left_anti").select(scope, "urn")).distinct()
 
 
+def collection_run(prev: DataFrame, cur: DataFrame, schemas: DataFrame, verdict: DataFrame, run_id: str, started_at: str, scope: str = "source") -> DataFrame:
+    """One record per source of a collection run: SUCCEEDED or BLOCKED, what was seen, created, deleted, and schemas changed or not (M2).
+
+    ``schemas``: scope, urn, before_hash, schema_hash (before_hash null for a new one). ``verdict``: as ``guard`` gives it.
+    """
+    keys = [scope, "urn"]
+    fresh = cur.select(*keys).distinct().join(prev.select(*keys), keys, "left_anti").groupBy(scope).agg(F.count("*").alias("created"))
+    same = F.col("before_hash").eqNullSafe(F.col("schema_hash"))
+    kept = schemas.groupBy(scope).agg(F.count_if(same).alias("schemas_unchanged"), F.count_if(~same).alias("schemas_changed"))
+    out = verdict.join(fresh, scope, "left").join(kept, scope, "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select(
+        F.lit(run_id).alias("run_id"), scope, F.lit(started_at).cast("timestamp_ntz").alias("started_at"), F.when(F.col("blocked"), "BLOCKED").otherwise("SUCCEEDED").alias("status"),
+        "seen", number("created"), "deletions", number("schemas_unchanged"), number("schemas_changed"), "reasons",
+    )
+
+
 def apply_presence(entity: DataFrame, seen: DataFrame) -> DataFrame:
     """Lifecycle after a crawl: missing entities are DELETED_AT_SOURCE, seen ones ACTIVE, with the event of each change (M3)."""
     both = entity.join(seen.select("urn").distinct().withColumn("here", F.lit(True)), "urn", "full_outer")
@@ -155,13 +191,19 @@ def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("from_urn", "to_urn", "edge_type").agg(F.max("confidence").alias("confidence"), F.sum("observed_count").alias("observed_count"), F.max_by("transform", known).alias("transform"), F.when(F.max("is_new") == 1, "ACTIVE").otherwise(F.max_by("state", "seq")).alias("state"))
 
 
-def emit_events(df: DataFrame, batch_id: int, order: list[str]) -> DataFrame:
-    """Rows with a sequence number that grows with the batch and, in it, with the order of range partitions.
+def emit_events(df: DataFrame, batch_id: int, order: list[str], bits: int = 40) -> DataFrame:
+    """Rows with a sequence number that grows with the batch and, in it, with the order.
 
-    The number is batch, partition and place, so no row passes through a single task.
+    ``order`` tells rows apart. The number is the batch and the row's place in it. Rows are dealt out by ranges and
+    written; the rows of each range are counted, and a place is what stands before the range and the place within it. It
+    depends on the rows alone, not on where the ranges were cut, so a batch that is run again gets the same numbers.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.withColumn("seq", F.lit(batch_id).cast("decimal(38,0)") * F.lit(1 << 60).cast("decimal(38,0)") + F.monotonically_increasing_id())
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("n"))
+    # One row for each partition.
+    before = counts.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.col("__before") - 1
+    return dealt.join(F.broadcast(before), "__range").withColumn("seq", F.lit(batch_id).cast("long") * F.lit(1 << bits) + place).drop("__range", "__before")
 
 
 def schema_changes(versions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trustlake.functions.storage import cut_lineage
 from trustlake.operators.graph import closure
 from trustlake.operators.metadata import latest_by
 
@@ -106,11 +107,17 @@ def measure_slo(slo: DataFrame, metrics: DataFrame, rule_runs: DataFrame, collec
     """
     now = F.lit(as_of).cast("timestamp")
     inside = lambda c: (F.col(c).cast("timestamp") >= now - F.make_dt_interval(F.col("days"))) & (F.col(c).cast("timestamp") <= now)
-    scoped = F.col("dataset_urn").startswith(F.col("scope"))
-    defs = lambda kind: F.broadcast(slo.filter(F.col("kind") == kind).select("slo_name", "scope", "threshold", "days"))
+    defs = lambda kind: slo.filter(F.col("kind") == kind).select("slo_name", F.coalesce("scope", F.lit("")).alias("scope"), "threshold", "days")
     sums = lambda df, good, total: df.groupBy("slo_name").agg(F.count_if(good).alias("good"), F.count_if(total).alias("total"))
-    fresh = metrics.join(defs("freshness"), scoped & inside("window_start"))
-    passed = rule_runs.join(defs("pass_rate"), scoped & inside("started_at"))
+    # Distinct lengths of scopes: no more than a URN has characters. They make the prefix an equal key.
+    lengths = [r[0] for r in slo.select(F.length(F.coalesce("scope", F.lit("")))).distinct().collect()]
+
+    def scoped(df: DataFrame, kind: str, time_col: str) -> DataFrame:
+        keys = F.array_compact(F.array(*[F.when(F.length("dataset_urn") >= n, F.substring("dataset_urn", 1, n)) for n in lengths]))
+        return df.withColumn("scope", F.explode(F.array_distinct(keys))).join(defs(kind), "scope").filter(inside(time_col))
+
+    fresh = scoped(metrics, "freshness", "window_start")
+    passed = scoped(rule_runs, "pass_rate", "started_at")
     there = collect_runs.join(defs("availability"), inside("started_at"))
     yes = F.lit(True)
     parts = sums(fresh, (F.col("value_num") >= 0) & (F.col("value_num") <= F.col("threshold")), yes)
@@ -122,32 +129,74 @@ def measure_slo(slo: DataFrame, metrics: DataFrame, rule_runs: DataFrame, collec
     return attainment(slo.join(parts, "slo_name", "left"))
 
 
-def open_incidents(found: DataFrame, incidents: DataFrame, edge: DataFrame, hops: int = 3) -> DataFrame:
-    """One new incident per anomalous dataset without an open one: worst severity and the datasets downstream."""
+def open_incidents(found: DataFrame, incidents: DataFrame, edge: DataFrame, hops: int = 3) -> tuple[DataFrame, DataFrame]:
+    """One new incident per anomalous dataset without an open one, with its worst severity; and the assets affected.
+
+    The dataset itself is affected too, at depth 0. Affected assets are rows (dataset_urn, urn, depth), since a hub may
+    have any number of them.
+    """
     held = incidents.filter(F.col("status").isin("OPEN", "MITIGATING")).select("dataset_urn")
     new = found.filter("flagged").join(held, "dataset_urn", "left_anti")
     worst = new.groupBy("dataset_urn").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.count("*").alias("anomalies"))
-    down = closure(edge, worst.select(F.col("dataset_urn").alias("root")), "down", hops).groupBy(F.col("root").alias("dataset_urn")).agg(F.sort_array(F.collect_set("urn")).alias("affected_urns"))
-    return worst.join(down, "dataset_urn", "left").select("dataset_urn", "severity", "anomalies", F.coalesce("affected_urns", F.array().cast("array<string>")).alias("affected_urns"), F.lit("OPEN").alias("status"))
+    worst = cut_lineage(worst)
+    roots = worst.select(F.col("dataset_urn").alias("root"))
+    down = closure(edge, roots, "down", hops).unionByName(roots.select("root", F.col("root").alias("urn"), F.lit(0).alias("depth")))
+    affected = down.select(F.col("root").alias("dataset_urn"), "urn", "depth")
+    counted = affected.groupBy("dataset_urn").agg(F.count("*").alias("affected"))
+    return worst.join(counted, "dataset_urn").select("dataset_urn", "severity", "anomalies", "affected", F.lit("OPEN").alias("status")), affected
 
 
 def incident_overview(incidents: DataFrame) -> DataFrame:
     """Per severity: counts, hours to resolve, and resolved incidents that no rule closed."""
     hours = (F.unix_timestamp(F.col("resolved_at").cast("timestamp")) - F.unix_timestamp(F.col("opened_at").cast("timestamp"))) / 3600
     done = F.col("resolved_at").isNotNull()
-    return incidents.groupBy("severity").agg(F.count("*").alias("incidents"), F.count_if(~done).alias("open"), F.round(F.avg(hours), 3).alias("mttr_hours"), F.round(F.max(hours), 3).alias("longest_hours"), F.count_if(done & F.col("closing_rule").isNull()).alias("without_rule"))
+    without = done & (F.coalesce(F.col("closing_rule"), F.lit("")) == "")
+    return incidents.groupBy("severity").agg(F.count("*").alias("incidents"), F.count_if(~done).alias("open"), F.round(F.avg(hours), 3).alias("mttr_hours"), F.round(F.max(hours), 3).alias("longest_hours"), F.count_if(without).alias("without_rule"))
+
+
+def resolve_incidents(incidents: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Incidents after actions, and the actions that are refused, with the reason.
+
+    ``incidents``: incident_id, status, resolved_at, closing_rule. ``actions``: incident_id, event_type (RESOLVED or any
+    other, which only goes into the timeline), occurred_at, closing_rule, no_rule_reason. A resolution needs a rule that
+    came out of the incident or a reason why none is needed; the last legal one holds.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    resolves = F.col("event_type") == "RESOLVED"
+    known = incidents.select("incident_id", F.lit(True).alias("known"))
+    why = F.when(F.col("known").isNull(), "no such incident").when(resolves & blank("closing_rule") & blank("no_rule_reason"), "a rule or a reason is needed")
+    judged = actions.join(known, "incident_id", "left").withColumn("reason", why)
+    last = judged.filter(resolves & F.col("reason").isNull()).groupBy("incident_id").agg(F.max_by(F.struct("occurred_at", "closing_rule"), "occurred_at").alias("last"))
+    out = incidents.join(last, "incident_id", "left")
+    done = F.col("last").isNotNull()
+    out = out.withColumns({"status": F.when(done, "RESOLVED").otherwise(F.col("status")), "resolved_at": F.when(done, F.col("last.occurred_at")).otherwise(F.col("resolved_at")), "closing_rule": F.when(done, F.col("last.closing_rule")).otherwise(F.col("closing_rule"))})
+    return out.drop("last"), judged.filter("reason IS NOT NULL").select("incident_id", "event_type", "occurred_at", "reason")
+
+
+def incident_timeline(incidents: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of each incident in order, with the hours since it began: rows (incident_id, place, event_type, occurred_at, hours).
+
+    ``incidents``: incident_id, opened_at. ``events``: incident_id, event_type, occurred_at.
+    """
+    order = Window.partitionBy("incident_id").orderBy("occurred_at", "event_type")
+    hours = (F.unix_timestamp(F.col("occurred_at").cast("timestamp")) - F.unix_timestamp(F.col("opened_at").cast("timestamp"))) / 3600
+    own = events.join(incidents.select("incident_id", "opened_at"), "incident_id")
+    return own.select("incident_id", F.row_number().over(order).alias("place"), "event_type", "occurred_at", F.round(hours, 3).alias("hours"))
 
 
 def alert_candidates(state: DataFrame, schedules: DataFrame, as_of: str, failures: int = 3, stale_hours: int = 48) -> DataFrame:
-    """Conditions that call for an alert (O7): rows (dedup_key, source, kind, severity)."""
+    """Conditions that call for an alert (O7): rows (dedup_key, source, kind, severity).
+
+    ``state``: source, namespace, consecutive_failures, last_status, last_success_at. ``schedules``: source, namespace,
+    enabled, last_status; one that is enabled and has no last status has never succeeded.
+    """
     row = lambda df, kind, severity: df.select(F.concat_ws(":", F.lit(kind), "namespace", "source").alias("dedup_key"), "source", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
     stale = F.col("last_success_at").cast("timestamp") < F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {stale_hours} HOURS")
-    never = schedules.filter("enabled").join(state.select("namespace", "source"), ["namespace", "source"], "left_anti")
     parts = [
         row(state.filter(F.col("consecutive_failures") >= failures), "failing", "CRITICAL"),
         row(state.filter("last_status = 'BLOCKED'"), "blocked", "WARNING"),
         row(state.filter(stale), "stale", "WARNING"),
-        row(never, "never_run", "WARNING"),
+        row(schedules.filter("enabled AND last_status IS NULL"), "never_succeeded", "WARNING"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -155,33 +204,40 @@ def alert_candidates(state: DataFrame, schedules: DataFrame, as_of: str, failure
     return out
 
 
-def reconcile_alerts(candidates: DataFrame, active: DataFrame, as_of: str, remind_hours: int = 12, cooldown_seconds: int = 300) -> DataFrame:
-    """FIRED, UPDATED, REMINDED, RESOLVED, UNCHANGED, or FLAP_SUPPRESSED within the cooldown of a resolved alert.
+def reconcile_alerts(candidates: DataFrame, alerts: DataFrame, as_of: str, remind_seconds: float = 12 * 3600, cooldown_seconds: float = 300) -> DataFrame:
+    """What an evaluation does to each alert: FIRED, UPDATED, REMINDED or RESOLVED.
 
-    ``active``: dedup_key, severity, state (ACTIVE or RESOLVED), notified_at, resolved_at, fire_count.
+    ``alerts``: dedup_key, severity, state (FIRING or RESOLVED), first_fired_at, notified_at, resolved_at, fire_count;
+    of a key at most one row is FIRING. Each evaluation of a firing alert counts. It is reminded of when the last
+    notification (else the first firing) is ``remind_seconds`` old. A key that resolved less than ``cooldown_seconds``
+    ago is only UPDATED, marked as flapping.
     """
-    now = F.lit(as_of).cast("timestamp")
-    old = active.select("dedup_key", F.col("severity").alias("old_severity"), "state", "notified_at", "resolved_at", "fire_count")
+    now = F.unix_timestamp(F.lit(as_of).cast("timestamp"))
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    firing = F.col("state") == "FIRING"
     new = candidates.groupBy("dedup_key").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"))
-    live = F.coalesce(F.col("state") == "ACTIVE", F.lit(False))
-    recent = F.coalesce((F.unix_timestamp(now) - F.unix_timestamp(F.col("resolved_at").cast("timestamp"))) < cooldown_seconds, F.lit(False))
-    due = F.unix_timestamp(now) - F.unix_timestamp(F.col("notified_at").cast("timestamp")) >= remind_hours * 3600
-    action = (
-        F.when(F.col("severity").isNull(), F.when(live, "RESOLVED").otherwise("UNCHANGED"))
-        .when(~live & recent, "FLAP_SUPPRESSED")
-        .when(~live, "FIRED")
-        .when(F.col("severity") != F.col("old_severity"), "UPDATED")
-        .when(due, "REMINDED")
-        .otherwise("UNCHANGED")
+    old = alerts.groupBy("dedup_key").agg(
+        F.max(F.when(firing, F.struct(F.lit(True).alias("is"), F.col("severity").alias("severity"), F.coalesce(seconds("notified_at"), seconds("first_fired_at")).alias("told"), F.col("fire_count").alias("n")))).alias("live"),
+        F.max(F.when(~firing, seconds("resolved_at"))).alias("resolved"),
+        F.max_by("fire_count", F.when(~firing, seconds("resolved_at"))).alias("last_count"),
     )
-    out = new.join(old, "dedup_key", "full_outer").withColumn("action", action)
-    fired = F.coalesce("fire_count", F.lit(0)) + F.when(F.col("action") == "FIRED", 1).otherwise(0)
-    return out.select("dedup_key", F.coalesce("severity", "old_severity").alias("severity"), "action", fired.alias("fire_count"))
+    j = new.join(old, "dedup_key", "full_outer")
+    live, called = F.col("live").isNotNull(), F.col("severity").isNotNull()
+    flapping = called & ~live & F.coalesce(now - F.col("resolved") < cooldown_seconds, F.lit(False))
+    due = F.coalesce(now - F.col("live.told") >= remind_seconds, F.lit(True))
+    action = F.when(~called, F.when(live, "RESOLVED")).when(flapping, "UPDATED").when(~live, "FIRED").when(due, "REMINDED").otherwise("UPDATED")
+    count = F.when(~called, F.col("live.n")).when(live, F.col("live.n") + 1).when(flapping, F.col("last_count")).otherwise(1)
+    out = j.select("dedup_key", F.coalesce("severity", "live.severity").alias("severity"), action.alias("action"), count.alias("fire_count"), flapping.alias("flapping"))
+    return out.filter("action IS NOT NULL")
 
 
 def route_alerts(actions: DataFrame, channels: DataFrame) -> DataFrame:
-    """Alerts to the channels whose least severity they reach (O9). Channels are a short list."""
-    return actions.join(F.broadcast(channels), severity_rank(F.col("severity")) >= severity_rank(F.col("min_severity"))).select("channel", "dedup_key", "severity", "action")
+    """Alerts to the channels whose least severity they reach.
+
+    Channels are joined by the ranks that they take, so that the join is on equal keys.
+    """
+    taken = channels.withColumn("rank", F.explode(F.sequence(severity_rank(F.col("min_severity")), F.lit(max(SEVERITY_RANK.values()))))).select("channel", "rank")
+    return actions.withColumn("rank", severity_rank(F.col("severity"))).join(taken, "rank").select("channel", "dedup_key", "severity", "action")
 
 
 def latest_metric(metrics: DataFrame) -> DataFrame:

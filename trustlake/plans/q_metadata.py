@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trustlake.operators import metadata
 from trustlake.plans.fixtures import AS_OF_RUNS, load, with_views
@@ -13,7 +14,7 @@ j AS (SELECT *, CASE source WHEN 'MANUAL' THEN 40 WHEN 'IMPORTED' THEN 30 WHEN '
 a AS (SELECT *, p = max(p) OVER (PARTITION BY urn, aspect_type, field ORDER BY seq, tie ROWS UNBOUNDED PRECEDING) AS accepted FROM j),
 acc AS (SELECT *, lag(value) OVER w AS bv, lag(source) OVER w AS bs, row_number() OVER w AS i FROM a WHERE accepted WINDOW w AS (PARTITION BY urn, aspect_type, field ORDER BY seq, tie)),
 ch AS (SELECT * FROM acc WHERE i = 1 OR value IS DISTINCT FROM bv OR source <> bs),
-tl AS (SELECT urn, aspect_type, CAST(row_number() OVER (PARTITION BY urn, aspect_type ORDER BY seq, tie, field) AS INTEGER) AS version, field, value, source, seq FROM ch)"""
+tl AS (SELECT urn, aspect_type, CAST(dense_rank() OVER (PARTITION BY urn, aspect_type ORDER BY seq) AS INTEGER) AS version, field, value, source, seq, tie FROM ch)"""
 
 
 @query(with_views(f"{_JUDGED} SELECT urn, aspect_type, field, value, source FROM acc QUALIFY row_number() OVER (PARTITION BY urn, aspect_type, field ORDER BY seq DESC, tie DESC) = 1", "aspect_write"))
@@ -31,7 +32,7 @@ def w2_version_timeline(spark, sf_dir):
     return metadata.version_timeline(load(spark, sf_dir, "aspect_write"))
 
 
-_AT = "SELECT urn, aspect_type, field, value, source, version FROM tl WHERE version <= {} QUALIFY row_number() OVER (PARTITION BY urn, aspect_type, field ORDER BY version DESC) = 1"
+_AT = "SELECT urn, aspect_type, field, value, source, version FROM tl WHERE version <= {} QUALIFY row_number() OVER (PARTITION BY urn, aspect_type, field ORDER BY version DESC, tie DESC) = 1"
 
 
 @query(with_views(f"{_JUDGED} {_AT.format(3)}", "aspect_write"))
@@ -45,23 +46,39 @@ def w3_rollback(spark, sf_dir):
     return metadata.rollback(timeline, timeline.select("urn", "aspect_type", F.lit(2).alias("to_version")).distinct())
 
 
-_VERSIONS = "SELECT 'c:' || CAST(o_custkey AS STRING) AS urn, o_orderpriority AS aspect_type, o_orderkey AS version, o_orderstatus AS content, 'run' || CAST(o_orderkey % 7 AS STRING) AS run_id, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders"
-_UNDO = f"v AS ({_VERSIONS}), l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY urn, aspect_type ORDER BY version DESC) = 1), hit AS (SELECT urn, aspect_type, version AS undone FROM l WHERE run_id = 'run3'), res AS (SELECT urn, aspect_type, version, content FROM v JOIN hit USING (urn, aspect_type) WHERE version < undone AND run_id <> 'run3' QUALIFY row_number() OVER (PARTITION BY urn, aspect_type ORDER BY version DESC) = 1)"
+_VERSIONS = "SELECT 'c:' || CAST(o_custkey AS STRING) AS urn, o_orderpriority AS aspect_type, CAST(row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS BIGINT) AS version, o_orderstatus AS content, CASE WHEN o_orderkey % 5 <> 0 THEN 'run' || CAST(o_orderkey % 7 AS STRING) END AS run_id, o_orderkey AS k FROM orders"
+_MADE = "SELECT 'c:' || CAST(c_custkey AS STRING) AS urn, CASE WHEN c_custkey % 3 <> 0 THEN 'run' || CAST(c_custkey % 4 AS STRING) END AS run_id, CASE WHEN c_custkey % 13 = 0 THEN 'TOMBSTONE' ELSE 'ACTIVE' END AS lifecycle FROM customer"
+_WROTE = "SELECT o_orderkey * 7 % 1000 AS edge_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'run' || CAST(o_orderkey % 7 AS STRING) END AS run_id FROM orders"
+_UNDO = f"""v AS ({_VERSIONS}), l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY urn, aspect_type ORDER BY version DESC) = 1), hit AS (SELECT urn, aspect_type, version AS undone FROM l WHERE run_id = 'run3'),
+res AS (SELECT urn, aspect_type, undone + 1 AS version, content, version AS restored_from FROM v JOIN hit USING (urn, aspect_type) WHERE version = undone - 1), dro AS (SELECT urn, aspect_type FROM hit WHERE undone = 1),
+lef AS (SELECT urn FROM l WHERE (urn, aspect_type) NOT IN (SELECT (urn, aspect_type) FROM dro))"""
 
 
-def _versions(spark, sf_dir):
-    load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return spark.sql(_VERSIONS)
+def _undone(spark, sf_dir):
+    for t in ("orders", "customer"):
+        load(spark, sf_dir, t).createOrReplaceTempView(t)
+    edge = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("edge_id")).distinct()
+    return metadata.rollback_run(spark.sql(_VERSIONS), spark.sql(_MADE), spark.sql(_WROTE), edge, "run3")
 
 
 @query(f"WITH {_UNDO} SELECT * FROM res")
 def w4_rollback_run(spark, sf_dir):
-    return metadata.rollback_run(_versions(spark, sf_dir), "run3")[0]
+    return _undone(spark, sf_dir)["restored"]
+
 
+@query(f"WITH {_UNDO} SELECT * FROM dro")
+def w4_dropped_aspects(spark, sf_dir):
+    return _undone(spark, sf_dir)["dropped"]
 
-@query(f"WITH {_UNDO} SELECT DISTINCT urn FROM hit WHERE urn NOT IN (SELECT urn FROM res) AND urn NOT IN (SELECT urn FROM l WHERE run_id <> 'run3')")
+
+@query(f"WITH {_UNDO}, e AS ({_MADE}) SELECT urn FROM e WHERE run_id = 'run3' AND lifecycle <> 'TOMBSTONE' AND urn NOT IN (SELECT urn FROM lef)")
 def w4_tombstoned(spark, sf_dir):
-    return metadata.rollback_run(_versions(spark, sf_dir), "run3")[1]
+    return _undone(spark, sf_dir)["tombstoned"]
+
+
+@query(f"WITH w AS ({_WROTE}) SELECT DISTINCT l_orderkey % 1000 AS edge_id FROM lineitem WHERE l_orderkey % 1000 IN (SELECT edge_id FROM w WHERE run_id = 'run3')")
+def w4_deleted_edges(spark, sf_dir):
+    return _undone(spark, sf_dir)["deleted_edges"]
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -82,14 +99,22 @@ def w6_collector_health(spark, sf_dir):
 
 
 
-@query("""
-WITH b AS (SELECT user_id AS chain, event_id AS seq, event_type AS content, sha256('|' || event_type) AS hash FROM events),
-p AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY chain ORDER BY seq), '') AS prev FROM b)
-SELECT chain, seq, content, hash, sha256(prev || '|' || content) AS expected FROM p WHERE hash <> sha256(prev || '|' || content)""")
+_CHAIN = "SELECT user_id AS chain, event_id AS seq, event_type AS content FROM events"
+#: A right chain, link by link; then one row in eleven is given other content, and one in thirteen another hash.
+_LINKED = f"""c AS ({_CHAIN}), n AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq) AS i FROM c), link(chain, seq, content, hash, i) AS (SELECT chain, seq, content, sha256('|' || content), i FROM n WHERE i = 1 UNION ALL SELECT n.chain, n.seq, n.content, sha256(l.hash || '|' || n.content), n.i FROM link l JOIN n ON n.chain = l.chain AND n.i = l.i + 1),
+bent AS (SELECT chain, seq, CASE WHEN seq % 11 = 0 THEN 'forged' ELSE content END AS content, CASE WHEN seq % 13 = 0 THEN sha256('x') ELSE hash END AS hash FROM link),
+p AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY chain ORDER BY seq), '') AS prev FROM bent)"""
+
+
+@query(f"WITH RECURSIVE {_LINKED} SELECT chain, seq, content, hash, sha256(prev || '|' || content) AS expected FROM p WHERE hash <> sha256(prev || '|' || content)")
 def w10_verify_chain(spark, sf_dir):
-    # Every hash is made as a first one, so each row but a chain's first is broken.
-    audit = load(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.col("event_type").alias("content"), F.sha2(F.concat(F.lit("|"), F.col("event_type")), 256).alias("hash"))
-    return metadata.verify_chain(audit, ["content"])
+    load(spark, sf_dir, "events").createOrReplaceTempView("events")
+    # The chain is the fixture: a fold over the contents of a chain before and at each row.
+    so_far = F.collect_list("content").over(Window.partitionBy("chain").orderBy("seq"))
+    fold = F.aggregate("so_far", F.lit(""), lambda h, c: F.sha2(F.concat(h, F.lit("|"), c), 256))
+    linked = spark.sql(_CHAIN).withColumn("so_far", so_far).select("chain", "seq", "content", fold.alias("hash"))
+    bent = linked.withColumn("content", F.when(F.col("seq") % 11 == 0, "forged").otherwise(F.col("content"))).withColumn("hash", F.when(F.col("seq") % 13 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("hash")))
+    return metadata.verify_chain(bent, ["content"])
 
 
 @query(with_views(f"{_JUDGED}, x AS ({_AT.format(2)}), y AS ({_AT.format(6)}) SELECT urn, aspect_type, field, x.value AS old_value, y.value AS new_value FROM x FULL OUTER JOIN y USING (urn, aspect_type, field) WHERE x.value IS DISTINCT FROM y.value", "aspect_write"))
@@ -126,6 +151,16 @@ def m2_next_baseline(spark, sf_dir):
     return metadata.next_baseline(prev, cur, metadata.guard(prev, cur))
 
 
+_SCHEMAS = "SELECT source, urn, CASE WHEN length(urn) % 4 <> 0 THEN 'h' || CAST(length(urn) % 3 AS STRING) END AS before_hash, 'h' || CAST(length(urn) % 2 AS STRING) AS schema_hash FROM c"
+
+
+@query(with_views(f"{_GUARD}, s AS ({_SCHEMAS}), f AS (SELECT source, count(*) AS created FROM (FROM c EXCEPT FROM p) GROUP BY 1), k AS (SELECT source, count(*) FILTER (before_hash IS NOT DISTINCT FROM schema_hash) AS schemas_unchanged, count(*) FILTER (before_hash IS DISTINCT FROM schema_hash) AS schemas_changed FROM s GROUP BY 1) SELECT 'r1' AS run_id, source, TIMESTAMP '2024-01-31 00:00:00' AS started_at, CASE WHEN blocked THEN 'BLOCKED' ELSE 'SUCCEEDED' END AS status, seen, coalesce(created, 0) AS created, deletions, coalesce(schemas_unchanged, 0) AS schemas_unchanged, coalesce(schemas_changed, 0) AS schemas_changed, reasons FROM v LEFT JOIN f USING (source) LEFT JOIN k USING (source)", "snapshot"))
+def m2_collection_run(spark, sf_dir):
+    prev, cur = _sides(spark, sf_dir)
+    cur.createOrReplaceTempView("c")
+    return metadata.collection_run(prev, cur, spark.sql(_SCHEMAS), metadata.guard(prev, cur), "r1", "2024-01-31 00:00:00")
+
+
 _STATES = "SELECT urn, CASE WHEN length(urn) % 3 = 0 THEN 'DELETED_AT_SOURCE' ELSE 'ACTIVE' END AS lifecycle FROM p WHERE urn NOT LIKE '%7'"
 
 
@@ -170,18 +205,12 @@ def s10_upsert_edges(spark, sf_dir):
     return metadata.upsert_edges(seen.filter("side = 0").drop("side"), seen.filter("side = 1").drop("side"))
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events")
+@query("SELECT event_id, 3 * 1099511627776 + row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM events")
 def s11_event_log(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    log = metadata.emit_events(load(spark, sf_dir, "events").select("event_id"), 3, ["event_id"])
-    bucket = F.col("seq").cast("decimal(38,0)")
-    # The place by seq within the table is the place by event_id: counted per range, so no single task sorts all rows.
-    per = log.withColumn("part", F.floor(bucket / F.lit(1 << 33))).withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("seq")))
-    before = per.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return per.join(before, "part").select("event_id", (F.col("i") + F.col("before")).alias("place"))
+    return metadata.emit_events(load(spark, sf_dir, "events").select("event_id", "ts"), 3, ["ts", "event_id"]).select("event_id", "seq")
 
 
-@query(f"WITH v AS ({_VERSIONS}), h AS (SELECT urn, version, content AS schema_hash, lag(content) OVER (PARTITION BY urn ORDER BY version) AS before_hash FROM v) SELECT * FROM h WHERE before_hash IS NOT NULL AND before_hash <> schema_hash")
+@query(f"WITH v AS ({_VERSIONS}), h AS (SELECT urn, k AS version, content AS schema_hash, lag(content) OVER (PARTITION BY urn ORDER BY k) AS before_hash FROM v) SELECT * FROM h WHERE before_hash IS NOT NULL AND before_hash <> schema_hash")
 def c8_schema_changes(spark, sf_dir):
-    return metadata.schema_changes(_versions(spark, sf_dir).select("urn", "version", F.col("content").alias("schema_hash")))
+    load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return metadata.schema_changes(spark.sql(_VERSIONS).select("urn", F.col("k").alias("version"), F.col("content").alias("schema_hash")))

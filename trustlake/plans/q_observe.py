@@ -89,40 +89,74 @@ def o4_slo(spark, sf_dir):
     return observe.measure_slo(slo, load(spark, sf_dir, "metric_series"), load(spark, sf_dir, "rule_run"), collect, changes, AS_OF_RUNS)
 
 
-@query(
-    with_views(
-        f"""
+_OPENED = f"""
 found AS ({_FOUND}), {_WALK},
 held AS (SELECT 'part:' || p_partkey AS dataset_urn FROM part WHERE p_partkey % 10 = 0 AND p_partkey % 4 <> 0),
 w AS (SELECT dataset_urn, max_by(severity, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 ELSE 1 END) AS severity, count(*) AS anomalies FROM found WHERE flagged AND dataset_urn NOT IN (SELECT dataset_urn FROM held) GROUP BY 1),
 down(root, urn, depth) AS (SELECT dataset_urn, dataset_urn, 0 FROM w UNION SELECT root, to_urn, depth + 1 FROM down JOIN walk ON from_urn = urn WHERE depth < 2),
-a AS (SELECT root AS dataset_urn, list_sort(list(DISTINCT urn)) AS affected_urns FROM down WHERE urn <> root GROUP BY 1)
-SELECT dataset_urn, severity, anomalies, coalesce(affected_urns, []) AS affected_urns, 'OPEN' AS status FROM w LEFT JOIN a USING (dataset_urn)""",
-        "lineage_edge",
-    )
-)
-def o5_open_incidents(spark, sf_dir):
+a AS (SELECT root AS dataset_urn, urn, min(depth) AS depth FROM down GROUP BY 1, 2)"""
+
+
+def _opened(spark, sf_dir):
     held = load(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("dataset_urn"), F.when(F.col("p_partkey") % 4 == 0, "RESOLVED").otherwise("OPEN").alias("status"))
     return observe.open_incidents(_found(spark, sf_dir), held, graph.eligible_edges(load(spark, sf_dir, "lineage_edge")), 2)
 
 
+@query(with_views(f"{_OPENED} SELECT dataset_urn, severity, anomalies, (SELECT count(*) FROM a WHERE a.dataset_urn = w.dataset_urn) AS affected, 'OPEN' AS status FROM w", "lineage_edge"))
+def o5_open_incidents(spark, sf_dir):
+    return _opened(spark, sf_dir)[0]
+
+
+@query(with_views(f"{_OPENED} SELECT * FROM a", "lineage_edge"))
+def o5_affected(spark, sf_dir):
+    return _opened(spark, sf_dir)[1]
+
+
 _INCIDENT = """SELECT o_orderpriority AS severity, o_orderdate AS opened_at, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + (INTERVAL 1 HOUR) * (o_custkey % 90) END AS resolved_at, CASE WHEN o_orderkey % 3 = 0 THEN 'rule' END AS closing_rule FROM orders"""
 
 
 @query(f"""
 WITH i AS ({_INCIDENT}), h AS (SELECT *, epoch(resolved_at - opened_at) / 3600 AS hours FROM i)
-SELECT severity, count(*) AS incidents, count(*) FILTER (resolved_at IS NULL) AS open, round(avg(hours), 3) AS mttr_hours, round(max(hours), 3) AS longest_hours, count(*) FILTER (resolved_at IS NOT NULL AND closing_rule IS NULL) AS without_rule FROM h GROUP BY 1""")
+SELECT severity, count(*) AS incidents, count(*) FILTER (resolved_at IS NULL) AS open, round(avg(hours), 3) AS mttr_hours, round(max(hours), 3) AS longest_hours, count(*) FILTER (resolved_at IS NOT NULL AND coalesce(closing_rule, '') = '') AS without_rule FROM h GROUP BY 1""")
 def o6_incident_overview(spark, sf_dir):
     load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     return observe.incident_overview(spark.sql(_INCIDENT))
 
 
-_SCHEDULE = "SELECT s_name AS source, 'prod' AS namespace, s_suppkey % 2 = 0 AS enabled FROM supplier WHERE s_suppkey <= 6 UNION ALL SELECT n_name, 'prod', n_nationkey % 2 = 0 FROM nation"
+_ACTION = """SELECT o_orderkey AS incident_id, CASE o_orderkey % 4 WHEN 0 THEN 'NOTE' ELSE 'RESOLVED' END AS event_type, o_orderdate + (INTERVAL 1 HOUR) * (o_custkey % 30) AS occurred_at, CASE o_orderkey % 5 WHEN 0 THEN 'rule' WHEN 1 THEN ' ' END AS closing_rule, CASE WHEN o_orderkey % 5 = 2 THEN 'not needed' END AS no_rule_reason FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, 'NOTE', o_orderdate, NULL, NULL FROM orders UNION ALL SELECT -o_orderkey, 'NOTE', o_orderdate, NULL, NULL FROM orders WHERE o_orderkey % 50 = 0"""
+_OPEN = "SELECT o_orderkey AS incident_id, o_orderdate AS opened_at, 'OPEN' AS status, CAST(NULL AS TIMESTAMP) AS resolved_at, CAST(NULL AS STRING) AS closing_rule FROM orders"
+_LEGAL = "t AS (SELECT * FROM act WHERE event_type = 'RESOLVED' AND (trim(coalesce(closing_rule, '')) <> '' OR no_rule_reason IS NOT NULL))"
+
+
+def _resolved(spark, sf_dir):
+    load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    open_ = spark.sql(_OPEN).withColumn("resolved_at", F.col("resolved_at").cast("timestamp_ntz"))
+    return observe.resolve_incidents(open_, spark.sql(_ACTION))
+
+
+@query(f"WITH act AS ({_ACTION}), op AS ({_OPEN}), {_LEGAL} SELECT op.incident_id, op.opened_at, CASE WHEN t.incident_id IS NULL THEN 'OPEN' ELSE 'RESOLVED' END AS status, t.occurred_at AS resolved_at, t.closing_rule FROM op LEFT JOIN t ON t.incident_id = op.incident_id")
+def o6_resolve_incidents(spark, sf_dir):
+    return _resolved(spark, sf_dir)[0]
+
+
+@query(f"WITH act AS ({_ACTION}), {_LEGAL} SELECT incident_id, event_type, occurred_at, CASE WHEN incident_id < 0 THEN 'no such incident' ELSE 'a rule or a reason is needed' END AS reason FROM act WHERE incident_id < 0 OR (event_type = 'RESOLVED' AND incident_id NOT IN (SELECT incident_id FROM t))")
+def o6_refused_actions(spark, sf_dir):
+    return _resolved(spark, sf_dir)[1]
+
+
+@query(f"WITH act AS ({_ACTION}), op AS ({_OPEN}) SELECT incident_id, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY occurred_at, event_type) AS INTEGER) AS place, event_type, occurred_at, round(epoch(occurred_at - opened_at) / 3600, 3) AS hours FROM act JOIN op USING (incident_id)")
+def o6_incident_timeline(spark, sf_dir):
+    load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return observe.incident_timeline(spark.sql(_OPEN), spark.sql(_ACTION))
+
+
+_SCHEDULE = "SELECT s_name AS source, 'prod' AS namespace, s_suppkey % 2 = 0 AS enabled, CASE s_suppkey % 3 WHEN 0 THEN 'SUCCEEDED' WHEN 1 THEN 'FAILED' END AS last_status FROM supplier UNION ALL SELECT n_name, 'prod', n_nationkey % 2 = 0, NULL FROM nation"
 _CANDIDATE = """
 cand AS (SELECT 'failing:' || namespace || ':' || source AS dedup_key, source, 'failing' AS kind, 'CRITICAL' AS severity FROM collector_state WHERE consecutive_failures >= 3
 UNION ALL SELECT 'blocked:' || namespace || ':' || source, source, 'blocked', 'WARNING' FROM collector_state WHERE last_status = 'BLOCKED'
 UNION ALL SELECT 'stale:' || namespace || ':' || source, source, 'stale', 'WARNING' FROM collector_state WHERE last_success_at < TIMESTAMP '2024-01-31' - INTERVAL 48 HOUR
-UNION ALL SELECT 'never_run:' || namespace || ':' || source, source, 'never_run', 'WARNING' FROM schedule WHERE enabled AND source NOT IN (SELECT source FROM collector_state))"""
+UNION ALL SELECT 'never_succeeded:' || namespace || ':' || source, source, 'never_succeeded', 'WARNING' FROM schedule WHERE enabled AND last_status IS NULL)"""
 
 
 def _candidates(spark, sf_dir):
@@ -136,19 +170,20 @@ def o7_alert_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir)
 
 
-_ACTIVE = """SELECT k || ':prod:' || s_name AS dedup_key, CASE WHEN s_suppkey % 3 = 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, CASE WHEN s_suppkey % 2 = 0 THEN 'ACTIVE' ELSE 'RESOLVED' END AS state,
-TIMESTAMP '2024-01-31 00:00:00' - (INTERVAL 1 HOUR) * (s_suppkey % 24) AS notified_at, CASE WHEN s_suppkey % 2 = 1 THEN TIMESTAMP '2024-01-31 00:00:00' - (INTERVAL 1 MINUTE) * (s_suppkey % 10) END AS resolved_at, CAST(s_suppkey % 4 AS INT) AS fire_count
-FROM supplier CROSS JOIN (SELECT 'failing' AS k UNION ALL SELECT 'stale') AS ks"""
+_ALERTS = """SELECT k || ':prod:' || s_name AS dedup_key, CASE WHEN s_suppkey % 3 = 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, CASE WHEN s_suppkey % 4 < 2 THEN 'FIRING' ELSE 'RESOLVED' END AS state, TIMESTAMP '2024-01-31 00:00:00' - (INTERVAL 1 HOUR) * (s_suppkey % 30) AS first_fired_at,
+CASE WHEN s_suppkey % 5 <> 0 THEN TIMESTAMP '2024-01-31 00:00:00' - (INTERVAL 1 HOUR) * (s_suppkey % 24) END AS notified_at, CASE WHEN s_suppkey % 4 >= 2 THEN TIMESTAMP '2024-01-31 00:00:00' - (INTERVAL 1 MINUTE) * (s_suppkey % 10) END AS resolved_at, CAST(s_suppkey % 4 + 1 AS INT) AS fire_count
+FROM supplier CROSS JOIN (SELECT 'failing' AS k UNION ALL SELECT 'stale' UNION ALL SELECT 'blocked') AS ks"""
 _RANK = "CASE {0} WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'WARNING' THEN 2 ELSE 1 END"
-_RECONCILE = f"""schedule AS ({_SCHEDULE}), {_CANDIDATE}, active AS ({_ACTIVE}), c AS (SELECT dedup_key, max_by(severity, {_RANK.format('severity')}) AS severity FROM cand GROUP BY 1),
-j AS (SELECT coalesce(c.dedup_key, a.dedup_key) AS dedup_key, c.severity AS s, a.severity AS o, coalesce(state = 'ACTIVE', false) AS live, coalesce(epoch(TIMESTAMP '2024-01-31' - resolved_at) < 300, false) AS recent, epoch(TIMESTAMP '2024-01-31' - notified_at) >= 43200 AS due, fire_count FROM c FULL OUTER JOIN active a ON a.dedup_key = c.dedup_key),
-r AS (SELECT *, CASE WHEN s IS NULL THEN CASE WHEN live THEN 'RESOLVED' ELSE 'UNCHANGED' END WHEN NOT live AND recent THEN 'FLAP_SUPPRESSED' WHEN NOT live THEN 'FIRED' WHEN s <> o THEN 'UPDATED' WHEN due THEN 'REMINDED' ELSE 'UNCHANGED' END AS action FROM j),
-alerts AS (SELECT dedup_key, coalesce(s, o) AS severity, action, coalesce(fire_count, 0) + CASE WHEN action = 'FIRED' THEN 1 ELSE 0 END AS fire_count FROM r)"""
+_RECONCILE = f"""schedule AS ({_SCHEDULE}), {_CANDIDATE}, al AS ({_ALERTS}), c AS (SELECT dedup_key, max_by(severity, {_RANK.format('severity')}) AS severity FROM cand GROUP BY 1), f AS (SELECT * FROM al WHERE state = 'FIRING'), d AS (SELECT * FROM al WHERE state = 'RESOLVED'),
+keys AS (SELECT dedup_key FROM c UNION SELECT dedup_key FROM al),
+j AS (SELECT k.dedup_key, c.severity AS s, f.severity AS o, f.dedup_key IS NOT NULL AS live, f.fire_count AS n, coalesce(epoch(TIMESTAMP '2024-01-31' - coalesce(f.notified_at, f.first_fired_at)) >= 43200, true) AS due, coalesce(epoch(TIMESTAMP '2024-01-31' - d.resolved_at) < 300, false) AS recent, d.fire_count AS m FROM keys k LEFT JOIN c USING (dedup_key) LEFT JOIN f USING (dedup_key) LEFT JOIN d USING (dedup_key)),
+r AS (SELECT *, CASE WHEN s IS NULL THEN CASE WHEN live THEN 'RESOLVED' END WHEN live AND due THEN 'REMINDED' WHEN live OR recent THEN 'UPDATED' ELSE 'FIRED' END AS action, s IS NOT NULL AND NOT live AND recent AS flapping FROM j),
+alerts AS (SELECT dedup_key, coalesce(s, o) AS severity, action, CASE WHEN s IS NULL THEN n WHEN live THEN n + 1 WHEN flapping THEN m ELSE 1 END AS fire_count, flapping FROM r WHERE action IS NOT NULL)"""
 
 
 def _reconciled(spark, sf_dir):
     candidates = _candidates(spark, sf_dir)
-    return observe.reconcile_alerts(candidates, spark.sql(_ACTIVE), AS_OF)
+    return observe.reconcile_alerts(candidates, spark.sql(_ALERTS), AS_OF)
 
 
 @query(with_views(f"{_RECONCILE} SELECT * FROM alerts", "collector_state"))
@@ -156,10 +191,10 @@ def o8_reconcile_alerts(spark, sf_dir):
     return _reconciled(spark, sf_dir)
 
 
-@query(with_views(f"{_RECONCILE}, ch(channel, min_severity) AS (VALUES ('pager', 'CRITICAL'), ('mail', 'WARNING')) SELECT channel, dedup_key, severity, action FROM alerts JOIN ch ON {_RANK.format('severity')} >= {_RANK.format('min_severity')} WHERE action IN ('FIRED', 'UPDATED', 'REMINDED')", "collector_state"))
+@query(with_views(f"{_RECONCILE}, ch(channel, min_severity) AS (VALUES ('pager', 'CRITICAL'), ('mail', 'WARNING')) SELECT channel, dedup_key, severity, action FROM alerts JOIN ch ON {_RANK.format('severity')} >= {_RANK.format('min_severity')} WHERE action <> 'UPDATED'", "collector_state"))
 def o9_route_alerts(spark, sf_dir):
     channels = spark.createDataFrame([("pager", "CRITICAL"), ("mail", "WARNING")], "channel string, min_severity string")
-    return observe.route_alerts(_reconciled(spark, sf_dir).filter(F.col("action").isin("FIRED", "UPDATED", "REMINDED")), channels)
+    return observe.route_alerts(_reconciled(spark, sf_dir).filter("action != 'UPDATED'"), channels)
 
 
 @query(with_views("SELECT * FROM metric_series QUALIFY row_number() OVER (PARTITION BY dataset_urn, metric ORDER BY window_start DESC) = 1", "metric_series"))

@@ -4,25 +4,28 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
 
+from trustlake.operators import search
 from trustlake.plans.catalog import QUERIES
 
-TEXTS = {0: "Casa blanca casa", 1: None, 2: "", 3: "fooBar 42, ab", 4: "订单 of 用户订单", 5: " ".join(f"w{i % 977}" for i in range(20_000)), 6: "hot " * 5000}
+TEXTS = {0: "Casa blanca casa", 1: None, 2: "", 3: "fooBar 42, ab", 4: "订单 of 用户订单 a订b", 5: " ".join(f"w{i % 977}" for i in range(20_000)), 6: "hot " * 5000}
 
 
 def cells(text: str) -> dict[int, float]:
-    words = re.sub(r"[\W_]+", " ", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text)).lower().split()
-    # Han parts count once.
-    han = {run[i : i + 2] for run in re.findall(r"[一-鿿]+", text) for i in range(len(run) - 1)}
-    features = Counter([f"w:{w}" for w in words] + [f"g:{w[i : i + 3]}" for w in words for i in range(len(w) - 2)] + [f"h:{h}" for h in han])
     out: Counter = Counter()
-    for f, n in features.items():
-        h = int(hashlib.sha256(f.encode()).hexdigest()[:8], 16)
-        out[h % 256] += -n if h & (1 << 20) else n
+    for chunk in re.split(r"[^一-鿿a-z0-9]+", text.lower()):
+        if re.search("[一-鿿]", chunk):
+            features = [*chunk, *(chunk[i : i + 2] for i in range(len(chunk) - 1))]
+        else:
+            features = [chunk, *(chunk[i : i + 3] for i in range(len(chunk) - 2))] if chunk else []
+        for f in features:
+            digest = hashlib.sha256(f.encode()).digest()
+            out[int.from_bytes(digest[:4], signed=True) % 256] += -1 if digest[4] & 1 else 1
     norm = math.sqrt(sum(v * v for v in out.values()))
     return {i: v / norm for i, v in out.items() if v}
 
@@ -38,12 +41,13 @@ def test_documents_are_embedded_whole(spark, tmp_path):
         assert got[d] == pytest.approx(c, abs=2e-6)
 
 
-def test_hybrid_fuses_what_each_retriever_finds(spark, tmp_path):
+def test_hybrid_fuses_what_each_retriever_finds(spark):
     # Only words find "green ... apple" whole, only the glossary pear, only vectors the greenish apples.
     texts = {0: "green apple", 1: "a pear stood there", 2: "greenish apples", 3: "zzz qqq vvv"} | {i: f"filler{i} xyz{i}" for i in range(4, 40)}
-    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(7, "green apple pear more"), (8, "nowhere word")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = QUERIES["r3_hybrid_retrievers"](spark, str(tmp_path)).collect()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "green apple"), (8, "nowhere word")], "query_id long, text string")
+    terms = spark.createDataFrame([("pear", ["apple", "fruit"]), ("green", ["x"])], "name string, synonyms array<string>")
+    rows = search.hybrid(search.retriever_lists(queries, terms, docs)).collect()
     got = {r.doc_id: r for r in rows if r.query_id == 7}
     assert got[0].retrievers == ["lexical", "vector"] and got[0].rank == 1 and got[0].score == pytest.approx(round(2 / 61, 4))
     assert "glossary" in got[1].retrievers and "lexical" not in got[1].retrievers
@@ -51,3 +55,35 @@ def test_hybrid_fuses_what_each_retriever_finds(spark, tmp_path):
     # A query without words in the documents has only the list of the vectors.
     assert {tuple(r.retrievers) for r in rows if r.query_id == 8} == {("vector",)}
     assert max(r.rank for r in rows) == 10
+
+
+def test_places_in_one_list_add_up_and_ties_go_by_id(spark):
+    lists = spark.createDataFrame([(1, "glossary", 5, 1), (1, "glossary", 5, 3), (1, "lexical", 6, 1), (1, "vector", 4, 1)], "query_id int, retriever string, doc_id int, rank int")
+    got = [(r.doc_id, r.score) for r in search.hybrid(lists).orderBy("rank").collect()]
+    assert got == [(5, round(1 / 61 + 1 / 63, 4)), (4, round(1 / 61, 4)), (6, round(1 / 61, 4))]
+
+
+def test_newer_documents_come_first_among_equals(spark):
+    docs = spark.createDataFrame([(1, "a b", "2024-01-01"), (2, "a b", "2024-03-01"), (3, "a b", None), (4, "a a b", "2020-01-01")], "doc_id int, text string, at string")
+    queries = spark.createDataFrame([(1, "b a")], "query_id int, text string")
+    assert [r.doc_id for r in search.search(queries, docs, recency_col="at").orderBy("rank").collect()] == [4, 2, 1, 3]
+
+
+def test_vector_search_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = {i: [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(6)] for i in range(300)} | {300: None, 301: [0.0] * 6, 302: [1.0], 303: []}
+    vectors = spark.createDataFrame([(i, v) for i, v in rows.items()], "id long, vector array<double>").repartition(3)
+    queries = {"a": rows[5], "b": [1.0], "c": [0.0] * 6, "d": None, "e": [-v for v in rows[7]]}
+    asked = spark.createDataFrame(list(queries.items()), "query_id string, vector array<double>")
+
+    def cosine(x, y):
+        if not x or not y or len(x) != len(y) or not any(x) or not any(y):
+            return 0.0
+        return round(sum(a * b for a, b in zip(x, y)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y)), 6)
+
+    got = {}
+    for r in search.vector_search(asked, vectors, 7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, pytest.approx(r.score, abs=2e-6)))
+    for name, q in queries.items():
+        want = sorted(((-cosine(q, v), i) for i, v in rows.items()))[:7]
+        assert sorted(got[name], key=lambda x: x[0]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,16 +15,70 @@ from trustlake.functions import text
 
 RRF = 60
 DIMENSION = 256
-#: Rows of a query table that may be sent to all tasks; a larger one is joined by shuffle.
-BROADCAST_QUERIES = 10_000
+#: Queries of a block that is sent to all tasks; more queries make more blocks.
+BLOCK_QUERIES = 10_000
+#: Rows and queries that a task scores together.
+_ROWS, _QUERIES = 4096, 256
+#: Buckets of terms in a written index, and files of a bucket.
+BUCKETS, FILES = 256, 4
+
+
+def terms_of(c: Column) -> Column:
+    """All terms of a text, repeats included."""
+    return F.concat(text.tokens(c), text.han_terms(c))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (term, doc_id, tf)."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.concat(text.tokens(F.col(text_col)), text.han_terms(F.col(text_col)))).alias("term"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.explode(terms_of(F.col(text_col))).alias("term"))
     return own.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write a search index: postings and document frequencies by bucket of terms, and the number of documents with a term.
+
+    Postings lie in folders by bucket, sorted by term, so that a search reads the buckets and row groups of its terms.
+    """
+    posting = postings(docs, id_col, text_col).withColumn("bucket", bucket_of(F.col("term")))
+    file = F.pmod(F.xxhash64("doc_id"), F.lit(FILES))
+    posting.repartition("bucket", file).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    written = docs.sparkSession.read.parquet(f"{path}/postings")
+    written.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    docs.agg(F.count_if(F.size(terms_of(F.col(text_col))) > 0).alias("n")).write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``search`` over a written index: only the buckets that hold a query's term are read."""
+    terms = query_terms(queries)
+    # At most BUCKETS numbers.
+    wanted = [r[0] for r in terms.select(bucket_of(F.col("term")).alias("b")).distinct().collect()]
+    mine = lambda name: spark.read.parquet(f"{path}/{name}").filter(F.col("bucket").isin(wanted)).join(terms.select("term").distinct(), "term", "left_semi")
+    return rank_hits(terms, mine("postings").select("term", "doc_id", "tf"), mine("terms").select("term", "df"), spark.read.parquet(f"{path}/documents"), k)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
+
+
+def rank_hits(terms: DataFrame, posting: DataFrame, df: DataFrame, total: DataFrame, k: int, recency: DataFrame | None = None) -> DataFrame:
+    """Rows (query_id, doc_id, score, rank) of documents that hold all terms of a query, from postings of these terms, frequencies and a count."""
+    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    weight = F.col("tf") * F.log(1 + F.col("n") / F.col("df"))
+    # The count is one row.
+    hits = posting.join(terms, "term").join(df, "term").crossJoin(F.broadcast(total))
+    found = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("met"), F.round(F.sum(weight), 6).alias("score"))
+    full = found.join(wanted, "query_id").filter("met = wanted")
+    newest = []
+    if recency is not None:
+        full, newest = full.join(recency.select("doc_id", "updated_at"), "doc_id", "left"), [F.desc_nulls_last("updated_at")]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *newest, "doc_id")
+    return full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
 def build_search_docs(entity: DataFrame, aspects: DataFrame) -> DataFrame:
     """One document for each live entity, its aspects pivoted (R1). ``aspects``: urn, field, value, seq."""
     names = ["name", "path", "description", "tags", "synonyms"]
@@ -28,21 +87,20 @@ def build_search_docs(entity: DataFrame, aspects: DataFrame) -> DataFrame:
     return own.select("urn", text.search_text(*[F.col(c) for c in ["name", "urn", *names[1:]]]).alias("text"))
 
 
-def search(queries: DataFrame, posting: DataFrame, k: int = 10) -> DataFrame:
-    """Documents that hold all tokens of a query, by the sum of tf * idf, then id: rows (query_id, doc_id, score, rank) (R2).
+def search(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", recency_col: str | None = None) -> DataFrame:
+    """Documents that hold all terms of a query, by the sum of tf * idf, then the newest, then id: rows (query_id, doc_id, score, rank) (R2).
 
-    ``queries``: query_id, text. Documents are counted where a term is counted, so nothing leaves the cluster.
+    ``queries``: query_id, text. No index is needed: texts are cut in the scan, and only occurrences of the queries'
+    terms leave it.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.concat(text.tokens(F.col("text")), text.han_terms(F.col("text"))))).alias("term"))
-    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    hits = posting.join(terms, "term")
-    df = hits.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
-    total = posting.agg(F.count_distinct("doc_id").alias("n"))
-    weight = F.col("tf") * F.log(1 + F.col("n") / F.col("df"))
-    found = hits.join(df, "term").crossJoin(F.broadcast(total)).groupBy("query_id", "doc_id").agg(F.count("*").alias("met"), F.round(F.sum(weight), 6).alias("score"))
-    full = found.join(wanted, "query_id").filter("met = wanted")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    terms = query_terms(queries)
+    own = docs.select(F.col(id_col).alias("doc_id"), terms_of(F.col(text_col)).alias("terms"))
+    each = own.select("doc_id", F.explode("terms").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    posting = each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    df = posting.groupBy("term").agg(F.count("*").alias("df"))
+    total = own.agg(F.count_if(F.size("terms") > 0).alias("n"))
+    recency = None if recency_col is None else docs.select(F.col(id_col).alias("doc_id"), F.col(recency_col).alias("updated_at"))
+    return rank_hits(terms, posting, df, total, k, recency)
 
 
 def expand_queries(queries: DataFrame, terms: DataFrame) -> DataFrame:
@@ -55,42 +113,75 @@ def expand_queries(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return own.join(keys, "token").filter("text != token").select("query_id", "text").distinct()
 
 
+def glossary_lists(queries: DataFrame, terms: DataFrame, docs: DataFrame, k: int = 20, hits: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What a glossary adds: rows (query_id, doc_id, rank), one list for each query.
+
+    Each word of a query (of two letters or more) is searched in the terms' names and synonyms; the names of the best
+    ``hits`` terms that are not the word itself are searched in the documents. The lists of the terms follow each other in
+    the order of the words and of their hits. ``terms``: name, synonyms array<string>.
+    """
+    words = queries.select("query_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("place", "word")).filter(F.length("word") >= 2)
+    asked = words.select(F.struct("query_id", "place", "word").alias("query_id"), F.col("word").alias("text"))
+    named = terms.select("name", F.concat_ws(" ", F.array("name"), "synonyms").alias("text"))
+    met = search(asked, named, hits, "name").filter(F.lower("doc_id") != F.lower("query_id.word"))
+    expanded = met.select(F.struct(F.col("query_id.query_id").alias("query_id"), F.col("query_id.place").alias("place"), F.col("rank").alias("hit")).alias("query_id"), F.col("doc_id").alias("text"))
+    found = search(expanded, docs, k, id_col, text_col)
+    order = Window.partitionBy("query_id").orderBy("place", "hit", "own")
+    each = found.select("query_id.query_id", "query_id.place", "query_id.hit", F.col("rank").alias("own"), "doc_id")
+    return each.select("query_id", "doc_id", F.row_number().over(order).alias("rank"))
+
+
 def hybrid(lists: DataFrame, k: int = 10) -> DataFrame:
-    """Reciprocal rank fusion of rows (query_id, retriever, doc_id, rank); a retriever counts a document once, at its best rank."""
-    best = lists.groupBy("query_id", "retriever", "doc_id").agg(F.min("rank").alias("rank"))
-    fused = best.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (RRF + F.col("rank"))), 4).alias("score"), F.sort_array(F.collect_set("retriever")).alias("retrievers"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """Reciprocal rank fusion of rows (query_id, retriever, doc_id, rank); each place of a document in a list counts."""
+    # Rounded to far more places than a sum's order can touch.
+    total = F.round(F.sum(1 / (RRF + F.col("rank"))), 12)
+    fused = lists.groupBy("query_id", "doc_id").agg(total.alias("total"), F.sort_array(F.collect_set("retriever")).alias("retrievers"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("total"), "doc_id")
+    ranked = fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "doc_id", F.round("total", 4).alias("score"), "retrievers", "rank")
 
 
-def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimension: int = DIMENSION) -> DataFrame:
-    """Unit vectors by signed feature hashing of words, their three-letter parts and Han parts: rows (doc_id, vector).
+def features(c: Column) -> Column:
+    """What is hashed of a text: words of letters a-z and digits with their three-letter parts, and for runs with Han characters, these with their pairs."""
+    chunks = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{IsHan}a-z0-9]+"), lambda x: x != "")
+    han = F.filter(chunks, lambda x: x.rlike(r"\p{IsHan}"))
+    plain = F.filter(chunks, lambda x: ~x.rlike(r"\p{IsHan}"))
+    return F.concat(plain, text.grams(plain, 3), text.grams(han, 1), text.grams(han, 2))
+
+
+def hash_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimension: int = DIMENSION) -> DataFrame:
+    """Rows (doc_id, i, v): the sums of signed features by place, before they are made of length one.
 
-    Features are counted before they are hashed, so a frequent word is one row.
+    A feature's place is the first four bytes of its SHA-256, as a signed number, modulo the dimension; it is taken away
+    where the fifth byte is odd. Features are counted before they are hashed, so a frequent word is one row.
     """
-    words = text.tokens(F.col(text_col))
-    features = F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), F.transform(text.grams(words, 3), lambda g: F.concat(F.lit("g:"), g)), F.transform(text.han_terms(F.col(text_col)), lambda h: F.concat(F.lit("h:"), h)))
-    each = docs.select(F.col(id_col).alias("doc_id"), F.explode(features).alias("f")).groupBy("doc_id", "f").agg(F.count("*").alias("n"))
-    h = F.conv(F.substring(F.sha2("f", 256), 1, 8), 16, 10).cast("long")
-    cells = each.select("doc_id", F.pmod(h, F.lit(dimension)).cast("int").alias("i"), F.when(h.bitwiseAND(F.lit(1 << 20)) != 0, -F.col("n")).otherwise(F.col("n")).alias("v"))
-    sums = cells.groupBy("doc_id", "i").agg(F.sum("v").cast("double").alias("v"))
+    each = docs.select(F.col(id_col).alias("doc_id"), F.explode(features(F.col(text_col))).alias("f")).groupBy("doc_id", "f").agg(F.count("*").alias("n"))
+    digest = F.sha2("f", 256)
+    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    signed = F.when(number >= 1 << 31, number - (1 << 32)).otherwise(number)
+    odd = F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1
+    cells = each.select("doc_id", F.pmod(signed, F.lit(dimension)).cast("int").alias("i"), F.when(odd, -F.col("n")).otherwise(F.col("n")).alias("v"))
+    return cells.groupBy("doc_id", "i").agg(F.sum("v").cast("double").alias("v"))
+
+
+def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimension: int = DIMENSION) -> DataFrame:
+    """Unit vectors by signed feature hashing: rows (doc_id, vector); texts without a feature have none."""
+    sums = hash_cells(docs, id_col, text_col, dimension)
     by_doc = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     cell = lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) / F.col("norm")).otherwise(0.0)
     return by_doc.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), cell).alias("vector"))
 
 
 def retriever_lists(queries: DataFrame, terms: DataFrame, docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The k best documents of each query by words, by each glossary term it leads to, and by vectors: rows (query_id, retriever, doc_id, rank).
+    """The k best documents of each query by words, by the glossary terms it leads to, and by vectors: rows (query_id, retriever, doc_id, rank).
 
-    ``queries``: query_id, text; ``terms``: name, synonyms. Each term is a search of its own, so one term's words need not meet another's.
+    ``queries``: query_id, text; ``terms``: name, synonyms; ``docs``: already filtered by what may be seen.
     """
-    posting = postings(docs, id_col, text_col)
     named = lambda df, retriever: df.select("query_id", F.lit(retriever).alias("retriever"), "doc_id", "rank")
-    expanded = expand_queries(queries, terms).select(F.struct("query_id", "text").alias("query_id"), "text")
-    glossary = search(expanded, posting, k).withColumn("query_id", F.col("query_id.query_id"))
     asked = hash_embed(queries, "query_id").withColumnRenamed("doc_id", "query_id")
     near = vector_search(asked, hash_embed(docs, id_col, text_col).withColumnRenamed("doc_id", "id"), k).withColumnRenamed("id", "doc_id")
-    return named(search(queries, posting, k), "lexical").unionByName(named(glossary, "glossary")).unionByName(named(near, "vector"))
+    lists = named(search(queries, docs, k, id_col, text_col), "lexical").unionByName(named(glossary_lists(queries, terms, docs, k, 5, id_col, text_col), "glossary"))
+    return lists.unionByName(named(near, "vector"))
 
 
 def changed_docs(docs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -105,20 +196,68 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
+def unit_rows(vectors: pa.Array, length: int) -> np.ndarray:
+    """Vectors as rows of length one; null, of another length or zero: zeros, whose cosine is 0."""
+    out = np.zeros((len(vectors), length))
+    fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vectors), length), False).to_numpy(zero_copy_only=False))
+    if len(fits):
+        out[fits] = pc.fill_null(pc.cast(vectors.take(pa.array(fits)).flatten(), pa.float64()), float("nan")).to_numpy(zero_copy_only=False).reshape(-1, length)
+    norm = np.sqrt((out * out).sum(1))
+    good = norm > 0
+    out[~good] = 0
+    out[good] /= norm[good, None]
+    return out
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """The k nearest vectors by cosine of each stated query, then id: rows (query_id, id, score, rank).
 
     ``queries``: query_id, vector; ``vectors``: id, vector, already filtered by what may be seen. All vectors are scored:
-    they stay where they are and the stated queries come to them, in blocks. Within a block each query keeps k rows.
+    they stay where they are and the stated queries come to them, in blocks of BLOCK_QUERIES. A batch of rows sends on the
+    k best for each query, and a task the k best of its batches.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // BROADCAST_QUERIES))
-    own = queries.select("query_id", F.col("vector").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = None
+    spark = vectors.sparkSession
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    own = queries.select("query_id", "vector").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    parts = spark.createDataFrame([], schema)
     for b in range(blocks):
-        # At most about BROADCAST_QUERIES rows are sent.
-        scored = vectors.join(F.broadcast(own.filter(F.col("block") == b))).select("query_id", "id", F.round(cosine(F.col("q"), F.col("vector")), 6).alias("score"))
-        parts = scored if parts is None else parts.unionByName(scored)
+        # About BLOCK_QUERIES rows.
+        block = own.filter(F.col("block") == b).select("query_id", "vector").toArrow().combine_chunks()
+        if not block.num_rows:
+            continue
+        ids, wanted = block["query_id"].combine_chunks(), block["vector"].combine_chunks()
+        lengths = pc.list_value_length(wanted)
+        groups = []
+        for n in pc.unique(pc.fill_null(lengths, 0)).to_pylist():
+            at = pc.indices_nonzero(pc.equal(pc.fill_null(lengths, 0), n))
+            groups.append((ids.take(at), unit_rows(wanted.take(at), n)))
+        shared = spark.sparkContext.broadcast(groups)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, _ROWS):
+                    part = whole.slice(at, _ROWS)
+                    # Places are in the order of ids, which settles ties.
+                    part = part.take(pc.sort_indices(part.column("id")))
+                    for names, q in shared.value:
+                        rows = unit_rows(part.column("vector"), q.shape[1])
+                        for first in range(0, len(q), _QUERIES):
+                            scores = np.round(q[first : first + _QUERIES] @ rows.T, 6) + 0.0
+                            if scores.shape[1] > k:
+                                least = np.partition(scores, -k, axis=1)[:, -k, None]
+                                i, j = np.nonzero(scores >= least)
+                            else:
+                                i, j = (x.ravel() for x in np.indices(scores.shape))
+                            order = np.lexsort((j, -scores[i, j], i))
+                            i, j = i[order], j[order]
+                            starts = np.searchsorted(i, i, "left")
+                            few = np.arange(len(i)) - starts < k
+                            i, j = i[few], j[few]
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(i + first)), part.column("id").take(pa.array(j)), pa.array(scores[i, j])], ["query_id", "id", "score"])
+
+        parts = parts.unionByName(vectors.select("id", "vector").mapInArrow(run, schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -183,6 +322,18 @@ def inbox(suggestions: DataFrame, least: float = 0.5, limit: int = 100) -> DataF
     return suggestions.filter((F.col("status") == "PENDING") & (F.col("confidence") >= least)).orderBy(F.desc("confidence"), F.desc("created_at"), "urn").limit(limit)
 
 
+def accepted_writes(suggestions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What accepted suggestions write, as AI_GENERATED aspect writes for the merge by source; and verdicts that are refused.
+
+    ``suggestions``: suggestion_id, urn, aspect_type, field, value, status, reason, decided_at (which orders the writes).
+    A rejection without a reason is refused.
+    """
+    accepted = suggestions.filter("status = 'ACCEPTED'")
+    writes = accepted.select(F.unix_micros(F.col("decided_at").cast("timestamp")).alias("seq"), F.col("suggestion_id").cast("double").alias("tie"), "urn", "aspect_type", "field", "value", F.lit("AI_GENERATED").alias("source"))
+    refused = suggestions.filter((F.col("status") == "REJECTED") & (F.coalesce(F.trim("reason"), F.lit("")) == "")).select("suggestion_id", F.lit("a rejection needs a reason").alias("problem"))
+    return writes, refused
+
+
 def acceptance_rate(suggestions: DataFrame) -> DataFrame:
     """Per kind: reviewed ones and the share accepted, null when none was reviewed."""
     reviewed = F.count_if(F.col("status").isin("ACCEPTED", "REJECTED"))

@@ -200,7 +200,7 @@ def unit_rows(vectors: pa.Array, length: int) -> np.ndarray:
     """Vectors as rows of length one; null, of another length or zero: zeros, whose cosine is 0."""
     out = np.zeros((len(vectors), length))
     fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vectors), length), False).to_numpy(zero_copy_only=False))
-    if len(fits):
+    if len(fits) and length:
         out[fits] = pc.fill_null(pc.cast(vectors.take(pa.array(fits)).flatten(), pa.float64()), float("nan")).to_numpy(zero_copy_only=False).reshape(-1, length)
     norm = np.sqrt((out * out).sum(1))
     good = norm > 0

@@ -60,7 +60,7 @@ _LEADS = "SELECT DISTINCT lower(split_part(text, ' ', 3)) AS name, lower(split_p
 
 def _cells(table: str, key: str, words: str = "text") -> str:
     """SQL for the sums of signed features by place."""
-    return f"""(WITH w AS (SELECT {key} AS doc_id, list_filter(string_split_regex(lower(coalesce({words}, '')), '[^\p{{Han}}a-z0-9]+'), lambda x: x <> '') AS ws FROM {table}),
+    return rf"""(WITH w AS (SELECT {key} AS doc_id, list_filter(string_split_regex(lower(coalesce({words}, '')), '[^\p{{Han}}a-z0-9]+'), lambda x: x <> '') AS ws FROM {table}),
 f AS (SELECT doc_id, unnest(list_concat(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{{Han}}')), flatten(list_transform(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{{Han}}')), lambda x: list_transform(generate_series(1, length(x) - 2), lambda i: substr(x, i, 3)))),
 flatten(list_transform(list_filter(ws, lambda x: regexp_matches(x, '\p{{Han}}')), lambda x: list_concat(list_transform(generate_series(1, length(x)), lambda i: substr(x, i, 1)), list_transform(generate_series(1, length(x) - 1), lambda i: substr(x, i, 2))))))) AS f FROM w),
 n AS (SELECT doc_id, f, count(*) AS n, sha256(f) AS h FROM f GROUP BY 1, 2) SELECT doc_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 256 AS i, CAST(sum(CASE WHEN CAST('0x' || substr(h, 9, 2) AS BIGINT) % 2 = 1 THEN -n ELSE n END) AS DOUBLE) AS v FROM n GROUP BY 1, 2)"""
@@ -86,12 +86,12 @@ def r5_hash_embed_documents(spark, sf_dir):
 
 _FIRST_TWO = "array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ')"
 #: Three lists of 20 and their fusion. Glossary: words of two letters or more, terms that hold them, documents that hold the term's name.
-_FUSED = f"""{_POST}, ndoc AS (SELECT count(DISTINCT doc_id) AS n FROM post), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1), qs AS (SELECT item_id AS query_id, {_FIRST_TWO} AS text FROM benchmark),
+_FUSED = rf"""{_POST}, ndoc AS (SELECT count(DISTINCT doc_id) AS n FROM post), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1), qs AS (SELECT item_id AS query_id, {_FIRST_TWO} AS text FROM benchmark),
 qt AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('text')}) AS term FROM qs), wa AS (SELECT query_id, count(*) AS wanted FROM qt GROUP BY 1),
 fo AS (SELECT query_id, doc_id, count(*) AS met, round(sum(tf * ln(1 + n / df)), 6) AS score FROM post JOIN qt USING (term) JOIN dfs USING (term), ndoc GROUP BY 1, 2),
 lex AS (SELECT query_id, 'lexical' AS retriever, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fo JOIN wa USING (query_id) WHERE met = wanted QUALIFY rank <= 20),
 gl AS ({_LEADS}), gt AS (SELECT name, name || ' ' || string_agg(synonym, ' ') AS text FROM gl GROUP BY 1), gp AS (SELECT name, term, count(*) AS tf FROM (SELECT name, unnest({_TOKENS.format('text')}) AS term FROM gt) GROUP BY 1, 2), gn AS (SELECT count(DISTINCT name) AS n FROM gp), gd AS (SELECT term, count(*) AS df FROM gp GROUP BY 1),
-wd AS (SELECT query_id, generate_subscripts(string_split(trim(text), ' '), 1) AS place, unnest(string_split(trim(text), ' ')) AS word FROM qs), wt AS (SELECT DISTINCT query_id, place, word, unnest({_TOKENS.format('word')}) AS term FROM wd WHERE length(word) >= 2), ww AS (SELECT query_id, place, count(*) AS wanted FROM wt GROUP BY 1, 2),
+wd AS (SELECT query_id, generate_subscripts(string_split_regex(trim(text), '\s+'), 1) AS place, unnest(string_split_regex(trim(text), '\s+')) AS word FROM qs), wt AS (SELECT DISTINCT query_id, place, word, unnest({_TOKENS.format('word')}) AS term FROM wd WHERE length(word) >= 2), ww AS (SELECT query_id, place, count(*) AS wanted FROM wt GROUP BY 1, 2),
 gf AS (SELECT query_id, place, word, name, count(*) AS met, round(sum(tf * ln(1 + n / df)), 6) AS score FROM gp JOIN wt USING (term) JOIN gd USING (term), gn GROUP BY 1, 2, 3, 4),
 gh AS (SELECT query_id, place, word, name, row_number() OVER (PARTITION BY query_id, place ORDER BY score DESC, name) AS hit FROM gf JOIN ww USING (query_id, place) WHERE met = wanted QUALIFY hit <= 5),
 et AS (SELECT DISTINCT query_id, place, hit, unnest({_TOKENS.format('name')}) AS term FROM gh WHERE lower(name) <> lower(word)), ew AS (SELECT query_id, place, hit, count(*) AS wanted FROM et GROUP BY 1, 2, 3),
@@ -175,7 +175,7 @@ _SIGNS = "客户订单明用细表数据"
 _HAN = f"SELECT c_custkey AS id, substr('{_SIGNS}', CAST(c_custkey % 9 + 1 AS INT), CAST(c_custkey % 5 + 1 AS INT)) || CASE c_custkey % 3 WHEN 0 THEN 'ab，' WHEN 1 THEN ' ' ELSE '' END || substr('{_SIGNS}', CAST(c_nationkey % 8 + 1 AS INT), CAST(c_nationkey % 3 AS INT)) AS name FROM customer"
 
 
-@query(f"""
+@query(rf"""
 WITH c AS ({_HAN}), r AS (SELECT id, name, regexp_extract_all(name, '\p{{Han}}+') AS runs FROM c),
 g AS (SELECT id, name, list_concat(flatten(list_transform(runs, lambda x: list_transform(generate_series(1, length(x) - 1), lambda i: substr(x, i, 2)))), list_filter(runs, lambda x: length(x) = 1)) AS terms FROM r)
 SELECT id, name, list_sort(list_distinct(terms)) AS terms, list_filter(['客户', '用细', '订单'], lambda w: contains(name, w)) AS words FROM g""")

@@ -13,15 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, a test) a temporary folder is made and set.
+    Only a local session that has none gets a temporary folder; on a cluster that is an error, since no executor would
+    see the driver's.
     """
     conf = spark.sparkContext.getConf()
     folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-trustlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return qualified(spark, folder)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and the authority that Spark reads and writes it under."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -40,6 +49,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` has written, once nothing that is still to be computed reads it."""
+    spark = table.sparkSession
+    root = f"{shared_dir(spark)}/trustlake/"
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.makeQualified(path).toString().startswith(root):
+            files.delete(path, True)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
     """The strings of a column, null as the empty string."""
     for value in batch.column(batch.schema.get_field_index(name)):

@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import column, materialize, utf8
+from trustlake.llm.common import column, discard, materialize, utf8
 
 SHINGLE = 4
 MAX_BITS = 4
 PIVOTS = 32
 SLICE_ROWS = 4096
+#: Ids that may be sent to all tasks, about 8 MB.
+BROADCAST_IDS = 1_000_000
 _CHUNK = 32_768
 
 
@@ -214,8 +216,9 @@ def stars(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return edges.select(F.col("a").alias("root"), F.col("b").alias("node"))
-        state = now
+        state, before = now, edges
         edges = materialize(star(star(edges, True), False), "links")
+        discard(before)
 
 
 def near_duplicate_groups(
@@ -240,13 +243,18 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def representatives(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their group, and those without an id. ``groups``: doc_id, component_id."""
-    kept = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    kept = materialize(kept, "representatives")
-    unnamed = docs.filter(F.col(id_col).isNull())
-    # The kept ids grow with the corpus, so they are never broadcast.
-    out = docs.join(kept.filter("__n = 1").hint("merge"), F.col(id_col) == F.col("__id"), "left_semi").unionByName(unnamed)
-    if kept.filter("__n > 1").isEmpty():
+    """The rows of ``docs`` that name their group, and those without an id. ``groups``: doc_id, component_id.
+
+    What goes is taken out by its ids. Up to BROADCAST_IDS of them are sent to the texts, so that these stay where they
+    are; more are joined by shuffle.
+    """
+    named = groups.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("__n"))
+    named = materialize(named.filter("__n != 1"), "representatives")
+    gone, again = named.filter("__n = 0").select("__id"), named.filter("__n > 1").select("__id")
+    sent = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    here = F.col(id_col) == F.col("__id")
+    out = docs.join(sent(gone), here, "left_anti")
+    if again.isEmpty():
         return out
-    again = docs.join(kept.filter("__n > 1"), F.col(id_col) == F.col("__id"), "left_semi")
-    return out.unionByName(again.dropDuplicates([id_col, text_col]))
+    more = sent(again)
+    return out.join(more, here, "left_anti").unionByName(out.join(more, here, "left_semi").dropDuplicates([id_col, text_col]))

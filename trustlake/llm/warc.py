@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import column, materialize, new_folder, utf8
+from trustlake.llm.common import column, materialize, new_folder, qualified, utf8
 
 #: A file is closed at this size; neighbouring ranges join over gaps up to GAP and up to READ bytes.
 FILE_BYTES = 256 << 20
@@ -76,15 +76,23 @@ def parse(data: bytes) -> dict:
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder in the form Spark writes it."""
-    if re.match(r"file:/(?!/)", path):
-        path = "file://" + path[len("file:") :]
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    """The file system of a folder in the form Spark writes it; a path without a scheme is the worker's own, so ``qualified`` comes first.
+
+    ``s3a`` and ``s3n``, the names of S3 in Hadoop, are ``s3`` in pyarrow.
+    """
+    path = re.sub(r"^file:/(?!/)", "file:///", re.sub(r"^s3[an]://", "s3://", path))
+    if "://" not in path:
+        raise ValueError(f"{path} has no scheme")
+    return fs.FileSystem.from_uri(path)
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0, file_bytes: int = FILE_BYTES, date: str = DATE) -> DataFrame:
-    """Write the archives into ``folder`` and return their index, a written table with the columns of INDEX."""
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    """Write the archives into ``folder`` and return their index, a written table with the columns of INDEX.
+
+    Ids that are no numbers are null in the index.
+    """
+    folder = qualified(pages.sparkSession, folder)
+    own = pages.select(F.col(id_col).try_cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     keyed = own.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     narrow = own.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("n"))
     repeated = narrow.filter(F.col("n") >= revisit_bytes).groupBy("sha").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
@@ -131,6 +139,7 @@ def read_records(index: DataFrame, folder: str, payload: bool = True, read_bytes
     a revisit). A response's size and digest are computed from the bytes read; a record that differs from its index
     row fails the read.
     """
+    folder = qualified(index.sparkSession, folder)
     wanted = (
         index.select("file", "offset", "length", "payload_digest", F.floor(F.col("offset") / read_bytes).alias("span"))
         .repartition("file", "span")

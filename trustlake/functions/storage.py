@@ -1,16 +1,19 @@
-"""The folder that all executors share, and cutting a plan's lineage in it."""
+"""The folder that all executors share, cutting a plan's lineage in it, and cleaning up."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (a local session, a test), a temporary folder, set as such."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``. Only a local session that has none gets a temporary folder; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-trustlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -18,7 +21,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/trustlake/{label}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a DataFrame in the shared folder."""
+    """A reliable checkpoint of a DataFrame in the shared folder; Spark deletes its files once the plan is gone, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table from ``written``, once nothing that is still to be computed reads it."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if "/trustlake/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

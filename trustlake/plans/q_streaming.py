@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trustlake.functions.storage import shared_folder
+from trustlake.functions.storage import new_path, shared_folder
 from trustlake.plans.fixtures import load, with_views
 from trustlake.plans.registry import query
 from trustlake.sources import ingest
@@ -30,11 +30,41 @@ def _collected(spark, stream, mode):
     return spark.read.schema(schema).parquet(f"{out}/rows")
 
 
-@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def _folder(spark, sf_dir, table="events", files=6):
+    """A table in a folder of several files, which a stream takes one by one."""
+    path = new_path(spark, table)
+    load(spark, sf_dir, table).repartitionByRange(files, "event_id").write.parquet(path)
+    return path
+
+
+_INDEXED = "WITH l AS (SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)"
+
+
+def _indexed(spark, sf_dir, compact=False):
+    """An index by several micro-batches; the last event of an erring user takes the user out."""
+    out = new_path(spark, "index")
+    events = jobs.event_stream(spark, _folder(spark, sf_dir), 1).withColumn("deleted", F.col("event_type") == "error")
+    jobs.run_available(jobs.index_events(events, f"{out}/docs", f"{out}/checkpoint", ["user_id"], "event_id"))
+    if compact:
+        jobs.compact_index(spark, f"{out}/docs", f"{out}/compact", ["user_id"], "event_id")
+    return f"{out}/compact" if compact else f"{out}/docs"
+
+
+@query(f"{_INDEXED} SELECT * FROM l WHERE event_type <> 'error'")
 def st1_index_stream(spark, sf_dir):
-    out = f"{shared_folder(spark)}/trustlake/index-{uuid.uuid4().hex}"
-    jobs.run_available(jobs.index_events(_events(spark, sf_dir), f"{out}/docs", f"{out}/checkpoint", ["user_id"], "event_id"))
-    return jobs.read_index(spark, f"{out}/docs", ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+    return jobs.read_index(spark, _indexed(spark, sf_dir), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+@query(f"{_INDEXED} SELECT * FROM l WHERE event_type <> 'error'")
+def st1_compacted_index(spark, sf_dir):
+    return jobs.read_index(spark, _indexed(spark, sf_dir, True), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT max(event_id) AS reached, max(event_id) + 5 AS offset, 5 AS lag FROM events")
+def st1_index_progress(spark, sf_dir):
+    events = load(spark, sf_dir, "events").select("event_id")
+    late = events.orderBy(F.desc("event_id")).limit(5).select(F.col("event_id") + 5)
+    return jobs.index_progress(spark, _indexed(spark, sf_dir), events.union(late), "event_id")
 
 
 @query("WITH d AS (SELECT DISTINCT 'u' || user_id AS actor, 'app.' || event_type AS resource, upper(event_type) AS operation, event_id FROM events WHERE event_id % 97 <> 0) SELECT actor, resource, operation, count(*) AS n FROM d GROUP BY 1, 2, 3")
@@ -48,19 +78,62 @@ def st2_audit_stream(spark, sf_dir):
     return found.groupBy("actor", "resource", "operation").agg(F.count("*").alias("n"))
 
 
+_TWICE = "WITH d AS (SELECT event_id, ts, 'u' || user_id AS actor, 'app.' || event_type AS resource, event_type FROM events WHERE event_id % 97 <> 0)"
+
+
+def _audited(spark, sf_dir):
+    """Each event three times: twice in its own micro-batch, once more in another."""
+    first, again = _folder(spark, sf_dir), new_path(spark, "again")
+    own = spark.read.parquet(first).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    own.repartitionByRange(4, "event_id").write.parquet(again)
+    spark.read.parquet(first).withColumn("copy", F.lit(2)).repartitionByRange(3, F.desc("event_id")).write.mode("append").parquet(again)
+    e = jobs.event_stream(spark, again, 1)
+    raw = e.select(
+        F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("query_id"), F.col("ts").cast("timestamp").alias("event_time"), F.when(F.col("event_id") % 97 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("actor"), F.col("event_type").alias("operation"), F.concat(F.lit("app."), F.col("event_type")).alias("resource_raw")
+    )
+    entity = load(spark, sf_dir, "events").filter("event_type != 'error'").select(F.concat(F.lit("app."), F.col("event_type")).alias("name"), F.concat(F.lit("urn:asset:Dataset:prod.app."), F.col("event_type")).alias("urn")).distinct()
+    out = new_path(spark, "audit")
+    jobs.run_available(jobs.ingest_audit_stream(raw, entity, "eng", out, f"{out}/checkpoint"))
+    return out
+
+
+@query(f"{_TWICE} SELECT sha256('eng|q' || event_id) AS record_hash, actor, resource, upper(event_type) AS operation, CASE WHEN event_type <> 'error' THEN 'urn:asset:Dataset:prod.app.' || event_type END AS urn FROM d")
+def st2_audit_records(spark, sf_dir):
+    return spark.read.parquet(f"{_audited(spark, sf_dir)}/records").select("record_hash", "actor", "resource", "operation", "urn")
+
+
+@query(f"{_TWICE} SELECT 3 * (SELECT count(*) FROM events) AS received, 3 * (SELECT count(*) FROM events WHERE event_id % 97 = 0) AS rejected, count(*) AS accepted, 2 * count(*) AS duplicated, count(*) FILTER (event_type = 'error') AS unresolved, min(ts) AS first_event, max(ts) AS last_event FROM d")
+def st2_audit_counters(spark, sf_dir):
+    counters = spark.read.parquet(f"{_audited(spark, sf_dir)}/counters")
+    sums = [F.sum(c).alias(c) for c in ("received", "rejected", "accepted", "duplicated", "unresolved")]
+    return counters.agg(*sums, F.min("first_event").cast("timestamp_ntz").alias("first_event"), F.max("last_event").cast("timestamp_ntz").alias("last_event"))
+
+
 @query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS value_num FROM events GROUP BY 1, 2")
 def st4_daily_stream(spark, sf_dir):
     return _collected(spark, jobs.daily_metrics(_events(spark, sf_dir), "ts", ["event_type"], "40 days"), "complete")
 
 
-_SIGNAL = "SELECT 'k' || CAST(user_id % 97 AS STRING) AS dedup_key, ts AS at, event_type <> 'purchase' AS firing, CASE WHEN event_id % 5 = 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM events"
+_KEYS = 97
+#: Evaluations by second up to ten minutes before the last event, then the state of each key from one to the next.
+_ALERTS = f"""
+WITH RECURSIVE sig AS (SELECT 'k' || (user_id % {_KEYS}) AS k, date_trunc('second', ts) AS tm, event_type <> 'purchase' AS firing, CASE WHEN event_id % 5 = 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM events),
+ev AS (SELECT k, tm, bool_or(firing) AS firing, CASE WHEN bool_or(firing AND severity = 'CRITICAL') OR (NOT bool_or(firing) AND bool_or(severity = 'CRITICAL')) THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM sig GROUP BY 1, 2),
+n AS (SELECT *, epoch(tm) AS t, row_number() OVER (PARTITION BY k ORDER BY tm) AS i FROM ev WHERE tm + INTERVAL 1 SECOND <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE),
+st(k, i, tm, live, severity, notified, resolved, fires, action) AS (SELECT DISTINCT k, 0::BIGINT, NULL::TIMESTAMP, false, '', 0::DOUBLE, -1e18::DOUBLE, 0, NULL::VARCHAR FROM n UNION ALL
+SELECT s.k, n.i, n.tm, CASE WHEN s.live THEN n.firing ELSE n.firing AND n.t - s.resolved >= 300 END, CASE WHEN NOT s.live AND n.firing AND n.t - s.resolved >= 300 THEN n.severity ELSE s.severity END,
+CASE WHEN n.firing AND (s.live AND n.t - s.notified >= 43200 OR NOT s.live AND n.t - s.resolved >= 300) THEN n.t ELSE s.notified END, CASE WHEN s.live AND NOT n.firing THEN n.t ELSE s.resolved END,
+CASE WHEN s.live AND n.firing THEN s.fires + 1 WHEN NOT s.live AND n.firing AND n.t - s.resolved >= 300 THEN 1 ELSE s.fires END,
+CASE WHEN s.live AND n.firing THEN CASE WHEN n.t - s.notified >= 43200 THEN 'REMINDED' END WHEN s.live THEN 'RESOLVED' WHEN n.firing THEN CASE WHEN n.t - s.resolved < 300 THEN 'FLAP_SUPPRESSED' ELSE 'FIRED' END END
+FROM st s JOIN n ON n.k = s.k AND n.i = s.i + 1)
+SELECT k AS dedup_key, tm AS "at", action, severity, fires AS fire_count FROM st WHERE action IS NOT NULL"""
 
 
-@query()
+@query(_ALERTS)
 def st3_alert_stream(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    signals = e.select(F.concat(F.lit("k"), (F.col("user_id") % 97).cast("string")).alias("dedup_key"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "purchase").alias("firing"), F.when(F.col("event_id") % 5 == 0, "CRITICAL").otherwise("WARNING").alias("severity"))
-    return _collected(spark, jobs.alert_actions(signals), "append")
+    e = jobs.event_stream(spark, _folder(spark, sf_dir), 2)
+    signals = e.select(F.concat(F.lit("k"), (F.col("user_id") % _KEYS).cast("string")).alias("dedup_key"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "purchase").alias("firing"), F.when(F.col("event_id") % 5 == 0, "CRITICAL").otherwise("WARNING").alias("severity"))
+    return _collected(spark, jobs.alert_actions(signals), "append").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query("SELECT 'n.c' || user_id AS from_name, 'n.o' || event_id AS to_name, 'table' AS level, 'DIRECT' AS transform, 0.95::DOUBLE AS confidence FROM events UNION ALL SELECT 'n.c' || user_id || '.y', 'n.o' || event_id || '.x', 'column', CASE WHEN event_id % 3 = 0 THEN 'MASKED' WHEN event_id % 2 = 1 THEN 'INDIRECT' ELSE 'DIRECT' END, 0.95 FROM events")

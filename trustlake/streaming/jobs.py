@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from trustlake.operators import access
 from trustlake.operators.metadata import latest_by
+from trustlake.operators.observe import severity_rank
 
 REMIND_SECONDS = 12 * 3600
 COOLDOWN_SECONDS = 300
@@ -36,8 +37,8 @@ def run_available(query, timeout: int | None = None) -> None:
 def index_events(events: DataFrame, out: str, checkpoint: str, keys: list[str], seq: str):
     """The latest event of each key in each micro-batch, appended with its batch number (ST1).
 
-    At least once: a batch that is run again writes the same folder anew, so replays change nothing. Readers take
-    ``latest_by`` over batches; a rebuild is a run with a new checkpoint.
+    At least once: a batch that is run again writes the same folder anew, so replays change nothing. An event with
+    ``deleted`` true takes its key out. Readers take the latest over batches; a rebuild is a run with a new checkpoint.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -47,8 +48,23 @@ def index_events(events: DataFrame, out: str, checkpoint: str, keys: list[str],
 
 
 def read_index(spark: SparkSession, out: str, keys: list[str], seq: str) -> DataFrame:
-    """The index as of now: the latest event of each key over all batches (ST1)."""
-    return latest_by(spark.read.parquet(f"{out}/*"), keys, seq).drop("batch")
+    """The index as of now: the latest event of each key over all batches, keys that it deletes left out (ST1)."""
+    last = latest_by(spark.read.parquet(f"{out}/*"), keys, seq).drop("batch")
+    return last.filter(~F.coalesce("deleted", F.lit(False))).drop("deleted") if "deleted" in last.columns else last
+
+
+def compact_index(spark: SparkSession, out: str, target: str, keys: list[str], seq: str) -> None:
+    """Write all batches of ``out`` as one batch of ``target``, with what is deleted, so that older events stay behind (ST1)."""
+    last = latest_by(spark.read.parquet(f"{out}/*"), keys, seq)
+    last.write.mode("overwrite").parquet(f"{target}/batch={0:08d}")
+
+
+def index_progress(spark: SparkSession, out: str, events: DataFrame, seq: str) -> DataFrame:
+    """One row: the offset that the index has reached, that of the events, and how many events it lags behind (ST1)."""
+    reached = spark.read.parquet(f"{out}/*").agg(F.max(seq).alias("reached"))
+    # One row.
+    both = events.crossJoin(F.broadcast(reached))
+    return both.agg(F.max("reached").alias("reached"), F.max(seq).alias("offset"), F.count_if(F.col("reached").isNull() | (F.col(seq) > F.col("reached"))).alias("lag"))
 
 
 def audit_stream(raw: DataFrame, engine: str, late: str = "7 days") -> DataFrame:
@@ -57,6 +73,27 @@ def audit_stream(raw: DataFrame, engine: str, late: str = "7 days") -> DataFrame
     return ok.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["record_hash"])
 
 
+def ingest_audit_stream(raw: DataFrame, entity: DataFrame, engine: str, out: str, checkpoint: str):
+    """Audit records by micro-batch, each once over all batches, with their URN; and a row of counters for each batch (ST2).
+
+    Records go to ``out``/records, counters (batch, received, rejected, accepted, duplicated, unresolved, first_event,
+    last_event) to ``out``/counters. A batch that is run again is compared with the batches before it only, so it writes
+    the same again. ``entity``: name, urn.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/records")
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        none = spark.createDataFrame([], "record_hash string")
+        held = spark.read.parquet(f"{out}/records").filter(F.col("batch") < number).select("record_hash") if there else none
+        new, counts = access.ingest_audit(batch, entity, held, engine)
+        new.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
+        counts.write.mode("overwrite").parquet(f"{out}/counters/batch={number}")
+
+    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def daily_metrics(events: DataFrame, time_col: str, keys: list[str], late: str = "1 day") -> DataFrame:
     """Row counts per key and day, events later than the watermark left out (ST4)."""
     day = F.window(F.col("__t"), "1 day")
@@ -65,51 +102,88 @@ def daily_metrics(events: DataFrame, time_col: str, keys: list[str], late: str =
 
 STATE = "state string, severity string, notified double, resolved double, fires int"
 ACTION = "dedup_key string, at timestamp, action string, severity string, fire_count int"
-
-
 START = ("RESOLVED", "", 0.0, float("-inf"), 0)
 _COLUMNS = ["dedup_key", "at", "action", "severity", "fire_count"]
 
 
-def advance(key: str, state: tuple, signals: pd.DataFrame, remind: int, cooldown: int) -> tuple[tuple, pd.DataFrame]:
-    """The state of a key after some signals, and the actions on the way."""
+def evaluations(signals: DataFrame, late: str | None = None) -> DataFrame:
+    """One evaluation of a key for each second that has a signal: rows (dedup_key, at, firing, severity).
+
+    It fires if any signal of the second does, with their worst severity. A key has so few rows then, however many signals
+    it has, and they are counted where they are before any is sent. With ``late``, for streams, seconds come out once the
+    watermark has passed them, so that an evaluation never comes after a later one; what comes later is left out.
+    """
+    own = signals.withColumn("at", F.col("at").cast("timestamp"))
+    own = own.withWatermark("at", late) if late else own
+    firing = F.coalesce("firing", F.lit(False))
+    worst = F.max_by("severity", F.when(firing, severity_rank(F.col("severity"))).otherwise(-1))
+    each = own.groupBy(F.window("at", "1 second"), "dedup_key").agg(F.max(firing).alias("firing"), worst.alias("severity"))
+    return each.select("dedup_key", F.col("window.start").alias("at"), "firing", F.coalesce("severity", F.lit("")).alias("severity"), F.window_time("window").alias("event_time"))
+
+
+def advance(key: str, state: tuple, rows: pd.DataFrame, remind: int, cooldown: int) -> tuple[tuple, pd.DataFrame]:
+    """The state of a key after some evaluations, and the actions on the way."""
     now, severity, notified, resolved, fires = state
-    rows = []
-    for r in signals.sort_values(["at", "severity"]).itertuples():
+    out = []
+    for r in rows.sort_values("at").itertuples():
         t, action = r.at.timestamp(), None
-        if now == "ACTIVE":
-            if not r.firing:
-                now, resolved, action = "RESOLVED", t, "RESOLVED"
-            elif r.severity != severity:
-                severity, notified, action = r.severity, t, "UPDATED"
-            elif t - notified >= remind:
+        if now == "FIRING" and r.firing:
+            fires += 1
+            if t - notified >= remind:
                 notified, action = t, "REMINDED"
+        elif now == "FIRING":
+            now, resolved, action = "RESOLVED", t, "RESOLVED"
+        elif r.firing and t - resolved < cooldown:
+            action = "FLAP_SUPPRESSED"
         elif r.firing:
-            if t - resolved < cooldown:
-                action = "FLAP_SUPPRESSED"
-            else:
-                now, severity, notified, fires, action = "ACTIVE", r.severity, t, fires + 1, "FIRED"
+            now, severity, notified, fires, action = "FIRING", r.severity, t, 1, "FIRED"
         if action:
-            rows.append((key, r.at, action, severity, fires))
-    return (now, severity, notified, resolved, fires), pd.DataFrame(rows, columns=_COLUMNS)
+            out.append((key, r.at, action, severity, fires))
+    return (now, severity, notified, resolved, fires), pd.DataFrame(out, columns=_COLUMNS)
 
 
-def alert_actions(signals: DataFrame, remind: int = REMIND_SECONDS, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
-    """Alert actions of a stream of signals (dedup_key, at, firing, severity), with the state of each key kept (ST3).
+class AlertProcessor(StatefulProcessor):
+    """Holds an alert's state for each key, and a timer that drops it once a resolved key's cooldown is over."""
 
-    A key fires once, is updated when its severity changes, reminded every ``remind`` seconds, and resolved by a signal
-    that does not fire; within ``cooldown`` of that a new signal is a suppressed flap. Signals of a key in a micro-batch
-    are taken in the order of their time.
-    """
+    def __init__(self, remind: int, cooldown: int):
+        self.remind, self.cooldown = remind, cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.alert = handle.getValueState("alert", STATE)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new, actions = advance(key[0], state.get if state.exists else START, pd.concat(list(batches)), remind, cooldown)
-        state.update(new)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # A row for each second at most.
+        held = self.alert.get()
+        new, actions = advance(key[0], held if held is not None else START, pd.concat(list(rows)), self.remind, self.cooldown)
+        self.alert.update(new)
+        if new[0] == "RESOLVED" and new[3] > 0:
+            self.handle.registerTimer(int((new[3] + self.cooldown) * 1000) + 1)
         yield actions
 
-    return signals.groupBy("dedup_key").applyInPandasWithState(step, ACTION, STATE, "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.alert.get()
+        if held is not None and held[0] == "RESOLVED" and (held[3] + self.cooldown) * 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.alert.clear()
+        yield pd.DataFrame([], columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def alert_actions(signals: DataFrame, remind: int = REMIND_SECONDS, cooldown: int = COOLDOWN_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """Alert actions of a stream of signals (dedup_key, at, firing, severity), with the state of each key kept (ST3).
+
+    A key fires once; each further evaluation counts, and one that is ``remind`` seconds or more after the last
+    notification reminds; one that does not fire resolves it, and within ``cooldown`` seconds of that a new one is a
+    suppressed flap. A resolved key's state is dropped by a timer once its cooldown is over. Keys with state need the
+    RocksDB store, which is set for the session.
+    """
+    signals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = evaluations(signals, late).groupBy("dedup_key")
+    return keyed.transformWithStateInPandas(AlertProcessor(remind, cooldown), ACTION, "Append", "EventTime")
 
 
 def alerts_batch(signals: DataFrame, remind: int = REMIND_SECONDS, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
     """The same actions over a whole table of signals."""
-    return signals.groupBy("dedup_key").applyInPandas(lambda key, rows: advance(key[0], START, rows, remind, cooldown)[1], ACTION)
+    return evaluations(signals).drop("event_time").groupBy("dedup_key").applyInPandas(lambda key, rows: advance(key[0], START, rows, remind, cooldown)[1], ACTION)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trustlake.functions.storage import cut_lineage
+from trustlake.functions.storage import written
 
 # The edge types that are lineage, parse confidence, and the weights of an impact.
 LINEAGE_TYPES = ["derivesFrom", "consumedBy"]
@@ -28,16 +28,17 @@ def closure(edge: DataFrame, roots: DataFrame, direction: str = "down", max_dept
     """Nodes within ``max_depth`` hops of each root, with the least depth: rows (root, urn, depth), roots left out (G1).
 
     One hop is one join of the frontier with the edges, then an anti join with what has been met, so cycles end and a
-    node is expanded once for each root. Each hop is written to the shared folder. ``None`` goes on to the end.
+    node is expanded once for each root. Edges and hops are written to the shared folder; what Spark then knows of a
+    frontier's size lets it send a small one to the edges, which stay where they are. ``None`` goes on to the end.
     """
     near, far = ("from_urn", "to_urn") if direction == "down" else ("to_urn", "from_urn")
-    steps = cut_lineage(edge.select(F.col(near).alias("urn"), F.col(far).alias("next")).distinct())
-    seen = frontier = cut_lineage(roots.select("root", F.col("root").alias("urn"), F.lit(0).alias("depth")).distinct())
+    steps = written(edge.select(F.col(near).alias("urn"), F.col(far).alias("next")).distinct(), "steps")
+    seen = frontier = written(roots.select("root", F.col("root").alias("urn"), F.lit(0).alias("depth")).distinct(), "hop")
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
         new = frontier.join(steps, "urn").select("root", F.col("next").alias("urn")).distinct().join(seen.select("root", "urn"), ["root", "urn"], "left_anti")
-        frontier = cut_lineage(new.withColumn("depth", F.lit(depth)))
+        frontier = written(new.withColumn("depth", F.lit(depth)), "hop")
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
@@ -116,21 +117,30 @@ def shortest_paths(edge: DataFrame, pairs: DataFrame, max_depth: int = 12, min_c
 
     Of equal paths, at each node the one from the least parent is kept, with the strongest edge between the two.
     """
-    steps = cut_lineage(edge.filter((F.col("state") == "ACTIVE") & (F.col("confidence") >= min_confidence)).groupBy("from_urn", "to_urn").agg(F.max("confidence").alias("c")))
-    asked = cut_lineage(pairs.select("source", "target").distinct())
-    start = asked.select("source", "target", F.col("source").alias("at"), F.array("source").alias("path"), F.lit(1.0).alias("weakest"))
-    frontier, seen, done = cut_lineage(start), start.select("source", "target", "at"), start.filter("at = target")
-    for _ in range(max_depth):
-        going = frontier.join(done.select("source", "target"), ["source", "target"], "left_anti")
-        step = going.join(steps, F.col("at") == F.col("from_urn")).select("source", "target", F.col("to_urn").alias("at"), F.struct(F.col("at").alias("parent"), "path", F.least("weakest", "c").alias("weakest")).alias("via"))
-        best = step.groupBy("source", "target", "at").agg(F.min("via").alias("via")).join(seen, ["source", "target", "at"], "left_anti")
-        frontier = cut_lineage(best.select("source", "target", "at", F.concat("via.path", F.array("at")).alias("path"), "via.weakest"))
-        if frontier.isEmpty():
+    keys = ["source", "target"]
+    steps = written(edge.filter((F.col("state") == "ACTIVE") & (F.col("confidence") >= min_confidence)).groupBy("from_urn", "to_urn").agg(F.max("confidence").alias("c")), "steps")
+    asked = written(pairs.select(*keys).distinct(), "pairs")
+    start = asked.select(*keys, F.col("source").alias("at"), F.lit(None).cast("string").alias("parent"), F.lit(1.0).alias("weakest"))
+    levels, seen = [written(start, "hop")], start.select(*keys, "at")
+    done = start.filter("at = target").select(*keys, "weakest", F.lit(0).alias("hops"))
+    for depth in range(1, max_depth + 1):
+        going = levels[-1].join(done.select(*keys), keys, "left_anti")
+        step = going.join(steps, F.col("at") == F.col("from_urn")).select(*keys, F.col("to_urn").alias("at"), F.struct(F.col("at").alias("parent"), F.least("weakest", "c").alias("weakest")).alias("via"))
+        best = step.groupBy(*keys, "at").agg(F.min("via").alias("via")).join(seen, [*keys, "at"], "left_anti")
+        level = written(best.select(*keys, "at", "via.parent", "via.weakest"), "hop")
+        if level.isEmpty():
             break
-        seen = seen.unionByName(frontier.select("source", "target", "at"))
-        done = done.unionByName(frontier.filter("at = target"))
-    out = asked.join(done.select("source", "target", "path", F.col("weakest").alias("confidence")), ["source", "target"], "left")
-    return out.select("source", "target", F.col("path").isNotNull().alias("found"), (F.size("path") - 1).alias("hops"), "path", "confidence")
+        levels.append(level)
+        seen = seen.unionByName(level.select(*keys, "at"))
+        done = done.unionByName(level.filter("at = target").select(*keys, "weakest", F.lit(depth).alias("hops")))
+    # Paths are put together at the end, from each target back over the parents.
+    path = written(done, "found").withColumns({"at": F.col("target"), "path": F.array("target")})
+    for depth in range(len(levels) - 1, 0, -1):
+        up = levels[depth].select(*keys, "at", "parent").withColumn("hop", F.lit(depth))
+        path = path.join(up, [*keys, "at"], "left").withColumn("on", F.coalesce(F.col("hops") >= F.col("hop"), F.lit(False)))
+        path = path.select(*keys, "weakest", "hops", F.when(F.col("on"), F.col("parent")).otherwise(F.col("at")).alias("at"), F.when(F.col("on"), F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path"))
+    out = asked.join(path.select(*keys, "path", "hops", F.col("weakest").alias("confidence")), keys, "left")
+    return out.select(*keys, F.col("hops").isNotNull().alias("found"), "hops", "path", "confidence")
 
 
 def cascade_delete(edge: DataFrame, entity: DataFrame, roots: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trustlake.functions.storage import cut_lineage
+from trustlake.functions.storage import written
 
 # Priority of sources; the limits of the deletion guard.
 PRIORITY = {"MANUAL": 40, "IMPORTED": 30, "AI_GENERATED": 20, "AUTO_COLLECTED": 10}
@@ -198,7 +198,7 @@ def emit_events(df: DataFrame, batch_id: int, order: list[str], bits: int = 40)
     written; the rows of each range are counted, and a place is what stands before the range and the place within it. It
     depends on the rows alone, not on where the ranges were cut, so a batch that is run again gets the same numbers.
     """
-    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    dealt = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "events")
     counts = dealt.groupBy("__range").agg(F.count("*").alias("n"))
     # One row for each partition.
     before = counts.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")

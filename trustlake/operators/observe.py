@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trustlake.functions.storage import cut_lineage
+from trustlake.functions.storage import written
 from trustlake.operators.graph import closure
 from trustlake.operators.metadata import latest_by
 
@@ -138,7 +138,7 @@ def open_incidents(found: DataFrame, incidents: DataFrame, edge: DataFrame, hops
     held = incidents.filter(F.col("status").isin("OPEN", "MITIGATING")).select("dataset_urn")
     new = found.filter("flagged").join(held, "dataset_urn", "left_anti")
     worst = new.groupBy("dataset_urn").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.count("*").alias("anomalies"))
-    worst = cut_lineage(worst)
+    worst = written(worst, "incidents")
     roots = worst.select(F.col("dataset_urn").alias("root"))
     down = closure(edge, roots, "down", hops).unionByName(roots.select("root", F.col("root").alias("urn"), F.lit(0).alias("depth")))
     affected = down.select(F.col("root").alias("dataset_urn"), "urn", "depth")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trustlake.functions import types as kinds
+from trustlake.functions.storage import written
 
 SENSITIVE = ("L3", "L4")
 TOP = 5
@@ -18,30 +19,64 @@ def rounded(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
-def value_statistics(df: DataFrame, fields: list[tuple[int, str, T.DataType]]) -> DataFrame:
-    """One row: a map from a column's place to its exact distinct count and percentiles.
+def counted_values(df: DataFrame, fields: list[tuple[int, str, T.DataType]]) -> DataFrame:
+    """Rows (i, number, n): each distinct value of each column, by the column's place, with its count; ``number`` only of numbers.
 
-    Cells are counted as (place, value) first, so each task sends a value once however often it has met it, and what
-    follows works on counted values.
+    Each column is grouped for itself, so only it is read, in its own type, and a task sends a value once however often
+    it has met it.
+    """
+    out = None
+    for i, name, kind in fields:
+        c = F.col(f"`{name}`")
+        own = df.select(c.alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+        # Adding zero makes a negative zero a plain one.
+        number = (F.col("value") + F.lit(0)).cast("double") if kinds.is_numeric(kind) else F.lit(None).cast("double")
+        own = own.select(F.lit(i).alias("i"), number.alias("number"), "n")
+        out = own if out is None else out.unionByName(own)
+    return written(out, "counted-values")
+
+
+def exact_percentiles(counted: DataFrame, wanted: list[tuple[int, float]]) -> DataFrame:
+    """Rows (i, p, value): percentiles by place (rank p * (count - 1), between neighbours in proportion) of counted numbers.
+
+    The counted values are dealt out by ranges, each range adds up its counts, and a percentile's neighbours are looked
+    for in the ranges that hold their ranks; so no task holds the values of a column.
     """
-    floating = lambda kind: isinstance(kind, (T.DoubleType, T.FloatType))
-    # Floating values stay numbers; all others are told apart by their text.
-    text = lambda c, kind: F.lit(None).cast("string") if floating(kind) else c.cast("string")
-    real = lambda c, kind: (c + F.lit(0.0)).cast("double") if floating(kind) else F.lit(None).cast("double")
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), text(F.col(f"`{name}`"), kind).alias("value"), real(F.col(f"`{name}`"), kind).alias("real")) for i, name, kind in fields])
-    counted = df.select(F.inline(cells)).filter("value IS NOT NULL OR real IS NOT NULL").groupBy("i", "value", "real").agg(F.count("*").alias("n"))
-    numbers = [i for i, _, kind in fields if kinds.is_numeric(kind)]
-    number = F.coalesce("real", F.when(F.col("i").isin(numbers), F.col("value").try_cast("double")))
-    by_column = counted.groupBy("i").agg(F.count("*").alias("d"), *[F.percentile(number, F.lit(p), F.col("n")).alias(f"p{int(p * 100)}") for p in PERCENTILES])
-    return by_column.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("d", *[f"p{int(p * 100)}" for p in PERCENTILES])))).alias("__values"))
+    spark = counted.sparkSession
+    own = counted.filter("number IS NOT NULL").repartitionByRange("i", "number").select("i", "number", "n", F.spark_partition_id().alias("part"))
+    own = written(own, "ranges")
+    # A row for each column and partition.
+    sums = own.groupBy("i", "part").agg(F.sum("n").alias("held"))
+    sums = sums.withColumn("before", F.sum("held").over(Window.partitionBy("i").orderBy("part")) - F.col("held")).withColumn("total", F.sum("held").over(Window.partitionBy("i"))).select("i", "part", "before", "total")
+    running = own.withColumn("upto", F.sum("n").over(Window.partitionBy("i", "part").orderBy("number"))).join(F.broadcast(sums), ["i", "part"])
+    first, last = F.col("before") + F.col("upto") - F.col("n"), F.col("before") + F.col("upto") - 1
+    asked = spark.createDataFrame(list(dict.fromkeys(wanted)), "i int, p double")
+    each = running.select("i", "number", "total", first.alias("first"), last.alias("last")).join(F.broadcast(asked), "i")
+    rank = F.col("p") * (F.col("total") - 1)
+    at = lambda c: F.max(F.when((F.col("first") <= c) & (c <= F.col("last")), F.col("number")))
+    found = each.groupBy("i", "p").agg(at(F.floor(rank)).alias("low"), at(F.ceil(rank)).alias("high"), F.max(rank - F.floor(rank)).alias("share"))
+    return found.select("i", "p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("value"))
+
+
+def value_statistics(df: DataFrame, fields: list[tuple[int, str, T.DataType]]) -> DataFrame:
+    """One row: maps from a column's place to its exact distinct count, and to its percentiles by name."""
+    counted = counted_values(df, fields)
+    numbers = [(i, p) for i, _, kind in fields if kinds.is_numeric(kind) for p in PERCENTILES]
+    distinct = counted.groupBy("i").agg(F.count("*").alias("d")).agg(F.map_from_entries(F.collect_list(F.struct("i", "d"))).alias("__distinct"))
+    if not numbers:
+        return distinct.withColumn("__percentiles", F.create_map().cast("map<string,double>"))
+    key = F.concat_ws(":", "i", F.concat(F.lit("p"), F.round(F.col("p") * 100).cast("int")))
+    places = exact_percentiles(counted, numbers).agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), "value"))).alias("__percentiles"))
+    # Both sides are one row.
+    return distinct.crossJoin(places)
 
 
 def profile(df: DataFrame, classification: dict[str, str] | None = None, exact: bool = True) -> DataFrame:
     """Long rows (column_name, metric, value_num, value_text, precision) of all columns.
 
-    Counts, extremes and lengths take one aggregation of one row. Distinct counts and percentiles are exact and take one
-    more pass, or are sketches in the same pass, marked ESTIMATED, with ``exact=False``; sketches merge from partial
-    results, so that form is the one for large tables. Minimum and maximum of sensitive columns are left out.
+    Counts, extremes and lengths take one aggregation of one row. Distinct counts and percentiles are exact and take a
+    grouping of each column more, or are sketches in the same pass, marked ESTIMATED, with ``exact=False``; sketches merge
+    from partial results and need no shuffle of values. Minimum and maximum of sensitive columns are left out.
     """
     classification = classification or {}
     aggs, rows, fields = [F.count(F.lit(1)).alias("__total")], [], []
@@ -53,7 +88,6 @@ def profile(df: DataFrame, classification: dict[str, str] | None = None, exact:
         total, n_col = F.col("__total"), F.col(f"{n}_n")
         num = lambda metric, v, p="EXACT": rows.append((f.name, metric, rounded(v), F.lit(None).cast("string"), p))  # noqa: B023, E731
         text = lambda metric, v: rows.append((f.name, metric, F.lit(None).cast("double"), v, "EXACT"))  # noqa: B023, E731
-        own = F.try_element_at("__values", F.lit(i))
         num("total", total)
         num("non_null", n_col)
         num("null_count", total - n_col)
@@ -62,7 +96,7 @@ def profile(df: DataFrame, classification: dict[str, str] | None = None, exact:
             fields.append((i, f.name, f.dataType))
             if not exact:
                 aggs.append(F.approx_count_distinct(c, 0.01).alias(f"{n}_d"))
-            num("distinct_count", F.coalesce(own["d"], F.lit(0)) if exact else F.col(f"{n}_d"), how)
+            num("distinct_count", F.coalesce(F.try_element_at("__distinct", F.lit(i)), F.lit(0)) if exact else F.col(f"{n}_d"), how)
         if kinds.orderable(f.dataType) and classification.get(f.name, "L2") not in SENSITIVE:
             # Adding zero makes a negative zero a plain one, so that the text does not depend on the order of rows.
             value = c + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
@@ -78,7 +112,7 @@ def profile(df: DataFrame, classification: dict[str, str] | None = None, exact:
                 name = f"p{int(p * 100)}"
                 if not exact:
                     aggs.append(F.percentile_approx(c, p, 10_000).alias(f"{n}_{name}"))
-                num(name, own[name] if exact else F.col(f"{n}_{name}"), how)
+                num(name, F.try_element_at("__percentiles", F.lit(f"{i}:{name}")) if exact else F.col(f"{n}_{name}"), how)
     struct = [F.struct(F.lit(a).alias("column_name"), F.lit(m).alias("metric"), v.alias("value_num"), t.alias("value_text"), F.lit(p).alias("precision")) for a, m, v, t, p in rows]
     wide = df.agg(*aggs)
     if exact and fields:

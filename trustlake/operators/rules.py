@@ -8,6 +8,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustlake.operators.profile import counted_values, exact_percentiles
+
 # Check templates and the metric each measures.
 TEMPLATES = {
     "notNull": "null_count",
@@ -91,14 +93,8 @@ def _measure(metric: str, columns: list[str], args: dict[str, str], as_of: str)
         return F.when(total > 0, F.count_if(c.isNull()) / total).otherwise(0.0)
     if metric == "missing_count":
         return F.count_if(c.isNull() | (c.cast("string") == "")).cast("double")
-    if metric == "distinct_count":
-        return F.count_distinct(c).cast("double")
-    if metric == "duplicate_ratio":
-        return F.when(F.count(c) > 0, 1 - F.count_distinct(c) / F.count(c)).otherwise(0.0)
     if metric == "freshness_seconds":
         return (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.max(c).cast("timestamp"))).cast("double")
-    if metric == "percentile":
-        return F.percentile(c, F.lit(float(args.get("p", "0.5"))))
     if metric == "pattern_match_rate":
         return F.when(F.count(c) > 0, F.count_if(c.cast("string").rlike(args.get("regex", ""))) / F.count(c)).otherwise(1.0)
     if metric == "accepted_values":
@@ -118,13 +114,35 @@ def orphan_count(child: DataFrame, parent: DataFrame, child_key: str, parent_key
     return left.agg(F.count("*").cast("double").alias("value"))
 
 
+def value_metrics(df: DataFrame, rules: list) -> DataFrame:
+    """Rows (rule_id, value) of distinct counts, duplicate ratios and percentiles, from the counted values of the columns they need."""
+    names = sorted({r.columns[0] for r in rules})
+    counted = counted_values(df, [(i, n, df.schema[n].dataType) for i, n in enumerate(names)])
+    spark = df.sparkSession
+    of = {"distinct_count": F.col("d"), "duplicate_ratio": F.when(F.col("rows") > 0, 1 - F.col("d") / F.col("rows")).otherwise(0.0)}
+    plain = [(r.rule_id, names.index(r.columns[0]), r.metric) for r in rules if r.metric in of]
+    places = [(r.rule_id, names.index(r.columns[0]), float(r.args.get("p", "0.5"))) for r in rules if r.metric == "percentile"]
+    sums = counted.groupBy("i").agg(F.count("*").alias("d"), F.sum("n").alias("rows")).fillna(0)
+    value = F.when(F.col("metric") == "distinct_count", of["distinct_count"]).otherwise(of["duplicate_ratio"])
+    # Rules are a short list; a column without values has no row.
+    asked = spark.createDataFrame(plain, "rule_id string, i int, metric string").join(sums, "i", "left").fillna(0, ["d", "rows"])
+    out = asked.select("rule_id", value.cast("double").alias("value"))
+    if places:
+        found = exact_percentiles(counted, [(i, p) for _, i, p in places])
+        out = out.unionByName(spark.createDataFrame(places, "rule_id string, i int, p double").join(found, ["i", "p"], "left").select("rule_id", "value"))
+    return out
+
+
 def measure_rules(tables: dict[str, DataFrame], rules: list, as_of: str) -> DataFrame | None:
-    """Rows (rule_id, value): all plain metrics of a table in one aggregation, the others in one each."""
-    fused, alone = defaultdict(list), []
+    """Rows (rule_id, value): all plain metrics of a table in one aggregation, those of values by columns, the others in one each."""
+    fused, alone, valued = defaultdict(list), [], defaultdict(list)
     for r in rules:
         df = tables.get(r.table_name)
         if r.problem or df is None or any(c not in df.columns for c in r.columns):
             continue
+        if r.metric in ("distinct_count", "duplicate_ratio", "percentile"):
+            valued[r.table_name].append(r)
+            continue
         own = _measure(r.metric, r.columns, r.args, as_of)
         if own is not None:
             fused[r.table_name].append((r.rule_id, own))
@@ -143,6 +161,7 @@ def measure_rules(tables: dict[str, DataFrame], rules: list, as_of: str) -> Data
     for name, own in fused.items():
         wide = tables[name].agg(*[m.alias(f"m{i}") for i, (_, m) in enumerate(own)])
         parts.append(wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("rule_id"), F.col(f"m{k}").cast("double").alias("value")) for k, (i, _) in enumerate(own)]))))
+    parts += [value_metrics(tables[name], own) for name, own in valued.items()]
     parts += [v.select(F.lit(i).alias("rule_id"), "value") for i, v in alone]
     out = None
     for p in parts:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trustlake.operators import search
+from trustlake.functions.storage import new_path
+from trustlake.operators import access, search
 from trustlake.plans.fixtures import TABLES, load, with_views
 from trustlake.plans.registry import query
 from trustlake.sources import ingest
@@ -97,16 +98,24 @@ def s6_dashboard_charts(spark, sf_dir):
     return _dashboards(spark, sf_dir)[1]
 
 
-def lineage_events(orders):
-    """A run event per order: one input, one output with a column that is masked or not."""
+def lineage_events(orders, at_input=False):
+    """A run event per order: one input, one output, and column lineage that is masked or not, at the output or the input.
+
+    At the input, every fifth names no table.
+    """
     c, o = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")
+    table = F.when(F.lit(at_input) & (F.col("o_orderkey") % 5 == 0), " ").otherwise(F.concat(F.lit("c"), c))
+    facet = F.concat(
+        F.lit(',"facets":{"columnLineage":{"fields":{"x":{"inputFields":[{"namespace":"n","name":"'), table, F.lit('","field":"y","transformations":[{"type":"'), F.when(F.col("o_orderkey") % 2 == 0, "DIRECT").otherwise("INDIRECT"),
+        F.lit('","masking":'), F.when(F.col("o_orderkey") % 3 == 0, "true").otherwise("false"), F.lit("}]}]}}}}"),
+    )
+    none = F.lit("")
     return orders.select(
         F.concat(
-            F.lit('{"eventTime":"2024-01-01","inputs":[{"namespace":"n","name":"c'), c, F.lit('"}],"outputs":[{"namespace":"n","name":"o'), o,
-            F.lit('","facets":{"columnLineage":{"fields":{"x":{"inputFields":[{"namespace":"n","name":"c'), c, F.lit('","field":"y","transformations":[{"type":"'), F.when(F.col("o_orderkey") % 2 == 0, "DIRECT").otherwise("INDIRECT"),
-            F.lit('","masking":'), F.when(F.col("o_orderkey") % 3 == 0, "true").otherwise("false"), F.lit("}]}]}}}}}]}"),
+            F.lit('{"eventTime":"2024-01-01","inputs":[{"namespace":"n","name":"c'), c, F.lit('"'), facet if at_input else none,
+            F.lit('}],"outputs":[{"namespace":"n","name":"o'), o, F.lit('"'), none if at_input else facet, F.lit("}]}"),
         ).alias("json")
-    )
+    )
 
 
 @query("""
@@ -116,6 +125,35 @@ def s7_openlineage_edges(spark, sf_dir):
     return ingest.openlineage_edges(lineage_events(load(spark, sf_dir, "orders")))
 
 
+@query("""
+SELECT 'n.c' || o_custkey AS from_name, 'n.o' || o_orderkey AS to_name, 'table' AS level, 'DIRECT' AS transform, 0.95::DOUBLE AS confidence FROM orders
+UNION ALL SELECT 'n.c' || o_custkey || '.y', 'n.o' || o_orderkey || '.x', 'column', CASE WHEN o_orderkey % 3 = 0 THEN 'MASKED' WHEN o_orderkey % 2 = 1 THEN 'INDIRECT' ELSE 'DIRECT' END, 0.95 FROM orders WHERE o_orderkey % 5 <> 0""")
+def s7_input_facets(spark, sf_dir):
+    return ingest.openlineage_edges(lineage_events(load(spark, sf_dir, "orders"), True))
+
+
+_LOGGED = "SELECT 'q' || CAST(event_id AS STRING) AS queryId, CAST(ts AS STRING) AS eventTime, 'u' || CAST(user_id AS STRING) AS user, 'app.' || event_type AS `table`, event_type AS op FROM events"
+
+
+@query("SELECT k AS kind, 'q' || event_id AS query_id, ts AS event_time, 'u' || user_id AS actor, 'app.' || event_type AS resource, upper(event_type) AS operation FROM events, (VALUES ('jsonl'), ('csv'), ('json')) v(k)")
+def s8_audit_log(spark, sf_dir):
+    """The events as a log in each form, written, read back and brought under common names."""
+    load(spark, sf_dir, "events").createOrReplaceTempView("events")
+    log, out = spark.sql(_LOGGED), None
+    for kind in ("jsonl", "csv", "json"):
+        path = new_path(spark, f"log-{kind}")
+        if kind == "jsonl":
+            log.write.json(path)
+        elif kind == "csv":
+            log.write.option("header", True).csv(path)
+        else:
+            # One document for each hundred users.
+            log.groupBy(F.pmod(F.xxhash64("user"), F.lit(100)).alias("b")).agg(F.collect_list(F.struct(*log.columns)).alias("records")).select("records").repartition(100).write.json(path)
+        own = access.normalize_audit(ingest.read_audit_log(spark, path, kind))[0].select(F.lit(kind).alias("kind"), "query_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "actor", "resource", "operation")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def _sunk(spark, sf_dir):
     own = load(spark, sf_dir, "part").select(F.lit("wh").alias("platform"), F.col("p_brand").alias("schema_name"), F.col("p_name").alias("table_name"), F.array(F.col("p_type")).alias("columns"))
     return ingest.sink_datasets(own)

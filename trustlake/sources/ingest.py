@@ -119,28 +119,47 @@ def dashboard_edges(dashboards: DataFrame, charts: DataFrame, entity: DataFrame)
     return edges, out.select("dashboard_id", "chart_name", "resolved")
 
 
-RUN_EVENT = "struct<eventTime:string,inputs:array<struct<namespace:string,name:string>>,outputs:array<struct<namespace:string,name:string,facets:struct<columnLineage:struct<fields:map<string,struct<inputFields:array<struct<namespace:string,name:string,field:string,transformations:array<struct<type:string,masking:boolean>>>>>>>>>>>"
+_LINEAGE = "struct<columnLineage:struct<fields:map<string,struct<inputFields:array<struct<namespace:string,name:string,field:string,transformations:array<struct<type:string,masking:boolean>>>>>>>>"
+RUN_EVENT = f"struct<eventTime:string,inputs:array<struct<namespace:string,name:string,facets:{_LINEAGE}>>,outputs:array<struct<namespace:string,name:string,facets:{_LINEAGE}>>>"
 
 
 def openlineage_edges(events: DataFrame, json_col: str = "json") -> DataFrame:
-    """Table and column edges of run events, batch or stream (S7): rows (from_name, to_name, level, transform, confidence)."""
-    e = events.select(F.from_json(F.col(json_col), RUN_EVENT).alias("e"))
+    """Table and column edges of run events, batch or stream (S7): rows (from_name, to_name, level, transform, confidence).
+
+    Column lineage is an output's facet; where an output has none, that of the event's first input stands for it, since
+    some producers put it there. Input fields without a table or a column are left out.
+    """
+    e = events.select(F.from_json(F.col(json_col), RUN_EVENT).alias("e")).select("e.outputs", F.coalesce("e.inputs", F.from_json(F.lit("[]"), f"array<struct<namespace:string,name:string,facets:{_LINEAGE}>>")).alias("inputs"))
     name = lambda s: F.concat_ws(".", s["namespace"], s["name"])
-    pairs = F.flatten(F.transform("e.outputs", lambda o: F.transform(F.coalesce("e.inputs", F.array().cast("array<struct<namespace:string,name:string>>")), lambda i: F.struct(name(i).alias("from_name"), name(o).alias("to_name"), F.lit("table").alias("level"), F.lit("DIRECT").alias("transform")))))
+    pairs = F.flatten(F.transform("outputs", lambda o: F.transform("inputs", lambda i: F.struct(name(i).alias("from_name"), name(o).alias("to_name"), F.lit("table").alias("level"), F.lit("DIRECT").alias("transform")))))
+    of_input = F.get("inputs", F.lit(0))["facets"]["columnLineage"]["fields"]
 
     def of_field(o: Column, f: Column) -> Column:
         kind = lambda i: F.when(F.exists(i["transformations"], lambda t: F.coalesce(t["masking"], F.lit(False))), "MASKED").when(F.exists(i["transformations"], lambda t: t["type"] == "INDIRECT"), "INDIRECT").otherwise("DIRECT")
-        return F.transform(f["value"]["inputFields"], lambda i: F.struct(F.concat_ws(".", i["namespace"], i["name"], i["field"]).alias("from_name"), F.concat_ws(".", o["namespace"], o["name"], f["key"]).alias("to_name"), F.lit("column").alias("level"), kind(i).alias("transform")))
+        there = F.filter(f["value"]["inputFields"], lambda i: (F.trim(i["name"]) != "") & (F.trim(i["field"]) != ""))
+        return F.transform(there, lambda i: F.struct(F.concat_ws(".", i["namespace"], i["name"], i["field"]).alias("from_name"), F.concat_ws(".", o["namespace"], o["name"], f["key"]).alias("to_name"), F.lit("column").alias("level"), kind(i).alias("transform")))
 
-    fields = F.flatten(F.transform("e.outputs", lambda o: F.flatten(F.transform(F.map_entries(F.coalesce(o["facets"]["columnLineage"]["fields"], F.create_map().cast("map<string,struct<inputFields:array<struct<namespace:string,name:string,field:string,transformations:array<struct<type:string,masking:boolean>>>>>>"))), lambda f: of_field(o, f)))))
+    # flatten is null if one of the arrays is.
+    known = lambda o: F.filter(F.map_entries(F.coalesce(o["facets"]["columnLineage"]["fields"], of_input)), lambda f: f["value"]["inputFields"].isNotNull())
+    none = F.from_json(F.lit("[]"), "array<struct<from_name:string,to_name:string,level:string,transform:string>>")
+    fields = F.flatten(F.transform("outputs", lambda o: F.coalesce(F.flatten(F.transform(known(o), lambda f: of_field(o, f))), none)))
     return e.select(F.explode(F.concat(pairs, fields)).alias("x")).select("x.*", F.lit(EVENT_CONFIDENCE).alias("confidence"))
 
 
+#: Names under which a JSON document may hold its records.
+RECORD_KEYS = ["records", "data", "queries", "events"]
+
+
 def read_audit_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """An audit log of JSON lines, JSON or CSV, as it is."""
+    """An audit log as it is, nothing parsed or filled in (S8): ``jsonl``, ``csv`` with a header, or ``json``, a document that is an array of records or holds one."""
     if kind == "csv":
-        return spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    return spark.read.option("multiLine", kind == "json").json(path)
+        df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+        return df.withColumnsRenamed({c: c.removeprefix("\ufeff") for c in df.columns})
+    if kind not in ("jsonl", "json"):
+        raise ValueError(f"unknown kind of log {kind}")
+    df = spark.read.option("multiLine", kind == "json").json(path)
+    held = [k for k in RECORD_KEYS if kind == "json" and k in df.columns and df.schema[k].dataType.typeName() == "array"]
+    return df.select(F.inline(held[0])) if held else df
 
 
 def sink_datasets(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

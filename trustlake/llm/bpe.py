@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import column, texts
+from trustlake.llm.common import column, in_small_batches, texts
 
 Coder = Callable[[list[str]], list[bytes]]
 
@@ -227,7 +227,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), ids], ["doc_id", "ids"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return in_small_batches(own).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:
@@ -245,4 +245,4 @@ def decode(coded: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:
             out = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
-    return coded.mapInArrow(run, schema)
+    return in_small_batches(coded).mapInArrow(run, schema)

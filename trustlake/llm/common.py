@@ -60,6 +60,18 @@ def discard(table: DataFrame) -> None:
             files.delete(path, True)
 
 
+#: Rows of an Arrow batch; the JVM and the worker each hold one, however long its texts are.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session rows go to Python in batches of BATCH_ROWS at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
     """The strings of a column, null as the empty string."""
     for value in batch.column(batch.schema.get_field_index(name)):

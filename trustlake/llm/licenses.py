@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import column, texts
+from trustlake.llm.common import column, in_small_batches, texts
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -241,4 +241,4 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
             )
 
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, f"row long, doc_id {kind}, license string, windows long, first_word long, containment double")
+    return in_small_batches(own).mapInArrow(run, f"row long, doc_id {kind}, license string, windows long, first_word long, containment double")

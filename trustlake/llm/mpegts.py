@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import column
+from trustlake.llm.common import column, in_small_batches
 
 PACKET = 188
 UNIT_BYTES = 3072
@@ -240,7 +240,7 @@ def store(df: DataFrame, payload_col: str, media_col: str = "media", unit: int =
                 media = pa.array([mux(p.as_py() or b"", unit) for p in column(batch, payload_col)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, media], [*names, media_col])
 
-    return df.mapInArrow(run, schema_of(df) + f", `{media_col}` binary")
+    return in_small_batches(df).mapInArrow(run, schema_of(df) + f", `{media_col}` binary")
 
 
 def read(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -256,7 +256,7 @@ def read(df: DataFrame, media_col: str = "media") -> DataFrame:
                 cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*names, *results])
 
-    return df.mapInArrow(run, f"{schema_of(df)}, {FOUND}")
+    return in_small_batches(df).mapInArrow(run, f"{schema_of(df)}, {FOUND}")
 
 
 def parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.llm.bpe import ChunkMemo
-from trustlake.llm.common import column, texts
+from trustlake.llm.common import column, in_small_batches, texts
 
 CAPACITY = 1024
 END_ID = 0
@@ -186,4 +186,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield made()
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, f"doc_id {kind}, {SCHEMA}" + ", ids array<int>" * with_ids)
+    return in_small_batches(own).mapInArrow(run, f"doc_id {kind}, {SCHEMA}" + ", ids array<int>" * with_ids)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import column, materialize, texts
+from trustlake.llm.common import column, in_small_batches, materialize, texts
 
 # The kinds in their order, and the patterns they stand for.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -84,7 +84,7 @@ def scan_rows(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_
     own = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("text")
     )
-    return materialize(own.mapInArrow(run, f"row long, doc_id {kind}, owner string, repo string, candidates {CANDIDATE}"), "secret-scan")
+    return materialize(in_small_batches(own).mapInArrow(run, f"row long, doc_id {kind}, owner string, repo string, candidates {CANDIDATE}"), "secret-scan")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:

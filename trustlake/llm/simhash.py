@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import column, discard, materialize, utf8
+from trustlake.llm.common import column, discard, in_small_batches, materialize, utf8
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, f"doc_id {kind}, fp long")
+    return in_small_batches(own).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def block_masks(max_bits: int = MAX_BITS) -> list[int]:
@@ -192,7 +192,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS, s
         if len(fps):
             yield solved(key, fps)
 
-    return groups.mapInArrow(run, "a long, b long").distinct()
+    return in_small_batches(groups).mapInArrow(run, "a long, b long").distinct()
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:

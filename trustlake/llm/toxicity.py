@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import column, texts
+from trustlake.llm.common import column, in_small_batches, texts
 
 DECAY = 0.6
 WINDOW, STRIDE = 9, 3
@@ -318,7 +318,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 scores = own.scores(sentences.of(list(texts(part)))) if own else [0.0] * part.num_rows
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return in_small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -335,4 +335,4 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", thr
                     part = part.filter(pa.array([s < threshold for s in own.scores(sentences.of(list(texts(part, text_col))))], pa.bool_()))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

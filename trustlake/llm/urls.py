@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import column, materialize, texts
+from trustlake.llm.common import column, in_small_batches, materialize, texts
 
 # The rules (verdict, host, path prefix) and the seed terms of bad URLs.
 RULES = [
@@ -115,7 +115,7 @@ def counted(pages: DataFrame, shapes: F.Column, id_col: str = "page_id", html_co
         yield made()
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD == 0, F.lit(False))
-    each = pages.select(shapes.alias("shape"), held.alias("held"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "kind string, key string, n long")
+    each = pages.select(shapes.alias("shape"), held.alias("held"), F.col(html_col).cast("string").alias("html")).transform(in_small_batches).mapInArrow(run, "kind string, key string, n long")
     prior = pages.sparkSession.createDataFrame([("word", w, SEED_COUNT) for w in seeds], "kind string, key string, n long")
     return materialize(each.union(prior).groupBy("kind", "key").agg(F.sum("n").alias("n")), "page-counts")
 
@@ -157,7 +157,7 @@ def segmented(tokens: DataFrame, counts: DataFrame, total: int) -> DataFrame:
             out = [viterbi(t, {x["word"]: x["n"] for x in k or ()}, total) if WHOLE < len(t) else [t] for t, k in zip(tokens_, known_)]
             yield pa.RecordBatch.from_arrays([column(batch, "token"), pa.array(out, pa.list_(pa.string()))], ["token", "words"])
 
-    return whole.mapInArrow(run, "token string, words array<string>")
+    return in_small_batches(whole).mapInArrow(run, "token string, words array<string>")
 
 
 def shape(host: F.Column, path: F.Column) -> F.Column:

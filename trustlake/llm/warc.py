@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import column, materialize, new_folder, qualified, utf8
+from trustlake.llm.common import column, in_small_batches, materialize, new_folder, qualified, utf8
 
 #: A file is closed at this size; neighbouring ranges join over gaps up to GAP and up to READ bytes.
 FILE_BYTES = 256 << 20
@@ -126,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             if out is not None:
                 out.close()
 
-    return materialize(roles.mapInArrow(run, INDEX), "warc-index")
+    return materialize(in_small_batches(roles).mapInArrow(run, INDEX), "warc-index")
 
 
 ARROW = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
@@ -178,7 +178,7 @@ def read_records(index: DataFrame, folder: str, payload: bool = True, read_bytes
             yield fetch(name, ranges)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payload
-    return wanted.mapInArrow(run, schema)
+    return in_small_batches(wanted).mapInArrow(run, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, payload: bool = False, **options) -> DataFrame:

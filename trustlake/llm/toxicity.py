@@ -20,6 +20,7 @@ rows have equal scores; other columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ SURE = 0.8
 #: Characters put into toxic landmarks to make further training sentences.
 INSERTED = "xz"
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 3000
+#: Chance that any beginning is taken for a toxic one though it is not.
+CHANCE = 0.01
 MEMO = 400_000
 THRESHOLD = 0.7
 _PLAIN = re.compile(r"[\W_]+")
@@ -191,7 +194,9 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
 
     bags = [words(text) for text in toxic]
     hits = Counter(s for own in bags for s in starts(own))
-    floor = max(3, len(toxic) // 33)
+    # So many that chance would hardly put them into toxic documents alone for any of the beginnings that there are.
+    share, tried = len(toxic) / (len(toxic) + len(clean)), sum(n > 1 for n in hits.values())
+    floor = max(3, len(toxic) // 33, math.ceil(math.log(CHANCE / max(1, tried)) / math.log(share)))
     hits = {s: n for s, n in hits.items() if n >= floor}
     seen, common = Counter(), Counter()
     for text in clean:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -185,3 +186,30 @@ def test_sample_by_key_repeats(spark, data):
     orders = spark.read.parquet(f"{data}/orders.parquet")
     a, b = (sample_for_profile(orders.repartition(n), 20, "o_orderkey")[0].select("o_orderkey").collect() for n in (1, 5))
     assert sorted(a) == sorted(b) and 0 < len(a) < orders.count()
+
+
+def test_block_sample_repeats_and_has_its_share(spark):
+    from trustlake.operators.profile import sample_for_profile
+
+    df = spark.range(20_000).repartition(4, "id")
+    one, precision = sample_for_profile(df, 10)
+    again = sample_for_profile(df, 10)[0]
+    assert precision == "ESTIMATED" and sorted(one.collect()) == sorted(again.collect()) and 1600 < one.count() < 2400
+
+
+def test_profile_percentiles_equal_brute_force(spark):
+    from trustlake.operators.profile import profile
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, -0.0, 0.0, 1.5, rng.random()]), rng.randint(0, 5), rng.random() < 0.5, None) for _ in range(999)]
+    df = spark.createDataFrame(rows, "a double, b int, c boolean, d int").repartition(5)
+    got = {(r.column_name, r.metric): (r.value_num, r.value_text) for r in profile(df).collect()}
+    for i, name in enumerate("ab"):
+        own = sorted(r[i] for r in rows if r[i] is not None)
+        for p in (0.5, 0.95):
+            k = p * (len(own) - 1)
+            want = own[int(k)] + (own[min(int(k) + 1, len(own) - 1)] - own[int(k)]) * (k - int(k))
+            assert abs(got[name, f"p{int(p * 100)}"][0] - want) < 1e-6
+        assert got[name, "distinct_count"][0] == len(set(own))
+    assert got["c", "min"][1] == "false" and got["c", "max"][1] == "true" and got["c", "distinct_count"][0] == 2
+    assert got["d", "p50"] == (None, None) and got["d", "distinct_count"][0] == 0

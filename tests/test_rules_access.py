@@ -198,6 +198,17 @@ def test_one_version_for_each_write(spark):
     assert {(r.field, r.value, r.version) for r in metadata.version_timeline(df).collect()} == {("text", "x", 1), ("owner", "y", 1), ("owner", "w", 2)}
 
 
+def test_a_rolled_back_aspect_takes_weaker_sources_again(spark):
+    schema = "seq int, tie double, urn string, aspect_type string, field string, value string, source string"
+    rows = [(1, 0.0, "u", "d", "text", "auto", "AUTO_COLLECTED"), (2, 0.0, "u", "d", "text", "hand", "MANUAL"), (2, 0.0, "u", "d", "owner", "ann", "MANUAL"), (3, 0.0, "u", "d", "text", "held off", "IMPORTED"), (5, 0.0, "u", "d", "text", "new", "IMPORTED"), (6, 0.0, "u", "d", "text", "weak", "AUTO_COLLECTED"), (1, 0.0, "v", "d", "text", "x", "MANUAL")]
+    writes = spark.createDataFrame(rows, schema)
+    resets = spark.createDataFrame([(4, "u", "d", "text", "auto", "AUTO_COLLECTED")], "seq int, urn string, aspect_type string, field string, value string, source string")
+    current, held = metadata.merge_aspects(writes, resets)
+    assert {(r.urn, r.field, r.value) for r in current.collect()} == {("u", "text", "new"), ("v", "text", "x")}
+    assert {r.value for r in held.collect()} == {"held off", "weak"}
+    assert {(r.field, r.value) for r in metadata.merge_aspects(writes)[0].filter("urn = 'u'").collect()} == {("text", "hand"), ("owner", "ann")}
+
+
 def test_event_numbers_do_not_depend_on_where_rows_lie(spark):
     df = spark.range(500).withColumn("k", F.col("id") * 37 % 500)
     one, two = ({(r.id, r.seq) for r in metadata.emit_events(df.repartition(n), 2, ["k"]).collect()} for n in (1, 7))

@@ -30,26 +30,45 @@ def latest_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
 
 
-def judge_writes(writes: DataFrame) -> DataFrame:
+def judge_writes(writes: DataFrame, resets: DataFrame | None = None) -> DataFrame:
     """Each write with accepted and changed.
 
     A write wins if its source's priority is at least the field's so far. That priority is the running maximum, since a
     rejected write never raises it; so one window decides all fields at once.
+
+    ``resets`` (urn, aspect_type, seq, field, value, source) holds what aspects were rolled back to, one row for each
+    field: from that seq on, fields have these values and sources and those that are not among them none, and priorities
+    run anew. Such rows are accepted and come out with a null tie.
     """
-    order = Window.partitionBy(*FIELD).orderBy("seq", "tie")
-    own = writes.withColumn("p", priority(F.col("source")))
+    own = writes.withColumn("p", priority(F.col("source"))).withColumn("segment", F.lit(0))
+    if resets is not None:
+        back = resets.select("seq", F.lit(None).cast(writes.schema["tie"].dataType).alias("tie"), "urn", "aspect_type", "field", "value", "source")
+        every = own.drop("segment").unionByName(back.withColumn("p", priority(F.col("source"))), allowMissingColumns=True)
+        marks = resets.select("urn", "aspect_type", F.col("seq").alias("at")).distinct()
+        # An aspect is seldom rolled back, so it has few marks.
+        begun = marks.groupBy("urn", "aspect_type").agg(F.sort_array(F.collect_list("at")).alias("marks"))
+        own = every.join(begun, ["urn", "aspect_type"], "left").withColumn("segment", F.coalesce(F.size(F.filter("marks", lambda m: m <= F.col("seq"))), F.lit(0))).drop("marks")
+        own = own.withColumn("segment", F.greatest("segment", F.lit(0)))
+    key = [*FIELD, "segment"]
+    order = Window.partitionBy(*key).orderBy("seq", F.asc_nulls_first("tie"))
     own = own.withColumn("accepted", F.col("p") == F.max("p").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     before = F.last(F.when(F.col("accepted"), F.struct("value", "source")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     own = own.withColumn("before", before)
     same = F.col("before").isNotNull() & F.col("value").eqNullSafe(F.col("before.value")) & (F.col("source") == F.col("before.source"))
-    return own.withColumn("changed", F.col("accepted") & ~F.coalesce(same, F.lit(False))).drop("p", "before")
+    out = own.withColumn("changed", F.col("accepted") & ~F.coalesce(same, F.lit(False))).drop("p", "before")
+    return out if resets is not None else out.drop("segment")
 
 
-def merge_aspects(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_aspects(writes: DataFrame, resets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The current value and source of each field, and the writes that a stronger source held off."""
-    judged = judge_writes(writes)
+    judged = judge_writes(writes, resets)
+    held = judged.filter("NOT accepted").select(*FIELD, "seq", "tie", "value", "source")
+    if resets is not None:
+        # Fields that the last roll-back took out and nobody wrote since are gone.
+        last = judged.groupBy("urn", "aspect_type").agg(F.max("segment").alias("segment"))
+        judged = judged.join(last, ["urn", "aspect_type", "segment"])
     current = latest_by(judged.filter("accepted"), FIELD, "seq", "tie").select(*FIELD, "value", "source")
-    return current, judged.filter("NOT accepted").select(*FIELD, "seq", "tie", "value", "source")
+    return current, held
 
 
 def version_timeline(writes: DataFrame) -> DataFrame:

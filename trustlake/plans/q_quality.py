@@ -155,3 +155,11 @@ def f8_type_caps(spark, sf_dir):
     names = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % len(_TYPES) + 1).cast("int"))
     df = load(spark, sf_dir, "part").select("p_partkey", names.alias("type"))
     return df.withColumn("caps", kinds.type_caps(F.col("type"))).select("p_partkey", "type", "caps.*")
+
+
+_DURATION = "CASE p_partkey % 5 WHEN 0 THEN 'PT' || CAST(p_size AS STRING) || 'H' WHEN 1 THEN 'P' || CAST(p_size AS STRING) || 'DT' || CAST(p_partkey % 60 AS STRING) || 'M' || CAST(p_size AS STRING) || 'S' WHEN 2 THEN 'P' WHEN 3 THEN CAST(p_size AS STRING) || 'h' END"
+
+
+@query(f"SELECT p_partkey, {_DURATION} AS duration, CASE p_partkey % 5 WHEN 0 THEN p_size * 3600 WHEN 1 THEN p_size * 86400 + p_partkey % 60 * 60 + p_size END::BIGINT AS seconds FROM part")
+def x5_durations(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", F.expr(_DURATION).alias("duration")).withColumn("seconds", rules.duration_seconds(F.col("duration")))

@@ -131,6 +131,18 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_warc_ids_that_are_no_numbers_are_null(spark):
+    pages = spark.createDataFrame([("7", "a", "x"), ("seven", "b", "y"), (None, "c", "y")], "page_id string, url string, html string")
+    got = sorted(((r.page_id, r.url, r.record_type) for r in warc.round_trip(spark, pages).collect()), key=repr)
+    assert got == sorted([(7, "a", "response"), (None, "b", "response"), (None, "c", "response")], key=repr)
+
+
+def test_warc_needs_a_scheme():
+    assert warc.filesystem("file:/tmp")[1] == warc.filesystem("file:///tmp")[1] == "/tmp"
+    with pytest.raises(ValueError, match="scheme"):
+        warc.filesystem("/tmp")
+
+
 def test_warc_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "y" * 100), (4, "d", "y" * 100)], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in warc.round_trip(spark, pages, revisit_bytes=10).collect()}
@@ -410,6 +422,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_long_and_repeated_texts(spark):
+    docs, labels = toxic_table(spark)
+    model = toxicity.fit(docs, labels)
+    long = " ".join(f"wörd{i % 5000}" for i in range(200_000))
+    texts = [long, long + " blockhead.", "b" * 300_000, "x " * 50_000, "nitwit", "nitwit", None, None]
+    rows = [(i % 3, t) for i, t in enumerate(texts)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()
+    scores = [r.score for r in got]
+    assert len(scores) == len(rows) and all(0 <= s <= 1 for s in scores)
+    assert scores[1] >= 0.7 > scores[0] and scores[4] == scores[5] >= 0.7 and scores[6] == scores[7] < 0.7
+
+
 def test_toxicity_learns_only_from_learnable_rows(spark):
     docs, labels = toxic_table(spark, 300)
     flipped = labels.withColumn("toxic", F.when(toxicity.learnable(F.col("doc_id")), F.col("toxic")).otherwise(1 - F.col("toxic")))

@@ -10,15 +10,16 @@ from trustlake.plans.fixtures import TABLES, load, with_views
 from trustlake.plans.registry import query
 from trustlake.sources import ingest
 
-_CATALOG = "t AS (SELECT DISTINCT CASE WHEN n_regionkey = 0 THEN 'pg_catalog' ELSE 's' || CAST(n_regionkey AS STRING) END AS schema_name, n_name AS table_name, n_nationkey AS k FROM nation)"
+#: A table in the catalog for each part.
+_CATALOG = "t AS (SELECT CASE WHEN p_size % 7 = 0 THEN 'pg_catalog' ELSE 's' || CAST(p_size AS STRING) END AS schema_name, 't' || p_partkey AS table_name, p_partkey AS k FROM part)"
 
 
 @query(f"""
 WITH {_CATALOG} SELECT schema_name, table_name, k AS row_estimate, list_transform(range(1, k % 3 + 2), lambda i: 'c' || i) AS column_names, CASE WHEN k % 2 = 0 THEN ['c1'] END AS primary_key, 'estimated' AS precision, CASE WHEN k % 4 = 0 THEN ['partition:day'] END AS partition_keys FROM t WHERE schema_name <> 'pg_catalog' AND k % 5 <> 4""")
 def s1_catalog_datasets(spark, sf_dir):
-    nation = load(spark, sf_dir, "nation")
-    own = nation.select(F.when(F.col("n_regionkey") == 0, "pg_catalog").otherwise(F.concat(F.lit("s"), F.col("n_regionkey").cast("string"))).alias("schema_name"), F.col("n_name").alias("table_name"), F.col("n_nationkey").alias("k"))
-    columns = own.filter("k % 5 != 4").select("schema_name", "table_name", F.explode(F.sequence(F.lit(1), F.col("k") % 3 + 1)).alias("ordinal")).select("schema_name", "table_name", F.concat(F.lit("c"), F.col("ordinal").cast("string")).alias("column_name"), "ordinal", F.lit("int").alias("type"), F.lit(True).alias("nullable"))
+    part = load(spark, sf_dir, "part")
+    own = part.select(F.when(F.col("p_size") % 7 == 0, "pg_catalog").otherwise(F.concat(F.lit("s"), F.col("p_size").cast("string"))).alias("schema_name"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("table_name"), F.col("p_partkey").alias("k"))
+    columns = own.filter("k % 5 != 4").select("schema_name", "table_name", F.explode(F.sequence(F.lit(1), (F.col("k") % 3 + 1).cast("int"))).alias("ordinal")).select("schema_name", "table_name", F.concat(F.lit("c"), F.col("ordinal").cast("string")).alias("column_name"), "ordinal", F.lit("int").alias("type"), F.lit(True).alias("nullable"))
     keys = own.filter("k % 2 = 0").select("schema_name", "table_name", F.lit("c1").alias("column_name"))
     parts = own.select("schema_name", "table_name", F.lit("partition").alias("role"), F.when(F.col("k") % 4 == 0, "day").alias("expression"))
     out = ingest.catalog_datasets(own.withColumnRenamed("k", "row_estimate"), columns, keys, parts)
@@ -51,8 +52,8 @@ def s4_props_schema(spark, sf_dir):
 
 
 def _manifests(spark, sf_dir):
-    """A manifest per nation: a model that reads a source, a model that reads it and something missing, and a test."""
-    k = F.col("n_nationkey").cast("string")
+    """A manifest per part: a model that reads a source, a model that reads it and something missing, and a test."""
+    k = F.col("p_partkey").cast("string")
     node = lambda kind, alias, *deps: F.concat(F.lit(f'{{"resource_type":"{kind}","schema":"dw","alias":"{alias}'), k, F.lit('","depends_on":{"nodes":['), F.concat_ws(",", *[F.concat(F.lit('"'), d, F.lit('"')) for d in deps]), F.lit("]}}"))
     a, b = F.concat(F.lit("model.p.a"), k), F.concat(F.lit("model:p:b"), k)
     src = F.concat(F.lit("source.p.s"), k)
@@ -60,15 +61,15 @@ def _manifests(spark, sf_dir):
         F.lit('{"nodes":{"'), a, F.lit('":'), node("model", "a", src), F.lit(',"'), b, F.lit('":'), node("seed", "b", F.concat(F.lit("model.p.a"), k), F.lit("model.p.gone")), F.lit(',"test.p.t":'), node("test", "t", a),
         F.lit('},"sources":{"'), src, F.lit('":{"schema":"raw","identifier":"s'), k, F.lit('"}}}'),
     )
-    return load(spark, sf_dir, "nation").select(json.alias("json"))
+    return load(spark, sf_dir, "part").select(json.alias("json"))
 
 
-@query("SELECT 'raw.s' || n_nationkey AS from_name, 'dw.a' || n_nationkey AS to_name FROM nation UNION ALL SELECT 'dw.a' || n_nationkey, 'dw.b' || n_nationkey FROM nation")
+@query("SELECT 'raw.s' || p_partkey AS from_name, 'dw.a' || p_partkey AS to_name FROM part UNION ALL SELECT 'dw.a' || p_partkey, 'dw.b' || p_partkey FROM part")
 def s5_manifest_edges(spark, sf_dir):
     return ingest.manifest_edges(_manifests(spark, sf_dir))[0]
 
 
-@query("SELECT 'model.p.gone' AS upstream, count(*) AS skipped FROM nation")
+@query("SELECT 'model.p.gone' AS upstream, count(*) AS skipped FROM part")
 def s5_skipped_upstreams(spark, sf_dir):
     return ingest.manifest_edges(_manifests(spark, sf_dir))[1]
 

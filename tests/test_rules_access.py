@@ -139,6 +139,14 @@ def test_impact_weights_and_reasons(spark):
     assert "urn:asset:Column:x" in {r.urn for r in graph.impact(edge, asset, roots, 2, include_columns=True).collect()}
 
 
+def test_subgraph_without_columns_walks_over_them(spark):
+    edge = spark.createDataFrame([("a", "urn:asset:Column:x"), ("urn:asset:Column:x", "b"), ("b", "c")], "from_urn string, to_urn string").withColumns({"edge_type": F.lit("derivesFrom"), "dependency_kind": F.lit("VALUE"), "state": F.lit("ACTIVE"), "confidence": F.lit(0.9)})
+    focus = spark.createDataFrame([("a",)], "root string")
+    nodes, edges, counts = graph.subgraph(edge, focus, 2, include_columns=False)
+    assert {(r.urn, r.depth) for r in nodes.collect()} == {("a", 0), ("b", 2)} and edges.count() == 0 and counts.first().found == 2
+    assert {r.urn for r in graph.subgraph(edge, focus, 2)[0].collect()} == {"a", "urn:asset:Column:x", "b"}
+
+
 def test_incidents_affect_their_own_dataset(spark):
     edge = spark.createDataFrame([("a", "b")], "from_urn string, to_urn string")
     found = spark.createDataFrame([("a", "HIGH", True), ("a", "CRITICAL", True), ("z", "LOW", False)], "dataset_urn string, severity string, flagged boolean")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trustlake.functions.storage import written
 from trustlake.operators import graph
 from trustlake.plans.fixtures import AS_OF, load, with_views
 from trustlake.plans.registry import query
@@ -11,6 +12,11 @@ from trustlake.plans.registry import query
 _WALK = "walk AS (SELECT DISTINCT from_urn, to_urn FROM lineage_edge WHERE state = 'ACTIVE' AND dependency_kind = 'VALUE' AND edge_type IN ('derivesFrom', 'consumedBy') AND confidence >= {})"
 
 
+def _edges(spark, sf_dir):
+    """The derived edges as a table, for walks that read them more than once."""
+    return written(load(spark, sf_dir, "lineage_edge"), "lineage")
+
+
 def _roots(spark, *urns):
     return spark.createDataFrame([(u,) for u in urns], "root string")
 
@@ -43,7 +49,7 @@ coalesce(tag = 'critical', false) OR coalesce(classification = 'L4', false) AS c
 
 
 def _impact(spark, sf_dir):
-    return graph.impact(load(spark, sf_dir, "lineage_edge"), load(spark, sf_dir, "asset"), _roots(spark, "region:0", "supplier:3"), 3, 0.5)
+    return graph.impact(_edges(spark, sf_dir), load(spark, sf_dir, "asset"), _roots(spark, "region:0", "supplier:3"), 3, 0.5)
 
 
 @query(with_views(f"{_IMPACT} SELECT * FROM imp", "lineage_edge", "asset"))
@@ -63,7 +69,7 @@ n AS (SELECT root, urn, min(depth) AS depth FROM (FROM d UNION ALL FROM u) GROUP
 
 
 def _subgraph(spark, sf_dir):
-    return graph.subgraph(load(spark, sf_dir, "lineage_edge"), _roots(spark, "nation:3", "supplier:9"), 2, 40)
+    return graph.subgraph(_edges(spark, sf_dir), _roots(spark, "nation:3", "supplier:9"), 2, 40)
 
 
 @query(with_views(f"{_SUB} SELECT root, urn, depth, depth = 2 AS boundary FROM k", "lineage_edge"))
@@ -100,7 +106,7 @@ def g4_shortest_path(spark, sf_dir):
 
 @query(with_views(_closure_sql("('supplier:3')", 2, True, 0.0) + " SELECT e.from_urn, e.to_urn, e.edge_type, e.k FROM lineage_edge e WHERE from_urn IN (SELECT urn FROM clo) AND to_urn IN (SELECT urn FROM clo)", "lineage_edge"))
 def j5_edges_in(spark, sf_dir):
-    edge = load(spark, sf_dir, "lineage_edge")
+    edge = _edges(spark, sf_dir)
     nodes = graph.closure(graph.eligible_edges(edge), _roots(spark, "supplier:3"), "down", 2)
     return graph.edges_in(nodes, edge).select("from_urn", "to_urn", "edge_type", "k")
 

@@ -60,7 +60,7 @@ def st1_compacted_index(spark, sf_dir):
     return jobs.read_index(spark, _indexed(spark, sf_dir, True), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT max(event_id) AS reached, max(event_id) + 5 AS offset, 5 AS lag FROM events")
+@query("SELECT max(event_id) AS reached, max(event_id) + 5 AS offset, CAST(5 AS BIGINT) AS lag FROM events")
 def st1_index_progress(spark, sf_dir):
     events = load(spark, sf_dir, "events").select("event_id")
     late = events.orderBy(F.desc("event_id")).limit(5).select(F.col("event_id") + 5)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, licenses, mpegts, packing, secrets, simhash, topk, toxicity, urls, warc
+from trustlake.llm import bpe, licenses, mpegts, packing, secrets, simhash, substrings, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,10 @@ def op7_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    sha = F.when(F.col("n_removed") == 0, F.col("words_sha256")).otherwise(F.sha2("kept", 256))
+    return left.select("doc_id", "n_words", "n_removed", sha.alias("kept_sha256"))

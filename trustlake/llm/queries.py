@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import bpe, licenses, mpegts, packing, ranking, secrets, simhash, substrings, topk, toxicity, urls, warc
+from trustlake.llm import bpe, licenses, mpegts, packing, ranking, secrets, simhash, substrings, topk, toxicity, urls, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,8 @@ s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf +
 k AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0 AND doc_id IS NOT NULL)
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50
 """
+
+
+@query
+def op13_one_edit_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))

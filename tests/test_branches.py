@@ -83,13 +83,17 @@ def test_durations_and_comparisons(spark):
     one = spark.range(1)
     ok = lambda op, v, a, b=None: one.select(rules.holds(F.lit(v), F.lit(op), F.lit(a), F.lit(b if b is not None else a))).first()[0]
     assert ok("=", 1.0, 1.0 + 1e-12) and ok("between", 2.0, 1.0, 3.0) and not ok(">", 1.0, 1.0) and ok("<=", 1.0, 1.0)
+    assert ok(">", 2.0, 1.9999999999) and not ok(">=", 1.9999999999, 2.0) and ok("<", 1.9999999999, 2.0) and not ok("between", 0.9999999999, 1.0, 3.0)
+    assert ok("~", 1.0, 1.0) is None and ok("in", 1.0, 1.0) is False
+    among = lambda v: one.select(rules.holds(F.lit(v), F.lit("in"), F.lit(None).cast("double"), None, F.array(F.lit("2"), F.lit("x"), F.lit("3.0")))).first()[0]
+    assert (among(3.0), among(2.0), among(4.0)) == (True, True, False)
 
 
 def test_empty_tables_give_defined_rule_results(spark):
     empty = spark.createDataFrame([], "a int, s string")
-    checks = [{"id": "n", "table": "t", "columns": ["a"], "check": "nullRatio"}, {"id": "p", "table": "t", "columns": ["s"], "check": "pattern", "threshold": 1, "args": {"regex": "x"}}, {"id": "f", "table": "t", "columns": ["s"], "check": "freshness", "op": "<="}, {"id": "u", "table": "t", "columns": ["a"], "check": "unique"}]
+    checks = [{"id": "n", "table": "t", "columns": ["a"], "check": "nullRatio", "threshold": 0}, {"id": "p", "table": "t", "columns": ["s"], "check": "pattern", "threshold": 1, "args": {"regex": "x"}}, {"id": "f", "table": "t", "columns": ["s"], "check": "freshness", "maxLag": "PT6H"}, {"id": "u", "table": "t", "columns": ["a"], "check": "duplicates"}, {"id": "r", "table": "t", "columns": ["a"], "check": "unique", "threshold": 1}]
     out = {r.rule_id: r.status for r in rules.evaluate_rules({"t": empty}, rules.rules_from_checks(spark, checks), "2024-01-01 00:00:00").collect()}
-    assert out == {"n": "PASS", "p": "PASS", "f": "SKIPPED", "u": "PASS"}
+    assert out == {"n": "PASS", "p": "PASS", "f": "PASS", "u": "PASS", "r": "PASS"}
 
 
 def test_quarantine_counts_null_as_broken(spark):

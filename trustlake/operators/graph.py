@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trustlake.functions.storage import written
+from trustlake.operators.metadata import EDGE_KEY
 
 # The edge types that are lineage, parse confidence, and the weights of an impact.
 LINEAGE_TYPES = ["derivesFrom", "consumedBy"]
@@ -191,19 +192,36 @@ def disambiguate(refs: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFr
     return edges, all_refs.filter(~one).select("stmt_id", "column_name", "candidates", F.when(F.size("candidates") == 0, "unknown_column").otherwise("ambiguous_column").alias("finding"))
 
 
-def apply_reviews(edge: DataFrame, actions: DataFrame) -> DataFrame:
-    """Edges after the latest review of each: CONFIRM makes it ACTIVE at .99 or more, REJECT keeps it as REJECTED."""
-    last = actions.groupBy("from_urn", "to_urn").agg(F.max_by("action", "seq").alias("action"))
-    out = edge.join(last, ["from_urn", "to_urn"], "left")
-    state = F.when(F.col("action") == "CONFIRM", "ACTIVE").when(F.col("action") == "REJECT", "REJECTED").otherwise(F.col("state"))
-    return out.withColumn("state", state).withColumn("confidence", F.when(F.col("action") == "CONFIRM", F.greatest("confidence", F.lit(0.99))).otherwise(F.col("confidence"))).drop("action")
+def apply_reviews(edge: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges after their reviews, and the reviews that were refused, with the reason.
 
-
-def retire_edges(edge: DataFrame, edge_type: str, source: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Edges after all of a type (and source) that are not rejected yet have been retired to REJECTED, and how many were."""
+    CONFIRM makes an edge ACTIVE at a confidence of .99 or more and notes who confirmed it. REJECT keeps it as REJECTED, with
+    who rejected it and why; without a reason it is refused, as is a review of an edge that is not there. An edge is what
+    EDGE_KEY names. Confidence stays raised after a later rejection. ``actions``: EDGE_KEY, action, reason, actor, seq.
+    """
+    known = edge.select(*EDGE_KEY).distinct().withColumn("there", F.lit(True))
+    blank = F.trim(F.coalesce("reason", F.lit(""))) == ""
+    problem = F.when(F.col("there").isNull(), "no such edge").when(~F.col("action").isin("CONFIRM", "REJECT"), "unknown action").when((F.col("action") == "REJECT") & blank, "a rejection needs a reason")
+    judged = actions.join(known, EDGE_KEY, "left").withColumn("problem", problem).drop("there")
+    valid = judged.filter("problem IS NULL")
+    by = lambda c, action: F.max_by(c, F.when(F.col("action") == action, F.col("seq")))
+    last = valid.groupBy(*EDGE_KEY).agg(F.max_by("action", "seq").alias("__action"), by("actor", "CONFIRM").alias("__confirmed_by"), by("actor", "REJECT").alias("__rejected_by"), by("reason", "REJECT").alias("__reject_reason"), F.bool_or(F.col("action") == "CONFIRM").alias("__confirmed"))
+    out = edge.join(last, EDGE_KEY, "left")
+    raised = F.when(F.col("__confirmed"), F.greatest("confidence", F.lit(0.99))).otherwise(F.col("confidence"))
+    out = out.withColumn("state", F.when(F.col("__action") == "CONFIRM", "ACTIVE").when(F.col("__action") == "REJECT", "REJECTED").otherwise(F.col("state"))).withColumn("confidence", raised)
+    for name in ("confirmed_by", "rejected_by", "reject_reason"):
+        out = out.withColumn(name, F.coalesce(f"__{name}", name) if name in edge.columns else F.col(f"__{name}"))
+    return out.drop("__action", "__confirmed", "__confirmed_by", "__rejected_by", "__reject_reason"), judged.filter("problem IS NOT NULL")
+
+
+def retire_edges(edge: DataFrame, edge_type: str, reason: str, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges after all of a type (and source) that are not rejected yet have been retired to REJECTED, with the reason, and how many were."""
+    if not (edge_type or "").strip() or not (reason or "").strip():
+        raise ValueError("retiring edges needs a type and a reason")
     hit = (F.col("edge_type") == edge_type) & (F.col("state") != "REJECTED")
     hit = hit if source is None else hit & (F.col("source") == source)
-    return edge.withColumn("state", F.when(hit, "REJECTED").otherwise(F.col("state"))), edge.agg(F.count_if(hit).alias("retired"))
+    before = F.col("retire_reason") if "retire_reason" in edge.columns else F.lit(None).cast("string")
+    return edge.withColumn("retire_reason", F.when(hit, F.lit(reason)).otherwise(before)).withColumn("state", F.when(hit, "REJECTED").otherwise(F.col("state"))), edge.agg(F.count_if(hit).alias("retired"))
 
 
 LOW_CONFIDENCE = 0.7

@@ -203,11 +203,23 @@ def upsert_metrics(old: DataFrame, new: DataFrame, keys: list[str], seq: str = "
     return latest_by(old.unionByName(new), keys, seq)
 
 
+# What tells two edges apart.
+EDGE_KEY = ["from_urn", "to_urn", "edge_type", "source", "dependency_kind"]
+_EDGE_FACTS = ["transform", "transform_expression", "cardinality", "parse_level"]
+
+
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges by (from, to, type): the higher confidence, observations added up, the latest known transform, ACTIVE if seen again."""
-    both = old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))
-    known = F.when(F.col("transform").isNotNull(), F.col("is_new") * F.lit(10**12) + F.col("seq"))
-    return both.groupBy("from_urn", "to_urn", "edge_type").agg(F.max("confidence").alias("confidence"), F.sum("observed_count").alias("observed_count"), F.max_by("transform", known).alias("transform"), F.when(F.max("is_new") == 1, "ACTIVE").otherwise(F.max_by("state", "seq")).alias("state"))
+    """Edges by EDGE_KEY: the higher confidence, observations added up, of each fact the latest that is known, ACTIVE if seen again.
+
+    So an edge from one source says nothing of that from another, nor a control edge of a value edge. Both tables: EDGE_KEY
+    (a null dependency_kind is VALUE), confidence, observed_count, transform, transform_expression, cardinality,
+    parse_level, state, first_seen, last_seen and seq, the order of what was seen.
+    """
+    both = old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1))).withColumn("dependency_kind", F.coalesce("dependency_kind", F.lit("VALUE")))
+    order = F.struct("is_new", "seq")
+    facts = [F.max_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in _EDGE_FACTS]
+    state = F.when(F.max("is_new") == 1, "ACTIVE").otherwise(F.max_by("state", "seq")).alias("state")
+    return both.groupBy(*EDGE_KEY).agg(F.max("confidence").alias("confidence"), F.sum("observed_count").alias("observed_count"), *facts, state, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def emit_events(df: DataFrame, batch_id: int, order: list[str], bits: int = 40) -> DataFrame:

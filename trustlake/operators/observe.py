@@ -80,7 +80,12 @@ def anomalies(series: DataFrame, as_of: str, z: float = Z_LIMIT, lookback_days:
 
 
 def classify_propagation(found: DataFrame, edge: DataFrame, hops: int = 3, days: int = 1) -> DataFrame:
-    """ISOLATED (no upstream), SOURCE (none of it anomalous) or PROPAGATED, with the least anomalous upstream (O3)."""
+    """ISOLATED (no upstream), SOURCE (none of it anomalous) or PROPAGATED, with the least anomalous upstream (O3).
+
+    Only points that are flagged as anomalies are judged, and only they make an upstream anomalous; ``anomalies`` gives
+    all points that it has looked at.
+    """
+    found = found.filter("flagged")
     up = closure(edge, found.select(F.col("dataset_urn").alias("root")).distinct(), "up", hops).select(F.col("root").alias("dataset_urn"), F.col("urn").alias("upstream"))
     other = found.select(F.col("dataset_urn").alias("upstream"), F.col("metric").alias("o_metric"), F.col("window_start").alias("o_start"))
     hit = found.join(up, "dataset_urn").join(other, "upstream").filter((F.col("metric") == F.col("o_metric")) & (F.col("o_start") >= F.col("window_start") - F.expr(f"INTERVAL {days} DAYS")))

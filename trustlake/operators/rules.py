@@ -10,48 +10,127 @@ from pyspark.sql import functions as F
 
 from trustlake.operators.profile import counted_values, exact_percentiles
 
-# Check templates and the metric each measures.
+# Check templates, with the metric that each measures and its operator; operators, severities and what a failure does.
 TEMPLATES = {
-    "notNull": "null_count",
-    "nullRatio": "null_ratio",
-    "missing": "missing_count",
-    "unique": "duplicate_count",
-    "duplicateRatio": "duplicate_ratio",
-    "distinct": "distinct_count",
-    "rowCount": "row_count",
-    "freshness": "freshness_seconds",
-    "percentile": "percentile",
-    "pattern": "pattern_match_rate",
-    "acceptedValues": "accepted_values",
-    "relationships": "orphan_count",
-    "customSql": "custom_sql",
-    "rowCountDrop": "row_count_drop",
+    "notNull": ("null_count", "="),
+    "not_null": ("null_count", "="),
+    "uniqueness": ("duplicate_ratio", "<="),
+    "unique": ("duplicate_ratio", "<="),
+    "nullRatio": ("null_ratio", "<="),
+    "distinctness": ("distinct_count", ">="),
+    "distinctCount": ("distinct_count", ">="),
+    "rowCount": ("row_count", ">="),
+    "rowCountChange": ("row_count_drop", ">="),
+    "freshness": ("freshness_seconds", "<="),
+    "acceptedValues": ("accepted_values", "="),
+    "enum": ("accepted_values", "="),
+    "regex": ("pattern_match_rate", ">="),
+    "pattern": ("pattern_match_rate", ">="),
+    "customSql": ("custom_sql", "="),
+    "sqlAssertion": ("custom_sql", "="),
 }
-DBT_TESTS = {"not_null": "notNull", "unique": "unique", "accepted_values": "acceptedValues", "relationships": "relationships"}
+# Metrics that have no template, as checks of their own.
+METRICS = {"missing": ("missing_count", "="), "duplicates": ("duplicate_count", "="), "duplicateRatio": ("duplicate_ratio", "<="), "percentile": ("percentile", "<="), "relationships": ("orphan_count", "=")}
+DBT_TESTS = {"not_null": "null_count", "unique": "duplicate_count", "accepted_values": "accepted_values", "relationships": "orphan_count"}
+OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "between", "in")
+SEVERITIES = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 ACTIONS = {"CRITICAL": "BLOCK", "HIGH": "ALERT", "MEDIUM": "ALERT"}
-RULE = "rule_id string, table_name string, columns array<string>, check string, metric string, op string, threshold double, threshold_high double, args map<string,string>, severity string, on_fail string, problem string"
+RULE = "rule_id string, table_name string, columns array<string>, check string, metric string, op string, threshold double, threshold_high double, accepted array<string>, args map<string,string>, severity string, on_fail string, problem string"
 EPSILON = 1e-9
+#: Templates whose operator a check may choose.
+_OPEN = {"distinctness", "distinctCount", "rowCount", *METRICS}
+_ZERO = {"null_count", "accepted_values", "orphan_count", "missing_count", "duplicate_count"}
+
+
+def seconds_of(duration: str) -> int | None:
+    """Seconds of an ISO-8601 duration, None if it is none or not above zero."""
+    found = re.fullmatch(r"P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?", duration.strip().upper())
+    total = sum(int(n or 0) * unit for n, unit in zip(found.groups(), (86400, 3600, 60, 1))) if found else 0
+    return total or None
+
+
+def _rule(c: dict) -> tuple:
+    """A check as a row of RULE."""
+    args = c.get("args", {})
+    given = lambda *names: next((x[n] for x in (c, args) for n in names if x.get(n) is not None), None)
+    check = given("check", "type")
+    metric, op = (TEMPLATES | METRICS).get(check, (None, None))
+    columns = c.get("columns") or ([c["column"]] if c.get("column") else ["updated_at"] if check == "freshness" else [])
+    threshold, high = given("threshold"), given("threshold_high", "thresholdMax")
+    accepted = [str(v) for v in given("acceptedValues", "values") or []]
+    kept = {"p": given("percentile", "p"), "regex": given("pattern", "regex"), "sql": given("sql"), "to": given("to"), "field": given("field")}
+    severity = str(c.get("severity") or "MEDIUM").upper()
+    asked = given("op", "operator")
+    op = asked if asked and check in _OPEN else op
+    if metric in ("null_count", "accepted_values", "orphan_count") or threshold is None and metric in _ZERO:
+        threshold = 0
+    elif metric == "custom_sql":
+        threshold = given("expect") or 0
+    elif metric == "freshness_seconds":
+        threshold = seconds_of(given("maxLag") or "")
+    elif metric == "row_count_drop":
+        threshold = given("maxDropPct")
+    elif check in ("uniqueness", "unique") and threshold is not None:
+        threshold = 1 - threshold
+    problem = None
+    if metric is None:
+        problem = f"unknown check {check}; there are {', '.join(TEMPLATES)}"
+    elif severity not in SEVERITIES:
+        problem = f"unknown severity {severity}; what a failure does is on_fail"
+    elif op not in OPERATORS:
+        problem = f"unknown operator {op}"
+    elif metric == "accepted_values" and not accepted:
+        problem = "accepted values are needed"
+    elif metric == "pattern_match_rate" and kept["regex"] is None:
+        problem = "a pattern is needed"
+    elif metric == "percentile" and kept["p"] is None:
+        problem = "a percentile is needed"
+    elif metric == "custom_sql" and not re.match(r"(?is)^\s*select\b[^;]*$", kept["sql"] or ""):
+        problem = "one SELECT statement is needed"
+    elif metric == "freshness_seconds" and threshold is None:
+        problem = "maxLag is needed, a duration such as PT6H"
+    elif metric == "row_count_drop" and threshold is None:
+        problem = "maxDropPct is needed"
+    elif threshold is None and metric != "row_count" and op != "in":
+        problem = "a threshold is needed"
+    elif op == "between" and high is None:
+        problem = "between needs an upper threshold"
+    elif metric not in ("row_count", "custom_sql", "row_count_drop") and not columns:
+        problem = "a column is needed"
+    number = lambda x: None if x is None else float(x)
+    kept = {k: str(v) for k, v in kept.items() if v is not None}
+    return c["id"], c["table"], columns, check, metric, op, number(threshold), number(high), accepted, kept, severity, c.get("on_fail") or ACTIONS.get(severity, "RECORD"), problem
 
 
 def rules_from_checks(spark: SparkSession, checks: list[dict]) -> DataFrame:
     """Checks as rule rows; a check that cannot be measured has its reason in ``problem`` (Q2).
 
-    Keys: id, table, columns, check (a template or a dbt test), op, threshold, threshold_high, severity, on_fail, args.
+    Keys: id, table, column or columns, check (a template or one of METRICS), severity, on_fail, and what the template needs:
+    threshold (for uniqueness the share of values that are the only ones), threshold_high, maxLag, maxDropPct, pattern,
+    percentile, acceptedValues, sql and expect, to and field; these may stand under ``args`` too. ``op`` counts only
+    where the template leaves it open.
     """
-    rows = []
-    for c in checks:
-        check = DBT_TESTS.get(c["check"], c["check"])
-        args = {k: ",".join(map(str, v)) if isinstance(v, (list, tuple)) else str(v) for k, v in c.get("args", {}).items()}
-        problem = None
-        if check not in TEMPLATES:
-            problem = f"unknown check {check}"
-        elif check not in ("rowCount", "customSql", "rowCountDrop") and not c.get("columns"):
-            problem = "a column is needed"
-        elif check == "customSql" and not re.match(r"(?is)^\s*select\b[^;]*$", args.get("sql", "")):
-            problem = "one SELECT statement is needed"
-        severity = c.get("severity", "MEDIUM")
-        rows.append((c["id"], c["table"], c.get("columns") or [], check, TEMPLATES.get(check), c.get("op", "="), float(c.get("threshold", 0)), None if c.get("threshold_high") is None else float(c["threshold_high"]), args, severity, c.get("on_fail") or ACTIONS.get(severity, "RECORD"), problem))
-    return spark.createDataFrame(rows, RULE)
+    return spark.createDataFrame([_rule(c) for c in checks], RULE)
+
+
+def rules_from_sql(spark: SparkSession, assertions: list[tuple[str, str, str, float | None]], severity: str = "MEDIUM") -> DataFrame:
+    """SQL assertions (id, table, sql, expected value, 0 by default) as rule rows; a failure alerts (Q2)."""
+    return rules_from_checks(spark, [{"id": i, "table": t, "check": "sqlAssertion", "sql": q, "expect": e, "severity": severity, "on_fail": "ALERT"} for i, t, q, e in assertions])
+
+
+def rules_from_dbt_tests(spark: SparkSession, model: str, table: str, tests: list[dict]) -> DataFrame:
+    """The tests of a build model as rule rows, HIGH: unique, not_null, accepted_values (field, values), relationships (field, to) (Q2)."""
+    checks = {"null_count": "notNull", "duplicate_count": "duplicates", "accepted_values": "acceptedValues", "orphan_count": "relationships"}
+    out = []
+    for i, test in enumerate(tests, 1):
+        kind = next((k for k in DBT_TESTS if k in test), None)
+        spec = test.get(kind) if isinstance(test.get(kind), dict) else {"field": test.get(kind)}
+        field = spec.get("field")
+        c = {"id": f"dbt:{model}#{i}", "table": table, "check": checks.get(DBT_TESTS.get(kind), next(iter(test), None)), "column": field, "severity": "HIGH", "acceptedValues": spec.get("values"), "args": {"to": spec.get("to"), "field": field}}
+        row = _rule(c)
+        lacks = kind == "relationships" and not (field and spec.get("to"))
+        out.append((*row[:-1], "field and to are needed" if lacks else row[-1]))
+    return spark.createDataFrame(out, RULE)
 
 
 def rules_from_contracts(contracts: DataFrame) -> DataFrame:
@@ -60,18 +139,26 @@ def rules_from_contracts(contracts: DataFrame) -> DataFrame:
     return q.select(F.concat_ws("#", "contract_id", F.col("i").cast("string")).alias("rule_id"), "table_name", F.col("q.column").alias("column_name"), F.col("q.check").alias("check"), F.col("q.op").alias("op"), F.col("q.threshold").alias("threshold"))
 
 
-def holds(value: Column, op: Column, low: Column, high: Column | None = None) -> Column:
-    """``value op low`` with a small tolerance; between uses ``high`` too."""
-    high = low if high is None else high
-    return (
-        F.when(op == "=", F.abs(value - low) <= EPSILON)
-        .when(op == "!=", F.abs(value - low) > EPSILON)
-        .when(op == ">", value > low + EPSILON)
-        .when(op == ">=", value >= low - EPSILON)
-        .when(op == "<", value < low - EPSILON)
-        .when(op == "<=", value <= low + EPSILON)
-        .when(op == "between", (value >= low - EPSILON) & (value <= high + EPSILON))
+def holds(value: Column, op: Column, low: Column, high: Column | None = None, accepted: Column | None = None) -> Column:
+    """``value op low``; between uses ``high`` too, in the numbers among ``accepted``.
+
+    Equality has a small tolerance, the other comparisons have none. Null for an unknown operator; without a threshold
+    nothing holds.
+    """
+    close = lambda a, b: F.abs(a - b) < EPSILON
+    among = F.exists(accepted, lambda a: F.coalesce(close(value, a.try_cast("double")), F.lit(False))) if accepted is not None else F.lit(False)
+    high = F.lit(0.0) if high is None else F.coalesce(high, F.lit(0.0))
+    known = (
+        F.when(op == "=", close(value, low))
+        .when(op == "!=", ~close(value, low))
+        .when(op == ">", value > low)
+        .when(op == ">=", value >= low)
+        .when(op == "<", value < low)
+        .when(op == "<=", value <= low)
+        .when(op == "between", (value >= low) & (value <= high))
+        .when(op == "in", among)
     )
+    return F.when(op.isin(*OPERATORS) & value.isNotNull(), F.coalesce(known, F.lit(False)))
 
 
 def duration_seconds(text: Column) -> Column:
@@ -81,7 +168,7 @@ def duration_seconds(text: Column) -> Column:
     return F.when(text.rlike(pattern) & ~text.isin("P", "PT"), part(1, 86400) + part(2, 3600) + part(3, 60) + part(4, 1))
 
 
-def _measure(metric: str, columns: list[str], args: dict[str, str], as_of: str) -> Column | None:
+def _measure(metric: str, columns: list[str], args: dict[str, str], accepted: list[str], as_of: str) -> Column | None:
     """The aggregate of a metric, or None for metrics that need a shuffle of their own."""
     c = F.col(f"`{columns[0]}`") if columns else None
     total = F.count(F.lit(1))
@@ -94,11 +181,12 @@ def _measure(metric: str, columns: list[str], args: dict[str, str], as_of: str)
     if metric == "missing_count":
         return F.count_if(c.isNull() | (c.cast("string") == "")).cast("double")
     if metric == "freshness_seconds":
-        return (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.max(c).cast("timestamp"))).cast("double")
+        lag = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.max(c).cast("timestamp"))
+        return F.coalesce(lag, F.lit(-1)).cast("double")
     if metric == "pattern_match_rate":
-        return F.when(F.count(c) > 0, F.count_if(c.cast("string").rlike(args.get("regex", ""))) / F.count(c)).otherwise(1.0)
+        return F.when(total > 0, F.count_if(c.cast("string").rlike(args.get("regex", ""))) / total).otherwise(1.0)
     if metric == "accepted_values":
-        return F.count_if(c.isNotNull() & ~c.cast("string").isin(args.get("values", "").split(","))).cast("double")
+        return F.count_if(c.isNotNull() & ~c.cast("string").isin(accepted)).cast("double")
     return None
 
 
@@ -119,13 +207,14 @@ def value_metrics(df: DataFrame, rules: list) -> DataFrame:
     names = sorted({r.columns[0] for r in rules})
     counted = counted_values(df, [(i, n, df.schema[n].dataType) for i, n in enumerate(names)])
     spark = df.sparkSession
+    # Distinct values leave null out, rows do not.
     of = {"distinct_count": F.col("d"), "duplicate_ratio": F.when(F.col("rows") > 0, 1 - F.col("d") / F.col("rows")).otherwise(0.0)}
     plain = [(r.rule_id, names.index(r.columns[0]), r.metric) for r in rules if r.metric in of]
     places = [(r.rule_id, names.index(r.columns[0]), float(r.args.get("p", "0.5"))) for r in rules if r.metric == "percentile"]
-    sums = counted.groupBy("i").agg(F.count("*").alias("d"), F.sum("n").alias("rows")).fillna(0)
+    sums = counted.groupBy("i").agg(F.count("*").alias("d"))
     value = F.when(F.col("metric") == "distinct_count", of["distinct_count"]).otherwise(of["duplicate_ratio"])
     # Rules are a short list; a column without values has no row.
-    asked = spark.createDataFrame(plain, "rule_id string, i int, metric string").join(sums, "i", "left").fillna(0, ["d", "rows"])
+    asked = spark.createDataFrame(plain, "rule_id string, i int, metric string").join(sums, "i", "left").fillna(0, ["d"]).crossJoin(df.agg(F.count("*").alias("rows")))
     out = asked.select("rule_id", value.cast("double").alias("value"))
     if places:
         found = exact_percentiles(counted, [(i, p) for _, i, p in places])
@@ -143,7 +232,7 @@ def measure_rules(tables: dict[str, DataFrame], rules: list, as_of: str) -> Data
         if r.metric in ("distinct_count", "duplicate_ratio", "percentile"):
             valued[r.table_name].append(r)
             continue
-        own = _measure(r.metric, r.columns, r.args, as_of)
+        own = _measure(r.metric, r.columns, r.args, r.accepted, as_of)
         if own is not None:
             fused[r.table_name].append((r.rule_id, own))
         elif r.metric == "duplicate_count":
@@ -186,7 +275,9 @@ def evaluate_rules(tables: dict[str, DataFrame], rules: DataFrame, as_of: str, b
     joined = rules.join(problems, "rule_id").join(values, "rule_id", "left").join(base.select("table_name", F.col("value").alias("baseline")), "table_name", "left")
     drop = F.col("metric") == "row_count_drop"
     value = F.round("value", 6)
-    passed = F.when(drop, F.col("value") >= F.col("baseline") * (1 - F.col("threshold") / 100) - EPSILON).otherwise(holds(F.col("value"), F.col("op"), F.col("threshold"), F.col("threshold_high")))
+    expected = F.when(drop, F.col("baseline") * (1 - F.col("threshold") / 100)).otherwise(F.col("threshold"))
+    # Without a baseline nothing is expected; that is no pass.
+    passed = F.when(~drop | F.col("baseline").isNotNull(), holds(F.col("value"), F.col("op"), expected, F.col("threshold_high"), F.col("accepted")))
     status = F.when(F.col("reason").isNotNull(), "ERROR").when(passed.isNull(), "SKIPPED").when(passed, "PASS").otherwise("FAIL")
     return joined.select("rule_id", "table_name", "metric", value.alias("observed"), status.alias("status"), F.when(status == "FAIL", F.col("on_fail")).alias("action"), "reason")
 

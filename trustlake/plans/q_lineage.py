@@ -153,14 +153,33 @@ def g6_findings(spark, sf_dir):
     return _refs(spark, sf_dir)[1]
 
 
-_ACTIONS = "SELECT from_urn, to_urn, CASE WHEN k % 2 = 0 THEN 'CONFIRM' ELSE 'REJECT' END AS action, k AS seq FROM lineage_edge WHERE state = 'PENDING_REVIEW'"
+# Each edge has a twin from another source; reviews name one of the two.
+_TWINS = "SELECT * FROM lineage_edge UNION ALL SELECT from_urn, to_urn, edge_type, k, 'import', confidence / 2, dependency_kind, parse_level, state FROM lineage_edge"
+_ACTIONS = """SELECT from_urn, to_urn, edge_type, source, dependency_kind, CASE WHEN k % 2 = 0 THEN 'CONFIRM' ELSE 'REJECT' END AS action, CASE WHEN k % 3 = 0 THEN ' ' ELSE 'wrong join' END AS reason, 'u' || CAST(k % 4 AS STRING) AS actor, k AS seq FROM lineage_edge WHERE state = 'PENDING_REVIEW'
+UNION ALL SELECT from_urn, to_urn, edge_type, 'import', dependency_kind, CASE WHEN k % 2 = 0 THEN 'REJECT' ELSE 'CONFIRM' END, 'stale', 'ann', k + 1 FROM lineage_edge WHERE k % 31 = 0
+UNION ALL SELECT from_urn, to_urn, edge_type, 'import', dependency_kind, 'REJECT', 'gone', 'bob', k + 2 FROM lineage_edge WHERE k % 62 = 31
+UNION ALL SELECT from_urn, 'nowhere', edge_type, source, dependency_kind, 'CONFIRM', NULL, 'ann', k FROM lineage_edge WHERE k % 97 = 0"""
+_JUDGED = f"""t AS ({_TWINS}), x AS ({_ACTIONS}), j AS (SELECT x.*, CASE WHEN t.k IS NULL THEN 'no such edge' WHEN action = 'REJECT' AND trim(coalesce(reason, '')) = '' THEN 'a rejection needs a reason' END AS problem FROM x LEFT JOIN (SELECT from_urn, to_urn, edge_type, source, dependency_kind, max(k) AS k FROM t GROUP BY ALL) t USING (from_urn, to_urn, edge_type, source, dependency_kind))"""
 
 
-@query(with_views(f"x AS ({_ACTIONS}), l AS (SELECT from_urn, to_urn, max_by(action, seq) AS action FROM x GROUP BY 1, 2) SELECT from_urn, to_urn, edge_type, k, CASE action WHEN 'CONFIRM' THEN 'ACTIVE' WHEN 'REJECT' THEN 'REJECTED' ELSE state END AS state, CASE WHEN action = 'CONFIRM' THEN greatest(confidence, 0.99) ELSE confidence END AS confidence FROM lineage_edge LEFT JOIN l USING (from_urn, to_urn)", "lineage_edge"))
+def _reviewed(spark, sf_dir):
+    load(spark, sf_dir, "lineage_edge").createOrReplaceTempView("lineage_edge")
+    return graph.apply_reviews(spark.sql(_TWINS), spark.sql(_ACTIONS))
+
+
+@query(
+    with_views(
+        f"{_JUDGED}, l AS (SELECT from_urn, to_urn, edge_type, source, dependency_kind, max_by(action, seq) AS action, max_by(actor, seq) FILTER (action = 'CONFIRM') AS confirmed_by, max_by(actor, seq) FILTER (action = 'REJECT') AS rejected_by, max_by(reason, seq) FILTER (action = 'REJECT') AS reject_reason, bool_or(action = 'CONFIRM') AS up FROM j WHERE problem IS NULL GROUP BY ALL) SELECT from_urn, to_urn, edge_type, source, dependency_kind, k, CASE action WHEN 'CONFIRM' THEN 'ACTIVE' WHEN 'REJECT' THEN 'REJECTED' ELSE state END AS state, CASE WHEN up THEN greatest(confidence, 0.99) ELSE confidence END AS confidence, confirmed_by, rejected_by, reject_reason FROM t LEFT JOIN l USING (from_urn, to_urn, edge_type, source, dependency_kind)",
+        "lineage_edge",
+    )
+)
 def g8_reviews(spark, sf_dir):
-    edge = load(spark, sf_dir, "lineage_edge")
-    edge.createOrReplaceTempView("lineage_edge")
-    return graph.apply_reviews(edge, spark.sql(_ACTIONS)).select("from_urn", "to_urn", "edge_type", "k", "state", "confidence")
+    return _reviewed(spark, sf_dir)[0].drop("parse_level")
+
+
+@query(with_views(f"{_JUDGED} SELECT from_urn, to_urn, edge_type, source, action, actor, problem FROM j WHERE problem IS NOT NULL", "lineage_edge"))
+def g8_refused_reviews(spark, sf_dir):
+    return _reviewed(spark, sf_dir)[1].select("from_urn", "to_urn", "edge_type", "source", "action", "actor", "problem")
 
 
 @query(
@@ -175,7 +194,7 @@ def g9_lineage_health(spark, sf_dir):
 
 @query(with_views("SELECT from_urn, to_urn, edge_type, k, CASE WHEN edge_type = 'derivesFrom' AND source = 'sql_parse' THEN 'REJECTED' ELSE state END AS state FROM lineage_edge", "lineage_edge"))
 def g8_retire_edges(spark, sf_dir):
-    return graph.retire_edges(load(spark, sf_dir, "lineage_edge"), "derivesFrom", "sql_parse")[0].select("from_urn", "to_urn", "edge_type", "k", "state")
+    return graph.retire_edges(load(spark, sf_dir, "lineage_edge"), "derivesFrom", "parser replaced", "sql_parse")[0].select("from_urn", "to_urn", "edge_type", "k", "state")
 
 
 _SEEN = "TIMESTAMP '2024-01-30 00:00:00' - (INTERVAL 1 HOUR) * (k % 500)"

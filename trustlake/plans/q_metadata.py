@@ -190,12 +190,15 @@ def s10_upsert_metrics(spark, sf_dir):
     return metadata.upsert_metrics(rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1"), ["k"])
 
 
-_SEEN = "SELECT from_urn, to_urn, edge_type, confidence, CAST(1 AS BIGINT) AS observed_count, CASE WHEN k % 3 = 0 THEN NULL ELSE 't' || CAST(k % 5 AS STRING) END AS transform, state, k AS seq, k % 2 AS side FROM lineage_edge"
+_FACTS = "CASE WHEN k % 3 = {n} THEN NULL ELSE 't' || CAST(k % 5 AS STRING) END AS transform, CASE WHEN k % 4 = {n} THEN NULL ELSE 'f{n}(x)' END AS transform_expression, CASE WHEN k % 5 = {n} THEN NULL ELSE '{n}:n' END AS cardinality"
+_SEEN = f"""SELECT from_urn, to_urn, edge_type, source, dependency_kind, confidence, CAST(1 AS BIGINT) AS observed_count, {_FACTS.format(n=0)}, parse_level, state, TIMESTAMP '2024-01-01 00:00:00' AS first_seen, TIMESTAMP '2024-01-01 00:00:00' + (INTERVAL 1 HOUR) * (k % 99) AS last_seen, k AS seq, 0 AS side FROM lineage_edge
+UNION ALL SELECT from_urn, to_urn, edge_type, CASE WHEN k % 6 = 1 THEN 'manual' ELSE source END, CASE WHEN k % 10 = 3 THEN 'CONTROL' WHEN dependency_kind = 'VALUE' THEN NULL ELSE dependency_kind END, CASE WHEN k % 7 = 0 THEN 0.995 ELSE confidence / 2 END, CAST(2 AS BIGINT), {_FACTS.format(n=1)}, CASE WHEN k % 2 = 0 THEN NULL ELSE 'exact' END, 'PENDING_REVIEW', TIMESTAMP '2024-01-02 00:00:00', TIMESTAMP '2024-01-02 00:00:00' + (INTERVAL 1 HOUR) * (k % 9), k + 5, 1 FROM lineage_edge WHERE k % 2 = 1"""
+_FACT = ", ".join(f"max_by({f}, side * 1000000000000 + seq) FILTER ({f} IS NOT NULL) AS {f}" for f in ("transform", "transform_expression", "cardinality", "parse_level"))
 
 
 @query(
     with_views(
-        f"""s AS ({_SEEN}) SELECT from_urn, to_urn, edge_type, max(confidence) AS confidence, CAST(sum(observed_count) AS BIGINT) AS observed_count, max_by(transform, side * 1000000000000 + seq) FILTER (transform IS NOT NULL) AS transform, CASE WHEN max(side) = 1 THEN 'ACTIVE' ELSE max_by(state, seq) END AS state FROM s GROUP BY 1, 2, 3""",
+        f"""s AS ({_SEEN}) SELECT from_urn, to_urn, edge_type, source, coalesce(dependency_kind, 'VALUE') AS dependency_kind, max(confidence) AS confidence, CAST(sum(observed_count) AS BIGINT) AS observed_count, {_FACT}, CASE WHEN max(side) = 1 THEN 'ACTIVE' ELSE max_by(state, seq) END AS state, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM s GROUP BY 1, 2, 3, 4, 5""",
         "lineage_edge",
     )
 )

@@ -48,7 +48,7 @@ def _found(spark, sf_dir):
 @query(
     with_views(
         f"""
-found AS ({_FOUND}), {_WALK},
+found AS (SELECT * FROM ({_FOUND}) WHERE flagged), {_WALK},
 up(root, urn, depth) AS (SELECT dataset_urn, dataset_urn, 0 FROM found UNION SELECT root, from_urn, depth + 1 FROM up JOIN walk ON to_urn = urn WHERE depth < 3),
 u AS (SELECT DISTINCT root, urn FROM up WHERE urn <> root),
 hit AS (SELECT f.dataset_urn, f.metric, f.window_start, min(o.dataset_urn) AS caused_by FROM found f JOIN u ON root = f.dataset_urn JOIN found o ON o.dataset_urn = u.urn AND o.metric = f.metric AND o.window_start >= f.window_start - INTERVAL 1 DAY GROUP BY 1, 2, 3),

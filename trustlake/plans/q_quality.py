@@ -73,21 +73,28 @@ _CHECKS = [
     {"id": "r01", "table": "orders", "columns": ["o_custkey"], "check": "notNull", "severity": "CRITICAL"},
     {"id": "r02", "table": "orders", "columns": ["o_orderstatus"], "check": "nullRatio", "op": "<=", "threshold": 0.01},
     {"id": "r03", "table": "orders", "columns": ["o_orderpriority"], "check": "missing"},
-    {"id": "r04", "table": "orders", "columns": ["o_orderstatus"], "check": "distinct", "op": "between", "threshold": 2, "threshold_high": 3},
-    {"id": "r05", "table": "orders", "columns": ["o_custkey"], "check": "unique", "severity": "HIGH"},
+    {"id": "r04", "table": "orders", "columns": ["o_orderstatus"], "check": "distinctness", "op": "between", "threshold": 2, "threshold_high": 3},
+    {"id": "r05", "table": "orders", "columns": ["o_custkey"], "check": "duplicates", "severity": "HIGH"},
     {"id": "r06", "table": "orders", "columns": ["o_custkey"], "check": "duplicateRatio", "op": "<", "threshold": 0.5},
     {"id": "r07", "table": "orders", "check": "rowCount", "op": ">", "threshold": 10},
-    {"id": "r08", "table": "orders", "columns": ["o_orderdate"], "check": "freshness", "op": "<=", "threshold": 86400, "severity": "LOW"},
+    {"id": "r08", "table": "orders", "columns": ["o_orderdate"], "check": "freshness", "maxLag": "P1D", "severity": "LOW"},
     {"id": "r09", "table": "orders", "columns": ["o_totalprice"], "check": "percentile", "op": ">", "threshold": 1000, "args": {"p": 0.95}},
-    {"id": "r10", "table": "orders", "columns": ["o_orderpriority"], "check": "pattern", "op": ">=", "threshold": 0.99, "args": {"regex": "^[1-5]-"}},
-    {"id": "r11", "table": "orders", "columns": ["o_orderstatus"], "check": "accepted_values", "args": {"values": ["O", "F"]}},
+    {"id": "r10", "table": "orders", "columns": ["o_orderpriority"], "check": "pattern", "threshold": 0.99, "args": {"regex": "^[1-5]-"}},
+    {"id": "r11", "table": "orders", "columns": ["o_orderstatus"], "check": "acceptedValues", "args": {"values": ["O", "F"]}},
     {"id": "r12", "table": "orders", "columns": ["o_custkey"], "check": "relationships", "args": {"to": "customer", "field": "c_custkey"}},
-    {"id": "r13", "table": "lineitem", "columns": ["l_orderkey", "l_linenumber"], "check": "unique"},
+    {"id": "r13", "table": "lineitem", "columns": ["l_orderkey", "l_linenumber"], "check": "duplicates"},
     {"id": "r14", "table": "orders", "check": "customSql", "args": {"sql": "SELECT count(*) FROM orders WHERE o_totalprice < 0"}},
     {"id": "r15", "table": "orders", "check": "customSql", "args": {"sql": "DROP TABLE orders"}},
     {"id": "r16", "table": "orders", "columns": ["nowhere"], "check": "notNull"},
-    {"id": "r17", "table": "orders", "check": "rowCountDrop", "threshold": 10},
-    {"id": "r18", "table": "lineitem", "check": "rowCountDrop", "threshold": 10},
+    {"id": "r17", "table": "orders", "check": "rowCountChange", "maxDropPct": 10},
+    {"id": "r18", "table": "lineitem", "check": "rowCountChange", "maxDropPct": 10},
+    {"id": "r19", "table": "orders", "column": "o_custkey", "check": "uniqueness", "threshold": 0.999},
+    {"id": "r20", "table": "orders", "column": "o_orderstatus", "check": "distinctCount", "op": "in", "acceptedValues": ["2", "3.0", "x"]},
+    {"id": "r21", "table": "orders", "check": "rowCount", "threshold": 10},
+    {"id": "r22", "table": "orders", "check": "rowCount", "op": "~", "threshold": 10},
+    {"id": "r23", "table": "orders", "column": "o_custkey", "check": "nullRatio", "threshold": 0.5},
+    {"id": "r24", "table": "orders", "check": "rowCount", "threshold": 1, "severity": "urgent"},
+    {"id": "r25", "table": "orders", "column": "o_custkey", "check": "unique"},
 ]
 # Per rule: the observed value and the condition to pass, as DuckDB reads them.
 _RULE_SQL = {
@@ -96,22 +103,26 @@ _RULE_SQL = {
     "r03": ("orders", "missing_count", "count(*) FILTER (o_orderpriority IS NULL OR o_orderpriority = '')", "v = 0", "ALERT"),
     "r04": ("orders", "distinct_count", "count(DISTINCT o_orderstatus)", "v BETWEEN 2 AND 3", "ALERT"),
     "r05": ("orders", "duplicate_count", "count(*) - count(DISTINCT o_custkey)", "v = 0", "ALERT"),
-    "r06": ("orders", "duplicate_ratio", "1 - count(DISTINCT o_custkey) / count(o_custkey)", "v < 0.5", "ALERT"),
+    "r06": ("orders", "duplicate_ratio", "1 - count(DISTINCT o_custkey) / count(*)", "v < 0.5", "ALERT"),
     "r07": ("orders", "row_count", "count(*)", "v > 10", "ALERT"),
     "r08": ("orders", "freshness_seconds", "date_diff('second', max(o_orderdate), TIMESTAMP '2001-08-02 00:00:00')", "v <= 86400", "RECORD"),
     "r09": ("orders", "percentile", "quantile_cont(o_totalprice, 0.95)", "v > 1000", "ALERT"),
-    "r10": ("orders", "pattern_match_rate", "count(*) FILTER (regexp_matches(o_orderpriority, '^[1-5]-')) / count(o_orderpriority)", "v >= 0.99", "ALERT"),
+    "r10": ("orders", "pattern_match_rate", "count(*) FILTER (regexp_matches(o_orderpriority, '^[1-5]-')) / count(*)", "v >= 0.99", "ALERT"),
     "r11": ("orders", "accepted_values", "count(*) FILTER (o_orderstatus NOT IN ('O', 'F'))", "v = 0", "ALERT"),
     "r12": ("orders", "orphan_count", "count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer))", "v = 0", "ALERT"),
     "r13": ("lineitem", "duplicate_count", "count(*) - count(DISTINCT (l_orderkey, l_linenumber))", "v = 0", "ALERT"),
     "r14": ("orders", "custom_sql", "count(*) FILTER (o_totalprice < 0)", "v = 0", "ALERT"),
     "r17": ("orders", "row_count_drop", "count(*)", "v >= 1000 * 0.9", "ALERT"),
     "r18": ("lineitem", "row_count_drop", "count(*)", "NULL", "ALERT"),
+    "r19": ("orders", "duplicate_ratio", "1 - count(DISTINCT o_custkey) / count(*)", "v <= 1 - 0.999", "ALERT"),
+    "r20": ("orders", "distinct_count", "count(DISTINCT o_orderstatus)", "v IN (2, 3)", "ALERT"),
+    "r21": ("orders", "row_count", "count(*)", "v >= 10", "ALERT"),
+    "r23": ("orders", "null_ratio", "count(*) FILTER (o_custkey IS NULL) / count(*)", "v <= 0.5", "ALERT"),
 }
 _RULES_ORACLE = " UNION ALL ".join(
     f"SELECT '{i}' AS rule_id, '{t}' AS table_name, '{m}' AS metric, round(v, 6) AS observed, CASE WHEN ({ok}) IS NULL THEN 'SKIPPED' WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN NOT ({ok}) THEN '{act}' END AS action, NULL AS reason FROM (SELECT CAST({e} AS DOUBLE) AS v FROM {t})"
     for i, (t, m, e, ok, act) in _RULE_SQL.items()
-) + " UNION ALL SELECT 'r15', 'orders', 'custom_sql', NULL, 'ERROR', NULL, 'one SELECT statement is needed' UNION ALL SELECT 'r16', 'orders', 'null_count', NULL, 'ERROR', NULL, 'unknown column'"
+) + " UNION ALL SELECT 'r15', 'orders', 'custom_sql', NULL, 'ERROR', NULL, 'one SELECT statement is needed' UNION ALL SELECT 'r16', 'orders', 'null_count', NULL, 'ERROR', NULL, 'unknown column' UNION ALL SELECT 'r22', 'orders', 'row_count', NULL, 'ERROR', NULL, 'unknown operator ~' UNION ALL SELECT 'r24', 'orders', 'row_count', NULL, 'ERROR', NULL, 'unknown severity URGENT; what a failure does is on_fail' UNION ALL SELECT 'r25', 'orders', 'duplicate_ratio', NULL, 'ERROR', NULL, 'a threshold is needed'"
 
 
 @query(_RULES_ORACLE)
@@ -163,3 +174,17 @@ _DURATION = "CASE p_partkey % 5 WHEN 0 THEN 'PT' || CAST(p_size AS STRING) || 'H
 @query(f"SELECT p_partkey, {_DURATION} AS duration, CASE p_partkey % 5 WHEN 0 THEN p_size * 3600 WHEN 1 THEN p_size * 86400 + p_partkey % 60 * 60 + p_size END::BIGINT AS seconds FROM part")
 def x5_durations(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", F.expr(_DURATION).alias("duration")).withColumn("seconds", rules.duration_seconds(F.col("duration")))
+
+
+@query("""
+WITH v(rule_id, metric, op, threshold, observed) AS (VALUES ('dbt:orders#1', 'duplicate_count', '=', 0, (SELECT count(*) - count(DISTINCT o_orderkey) FROM orders)), ('dbt:orders#2', 'null_count', '=', 0, (SELECT count(*) FILTER (o_custkey IS NULL) FROM orders)),
+('dbt:orders#3', 'accepted_values', '=', 0, (SELECT count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) FROM orders)), ('dbt:orders#4', 'orphan_count', '=', 0, (SELECT count(*) FILTER (o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 2 = 0)) FROM orders)),
+('sql', 'custom_sql', '=', 3, (SELECT count(*) FROM orders WHERE o_totalprice < 0)))
+SELECT rule_id, metric, CAST(observed AS DOUBLE) AS observed, CASE WHEN observed = threshold THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN observed <> threshold THEN 'ALERT' END AS action FROM v""")
+def q2_front_ends(spark, sf_dir):
+    tables = {"orders": load(spark, sf_dir, "orders")}
+    tables["even"] = tables["orders"].filter("o_custkey % 2 = 0")
+    tests = [{"unique": "o_orderkey"}, {"not_null": "o_custkey"}, {"accepted_values": {"field": "o_orderstatus", "values": ["O", "F"]}}, {"relationships": {"field": "o_custkey", "to": "even"}}]
+    own = rules.rules_from_dbt_tests(spark, "orders", "orders", tests)
+    own = own.unionByName(rules.rules_from_sql(spark, [("sql", "orders", "SELECT count(*) FROM orders WHERE o_totalprice < 0", 3)], "CRITICAL"))
+    return rules.evaluate_rules(tables, own, "2001-08-02 00:00:00").select("rule_id", "metric", "observed", "status", "action")

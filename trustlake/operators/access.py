@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trustlake.functions.storage import written
+
 # Names that audit logs give the same field, the first that is there holds.
 ALIASES = {
     "query_id": ["externalId", "external_id", "queryId", "query_id", "id", "requestId"],
@@ -46,8 +48,8 @@ def outcome(text: Column) -> Column:
     return F.when(F.lower(text).isin(SUCCESS_WORDS), True).when(F.lower(text).isin(FAILURE_WORDS), False)
 
 
-def normalize_audit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Audit rows under common names, and those without time, actor or resource with the reason.
+def marked_audit(df: DataFrame) -> DataFrame:
+    """Audit rows under common names, with the reason where time, actor or resource is not there.
 
     A record counts as one that succeeded unless a status word says otherwise; ``asked`` is its operation as sent.
     """
@@ -76,7 +78,12 @@ def normalize_audit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         first("source_ip").alias("source_ip"),
     )
     why = F.when(F.col("event_time").isNull(), "no time").when(F.col("actor").isNull(), "no actor").when(F.col("resource").isNull(), "no resource")
-    own = own.withColumn("reason", why)
+    return own.withColumn("reason", why)
+
+
+def normalize_audit(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Audit rows under common names, and those without time, actor or resource with the reason."""
+    own = marked_audit(df)
     return own.filter("reason IS NULL").drop("reason"), own.filter("reason IS NOT NULL")
 
 
@@ -86,18 +93,24 @@ def record_hash(engine: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(engine), F.coalesce(F.col("query_id"), own)), 256)
 
 
+def unique_urns(entity: DataFrame) -> DataFrame:
+    """Rows (resource, urn) of the names that exactly one URN has. ``entity``: name, urn."""
+    return entity.groupBy("name").agg(F.min("urn").alias("urn"), F.count_distinct("urn").alias("n")).filter("n = 1").select(F.col("name").alias("resource"), "urn")
+
+
 def ingest_audit(raw: DataFrame, entity: DataFrame, existing: DataFrame, engine: str) -> tuple[DataFrame, DataFrame]:
     """New audit rows with their URN where the resource has exactly one, and the batch's counters.
 
+    The log is read and parsed once, into a written table; new rows are written too, and counters are sums over the two.
     ``entity``: name, urn. ``existing``: record_hash. Rows that cannot be resolved are kept with a null URN.
     """
-    ok, rejected = normalize_audit(raw)
-    ok = ok.withColumn("record_hash", record_hash(engine))
-    unique = entity.groupBy("name").agg(F.min("urn").alias("urn"), F.count_distinct("urn").alias("n")).filter("n = 1").select(F.col("name").alias("resource"), "urn")
-    new = ok.join(existing.select("record_hash"), "record_hash", "left_anti").dropDuplicates(["record_hash"]).join(unique, "resource", "left")
-    received = raw.agg(F.count("*").alias("received"))
-    counts = received.crossJoin(rejected.agg(F.count("*").alias("rejected"))).crossJoin(new.agg(F.count("*").alias("accepted"), F.count_if(F.col("urn").isNull()).alias("unresolved"), F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event")))
-    return new, counts.withColumn("duplicated", F.col("received") - F.col("rejected") - F.col("accepted"))
+    marked = written(marked_audit(raw).withColumn("record_hash", F.when(F.col("reason").isNull(), record_hash(engine))), "audit")
+    ok = marked.filter("reason IS NULL").drop("reason")
+    new = written(ok.join(existing.select("record_hash"), "record_hash", "left_anti").dropDuplicates(["record_hash"]).join(unique_urns(entity), "resource", "left"), "new-audit")
+    received = marked.agg(F.count("*").alias("received"), F.count("reason").alias("rejected"))
+    accepted = new.agg(F.count("*").alias("accepted"), F.count_if(F.col("urn").isNull()).alias("unresolved"), F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"))
+    # Both sides are one row.
+    return new, received.crossJoin(accepted).withColumn("duplicated", F.col("received") - F.col("rejected") - F.col("accepted"))
 
 
 def admit_batches(df: DataFrame, batch_col: str, cap: int) -> tuple[DataFrame, DataFrame]:

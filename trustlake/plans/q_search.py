@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from trustlake.functions import text, urn
-from trustlake.functions.storage import shared_folder
+from trustlake.functions.storage import new_path
 from trustlake.operators import search
 from trustlake.operators.policy import visible
 from trustlake.plans.fixtures import load, with_views
@@ -39,7 +38,7 @@ def r2_search(spark, sf_dir):
 
 @query(f"WITH {_LEXICAL} SELECT * FROM lex WHERE rank <= 10")
 def r2_search_index(spark, sf_dir):
-    path = f"{shared_folder(spark)}/trustlake/index-{uuid.uuid4().hex}"
+    path = new_path(spark, "index")
     search.write_index(load(spark, sf_dir, "documents"), path)
     return search.search_index(spark, path, _queries(spark, sf_dir))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
-from trustlake.functions.storage import new_path, shared_folder
+from trustlake.functions.storage import new_path
 from trustlake.plans.fixtures import load, with_views
 from trustlake.plans.registry import query
 from trustlake.sources import ingest
@@ -20,13 +19,13 @@ def _events(spark, sf_dir):
 
 def _collected(spark, stream, mode):
     """All that a stream gives, written as Parquet in the shared folder."""
-    out = f"{shared_folder(spark)}/trustlake/stream-{uuid.uuid4().hex}"
+    out = new_path(spark, "stream")
     schema = stream.schema
     if mode == "append":
         sink = stream.writeStream.format("parquet").option("path", f"{out}/rows")
     else:
         sink = stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows"))
-    jobs.run_available(sink.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    jobs.run_available(jobs.started(sink.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True), spark, **jobs.ROCKSDB))
     return spark.read.schema(schema).parquet(f"{out}/rows")
 
 
@@ -44,10 +43,10 @@ def _indexed(spark, sf_dir, compact=False):
     """An index by several micro-batches; the last event of an erring user takes the user out."""
     out = new_path(spark, "index")
     events = jobs.event_stream(spark, _folder(spark, sf_dir), 1).withColumn("deleted", F.col("event_type") == "error")
-    jobs.run_available(jobs.index_events(events, f"{out}/docs", f"{out}/checkpoint", ["user_id"], "event_id"))
+    jobs.run_available(jobs.index_events(events, out, f"{out}/checkpoint", ["user_id"], "event_id", 3))
     if compact:
-        jobs.compact_index(spark, f"{out}/docs", f"{out}/compact", ["user_id"], "event_id")
-    return f"{out}/compact" if compact else f"{out}/docs"
+        jobs.compact_index(spark, out, ["user_id"], "event_id")
+    return out
 
 
 @query(f"{_INDEXED} SELECT * FROM l WHERE event_type <> 'error'")
@@ -104,7 +103,7 @@ def st2_audit_records(spark, sf_dir):
 
 @query(f"{_TWICE} SELECT 3 * (SELECT count(*) FROM events) AS received, 3 * (SELECT count(*) FROM events WHERE event_id % 97 = 0) AS rejected, count(*) AS accepted, 2 * count(*) AS duplicated, count(*) FILTER (event_type = 'error') AS unresolved, min(ts) AS first_event, max(ts) AS last_event FROM d")
 def st2_audit_counters(spark, sf_dir):
-    counters = spark.read.parquet(f"{_audited(spark, sf_dir)}/counters")
+    counters = jobs.audit_counters(spark, _audited(spark, sf_dir))
     sums = [F.sum(c).alias(c) for c in ("received", "rejected", "accepted", "duplicated", "unresolved")]
     return counters.agg(*sums, F.min("first_event").cast("timestamp_ntz").alias("first_event"), F.max("last_event").cast("timestamp_ntz").alias("last_event"))
 
@@ -146,7 +145,24 @@ def s7_openlineage_stream(spark, sf_dir):
 def st5_expiry_scan(spark, sf_dir):
     from trustlake.operators.access import expire
 
-    path = f"{shared_folder(spark)}/trustlake/grants-{uuid.uuid4().hex}"
+    path = new_path(spark, "grants")
     load(spark, sf_dir, "access_grant").write.parquet(path)
     grants = jobs.event_stream(spark, path)
     return _collected(spark, expire(grants, "2024-04-10 00:00:00").select("id", "status"), "append")
+
+
+@query(
+    with_views(
+        "g AS (SELECT subject || '|' || resource_urn AS id, status, expires_at, granted_at FROM access_grant), w AS (SELECT max(granted_at) + INTERVAL 95 DAY AS now FROM g) SELECT id, status, expires_at FROM g UNION ALL SELECT id, 'EXPIRED', expires_at FROM g, w WHERE status = 'ACTIVE' AND expires_at < now UNION ALL SELECT 'other', 'REVOKED', now FROM w",
+        "access_grant",
+    )
+)
+def st5_expiry_timers(spark, sf_dir):
+    grants = load(spark, sf_dir, "access_grant").select(F.concat_ws("|", "subject", "resource_urn").alias("id"), "status", F.col("expires_at").cast("timestamp").alias("expires_at"), F.col("granted_at").cast("timestamp").alias("at"))
+    path = new_path(spark, "grants")
+    grants.repartitionByRange(2, "at").write.parquet(path)
+    # Long after the others something comes for another grant.
+    late = grants.agg((F.max("at") + F.expr("INTERVAL 95 DAY")).alias("at"))
+    late.select(F.lit("other").alias("id"), F.lit("REVOKED").alias("status"), F.col("at").alias("expires_at"), "at").write.mode("append").parquet(path)
+    found = _collected(spark, jobs.grant_states(jobs.event_stream(spark, path, 1)), "append")
+    return found.withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))

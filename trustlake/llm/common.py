@@ -1,63 +1,16 @@
-"""Helpers shared by the training-data operators: the shared folder, stage tables and batch iteration."""
+"""Helpers shared by the training-data operators: stage tables, under the names used here, and batch iteration."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from trustlake.functions.storage import discard, new_path, qualified, written  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: ``spark.checkpoint.dir``.
 
-    Only a local session that has none gets a temporary folder; on a cluster that is an error, since no executor would
-    see the driver's.
-    """
-    conf = spark.sparkContext.getConf()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-trustlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return qualified(spark, folder)
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """A path with the scheme and the authority that Spark reads and writes it under."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/trustlake/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs a re-read, not a re-run of what stands above.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(table: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` has written, once nothing that is still to be computed reads it."""
-    spark = table.sparkSession
-    root = f"{shared_dir(spark)}/trustlake/"
-    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if files.makeQualified(path).toString().startswith(root):
-            files.delete(path, True)
+new_folder, materialize = new_path, written
 
 
 #: Rows of an Arrow batch; the JVM and the worker each hold one, however long its texts are.

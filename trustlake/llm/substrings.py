@@ -202,14 +202,15 @@ def window_hashes(numbers: np.ndarray, size: int) -> np.ndarray:
     return (sums[size:] - sums[: n - size + 1]) * back[: n - size + 1, None]
 
 
-def candidate_windows(numbers: np.ndarray, shared: np.ndarray, size: int, grown: int, rounds: int) -> np.ndarray:
-    """Of each window of a document, whether it decides no symbol that the document does not share. ``shared`` is sorted."""
+def candidate_windows(numbers: np.ndarray, doc: np.ndarray, shared: np.ndarray, size: int, grown: int, rounds: int) -> np.ndarray:
+    """First words of the windows that decide no symbol but shared ones. ``shared`` is sorted and has all shared symbols of the documents."""
     n = max(0, len(numbers) - size + 1)
-    name, _, low, high = deciding(numbers[:, 0], np.zeros(len(numbers), np.int32), size, grown, rounds)
+    name, _, low, high = deciding(numbers[:, 0], doc, size, grown, rounds)
     place = np.minimum(np.searchsorted(shared, name), max(len(shared) - 1, 0))
     alone = shared[place] != name if len(shared) else np.ones(len(name), bool)
     # The windows from high - size to low hold the words low to high.
-    return covering(high[alone] - size, low[alone], n) == 0
+    free = covering(high[alone] - size, low[alone], len(numbers)) == 0
+    return np.flatnonzero(free[:n] & (doc[:n] == doc[size - 1 :])) if n else np.empty(0, int)
 
 
 def windows(texts: DataFrame, size: int, grown: int, rounds: int) -> DataFrame:
@@ -217,18 +218,25 @@ def windows(texts: DataFrame, size: int, grown: int, rounds: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = column(batch, "shared")
-            for i, text in enumerate(utf8(batch)):
-                numbers = Words([text]).both()
-                if len(numbers) < size:
-                    continue
-                shared = np.sort(lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                own = np.unique(window_hashes(numbers, size)[candidate_windows(numbers, shared, size, grown, rounds)], axis=0)
-                # Long documents have many windows, so some at a time.
-                for at in range(0, len(own), 1 << 16):
-                    some = own[at : at + (1 << 16)].view(np.int64)
-                    pairs = pa.StructArray.from_arrays([pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], ["a", "b"])
-                    yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pairs)], ["doc_id", "windows"])
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                words = Words(list(utf8(part)))
+                shared = np.unique(column(part, "shared").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+                long = words.n[words.doc] >= size
+                numbers, doc = words.both()[long], words.doc[long]
+                starts = candidate_windows(numbers, doc, shared, size, grown, rounds)
+                a, b = window_hashes(numbers, size)[starts].T
+                of = doc[starts]
+                order = np.lexsort((b, a, of))
+                a, b, of = a[order], b[order], of[order]
+                new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (of[1:] != of[:-1])] if len(a) else np.empty(0, bool)
+                a, b, of = a[new].view(np.int64), b[new].view(np.int64), of[new]
+                # A document with very many windows has some rows of them.
+                cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, int)
+                cuts = np.unique(np.r_[cuts, np.arange(0, len(of), 1 << 16)]).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[cuts, np.int32(len(of))], pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id").take(pa.array(of[cuts])), lists], ["doc_id", "windows"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return in_small_batches(texts).mapInArrow(run, f"doc_id {kind}, windows array<struct<a: long, b: long>>")
@@ -257,10 +265,13 @@ def cut(texts: DataFrame, size: int) -> DataFrame:
 
 def among(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Which rows of two numbers are among the wanted ones."""
-    both = np.unique(np.concatenate([rows, wanted]), axis=0, return_inverse=True)[1].ravel()
-    mark = np.zeros(len(both), bool)
-    mark[both[len(rows) :]] = True
-    return mark[both[: len(rows)]]
+    wanted = wanted[np.lexsort(wanted.T[::-1])]
+    left, right = (np.searchsorted(wanted[:, 0], rows[:, 0], side) for side in ("left", "right"))
+    found = left < right
+    found[found] = wanted[left[found], 1] == rows[found, 1]
+    for i in np.flatnonzero(right - left > 1):
+        found[i] = rows[i, 1] in wanted[left[i] : right[i], 1]
+    return found
 
 
 def with_words(docs: DataFrame, marks: DataFrame) -> DataFrame:

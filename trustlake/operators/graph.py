@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trustlake.functions.storage import written
+from trustlake.functions.storage import discard, written
 from trustlake.operators.metadata import EDGE_KEY
 
 # The edge types that are lineage, parse confidence, and the weights of an impact.
@@ -16,7 +18,7 @@ CLASS_WEIGHT = {"L1": 0.3, "L2": 0.5, "L3": 0.8, "L4": 1.0}
 CRITICAL_TAGS = ["critical", "tier1", "tier-1", "p0", "core", "关键", "核心"]
 COLUMN_PREFIX = "urn:asset:Column:"
 DECAY = 0.7
-MAX_IMPACT_DEPTH = 10
+MAX_IMPACT_DEPTH, MAX_SUBGRAPH_DEPTH = 10, 5
 
 
 def eligible_edges(edge: DataFrame, min_confidence: float = 0.0, include_control: bool = False, states: tuple = ("ACTIVE",), types: list[str] | None = None) -> DataFrame:
@@ -25,25 +27,61 @@ def eligible_edges(edge: DataFrame, min_confidence: float = 0.0, include_control
     return out if include_control else out.filter("dependency_kind = 'VALUE'")
 
 
-def closure(edge: DataFrame, roots: DataFrame, direction: str = "down", max_depth: int | None = 10) -> DataFrame:
+#: Roots whose bits share one row of a node, and roots that are numbered without being dealt out.
+_BITS = 64
+_FEW_ROOTS = 1000
+
+
+def _hop(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """A written hop and its rows, which are counted as they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
+def numbered(roots: DataFrame) -> DataFrame:
+    """Distinct roots as rows (root, block, bit): 64 roots of a block share a number."""
+    own = roots.select("root").distinct()
+    few = own.limit(_FEW_ROOTS + 1).collect()
+    if len(few) <= _FEW_ROOTS:
+        rows = [(r.root, i // _BITS, 1 << i % _BITS if i % _BITS < 63 else -(1 << 63)) for i, r in enumerate(sorted(few))]
+        return roots.sparkSession.createDataFrame(rows, f"root {roots.schema['root'].dataType.simpleString()}, block long, bit long")
+    dealt = written(own.repartitionByRange("root").withColumn("part", F.spark_partition_id()), "roots")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("root")) - 1
+    block = (F.col("part").cast("long") * F.lit(1 << 40) + F.floor(place / _BITS)).alias("block")
+    return written(dealt.select("root", block, F.call_function("shiftleft", F.lit(1).cast("long"), (place % _BITS).cast("int")).alias("bit")), "roots")
+
+
+def closure(edge: DataFrame, roots: DataFrame, direction: str = "down", max_depth: int | None = 10, stored: bool = False) -> DataFrame:
     """Nodes within ``max_depth`` hops of each root, with the least depth: rows (root, urn, depth), roots left out (G1).
 
-    One hop is one join of the frontier with the edges, then an anti join with what has been met, so cycles end and a
-    node is expanded once for each root. Edges and hops are written to the shared folder; what Spark then knows of a
-    frontier's size lets it send a small one to the edges, which stay where they are. ``None`` goes on to the end.
+    A row of a hop is a node with the bits of up to 64 roots that reach it there for the first time, so a hop does not
+    multiply by the roots; bits met before are taken out in the same aggregation, so cycles end. Hops are written, and
+    what Spark then knows of a frontier's size lets it send a small one to the edges, which stay where they are. ``None``
+    goes on to the end. ``stored`` says that ``edge`` is a table (with filters at most), which need not be written again.
     """
     near, far = ("from_urn", "to_urn") if direction == "down" else ("to_urn", "from_urn")
-    steps = written(edge.select(F.col(near).alias("urn"), F.col(far).alias("next")).distinct(), "steps")
-    seen = frontier = written(roots.select("root", F.col("root").alias("urn"), F.lit(0).alias("depth")).distinct(), "hop")
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        new = frontier.join(steps, "urn").select("root", F.col("next").alias("urn")).distinct().join(seen.select("root", "urn"), ["root", "urn"], "left_anti")
-        frontier = written(new.withColumn("depth", F.lit(depth)), "hop")
-        if frontier.isEmpty():
+    steps = edge.select(F.col(near).alias("urn"), F.col(far).alias("next"))
+    steps = steps if stored else written(steps, "steps")
+    names = numbered(roots)
+    start = names.groupBy(F.col("root").alias("urn"), "block").agg(F.bit_or("bit").alias("bits"))
+    frontier, _ = _hop(start, "hop")
+    hops, before = [], frontier
+    while max_depth is None or len(hops) < max_depth:
+        met = frontier.join(steps, "urn").select(F.col("next").alias("urn"), "block", "bits", F.lit(0).cast("long").alias("old"))
+        both = met.unionByName(before.select("urn", "block", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("old")))
+        own = both.groupBy("urn", "block").agg(F.bit_or("bits").bitwiseAND(F.bitwise_not(F.bit_or("old"))).alias("bits")).filter("bits != 0")
+        frontier, n = _hop(own, "hop")
+        if not n:
             break
-        seen = seen.union(frontier)
-    return seen.filter("depth > 0")
+        hops.append(frontier.withColumn("depth", F.lit(len(hops) + 1)))
+        before = before.unionByName(frontier)
+    if not stored:
+        discard(steps)
+    if not hops:
+        return names.select("root", F.col("root").alias("urn"), F.lit(0).alias("depth")).filter("false")
+    rows = reduce(DataFrame.unionByName, hops)
+    return rows.join(names, "block").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("root", "urn", "depth")
 
 
 def edges_in(nodes: DataFrame, edge: DataFrame) -> DataFrame:
@@ -61,7 +99,7 @@ def impact_weight(level: Column, critical: Column, owner: Column, out_degree: Co
     return 0.40 * grade + 0.25 * F.when(critical, 1.0).otherwise(0.4) + 0.15 * F.when(owner.isNull(), 0.9).otherwise(1.0) + 0.20 * spread
 
 
-def impact(edge: DataFrame, asset: DataFrame, roots: DataFrame, depth: int = 3, min_confidence: float = 0.0, direction: str = "down", include_columns: bool = False) -> DataFrame:
+def impact(edge: DataFrame, asset: DataFrame, roots: DataFrame, depth: int = 3, min_confidence: float = 0.0, direction: str = "down", include_columns: bool = False, stored: bool = False) -> DataFrame:
     """Assets that depend on each root (or, with ``direction="up"``, that it depends on), with a score that falls by 0.7 a hop.
 
     Columns: root, urn, depth, entity_type (Unknown where there is no such asset), downstream (active edges out of the
@@ -69,7 +107,7 @@ def impact(edge: DataFrame, asset: DataFrame, roots: DataFrame, depth: int = 3,
     beyond). ``asset``: urn, entity_type, classification, owner, tag.
     """
     depth = max(1, min(depth, MAX_IMPACT_DEPTH))
-    reached = closure(eligible_edges(edge, min_confidence), roots, direction, depth)
+    reached = closure(eligible_edges(edge, min_confidence), roots, direction, depth, stored)
     if not include_columns:
         reached = reached.filter(~F.col("urn").startswith(COLUMN_PREFIX))
     degree = edge.filter("state = 'ACTIVE'").groupBy(F.col("from_urn").alias("urn")).agg(F.count("*").alias("downstream"))
@@ -95,13 +133,14 @@ def impact_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("root", "entity_type").agg(F.count("*").alias("assets"), F.count_if("critical").alias("critical"), F.count_if("boundary").alias("boundary"), F.max("score").alias("highest"))
 
 
-def subgraph(edge: DataFrame, focus: DataFrame, depth: int = 2, node_limit: int = 200, include_control: bool = False, include_columns: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def subgraph(edge: DataFrame, focus: DataFrame, depth: int = 2, node_limit: int = 200, include_control: bool = False, include_columns: bool = True, stored: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes around each focus (both directions, capped by depth and URN, the focus first), their edges, and counts.
 
     Without columns, a walk goes over them but they are not among the nodes, unless one is the focus itself.
     """
+    depth = max(1, min(depth, MAX_SUBGRAPH_DEPTH))
     walk = eligible_edges(edge, 0.0, include_control, ("ACTIVE", "STALE"))
-    both = closure(walk, focus, "down", depth).unionByName(closure(walk, focus, "up", depth))
+    both = closure(walk, focus, "down", depth, stored).unionByName(closure(walk, focus, "up", depth, stored))
     nodes = both.groupBy("root", "urn").agg(F.min("depth").alias("depth")).filter("urn != root")
     nodes = nodes if include_columns else nodes.filter(~F.col("urn").startswith(COLUMN_PREFIX))
     nodes = nodes.unionByName(focus.select("root", F.col("root").alias("urn"), F.lit(0).alias("depth")).distinct())
@@ -116,32 +155,62 @@ def subgraph(edge: DataFrame, focus: DataFrame, depth: int = 2, node_limit: int
 def shortest_paths(edge: DataFrame, pairs: DataFrame, max_depth: int = 12, min_confidence: float = 0.0) -> DataFrame:
     """A shortest path by hops for each (source, target): hops, path, weakest confidence; found is false without one.
 
-    Of equal paths, at each node the one from the least parent is kept, with the strongest edge between the two.
+    All pairs are searched at once from both ends, each time from the side with fewer nodes at its edge; a pair is done
+    when a node has been reached from both. From the nodes where they met the way to the target is marked over the levels
+    of the other side. Of equal paths, at each node the one from the least parent is kept, with the strongest edge between
+    the two.
     """
     keys = ["source", "target"]
     steps = written(edge.filter((F.col("state") == "ACTIVE") & (F.col("confidence") >= min_confidence)).groupBy("from_urn", "to_urn").agg(F.max("confidence").alias("c")), "steps")
     asked = written(pairs.select(*keys).distinct(), "pairs")
-    start = asked.select(*keys, F.col("source").alias("at"), F.lit(None).cast("string").alias("parent"), F.lit(1.0).alias("weakest"))
-    levels, seen = [written(start, "hop")], start.select(*keys, "at")
-    done = start.filter("at = target").select(*keys, "weakest", F.lit(0).alias("hops"))
-    for depth in range(1, max_depth + 1):
-        going = levels[-1].join(done.select(*keys), keys, "left_anti")
-        step = going.join(steps, F.col("at") == F.col("from_urn")).select(*keys, F.col("to_urn").alias("at"), F.struct(F.col("at").alias("parent"), F.least("weakest", "c").alias("weakest")).alias("via"))
-        best = step.groupBy(*keys, "at").agg(F.min("via").alias("via")).join(seen, [*keys, "at"], "left_anti")
-        level = written(best.select(*keys, "at", "via.parent", "via.weakest"), "hop")
-        if level.isEmpty():
+    # Levels of either side: (source, target, at, parent), the parent only on the way from the source.
+    ends = {"down": F.col("source"), "up": F.col("target")}
+    levels = {side: [_hop(asked.select(*keys, end.alias("at"), F.lit(None).cast("string").alias("parent")), "hop")] for side, end in ends.items()}
+    seen = {side: own[0][0].select(*keys, "at") for side, own in levels.items()}
+    met = [asked.filter("source = target").select(*keys, F.col("source").alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"))]
+    while True:
+        done = reduce(DataFrame.unionByName, met).select(*keys).distinct()
+        i, j = (len(levels[side]) - 1 for side in ("down", "up"))
+        if i + j >= max_depth or not (levels["down"][-1][1] and levels["up"][-1][1]):
             break
-        levels.append(level)
-        seen = seen.unionByName(level.select(*keys, "at"))
-        done = done.unionByName(level.filter("at = target").select(*keys, "weakest", F.lit(depth).alias("hops")))
-    # Paths are put together at the end, from each target back over the parents.
-    path = written(done, "found").withColumns({"at": F.col("target"), "path": F.array("target")})
-    for depth in range(len(levels) - 1, 0, -1):
-        up = levels[depth].select(*keys, "at", "parent").withColumn("hop", F.lit(depth))
-        path = path.join(up, [*keys, "at"], "left").withColumn("on", F.coalesce(F.col("hops") >= F.col("hop"), F.lit(False)))
-        path = path.select(*keys, "weakest", "hops", F.when(F.col("on"), F.col("parent")).otherwise(F.col("at")).alias("at"), F.when(F.col("on"), F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path"))
-    out = asked.join(path.select(*keys, "path", "hops", F.col("weakest").alias("confidence")), keys, "left")
-    return out.select(*keys, F.col("hops").isNotNull().alias("found"), "hops", "path", "confidence")
+        side = min(levels, key=lambda s: levels[s][-1][1])
+        other = "up" if side == "down" else "down"
+        near, far = ("from_urn", "to_urn") if side == "down" else ("to_urn", "from_urn")
+        going = levels[side][-1][0].join(done, keys, "left_anti").select(*keys, F.col("at").alias("parent"))
+        step = going.join(steps, F.col("parent") == F.col(near)).groupBy(*keys, F.col(far).alias("at")).agg(F.min("parent").alias("parent"))
+        new, n = _hop(step.join(seen[side], [*keys, "at"], "left_anti"), "hop")
+        levels[side].append((new, n))
+        seen[side] = seen[side].unionByName(new.select(*keys, "at"))
+        i, j = (len(levels[s]) - 1 for s in ("down", "up"))
+        # Nodes that were met from the other side before its last level would have been met before.
+        meeting, n = _hop(new.select(*keys, "at").join(levels[other][-1][0].select(*keys, "at"), [*keys, "at"], "left_semi").withColumns({"i": F.lit(i), "j": F.lit(j)}), "met")
+        if n:
+            met.append(meeting)
+    found = reduce(DataFrame.unionByName, met)
+    # The way from where they met to the target: level by level, least parents first.
+    marked, parents = found, []
+    for left in range(len(levels["up"]) - 1, 0, -1):
+        # What has ``left`` levels to go, or more, waits for its turn.
+        turn = marked.filter(F.col("j") == left)
+        level = levels["up"][left - 1][0].select(*keys, "at")
+        step = turn.select(*keys, F.col("at").alias("parent"), "i", "j").join(steps, F.col("parent") == F.col("from_urn")).join(level.withColumnRenamed("at", "to_urn"), [*keys, "to_urn"])
+        own = written(step.groupBy(*keys, F.col("to_urn").alias("at")).agg(F.min("parent").alias("parent"), (F.first("i") + 1).alias("i"), (F.first("j") - 1).alias("j")), "marked")
+        parents.append(own.select(*keys, "at", "parent", F.col("i").alias("k")))
+        marked = marked.filter(F.col("j") < left).unionByName(own.select(*keys, "at", "i", "j"))
+    parents += [own.select(*keys, "at", "parent").withColumn("k", F.lit(k)) for k, (own, _) in enumerate(levels["down"]) if k]
+    hops = found.groupBy(*keys).agg(F.max(F.col("i") + F.col("j")).alias("hops"))
+    path = written(hops.select(*keys, "hops", F.col("hops").alias("k"), F.col("target").alias("at"), F.array("target").alias("path")), "paths")
+    if parents:
+        # Beyond the node where they met, marked parents stand for those of a search from the source alone.
+        up = written(reduce(DataFrame.unionByName, parents).join(hops.select(*keys), keys, "left_semi"), "parents")
+        for _ in range(len(levels["down"]) + len(levels["up"]) - 2):
+            path = path.join(up, [*keys, "at", "k"], "left").select(*keys, "hops", (F.col("k") - 1).alias("k"), F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path"))
+    path = written(path.select(*keys, "hops", "path"), "paths")
+    each = path.filter("hops > 0").select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.col("hops")), lambda n: F.struct(F.get("path", n - 1).alias("from_urn"), F.get("path", n).alias("to_urn")))).alias("e"))
+    weakest = each.select(*keys, "e.*").join(steps, ["from_urn", "to_urn"]).groupBy(*keys).agg(F.min("c").alias("c"))
+    out = asked.join(path, keys, "left").join(weakest, keys, "left")
+    confidence = F.when(F.col("hops") == 0, 1.0).otherwise(F.col("c"))
+    return out.select(*keys, F.col("hops").isNotNull().alias("found"), "hops", "path", confidence.alias("confidence"))
 
 
 def cascade_delete(edge: DataFrame, entity: DataFrame, roots: DataFrame) -> DataFrame:

@@ -39,6 +39,18 @@ def g1_closure_up(spark, sf_dir):
     return graph.closure(edge, _roots(spark, "order:100", "customer:5"), "up", 5)
 
 
+@query(
+    with_views(
+        f"{_WALK.format(0.6)}, many AS (SELECT 'part:' || p_partkey AS r FROM part WHERE p_partkey % 2 = 0), reach(root, urn, depth) AS (SELECT r, r, 0 FROM many UNION SELECT root, to_urn, depth + 1 FROM reach JOIN walk ON from_urn = urn WHERE depth < 2) SELECT urn, depth, count(*) AS roots FROM (SELECT root, urn, min(depth) AS depth FROM reach GROUP BY 1, 2 HAVING min(depth) > 0) GROUP BY 1, 2",
+        "lineage_edge",
+    )
+)
+def g1_closure_many_roots(spark, sf_dir):
+    edge = graph.eligible_edges(load(spark, sf_dir, "lineage_edge"), 0.6)
+    roots = load(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("root"))
+    return graph.closure(edge, roots, "down", 2).groupBy("urn", "depth").agg(F.count("*").alias("roots"))
+
+
 _IMPACT = (
     _closure_sql("('region:0'), ('supplier:3')", 3, True, 0.5)
     + """, deg AS (SELECT from_urn AS urn, count(*) AS n FROM lineage_edge WHERE state = 'ACTIVE' GROUP BY 1), a AS (SELECT * FROM asset QUALIFY row_number() OVER (PARTITION BY urn ORDER BY urn) = 1),
@@ -49,7 +61,7 @@ coalesce(tag = 'critical', false) OR coalesce(classification = 'L4', false) AS c
 
 
 def _impact(spark, sf_dir):
-    return graph.impact(_edges(spark, sf_dir), load(spark, sf_dir, "asset"), _roots(spark, "region:0", "supplier:3"), 3, 0.5)
+    return graph.impact(_edges(spark, sf_dir), load(spark, sf_dir, "asset"), _roots(spark, "region:0", "supplier:3"), 3, 0.5, stored=True)
 
 
 @query(with_views(f"{_IMPACT} SELECT * FROM imp", "lineage_edge", "asset"))
@@ -69,7 +81,7 @@ n AS (SELECT root, urn, min(depth) AS depth FROM (FROM d UNION ALL FROM u) GROUP
 
 
 def _subgraph(spark, sf_dir):
-    return graph.subgraph(_edges(spark, sf_dir), _roots(spark, "nation:3", "supplier:9"), 2, 40)
+    return graph.subgraph(_edges(spark, sf_dir), _roots(spark, "nation:3", "supplier:9"), 2, 40, stored=True)
 
 
 @query(with_views(f"{_SUB} SELECT root, urn, depth, depth = 2 AS boundary FROM k", "lineage_edge"))
@@ -94,20 +106,23 @@ _PAIRS = [("region:0", "customer:5"), ("nation:1", "order:100"), ("customer:1",
     with_views(
         """st AS (SELECT from_urn, to_urn, max(confidence) AS c FROM lineage_edge WHERE state = 'ACTIVE' AND confidence >= 0.5 GROUP BY 1, 2),
 p(source, target) AS (VALUES ('region:0', 'customer:5'), ('nation:1', 'order:100'), ('customer:1', 'region:0'), ('region:2', 'region:2'), ('region:1', 'part:10')),
-w(source, target, node, depth) AS (SELECT source, target, source, 0 FROM p UNION SELECT source, target, to_urn, depth + 1 FROM w JOIN st ON from_urn = node WHERE depth < 6)
-SELECT p.source, p.target, count(depth) > 0 AS found, CAST(min(depth) AS INTEGER) AS hops FROM p LEFT JOIN w ON w.source = p.source AND w.target = p.target AND node = p.target GROUP BY 1, 2""",
+w(source, target, node, depth) AS (SELECT source, target, source, 0 FROM p UNION SELECT source, target, to_urn, depth + 1 FROM w JOIN st ON from_urn = node WHERE depth < 6),
+d AS (SELECT source, target, node, min(depth) AS depth FROM w GROUP BY 1, 2, 3),
+back(source, target, node, depth, path, c) AS (SELECT source, target, target, depth, [target], 1.0::DOUBLE FROM d WHERE node = target UNION ALL
+SELECT b.source, b.target, x.parent, b.depth - 1, list_prepend(x.parent, b.path), least(b.c, x.c) FROM back b JOIN (SELECT d.source, d.target, st.to_urn, d.depth, min(d.node) AS parent, arg_min(st.c, d.node) AS c FROM d JOIN st ON st.from_urn = d.node GROUP BY ALL) x ON x.source = b.source AND x.target = b.target AND x.to_urn = b.node AND x.depth = b.depth - 1)
+SELECT p.source, p.target, b.path IS NOT NULL AS found, CAST(len(b.path) - 1 AS INTEGER) AS hops, b.path AS path, b.c AS confidence FROM p LEFT JOIN back b ON b.source = p.source AND b.target = p.target AND b.depth = 0""",
         "lineage_edge",
     )
 )
 def g4_shortest_path(spark, sf_dir):
     pairs = spark.createDataFrame(_PAIRS, "source string, target string")
-    return graph.shortest_paths(load(spark, sf_dir, "lineage_edge"), pairs, 6, 0.5).select("source", "target", "found", "hops")
+    return graph.shortest_paths(load(spark, sf_dir, "lineage_edge"), pairs, 6, 0.5)
 
 
 @query(with_views(_closure_sql("('supplier:3')", 2, True, 0.0) + " SELECT e.from_urn, e.to_urn, e.edge_type, e.k FROM lineage_edge e WHERE from_urn IN (SELECT urn FROM clo) AND to_urn IN (SELECT urn FROM clo)", "lineage_edge"))
 def j5_edges_in(spark, sf_dir):
     edge = _edges(spark, sf_dir)
-    nodes = graph.closure(graph.eligible_edges(edge), _roots(spark, "supplier:3"), "down", 2)
+    nodes = graph.closure(graph.eligible_edges(edge), _roots(spark, "supplier:3"), "down", 2, True)
     return graph.edges_in(nodes, edge).select("from_urn", "to_urn", "edge_type", "k")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trustlake.functions import types as kinds
-from trustlake.functions.storage import written
 
 SENSITIVE = ("L3", "L4")
 TOP = 5
@@ -19,67 +21,84 @@ def rounded(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
-def counted_values(df: DataFrame, fields: list[tuple[int, str, T.DataType]]) -> DataFrame:
-    """Rows (i, number, n): each distinct value of each column, by the column's place, with its count; ``number`` only of numbers.
+def distinct_counts(df: DataFrame, fields: list[tuple[int, str]]) -> DataFrame:
+    """Rows (i, d): the exact number of distinct values of each column, by its place. Each column is read and grouped for itself, and nothing but a number leaves the groups."""
+    each = [df.select(F.col(f"`{name}`").alias("v")).filter("v IS NOT NULL").distinct().agg(F.count("*").alias("d")).select(F.lit(i).alias("i"), "d") for i, name in fields]
+    return reduce(DataFrame.unionByName, each)
 
-    Each column is grouped for itself, so only it is read, in its own type, and a task sends a value once however often
-    it has met it.
-    """
-    out = None
-    for i, name, kind in fields:
-        c = F.col(f"`{name}`")
-        own = df.select(c.alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
-        # Adding zero makes a negative zero a plain one.
-        number = (F.col("value") + F.lit(0)).cast("double") if kinds.is_numeric(kind) else F.lit(None).cast("double")
-        own = own.select(F.lit(i).alias("i"), number.alias("number"), "n")
-        out = own if out is None else out.unionByName(own)
-    return written(out, "counted-values")
-
-
-def exact_percentiles(counted: DataFrame, wanted: list[tuple[int, float]]) -> DataFrame:
-    """Rows (i, p, value): percentiles by place (rank p * (count - 1), between neighbours in proportion) of counted numbers.
-
-    The counted values are dealt out by ranges, each range adds up its counts, and a percentile's neighbours are looked
-    for in the ranges that hold their ranks; so no task holds the values of a column.
+
+#: Size of a KLL sketch (ranks within about 0.2 %), how far beside a rank its bracket reaches, and distinct values in a bracket that are put in order.
+_SKETCH, _MARGIN, _BRACKET = 2000, 0.005, 1_000_000
+
+
+def exact_percentiles(df: DataFrame, wanted: list[tuple[str, float]]) -> dict[tuple[str, float], float | None]:
+    """Percentiles of number columns: rank p * (count - 1), between neighbours in proportion.
+
+    A sketch brackets each rank; one pass counts what lies below and inside of the brackets; brackets of more than a million
+    values are narrowed by sketches of what is inside; then only values inside are grouped and ordered. So no task holds a
+    column's values, and a column is shuffled for none of its percentiles. None for a column without values.
     """
-    spark = counted.sparkSession
-    own = counted.filter("number IS NOT NULL").repartitionByRange("i", "number").select("i", "number", "n", F.spark_partition_id().alias("part"))
-    own = written(own, "ranges")
-    # A row for each column and partition.
-    sums = own.groupBy("i", "part").agg(F.sum("n").alias("held"))
-    sums = sums.withColumn("before", F.sum("held").over(Window.partitionBy("i").orderBy("part")) - F.col("held")).withColumn("total", F.sum("held").over(Window.partitionBy("i"))).select("i", "part", "before", "total")
-    running = own.withColumn("upto", F.sum("n").over(Window.partitionBy("i", "part").orderBy("number"))).join(F.broadcast(sums), ["i", "part"])
-    first, last = F.col("before") + F.col("upto") - F.col("n"), F.col("before") + F.col("upto") - 1
-    asked = spark.createDataFrame(list(dict.fromkeys(wanted)), "i int, p double")
-    each = running.select("i", "number", "total", first.alias("first"), last.alias("last")).join(F.broadcast(asked), "i")
-    rank = F.col("p") * (F.col("total") - 1)
-    at = lambda c: F.max(F.when((F.col("first") <= c) & (c <= F.col("last")), F.col("number")))
-    found = each.groupBy("i", "p").agg(at(F.floor(rank)).alias("low"), at(F.ceil(rank)).alias("high"), F.max(rank - F.floor(rank)).alias("share"))
-    return found.select("i", "p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("value"))
-
-
-def value_statistics(df: DataFrame, fields: list[tuple[int, str, T.DataType]]) -> DataFrame:
-    """One row: maps from a column's place to its exact distinct count, and to its percentiles by name."""
-    counted = counted_values(df, fields)
-    numbers = [(i, p) for i, _, kind in fields if kinds.is_numeric(kind) for p in PERCENTILES]
-    distinct = counted.groupBy("i").agg(F.count("*").alias("d")).agg(F.map_from_entries(F.collect_list(F.struct("i", "d"))).alias("__distinct"))
-    if not numbers:
-        return distinct.withColumn("__percentiles", F.create_map().cast("map<string,double>"))
-    key = F.concat_ws(":", "i", F.concat(F.lit("p"), F.round(F.col("p") * 100).cast("int")))
-    places = exact_percentiles(counted, numbers).agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), "value"))).alias("__percentiles"))
-    # Both sides are one row.
-    return distinct.crossJoin(places)
+    keys = list(dict.fromkeys(wanted))
+    value = lambda name: (F.col(f"`{name}`") + F.lit(0)).cast("double")
+    count = dict(zip(keys, df.agg(*[F.count(value(n)).alias(f"k{i}") for i, (n, _) in enumerate(keys)]).first()))
+    at = {k: k[1] * (count[k] - 1) for k in keys if count[k]}
+    bracket: dict = {k: (-math.inf, math.inf, 0, count[k]) for k in at}
+    margin = dict.fromkeys(at, _MARGIN)
+    while wide := [k for k, (low, high, _, inside) in bracket.items() if low < high and inside > _BRACKET // 1000 and (inside > _BRACKET or low == -math.inf)]:
+        # Percentiles of one column that have the same bracket so far, at first all, share a sketch.
+        groups: dict = {}
+        for k in wide:
+            below, inside = bracket[k][2:]
+            place = [min(1.0, max(0.0, (r(at[k]) - below) / inside + m)) for r, m in ((math.floor, -margin[k]), (math.ceil, margin[k]))]
+            groups.setdefault((k[0], bracket[k]), []).append((k, place))
+        aggs = []
+        for (name, (low, high, _, _)), own in groups.items():
+            v = value(name)
+            inner = v if low == -math.inf else F.when((v >= low) & (v <= high), v)
+            sketch = F.kll_sketch_agg_double(inner, _SKETCH)
+            aggs.append(F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(p)) for _, place in own for p in place]))
+        ends = {}
+        for own, got in zip(groups.values(), df.agg(*[a.alias(f"k{i}") for i, a in enumerate(aggs)]).first()):
+            ends |= {k: tuple(got[2 * n : 2 * n + 2]) for n, (k, _) in enumerate(own)}
+        counts = []
+        for k in wide:
+            v, (low, high) = value(k[0]), ends[k]
+            counts += [F.count_if(v < low), F.count_if((v >= low) & (v <= high))]
+        found = list(df.agg(*[c.alias(f"k{i}") for i, c in enumerate(counts)]).first())
+        for k, below, inside in zip(wide, found[::2], found[1::2]):
+            if below <= math.floor(at[k]) and math.ceil(at[k]) < below + inside:
+                narrower = inside < bracket[k][3]
+                bracket[k] = (*ends[k], below, inside if narrower or ends[k][0] == ends[k][1] else min(inside, _BRACKET))
+            else:
+                # The sketch was further off than it says.
+                margin[k] = min(1.0, margin[k] * 10)
+    out: dict = {k: bracket[k][0] if k in bracket and bracket[k][0] == bracket[k][1] else None for k in keys}
+    left = [k for k in at if out[k] is None]
+    if left:
+        cells = F.array(*[F.when((value(k[0]) >= bracket[k][0]) & (value(k[0]) <= bracket[k][1]), F.struct(F.lit(i).alias("i"), value(k[0]).alias("v"))) for i, k in enumerate(left)])
+        inside = df.select(F.inline(F.array_compact(cells))).groupBy("i", "v").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
+        asked = [(i, bracket[k][2], math.floor(at[k]), math.ceil(at[k])) for i, k in enumerate(left)]
+        places = df.sparkSession.createDataFrame(asked, "i int, below long, f long, c long")
+        each = inside.withColumn("upto", upto).join(F.broadcast(places), "i").withColumns({"last": F.col("below") + F.col("upto") - 1, "first": F.col("below") + F.col("upto") - F.col("n")})
+        here = lambda c: F.max(F.when((F.col("first") <= F.col(c)) & (F.col(c) <= F.col("last")), F.col("v"))).alias(c)
+        for r in each.groupBy("i").agg(here("f"), here("c")).collect():
+            k = left[r.i]
+            out[k] = r.f + (r.c - r.f) * (at[k] - math.floor(at[k]))
+    return out
 
 
 def profile(df: DataFrame, classification: dict[str, str] | None = None, exact: bool = True) -> DataFrame:
     """Long rows (column_name, metric, value_num, value_text, precision) of all columns.
 
-    Counts, extremes and lengths take one aggregation of one row. Distinct counts and percentiles are exact and take a
-    grouping of each column more, or are sketches in the same pass, marked ESTIMATED, with ``exact=False``; sketches merge
-    from partial results and need no shuffle of values. Minimum and maximum of sensitive columns are left out.
+    Counts, extremes and lengths take one aggregation of one row. Distinct counts are exact and take a grouping of each
+    column more, percentiles some passes without a shuffle of values (``exact_percentiles``); with ``exact=False`` both
+    are sketches in the same one pass, marked ESTIMATED. Minimum and maximum of sensitive columns are left out.
     """
     classification = classification or {}
     aggs, rows, fields = [F.count(F.lit(1)).alias("__total")], [], []
+    numbers = [f.name for f in df.schema.fields if kinds.is_numeric(f.dataType)]
+    places = exact_percentiles(df, [(n, p) for n in numbers for p in PERCENTILES]) if exact and numbers else {}
     how = "EXACT" if exact else "ESTIMATED"
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
@@ -93,10 +112,10 @@ def profile(df: DataFrame, classification: dict[str, str] | None = None, exact:
         num("null_count", total - n_col)
         num("null_ratio", F.when(total > 0, (total - n_col) / total).otherwise(0.0))
         if kinds.equatable(f.dataType):
-            fields.append((i, f.name, f.dataType))
+            fields.append((i, f.name))
             if not exact:
-                aggs.append(F.approx_count_distinct(c, 0.01).alias(f"{n}_d"))
-            num("distinct_count", F.coalesce(F.try_element_at("__distinct", F.lit(i)), F.lit(0)) if exact else F.col(f"{n}_d"), how)
+                aggs.append(F.hll_sketch_estimate(F.hll_sketch_agg(c.cast("string"), F.lit(14))).alias(f"{n}_d"))
+            num("distinct_count", F.try_element_at("__distinct", F.lit(i)) if exact else F.col(f"{n}_d"), how)
         if kinds.orderable(f.dataType) and classification.get(f.name, "L2") not in SENSITIVE:
             # Adding zero makes a negative zero a plain one, so that the text does not depend on the order of rows.
             value = c + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
@@ -111,13 +130,14 @@ def profile(df: DataFrame, classification: dict[str, str] | None = None, exact:
             for p in PERCENTILES:
                 name = f"p{int(p * 100)}"
                 if not exact:
-                    aggs.append(F.percentile_approx(c, p, 10_000).alias(f"{n}_{name}"))
-                num(name, F.try_element_at("__percentiles", F.lit(f"{i}:{name}")) if exact else F.col(f"{n}_{name}"), how)
+                    aggs.append(F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double((c + F.lit(0)).cast("double"), _SKETCH), F.lit(p)).alias(f"{n}_{name}"))
+                num(name, F.lit(places.get((f.name, p))) if exact else F.col(f"{n}_{name}"), how)
     struct = [F.struct(F.lit(a).alias("column_name"), F.lit(m).alias("metric"), v.alias("value_num"), t.alias("value_text"), F.lit(p).alias("precision")) for a, m, v, t, p in rows]
     wide = df.agg(*aggs)
     if exact and fields:
+        distinct = distinct_counts(df, fields).agg(F.map_from_entries(F.collect_list(F.struct("i", "d"))).alias("__distinct"))
         # Both sides are one row.
-        wide = wide.crossJoin(value_statistics(df, fields))
+        wide = wide.crossJoin(distinct)
     return wide.select(F.inline(F.array(*struct)))
 
 
@@ -154,3 +174,27 @@ def sample_for_profile(df: DataFrame, percent: float, key: str | None = None, se
         place = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10_000
         return df.filter(place < percent * 100), "ESTIMATED"
     return df.sample(fraction=percent / 100, seed=seed), "ESTIMATED"
+
+
+def day_sketches(df: DataFrame, day: Column, columns: list[str] | None = None) -> DataFrame:
+    """Profiles that merge: for each day and column, rows (day, column_name, total, non_null, distinct, quantiles, top) with counts and sketches.
+
+    ``distinct`` is an HLL sketch, ``quantiles`` a KLL sketch of numbers, ``top`` counts each day's most frequent values.
+    A table's profile over any days comes from these rows alone (``merged_profile``).
+    """
+    parts = []
+    for f in df.schema.fields:
+        if columns is not None and f.name not in columns or not kinds.equatable(f.dataType):
+            continue
+        c = F.col(f"`{f.name}`")
+        text = c.cast("string")
+        quantiles = F.kll_sketch_agg_double((c + F.lit(0)).cast("double"), _SKETCH) if kinds.is_numeric(f.dataType) else F.lit(None).cast("binary")
+        parts.append(df.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("total"), F.count(c).alias("non_null"), F.hll_sketch_agg(text, F.lit(12)).alias("distinct"), quantiles.alias("quantiles"), F.min(text).alias("min"), F.max(text).alias("max")).withColumn("column_name", F.lit(f.name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """One row for each column over all days of ``day_sketches``: total, non_null, distinct_count, p50, p95, the last three ESTIMATED (A1)."""
+    own = sketches.groupBy("column_name").agg(F.sum("total").alias("total"), F.sum("non_null").alias("non_null"), F.hll_union_agg("distinct").alias("d"), F.count("quantiles").alias("numbers"), F.kll_merge_agg_double("quantiles").alias("q"))
+    at = lambda p: F.when((F.col("numbers") > 0) & (F.col("non_null") > 0), F.kll_sketch_get_quantile_double("q", F.lit(p)))
+    return own.select("column_name", "total", "non_null", F.hll_sketch_estimate("d").alias("distinct_count"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.lit("ESTIMATED").alias("precision"))

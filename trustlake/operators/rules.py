@@ -8,7 +8,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.operators.profile import counted_values, exact_percentiles
+from trustlake.operators.profile import distinct_counts, exact_percentiles
 
 # Check templates, with the metric that each measures and its operator; operators, severities and what a failure does.
 TEMPLATES = {
@@ -203,22 +203,19 @@ def orphan_count(child: DataFrame, parent: DataFrame, child_key: str, parent_key
 
 
 def value_metrics(df: DataFrame, rules: list) -> DataFrame:
-    """Rows (rule_id, value) of distinct counts, duplicate ratios and percentiles, from the counted values of the columns they need."""
-    names = sorted({r.columns[0] for r in rules})
-    counted = counted_values(df, [(i, n, df.schema[n].dataType) for i, n in enumerate(names)])
+    """Rows (rule_id, value) of distinct counts, duplicate ratios and percentiles of the columns they need."""
     spark = df.sparkSession
-    # Distinct values leave null out, rows do not.
-    of = {"distinct_count": F.col("d"), "duplicate_ratio": F.when(F.col("rows") > 0, 1 - F.col("d") / F.col("rows")).otherwise(0.0)}
-    plain = [(r.rule_id, names.index(r.columns[0]), r.metric) for r in rules if r.metric in of]
-    places = [(r.rule_id, names.index(r.columns[0]), float(r.args.get("p", "0.5"))) for r in rules if r.metric == "percentile"]
-    sums = counted.groupBy("i").agg(F.count("*").alias("d"))
-    value = F.when(F.col("metric") == "distinct_count", of["distinct_count"]).otherwise(of["duplicate_ratio"])
-    # Rules are a short list; a column without values has no row.
-    asked = spark.createDataFrame(plain, "rule_id string, i int, metric string").join(sums, "i", "left").fillna(0, ["d"]).crossJoin(df.agg(F.count("*").alias("rows")))
-    out = asked.select("rule_id", value.cast("double").alias("value"))
-    if places:
-        found = exact_percentiles(counted, [(i, p) for _, i, p in places])
-        out = out.unionByName(spark.createDataFrame(places, "rule_id string, i int, p double").join(found, ["i", "p"], "left").select("rule_id", "value"))
+    plain = [r for r in rules if r.metric != "percentile"]
+    places = [(r.rule_id, (r.columns[0], float(r.args["p"]))) for r in rules if r.metric == "percentile"]
+    known = exact_percentiles(df, [k for _, k in places]) if places else {}
+    out = spark.createDataFrame([(i, known[k]) for i, k in places], "rule_id string, value double")
+    if plain:
+        names = sorted({r.columns[0] for r in plain})
+        # Rules are a short list. Distinct values leave null out, rows do not.
+        asked = spark.createDataFrame([(r.rule_id, names.index(r.columns[0]), r.metric) for r in plain], "rule_id string, i int, metric string")
+        both = asked.join(distinct_counts(df, list(enumerate(names))), "i").crossJoin(df.agg(F.count("*").alias("rows")))
+        ratio = F.when(F.col("rows") > 0, 1 - F.col("d") / F.col("rows")).otherwise(0.0)
+        out = out.unionByName(both.select("rule_id", F.when(F.col("metric") == "distinct_count", F.col("d").cast("double")).otherwise(ratio).alias("value")))
     return out
 
 

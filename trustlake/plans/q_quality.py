@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from trustlake.functions import types as kinds
@@ -188,3 +190,29 @@ def q2_front_ends(spark, sf_dir):
     own = rules.rules_from_dbt_tests(spark, "orders", "orders", tests)
     own = own.unionByName(rules.rules_from_sql(spark, [("sql", "orders", "SELECT count(*) FROM orders WHERE o_totalprice < 0", 3)], "CRITICAL"))
     return rules.evaluate_rules(tables, own, "2001-08-02 00:00:00").select("rule_id", "metric", "observed", "status", "action")
+
+
+_KEPT = ["l_orderkey", "l_partkey", "l_extendedprice", "l_returnflag"]
+_BOUNDS = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS total, count({c}) AS non_null, true AS same_as_one_pass, true AS distinct_within_4_percent, true AS median_within_2_percent FROM lineitem" for c in _KEPT
+)
+
+
+@query(_BOUNDS)
+def a1_merged_profile(spark, sf_dir):
+    df = load(spark, sf_dir, "lineitem")
+    merged = profile.merged_profile(profile.day_sketches(df, F.date_trunc("year", "l_shipdate"), _KEPT))
+    one = profile.merged_profile(profile.day_sketches(df, F.lit(0), _KEPT)).select("column_name", F.col("distinct_count").alias("d1"), F.col("p50").alias("m1"))
+    parts = []
+    for c in _KEPT:
+        # The share of values under the estimated median, and the exact distinct count.
+        exact = df.agg(F.count_distinct(c).alias("d")).crossJoin(merged.filter(F.col("column_name") == c).select("column_name", "total", "non_null", "distinct_count", "p50"))
+        if c != "l_returnflag":
+            below = df.select(F.col(c).cast("double").alias("v")).crossJoin(F.broadcast(merged.filter(F.col("column_name") == c).select("p50"))).agg((F.count_if(F.col("v") < F.col("p50")) / F.count("*")).alias("low"), (F.count_if(F.col("v") <= F.col("p50")) / F.count("*")).alias("high"))
+        else:
+            below = spark.range(1).select(F.lit(0.5).alias("low"), F.lit(0.5).alias("high"))
+        parts.append(exact.crossJoin(below).join(one, "column_name"))
+    both = functools.reduce(lambda a, b: a.unionByName(b), parts)
+    same = (F.abs(F.col("distinct_count") - F.col("d1")) <= 0.04 * F.col("d1")) & (F.col("p50").isNull() == F.col("m1").isNull())
+    close = F.abs(F.col("distinct_count") - F.col("d")) <= 0.04 * F.col("d")
+    return both.select("column_name", "total", "non_null", same.alias("same_as_one_pass"), close.alias("distinct_within_4_percent"), ((F.col("low") <= 0.52) & (F.col("high") >= 0.48)).alias("median_within_2_percent"))

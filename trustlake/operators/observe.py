@@ -123,14 +123,28 @@ def measure_slo(slo: DataFrame, metrics: DataFrame, rule_runs: DataFrame, collec
 
     fresh = scoped(metrics, "freshness", "window_start")
     passed = scoped(rule_runs, "pass_rate", "started_at")
-    there = collect_runs.join(defs("availability"), inside("started_at"))
     yes = F.lit(True)
+
+    def by_age(df: DataFrame, time_col: str, good: Column) -> DataFrame:
+        """Rows (age, good, total) by whole days, rounded up, before now; at most one for each day there has been."""
+        day = 86_400_000_000
+        age = F.unix_micros(now) - F.unix_micros(F.col(time_col).cast("timestamp"))
+        own = df.filter(age >= 0).select(F.floor((age + (day - 1)) / day).cast("long").alias("age"), good.alias("good"))
+        return own.groupBy("age").agg(F.count_if("good").alias("good"), F.count("*").alias("total"))
+
+    def within(kind: str, counts: DataFrame) -> DataFrame:
+        """Each definition with the sums of the days that its window holds. Definitions and days stand in one order, and sums run over it."""
+        own = defs(kind).select(F.col("days").cast("long").alias("age"), F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("total"), "slo_name", "days")
+        both = counts.select("age", "good", "total", F.lit(None).cast("string").alias("slo_name"), F.lit(None).cast("int").alias("days")).unionByName(own)
+        upto = Window.orderBy("age", F.col("slo_name").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return both.select("slo_name", "days", F.sum("good").over(upto).alias("good"), F.sum("total").over(upto).alias("total")).filter("slo_name IS NOT NULL")
+
     parts = sums(fresh, (F.col("value_num") >= 0) & (F.col("value_num") <= F.col("threshold")), yes)
     parts = parts.unionByName(sums(passed, F.col("status") == "PASS", F.col("status") != "SKIPPED"))
-    parts = parts.unionByName(sums(there, F.col("status") == "SUCCEEDED", yes))
-    stable = defs("schema_stability").join(schema_events, inside("changed_at"), "left")
-    stable = stable.groupBy("slo_name").agg(F.first("days").alias("total"), F.count("changed_at").alias("changes"))
-    parts = parts.unionByName(stable.select("slo_name", F.greatest(F.lit(0), F.col("total") - F.col("changes")).cast("long").alias("good"), F.col("total").cast("long")))
+    runs = within("availability", by_age(collect_runs, "started_at", F.col("status") == "SUCCEEDED"))
+    parts = parts.unionByName(runs.filter("total > 0").drop("days"))
+    stable = within("schema_stability", by_age(schema_events.filter("changed_at IS NOT NULL"), "changed_at", yes))
+    parts = parts.unionByName(stable.select("slo_name", F.greatest(F.lit(0), F.col("days") - F.col("total")).cast("long").alias("good"), F.col("days").cast("long").alias("total")))
     return attainment(slo.join(parts, "slo_name", "left"))
 
 

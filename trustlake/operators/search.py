@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,12 +79,37 @@ def rank_hits(terms: DataFrame, posting: DataFrame, df: DataFrame, total: DataFr
     return full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
+# The types of entities that are found by search.
+INDEXED_TYPES = ["Platform", "Container", "Dataset", "Column", "Pipeline", "Dashboard", "GlossaryTerm", "DataContract", "QualityRule"]
+_ASPECTS = ["name", "path", "description", "tags", "synonyms", "owners", "classification"]
+
+
 def build_search_docs(entity: DataFrame, aspects: DataFrame) -> DataFrame:
-    """One document for each live entity, its aspects pivoted (R1). ``aspects``: urn, field, value, seq."""
-    names = ["name", "path", "description", "tags", "synonyms"]
-    wide = aspects.groupBy("urn").agg(*[F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("seq"))).alias(f) for f in names])
-    own = entity.filter("lifecycle = 'ACTIVE'").select("urn").join(wide, "urn", "left")
-    return own.select("urn", text.search_text(*[F.col(c) for c in ["name", "urn", *names[1:]]]).alias("text"))
+    """One document for each live entity of a type in INDEXED_TYPES, its aspects pivoted.
+
+    Rows (urn, entity_type, display_name, platform, container, description, tags, owners, classification, text). Synonyms are
+    found by the text but are no tags. ``entity``: urn, entity_type, lifecycle; ``aspects``: urn, field, value, seq, where
+    tags and owners are lists by commas.
+    """
+    wide = aspects.groupBy("urn").agg(*[F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("seq"))).alias(f) for f in _ASPECTS])
+    live = entity.filter((F.col("lifecycle") == "ACTIVE") & F.col("entity_type").isin(INDEXED_TYPES)).select("urn", "entity_type")
+    own = live.join(wide, "urn", "left")
+    parts = F.split(F.element_at(F.split("urn", ":"), -1), r"\.")
+    deep = F.size(parts) > 2
+    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.element_at(parts, -1))
+    words = text.search_text(*[F.col(c) for c in ["name", "urn", "path", "description", "tags", "synonyms"]])
+    return own.select(
+        "urn", "entity_type", name.alias("display_name"), F.when(deep, parts[1]).alias("platform"), F.when(deep, F.array_join(F.slice(parts, 2, F.size(parts) - 2), ".")).alias("container"),
+        "description", listed(F.col("tags")).alias("tags"), listed(F.col("owners")).alias("owners"), "classification", words.alias("text"),
+    )
+
+
+def search_doc_changes(entity: DataFrame, aspects: DataFrame) -> DataFrame:
+    """``build_search_docs`` with ``deleted`` false, and the URNs of entities that are gone with ``deleted`` true, as the index by segments takes them (R1, ST1)."""
+    docs = build_search_docs(entity, aspects).withColumn("deleted", F.lit(False))
+    gone = entity.filter((F.col("lifecycle") != "ACTIVE") & F.col("entity_type").isin(INDEXED_TYPES)).select("urn", "entity_type", F.lit(True).alias("deleted"))
+    return docs.unionByName(gone, allowMissingColumns=True)
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", recency_col: str | None = None) -> DataFrame:
@@ -172,21 +197,48 @@ def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return by_doc.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), cell).alias("vector"))
 
 
-def retriever_lists(queries: DataFrame, terms: DataFrame, docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def retriever_lists(
+    queries: DataFrame, terms: DataFrame, docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", embed: Callable[[DataFrame, str, str], DataFrame] | None = hash_embed
+) -> DataFrame:
     """The k best documents of each query by words, by the glossary terms it leads to, and by vectors: rows (query_id, retriever, doc_id, rank).
 
-    ``queries``: query_id, text; ``terms``: name, synonyms; ``docs``: already filtered by what may be seen.
+    ``queries``: query_id, text; ``terms``: name, synonyms; ``docs``: already filtered by what may be seen. ``embed`` gives
+    (doc_id, vector) of a table, by its id and its text; without it there are no lists by vectors.
     """
     named = lambda df, retriever: df.select("query_id", F.lit(retriever).alias("retriever"), "doc_id", "rank")
-    asked = hash_embed(queries, "query_id").withColumnRenamed("doc_id", "query_id")
-    near = vector_search(asked, hash_embed(docs, id_col, text_col).withColumnRenamed("doc_id", "id"), k).withColumnRenamed("id", "doc_id")
     lists = named(search(queries, docs, k, id_col, text_col), "lexical").unionByName(named(glossary_lists(queries, terms, docs, k, 5, id_col, text_col), "glossary"))
+    if embed is None:
+        return lists
+    asked = embed(queries, "query_id", "text").withColumnRenamed("doc_id", "query_id")
+    near = vector_search(asked, embed(docs, id_col, text_col).withColumnRenamed("doc_id", "id"), k).withColumnRenamed("id", "doc_id")
     return lists.unionByName(named(near, "vector"))
 
 
+def hybrid_search(queries: DataFrame, terms: DataFrame, docs: DataFrame, k: int = 10, embed: Callable[[DataFrame, str, str], DataFrame] | None = hash_embed, **columns: str) -> DataFrame:
+    """``hybrid`` over ``retriever_lists``, with ``unavailable``: the retrievers that could not be asked. Nothing takes their place."""
+    lists = retriever_lists(queries, terms, docs, max(k, 20), embed=embed, **columns)
+    missing = F.array() if embed is not None else F.array(F.lit("vector"))
+    return hybrid(lists, k).withColumn("unavailable", missing.cast("array<string>"))
+
+
+MODEL = ["urn", "provider", "dimension"]
+
+
 def changed_docs(docs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Documents whose content hash has no vector yet."""
-    return docs.join(vectors.select("urn", "doc_hash"), ["urn", "doc_hash"], "left_anti")
+    """Documents whose content hash has no vector of the model yet (R6): ``docs`` with urn and doc_hash, and provider and dimension if ``vectors`` has them."""
+    return docs.join(vectors.select(*[c for c in (*MODEL, "doc_hash") if c in docs.columns]), [c for c in (*MODEL, "doc_hash") if c in docs.columns], "left_anti")
+
+
+def embedding_report(docs: DataFrame, vectors: DataFrame, provider: str, dimension: int) -> DataFrame:
+    """One row on a model's vectors: scanned, embedded (to do now), skipped_unchanged, stale_other_model (documents whose vector is another model's), orphaned (vectors without a document)."""
+    own = vectors.select("urn", F.col("doc_hash").alias("known"), ((F.col("provider") == provider) & (F.col("dimension") == dimension)).alias("mine"))
+    both = docs.select("urn", "doc_hash").join(own, "urn", "full")
+    there = F.col("doc_hash").isNotNull()
+    same = there & F.coalesce(F.col("mine") & (F.col("known") == F.col("doc_hash")), F.lit(False))
+    return both.agg(
+        F.count_if(there).alias("scanned"), F.count_if(there & ~same).alias("embedded"), F.count_if(same).alias("skipped_unchanged"),
+        F.count_if(there & F.coalesce(~F.col("mine"), F.lit(False))).alias("stale_other_model"), F.count_if(~there).alias("orphaned"),
+    )
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -212,5 +212,17 @@ _FACTS = "SELECT urn, k AS field, k || ' ' || display_name AS value, 1 AS seq FR
 def r1_search_docs(spark, sf_dir):
     asset = load(spark, sf_dir, "asset")
     asset.createOrReplaceTempView("asset")
-    entity = asset.select("urn", F.when(F.col("urn").endswith("9"), "TOMBSTONE").otherwise("ACTIVE").alias("lifecycle")).distinct()
-    return search.build_search_docs(entity, spark.sql(_FACTS))
+    entity = asset.select("urn", "entity_type", F.when(F.col("urn").endswith("9"), "TOMBSTONE").otherwise("ACTIVE").alias("lifecycle")).dropDuplicates(["urn"])
+    return search.build_search_docs(entity, spark.sql(_FACTS)).select("urn", "text")
+
+
+_ENTITY = "SELECT 'urn:asset:Dataset:prod.' || p_brand || '.s' || CAST(p_partkey % 9 AS STRING) || '.t' || CAST(p_partkey AS STRING) AS urn, CASE WHEN p_partkey % 10 = 0 THEN 'Incident' ELSE 'Dataset' END AS entity_type, CASE WHEN p_partkey % 7 = 0 THEN 'TOMBSTONE' ELSE 'ACTIVE' END AS lifecycle, p_partkey AS k, p_name AS n FROM part"
+_FIELDS = f"SELECT urn, f AS field, CASE f WHEN 'owners' THEN ' ann, bob ,' WHEN 'tags' THEN 'core,' || n WHEN 'classification' THEN 'L3' WHEN 'name' THEN CASE WHEN k % 4 = 0 THEN ' ' ELSE n END ELSE 'd ' || n END AS value, 1 AS seq FROM ({_ENTITY}) e CROSS JOIN (SELECT 'owners' AS f UNION ALL SELECT 'tags' UNION ALL SELECT 'classification' UNION ALL SELECT 'name' UNION ALL SELECT 'description') fs WHERE k % 5 <> 0 OR f <> 'owners'"
+
+
+@query(rf"""
+WITH e AS ({_ENTITY}) SELECT urn, entity_type, CASE WHEN k % 4 = 0 THEN 't' || k ELSE n END AS display_name, split_part(substr(urn, 19), '.', 2) AS platform, split_part(substr(urn, 19), '.', 2) || '.s' || k % 9 AS container, 'd ' || n AS description, ['core', n] AS tags, CASE WHEN k % 5 <> 0 THEN ['ann', 'bob'] ELSE [] END AS owners, 'L3' AS classification, false AS deleted FROM e WHERE lifecycle = 'ACTIVE' AND entity_type = 'Dataset'
+UNION ALL SELECT urn, entity_type, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true FROM e WHERE lifecycle <> 'ACTIVE' AND entity_type = 'Dataset'""")
+def r1_search_doc_changes(spark, sf_dir):
+    load(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return search.search_doc_changes(spark.sql(_ENTITY), spark.sql(_FIELDS)).drop("text")

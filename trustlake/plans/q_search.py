@@ -104,6 +104,10 @@ fu AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 12) AS total, list_s
 SELECT query_id, doc_id, round(total, 4) AS score, retrievers, CAST(row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id) AS INTEGER) AS rank FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id) <= 10"""
 
 
+#: The same without the lists by vectors.
+_FUSED_WORDS = _FUSED.replace(" UNION ALL FROM vec", "").replace("AS score, retrievers, CAST", "AS score, retrievers, ['vector'] AS unavailable, CAST")
+
+
 @query(f"WITH {_FUSED}")
 def r3_hybrid(spark, sf_dir):
     load(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
@@ -119,6 +123,13 @@ def r3_hybrid_retrievers(spark, sf_dir):
     return search.hybrid(search.retriever_lists(_queries(spark, sf_dir), terms, visible(load(spark, sf_dir, "search_doc"), ["READER"])))
 
 
+@query(f"WITH {_FUSED_WORDS}")
+def r3_hybrid_without_vectors(spark, sf_dir):
+    load(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
+    terms = spark.sql(_LEADS).groupBy("name").agg(F.collect_set("synonym").alias("synonyms"))
+    return search.hybrid_search(_queries(spark, sf_dir), terms, load(spark, sf_dir, "documents"), embed=None)
+
+
 @query("SELECT doc_id, sha256(text) AS doc_hash FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
 def r6_changed_docs(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("urn"), F.sha2("text", 256).alias("doc_hash"))
@@ -126,6 +137,17 @@ def r6_changed_docs(spark, sf_dir):
     return search.changed_docs(docs, vectors).select(F.col("urn").alias("doc_id"), "doc_hash")
 
 
+@query("""
+WITH d AS (SELECT doc_id AS urn, sha256(text) AS h FROM documents), v AS (SELECT urn, CASE WHEN urn % 6 = 0 THEN 'old' ELSE h END AS known, urn % 4 <> 0 AS mine FROM d WHERE urn % 3 = 0 UNION ALL SELECT urn + 100000000, h, true FROM d WHERE urn % 50 = 0)
+SELECT count(h) AS scanned, count(h) - count(h) FILTER (mine AND known = h) AS embedded, count(h) FILTER (mine AND known = h) AS skipped_unchanged, count(h) FILTER (NOT mine) AS stale_other_model, count(*) FILTER (h IS NULL) AS orphaned FROM d FULL JOIN v USING (urn)""")
+def r6_embedding_report(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("urn"), F.sha2("text", 256).alias("doc_hash"))
+    model = F.when(F.col("urn") % 4 != 0, "hash").otherwise("other")
+    kept = docs.filter("urn % 3 = 0").select("urn", F.when(F.col("urn") % 6 == 0, F.lit("old")).otherwise(F.col("doc_hash")).alias("doc_hash"), model.alias("provider"), F.lit(256).alias("dimension"))
+    lost = docs.filter("urn % 50 = 0").select(F.col("urn") + 100000000, "doc_hash", F.lit("hash"), F.lit(256))
+    return search.embedding_report(docs, kept.union(lost), "hash", 256)
+
+
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 
 
@@ -187,6 +209,23 @@ def x2_han_terms(spark, sf_dir):
     return df.join(hits, "id", "left").select("id", "name", F.sort_array(text.han_terms(F.col("name"))).alias("terms"), F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
+# Words that overlap, so that the two directions differ.
+_WORDS = [*text.LEXICON, "户订", "单明用", "细表数"]
+_ALTERNATIVES = "|".join(sorted({w for w in _WORDS}, key=lambda w: (-len(w), w)))
+_REVERSED = "|".join(sorted({w[::-1] for w in _WORDS}, key=lambda w: (-len(w), w)))
+
+
+@query(rf"""
+WITH c AS ({_HAN}), r AS (SELECT id, unnest(regexp_extract_all(name, '\p{{Han}}+')) AS run FROM c),
+m AS (SELECT id, run, regexp_extract_all(run, '{_ALTERNATIVES}|.') AS f, list_reverse(list_transform(regexp_extract_all(reverse(run), '{_REVERSED}|.'), lambda x: reverse(x))) AS b FROM r)
+SELECT id, run, CASE WHEN len(f) + 2 * len(list_filter(f, lambda x: length(x) = 1)) <= len(b) + 2 * len(list_filter(b, lambda x: length(x) = 1)) THEN f ELSE b END AS words FROM m""")
+def x2_segments(spark, sf_dir):
+    load(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    runs = spark.sql(_HAN).select("id", F.explode(text.han_runs(F.col("name"))).alias("run"))
+    return runs.select("id", "run", text.segments(F.col("run"), [w for w in _WORDS]).alias("words"))
+
+
+
 @query(with_views("SELECT DISTINCT urn, concat_ws(' ', display_name, urn, platform, owner, tag) AS text FROM asset", "asset"))
 def x3_search_text(spark, sf_dir):
     own = load(spark, sf_dir, "asset").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trustlake.functions.storage import new_path
 from trustlake.plans.fixtures import load, with_views
 from trustlake.plans.registry import query
+from trustlake.operators import access
 from trustlake.sources import ingest
 from trustlake.plans.q_ingest import lineage_events
 from trustlake.streaming import jobs
@@ -166,3 +167,22 @@ def st5_expiry_timers(spark, sf_dir):
     late.select(F.lit("other").alias("id"), F.lit("REVOKED").alias("status"), F.col("at").alias("expires_at"), "at").write.mode("append").parquet(path)
     found = _collected(spark, jobs.grant_states(jobs.event_stream(spark, path, 1)), "append")
     return found.withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
+
+
+@query("SELECT k AS kind, 'q' || event_id AS query_id, 'u' || user_id AS actor, 'app.' || event_type AS resource, upper(event_type) AS operation FROM events, (VALUES ('jsonl'), ('csv'), ('json')) v(k)")
+def s8_audit_log_stream(spark, sf_dir):
+    """The events as a log in each form, read as streams."""
+    names, out = ["queryId", "eventTime", "user", "table", "op"], None
+    own = load(spark, sf_dir, "events").select(F.concat(F.lit("q"), F.col("event_id").cast("string")), F.col("ts").cast("string"), F.concat(F.lit("u"), F.col("user_id").cast("string")), F.concat(F.lit("app."), "event_type"), "event_type").toDF(*names)
+    for kind in ("jsonl", "csv", "json"):
+        path = new_path(spark, f"log-{kind}")
+        if kind == "jsonl":
+            own.write.json(path)
+        elif kind == "csv":
+            own.write.option("header", True).csv(path)
+        else:
+            own.groupBy(F.pmod(F.xxhash64("user"), F.lit(50)).alias("b")).agg(F.collect_list(F.struct(*names)).alias("queries")).select("queries").repartition(50).write.json(path)
+        raw = ingest.audit_log_stream(spark, path, kind, ", ".join(f"`{n}` string" for n in names))
+        found = _collected(spark, access.normalize_audit(raw)[0].select("query_id", "actor", "resource", "operation"), "append").withColumn("kind", F.lit(kind))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trustlake.operators.search import resolve_tables
 
@@ -162,6 +163,22 @@ def read_audit_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return df.select(F.inline(held[0])) if held else df
 
 
+def audit_log_stream(spark: SparkSession, path: str, kind: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
+    """``read_audit_log`` of a folder that grows, as a stream; a stream needs the records' schema."""
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if kind == "csv":
+        return reader.schema(schema).option("header", True).option("encoding", "UTF-8").csv(path)
+    if kind not in ("jsonl", "json"):
+        raise ValueError(f"unknown kind of log {kind}")
+    if kind == "jsonl":
+        return reader.schema(schema).json(path)
+    held = ", ".join(f"{k} array<struct<{', '.join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema))}>>" for k in RECORD_KEYS)
+    whole = reader.schema(held).option("multiLine", True).json(path)
+    return whole.select(F.inline(F.coalesce(*RECORD_KEYS)))
+
+
 def sink_datasets(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities, ``contains`` edges and schema facts of dataset rows (S12): platform, schema_name, table_name, columns."""
     urn = lambda kind, *parts: F.concat(F.lit(f"urn:asset:{kind}:"), F.concat_ws(".", *[F.translate(p, ".: ", "___") for p in parts]))

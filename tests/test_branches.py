@@ -159,7 +159,8 @@ def test_alert_state_machine(spark):
 def run_alerts(spark, folder, tmp_path):
     out = f"{tmp_path}/out"
     stream = jobs.alert_actions(jobs.event_stream(spark, folder, 1), late="1 minute")
-    jobs.run_available(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start())
+    sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True)
+    jobs.run_available(jobs.started(sink, spark, **jobs.ROCKSDB))
     return spark.read.schema(stream.schema).parquet(out)
 
 

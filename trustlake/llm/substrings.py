@@ -288,9 +288,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = parsed.filter((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
     # Equal documents: all but those with the smallest id.
     least = long.groupBy("words_sha256").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    copies = materialize(long.select("doc_id", "words_sha256").join(least, "words_sha256").filter("doc_id > least").select("doc_id", "words_sha256").distinct(), "copies")
-    sent = F.broadcast(copies) if copies.count() <= BROADCAST_IDS // 8 else copies
-    heads = long.join(sent, ["doc_id", "words_sha256"], "left_anti")
+    least = materialize(least, "repeated-texts")
+    # A text that very many documents share is sent to these, and not they to it.
+    sent = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS // 8 else df
+    copies = materialize(long.select("doc_id", "words_sha256").join(sent(least), "words_sha256").filter("doc_id > least").select("doc_id", "words_sha256").distinct(), "copies")
+    heads = long.join(sent(copies), ["doc_id", "words_sha256"], "left_anti")
     # Symbols, and which of them more than one document has.
     symbols = heads.select("doc_id", F.explode("symbols").alias("symbol"))
     several = symbols.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("symbol")

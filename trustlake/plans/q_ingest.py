@@ -136,6 +136,11 @@ def s7_input_facets(spark, sf_dir):
 _LOGGED = "SELECT 'q' || CAST(event_id AS STRING) AS queryId, CAST(ts AS STRING) AS eventTime, 'u' || CAST(user_id AS STRING) AS user, 'app.' || event_type AS `table`, event_type AS op FROM events"
 
 
+def write_documents(df, path):
+    """A JSON document a file, as readers of whole documents need them: what follows the first one of a file is not read."""
+    df.write.option("maxRecordsPerFile", 1).json(path)
+
+
 @query("SELECT k AS kind, 'q' || event_id AS query_id, ts AS event_time, 'u' || user_id AS actor, 'app.' || event_type AS resource, upper(event_type) AS operation FROM events, (VALUES ('jsonl'), ('csv'), ('json')) v(k)")
 def s8_audit_log(spark, sf_dir):
     """The events as a log in each form, written, read back and brought under common names."""
@@ -148,8 +153,8 @@ def s8_audit_log(spark, sf_dir):
         elif kind == "csv":
             log.write.option("header", True).csv(path)
         else:
-            # One document for each hundred users.
-            log.groupBy(F.pmod(F.xxhash64("user"), F.lit(100)).alias("b")).agg(F.collect_list(F.struct(*log.columns)).alias("records")).select("records").repartition(100).write.json(path)
+            # Users are dealt out to a hundred documents.
+            write_documents(log.groupBy(F.pmod(F.xxhash64("user"), F.lit(100)).alias("b")).agg(F.collect_list(F.struct(*log.columns)).alias("records")).select("records"), path)
         own = access.normalize_audit(ingest.read_audit_log(spark, path, kind))[0].select(F.lit(kind).alias("kind"), "query_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "actor", "resource", "operation")
         out = own if out is None else out.unionByName(own)
     return out

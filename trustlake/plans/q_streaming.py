@@ -10,7 +10,7 @@ from trustlake.plans.fixtures import load, with_views
 from trustlake.plans.registry import query
 from trustlake.operators import access
 from trustlake.sources import ingest
-from trustlake.plans.q_ingest import lineage_events
+from trustlake.plans.q_ingest import lineage_events, write_documents
 from trustlake.streaming import jobs
 
 
@@ -181,7 +181,7 @@ def s8_audit_log_stream(spark, sf_dir):
         elif kind == "csv":
             own.write.option("header", True).csv(path)
         else:
-            own.groupBy(F.pmod(F.xxhash64("user"), F.lit(50)).alias("b")).agg(F.collect_list(F.struct(*names)).alias("queries")).select("queries").repartition(50).write.json(path)
+            write_documents(own.groupBy(F.pmod(F.xxhash64("user"), F.lit(50)).alias("b")).agg(F.collect_list(F.struct(*names)).alias("queries")).select("queries"), path)
         raw = ingest.audit_log_stream(spark, path, kind, ", ".join(f"`{n}` string" for n in names))
         found = _collected(spark, access.normalize_audit(raw)[0].select("query_id", "actor", "resource", "operation"), "append").withColumn("kind", F.lit(kind))
         out = found if out is None else out.unionByName(found)

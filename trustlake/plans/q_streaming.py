@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trustlake.functions.storage import new_path
+from trustlake.functions.storage import discard, new_path, written
 from trustlake.plans.fixtures import load, with_views
 from trustlake.plans.registry import query
 from trustlake.operators import access
@@ -37,6 +37,20 @@ def _folder(spark, sf_dir, table="events", files=6):
     return path
 
 
+def _in_turn(spark, df, order, files, label):
+    """A folder whose files a stream takes in the order of a column.
+
+    Streams take files by the time of their writing, and files that tasks write side by side end in any order; so each is
+    written after the one before.
+    """
+    path = new_path(spark, label)
+    cut = written(df.repartitionByRange(files, order).withColumn("slice", F.spark_partition_id()), "slices")
+    for i in range(files):
+        cut.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    discard(cut)
+    return path
+
+
 _INDEXED = "WITH l AS (SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)"
 
 
@@ -131,7 +145,7 @@ SELECT k AS dedup_key, tm AS "at", action, severity, fires AS fire_count FROM st
 
 @query(_ALERTS)
 def st3_alert_stream(spark, sf_dir):
-    e = jobs.event_stream(spark, _folder(spark, sf_dir), 2)
+    e = jobs.event_stream(spark, _in_turn(spark, load(spark, sf_dir, "events"), "ts", 6, "events"), 2)
     signals = e.select(F.concat(F.lit("k"), (F.col("user_id") % _KEYS).cast("string")).alias("dedup_key"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "purchase").alias("firing"), F.when(F.col("event_id") % 5 == 0, "CRITICAL").otherwise("WARNING").alias("severity"))
     return _collected(spark, jobs.alert_actions(signals), "append").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
@@ -160,8 +174,7 @@ def st5_expiry_scan(spark, sf_dir):
 )
 def st5_expiry_timers(spark, sf_dir):
     grants = load(spark, sf_dir, "access_grant").select(F.concat_ws("|", "subject", "resource_urn").alias("id"), "status", F.col("expires_at").cast("timestamp").alias("expires_at"), F.col("granted_at").cast("timestamp").alias("at"))
-    path = new_path(spark, "grants")
-    grants.repartitionByRange(2, "at").write.parquet(path)
+    path = _in_turn(spark, grants, "at", 2, "grants")
     # Long after the others something comes for another grant.
     late = grants.agg((F.max("at") + F.expr("INTERVAL 95 DAY")).alias("at"))
     late.select(F.lit("other").alias("id"), F.lit("REVOKED").alias("status"), F.col("at").alias("expires_at"), "at").write.mode("append").parquet(path)

@@ -87,3 +87,30 @@ def test_vector_search_equals_brute_force(spark):
     for name, q in queries.items():
         want = sorted(((-cosine(q, v), i) for i, v in rows.items()))[:7]
         assert sorted(got[name], key=lambda x: x[0]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
+def test_texts_are_hashed_where_they_are_and_only_ids_travel(spark):
+    words = "alpha beta gamma 数据表 beta x9 " * 40
+    docs = spark.createDataFrame([(i % 60, f"{words}{i}") for i in range(70)], "doc_id long, text string")
+    cells = {(r.doc_id, r.i): r.v for r in search.hash_cells(docs).collect()}
+    want = {}
+    for i in range(70):
+        for chunk in re.findall("[a-z0-9数据表]+", f"{words}{i}"):
+            for f in search.features(chunk):
+                digest = hashlib.sha256(f.encode()).digest()
+                at = i % 60, int.from_bytes(digest[:4], "big", signed=True) % search.DIMENSION
+                want[at] = want.get(at, 0) + (-1 if digest[4] % 2 else 1)
+    assert cells == want
+    vectors = {r.doc_id: r.vector for r in search.hash_embed(docs).collect()}
+    assert set(vectors) == set(range(60)) and all(abs(sum(x * x for x in v) - 1) < 1e-12 for v in vectors.values())
+    # One exchange of rows, by the id: no row for each feature of a text is sent.
+    plan = search.hash_embed(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_documents_are_cut_once_for_words_and_glossary(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "blue fox"), (3, "red hen"), (4, " ")], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "red fox")], "query_id long, text string")
+    terms = spark.createDataFrame([("hen", ["fox"])], "name string, synonyms array<string>")
+    lists = search.word_lists(queries, terms, docs)
+    assert sorted(r[:] for r in lists.collect()) == [(7, "glossary", 3, 1), (7, "lexical", 1, 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trustlake.functions import text
+from trustlake.functions.storage import written
 
 RRF = 60
 DIMENSION = 256
@@ -28,6 +30,11 @@ def terms_of(c: Column) -> Column:
     return F.concat(text.tokens(c), text.han_terms(c))
 
 
+def has_term(c: Column) -> Column:
+    """Whether ``terms_of`` finds anything: a look at the first letter, digit or Han character."""
+    return F.coalesce(c.rlike(r"[\p{L}\p{N}\p{IsHan}]"), F.lit(False))
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (term, doc_id, tf)."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.explode(terms_of(F.col(text_col))).alias("term"))
@@ -48,7 +55,7 @@ def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     posting.repartition("bucket", file).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     written = docs.sparkSession.read.parquet(f"{path}/postings")
     written.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    docs.agg(F.count_if(F.size(terms_of(F.col(text_col))) > 0).alias("n")).write.mode("overwrite").parquet(f"{path}/documents")
+    docs.agg(F.count_if(has_term(F.col(text_col))).alias("n")).write.mode("overwrite").parquet(f"{path}/documents")
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -115,15 +122,15 @@ def search_doc_changes(entity: DataFrame, aspects: DataFrame) -> DataFrame:
 def search(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", recency_col: str | None = None) -> DataFrame:
     """Documents that hold all terms of a query, by the sum of tf * idf, then the newest, then id: rows (query_id, doc_id, score, rank) (R2).
 
-    ``queries``: query_id, text. No index is needed: texts are cut in the scan, and only occurrences of the queries'
-    terms leave it.
+    ``queries``: query_id, text. No index is needed: texts are cut in one scan, and only occurrences of the queries'
+    terms leave it, into a written table.
     """
     terms = query_terms(queries)
-    own = docs.select(F.col(id_col).alias("doc_id"), terms_of(F.col(text_col)).alias("terms"))
-    each = own.select("doc_id", F.explode("terms").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posting = each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.explode(terms_of(F.col(text_col))).alias("term"))
+    each = own.join(terms.select("term").distinct(), "term", "left_semi")
+    posting = written(each.groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "hits")
     df = posting.groupBy("term").agg(F.count("*").alias("df"))
-    total = own.agg(F.count_if(F.size("terms") > 0).alias("n"))
+    total = docs.agg(F.count_if(has_term(F.col(text_col))).alias("n"))
     recency = None if recency_col is None else docs.select(F.col(id_col).alias("doc_id"), F.col(recency_col).alias("updated_at"))
     return rank_hits(terms, posting, df, total, k, recency)
 
@@ -145,15 +152,25 @@ def glossary_lists(queries: DataFrame, terms: DataFrame, docs: DataFrame, k: int
     ``hits`` terms that are not the word itself are searched in the documents. The lists of the terms follow each other in
     the order of the words and of their hits. ``terms``: name, synonyms array<string>.
     """
+    return word_lists(queries, terms, docs, k, hits, id_col, text_col).filter("retriever = 'glossary'").drop("retriever")
+
+
+def word_lists(queries: DataFrame, terms: DataFrame, docs: DataFrame, k: int = 20, hits: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The lists of ``search`` and of ``glossary_lists`` by one scan of the documents: rows (query_id, retriever, doc_id, rank)."""
     words = queries.select("query_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("place", "word")).filter(F.length("word") >= 2)
     asked = words.select(F.struct("query_id", "place", "word").alias("query_id"), F.col("word").alias("text"))
     named = terms.select("name", F.concat_ws(" ", F.array("name"), "synonyms").alias("text"))
     met = search(asked, named, hits, "name").filter(F.lower("doc_id") != F.lower("query_id.word"))
-    expanded = met.select(F.struct(F.col("query_id.query_id").alias("query_id"), F.col("query_id.place").alias("place"), F.col("rank").alias("hit")).alias("query_id"), F.col("doc_id").alias("text"))
-    found = search(expanded, docs, k, id_col, text_col)
-    order = Window.partitionBy("query_id").orderBy("place", "hit", "own")
+    key = lambda query, place, hit: F.struct(query.alias("query_id"), place.cast("int").alias("place"), hit.cast("int").alias("hit")).alias("query_id")
+    expanded = met.select(key(F.col("query_id.query_id"), F.col("query_id.place"), F.col("rank")), F.col("doc_id").alias("text"))
+    # A query's own text has no place.
+    own = queries.select(key(F.col("query_id"), F.lit(-1), F.lit(0)), "text")
+    found = search(own.unionByName(expanded), docs, k, id_col, text_col)
     each = found.select("query_id.query_id", "query_id.place", "query_id.hit", F.col("rank").alias("own"), "doc_id")
-    return each.select("query_id", "doc_id", F.row_number().over(order).alias("rank"))
+    lexical = each.filter("place < 0").select("query_id", F.lit("lexical").alias("retriever"), "doc_id", F.col("own").alias("rank"))
+    order = Window.partitionBy("query_id").orderBy("place", "hit", "own")
+    glossary = each.filter("place >= 0").select("query_id", F.lit("glossary").alias("retriever"), "doc_id", F.row_number().over(order).alias("rank"))
+    return lexical.unionByName(glossary)
 
 
 def hybrid(lists: DataFrame, k: int = 10) -> DataFrame:
@@ -166,35 +183,107 @@ def hybrid(lists: DataFrame, k: int = 10) -> DataFrame:
     return ranked.select("query_id", "doc_id", F.round("total", 4).alias("score"), "retrievers", "rank")
 
 
-def features(c: Column) -> Column:
-    """What is hashed of a text: words of letters a-z and digits with their three-letter parts, and for runs with Han characters, these with their pairs."""
-    chunks = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{IsHan}a-z0-9]+"), lambda x: x != "")
-    han = F.filter(chunks, lambda x: x.rlike(r"\p{IsHan}"))
-    plain = F.filter(chunks, lambda x: ~x.rlike(r"\p{IsHan}"))
-    return F.concat(plain, text.grams(plain, 3), text.grams(han, 1), text.grams(han, 2))
+def chunks(c: Column) -> Column:
+    """The runs of letters a-z, digits and Han characters of a text in lower case."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{IsHan}a-z0-9]+"), lambda x: x != "")
 
 
-def hash_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimension: int = DIMENSION) -> DataFrame:
-    """Rows (doc_id, i, v): the sums of signed features by place, before they are made of length one.
+def features(chunk: str) -> list[str]:
+    """What is hashed of a run: it and its three-letter parts, or, if it has Han characters, these and their pairs."""
+    if chunk.isascii():
+        return [chunk, *(chunk[i : i + 3] for i in range(len(chunk) - 2))]
+    return [*chunk, *(chunk[i : i + 2] for i in range(len(chunk) - 1))]
+
+
+#: Runs of texts that are summed together, and runs and features whose places a task remembers before it starts anew.
+_RUNS, _REMEMBERED = 1 << 18, 1 << 18
+
+
+def text_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimension: int = DIMENSION) -> DataFrame:
+    """Rows (doc_id, sums, touched): sums of signed features by place, and whether any feature falls there; texts without a feature have none.
 
     A feature's place is the first four bytes of its SHA-256, as a signed number, modulo the dimension; it is taken away
-    where the fifth byte is odd. Features are counted before they are hashed, so a frequent word is one row.
+    where the fifth byte is odd. Texts are summed where they are; only rows that share an id are added up afterwards.
     """
-    each = docs.select(F.col(id_col).alias("doc_id"), F.explode(features(F.col(text_col))).alias("f")).groupBy("doc_id", "f").agg(F.count("*").alias("n"))
-    digest = F.sha2("f", 256)
-    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    signed = F.when(number >= 1 << 31, number - (1 << 32)).otherwise(number)
-    odd = F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1
-    cells = each.select("doc_id", F.pmod(signed, F.lit(dimension)).cast("int").alias("i"), F.when(odd, -F.col("n")).otherwise(F.col("n")).alias("v"))
-    return cells.groupBy("doc_id", "i").agg(F.sum("v").cast("double").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[str, tuple[int, int]] = {}
+        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def place(f: str) -> tuple[int, int]:
+            if f not in places:
+                if len(places) >= _REMEMBERED:
+                    places.clear()
+                digest = hashlib.sha256(f.encode()).digest()
+                places[f] = int.from_bytes(digest[:4], "big", signed=True) % dimension, 1 - 2 * (digest[4] % 2)
+            return places[f]
+
+        def of_run(chunk: str) -> tuple[np.ndarray, np.ndarray]:
+            if chunk not in known:
+                if len(known) >= _REMEMBERED:
+                    known.clear()
+                found = np.array([place(f) for f in features(chunk)], np.int64)
+                known[chunk] = found[:, 0], found[:, 1]
+            return known[chunk]
+
+        def summed(part: pa.RecordBatch) -> pa.RecordBatch:
+            lists = part.column("chunks")
+            distinct = lists.flatten().dictionary_encode()
+            each = [of_run(x) for x in distinct.dictionary.to_pylist()]
+            sums, touched = np.zeros(part.num_rows * dimension), np.zeros(part.num_rows * dimension)
+            if each:
+                # A run that a text repeats is one entry with its count.
+                rows = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                pairs, n = np.unique(rows * len(each) + distinct.indices.to_numpy(), return_counts=True)
+                rows, runs = pairs // len(each), pairs % len(each)
+                sizes = np.array([len(x[0]) for x in each])
+                starts = np.r_[0, np.cumsum(sizes)[:-1]]
+                places_of, signs_of = (np.concatenate([x[i] for x in each]) for i in (0, 1))
+                own = sizes[runs]
+                at = np.repeat(starts[runs] - np.r_[0, np.cumsum(own)[:-1]], own) + np.arange(own.sum())
+                cells = np.repeat(rows * dimension, own) + places_of[at]
+                sums = np.bincount(cells, np.repeat(n, own) * signs_of[at], part.num_rows * dimension)
+                touched = np.bincount(cells, minlength=part.num_rows * dimension)
+            offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dimension)
+            out = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (sums.astype(np.int64), touched > 0)]
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), *out], ["doc_id", "sums", "touched"])
+
+        for batch in batches:
+            first, held = 0, 0
+            for i, n in enumerate(batch.column("chunks").value_lengths().to_pylist()):
+                held += n
+                if held >= _RUNS or i - first >= 500:
+                    yield summed(batch.slice(first, i + 1 - first))
+                    first, held = i + 1, 0
+            if first < batch.num_rows:
+                yield summed(batch.slice(first))
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("doc_id"), chunks(F.col(text_col)).alias("chunks")).filter(F.size("chunks") > 0)
+    parts = own.mapInArrow(run, f"doc_id {kind}, sums array<long>, touched array<boolean>")
+    both = parts.groupBy("doc_id").agg(F.collect_list("sums").alias("s"), F.collect_list("touched").alias("t"))
+    added = lambda c, plus: F.when(F.size(c) == 1, F.get(c, F.lit(0))).otherwise(F.aggregate(F.slice(c, 2, F.size(c)), F.get(c, F.lit(0)), lambda x, y: F.zip_with(x, y, plus)))
+    return both.select("doc_id", added(F.col("s"), lambda x, y: x + y).alias("sums"), added(F.col("t"), lambda x, y: x | y).alias("touched"))
+
+
+def hash_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimension: int = DIMENSION) -> DataFrame:
+    """Rows (doc_id, i, v): the sums of signed features by place, before they are made of length one."""
+    sums = text_sums(docs, id_col, text_col, dimension)
+    return sums.select("doc_id", F.posexplode(F.arrays_zip("sums", "touched")).alias("i", "x")).filter("x.touched").select("doc_id", "i", F.col("x.sums").cast("double").alias("v"))
 
 
 def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimension: int = DIMENSION) -> DataFrame:
     """Unit vectors by signed feature hashing: rows (doc_id, vector); texts without a feature have none."""
-    sums = hash_cells(docs, id_col, text_col, dimension)
-    by_doc = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    cell = lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) / F.col("norm")).otherwise(0.0)
-    return by_doc.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), cell).alias("vector"))
+    sums = text_sums(docs, id_col, text_col, dimension).select("doc_id", "sums")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                flat = unit_rows(batch.column("sums"), dimension).ravel()
+                offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimension)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "vector"])
+
+    return sums.mapInArrow(run, f"doc_id {sums.schema['doc_id'].dataType.simpleString()}, vector array<double>")
 
 
 def retriever_lists(
@@ -205,13 +294,12 @@ def retriever_lists(
     ``queries``: query_id, text; ``terms``: name, synonyms; ``docs``: already filtered by what may be seen. ``embed`` gives
     (doc_id, vector) of a table, by its id and its text; without it there are no lists by vectors.
     """
-    named = lambda df, retriever: df.select("query_id", F.lit(retriever).alias("retriever"), "doc_id", "rank")
-    lists = named(search(queries, docs, k, id_col, text_col), "lexical").unionByName(named(glossary_lists(queries, terms, docs, k, 5, id_col, text_col), "glossary"))
+    lists = word_lists(queries, terms, docs, k, 5, id_col, text_col)
     if embed is None:
         return lists
     asked = embed(queries, "query_id", "text").withColumnRenamed("doc_id", "query_id")
     near = vector_search(asked, embed(docs, id_col, text_col).withColumnRenamed("doc_id", "id"), k).withColumnRenamed("id", "doc_id")
-    return lists.unionByName(named(near, "vector"))
+    return lists.unionByName(near.select("query_id", F.lit("vector").alias("retriever"), "doc_id", "rank"))
 
 
 def hybrid_search(queries: DataFrame, terms: DataFrame, docs: DataFrame, k: int = 10, embed: Callable[[DataFrame, str, str], DataFrame] | None = hash_embed, **columns: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trustlake.functions.storage import new_path
 from trustlake.operators import access, search
-from trustlake.plans.fixtures import TABLES, load, with_views
+from trustlake.plans.fixtures import TABLES, load, spread, with_views
 from trustlake.plans.registry import query
 from trustlake.sources import ingest
 
@@ -61,7 +61,7 @@ def _manifests(spark, sf_dir):
         F.lit('{"nodes":{"'), a, F.lit('":'), node("model", "a", src), F.lit(',"'), b, F.lit('":'), node("seed", "b", F.concat(F.lit("model.p.a"), k), F.lit("model.p.gone")), F.lit(',"test.p.t":'), node("test", "t", a),
         F.lit('},"sources":{"'), src, F.lit('":{"schema":"raw","identifier":"s'), k, F.lit('"}}}'),
     )
-    return load(spark, sf_dir, "part").select(json.alias("json"))
+    return spread(load(spark, sf_dir, "part"), "p_partkey").select(json.alias("json"))
 
 
 @query("SELECT 'raw.s' || p_partkey AS from_name, 'dw.a' || p_partkey AS to_name FROM part UNION ALL SELECT 'dw.a' || p_partkey, 'dw.b' || p_partkey FROM part")
@@ -80,8 +80,8 @@ _CHART = "SELECT 'ch' || CAST(p_partkey AS STRING) AS chart_name, CASE WHEN p_pa
 
 
 def _dashboards(spark, sf_dir):
-    for t in ("part", "supplier"):
-        load(spark, sf_dir, t).createOrReplaceTempView(t)
+    spread(load(spark, sf_dir, "part"), "p_partkey").createOrReplaceTempView("part")
+    load(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
     dash = spark.sql(_DASH).withColumn("charts", F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda i: F.concat(F.lit("ch"), (F.col("n") * 7 + i).cast("string"))))
     return ingest.dashboard_edges(dash, spark.sql(_CHART), spark.sql(_TABLES))
 
@@ -179,7 +179,7 @@ def s12_sink_edges(spark, sf_dir):
 
 
 def _metrics(spark, sf_dir):
-    load(spark, sf_dir, "part").createOrReplaceTempView("part")
+    spread(load(spark, sf_dir, "part"), "p_partkey").createOrReplaceTempView("part")
     own = load(spark, sf_dir, "supplier").select(F.col("s_name").alias("metric"), F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.concat(F.lit("t"), (F.col("s_suppkey") * 11 + i * 5000).cast("string"))).alias("columns"))
     return ingest.metric_edges(own, spark.sql(_TABLES))
 
@@ -205,7 +205,7 @@ def f11_validate_aspects(spark, sf_dir):
     data = F.concat(
         F.lit('{"size":'), F.when(k % 3 == 0, '"big"').otherwise("3"), F.lit(',"tier":'), F.when(k % 4 == 0, '"z"').otherwise('"a"'), F.when(k % 5 == 0, ',"odd":1,"x_own":1').otherwise(""), F.when(k % 7 == 0, "").otherwise(',"name":"n"'), F.lit("}")
     )
-    aspects = load(spark, sf_dir, "part").select(F.concat(F.lit("part:"), k.cast("string")).alias("urn"), F.lit("info").alias("aspect_type"), data.alias("data"))
+    aspects = spread(load(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("part:"), k.cast("string")).alias("urn"), F.lit("info").alias("aspect_type"), data.alias("data"))
     defs = spark.createDataFrame([("info", "size", "integer", False, None), ("info", "tier", "enum", False, ["a", "b"]), ("info", "name", "string", True, None)], "aspect_type string, property string, kind string, required boolean, enum_values array<string>")
     return ingest.validate_aspects(aspects, defs)
 
@@ -229,5 +229,5 @@ _FIELDS = f"SELECT urn, f AS field, CASE f WHEN 'owners' THEN ' ann, bob ,' WHEN
 WITH e AS ({_ENTITY}) SELECT urn, entity_type, CASE WHEN k % 4 = 0 THEN 't' || k ELSE n END AS display_name, split_part(substr(urn, 19), '.', 2) AS platform, split_part(substr(urn, 19), '.', 2) || '.s' || k % 9 AS container, 'd ' || n AS description, ['core', n] AS tags, CASE WHEN k % 5 <> 0 THEN ['ann', 'bob'] ELSE [] END AS owners, 'L3' AS classification, false AS deleted FROM e WHERE lifecycle = 'ACTIVE' AND entity_type = 'Dataset'
 UNION ALL SELECT urn, entity_type, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true FROM e WHERE lifecycle <> 'ACTIVE' AND entity_type = 'Dataset'""")
 def r1_search_doc_changes(spark, sf_dir):
-    load(spark, sf_dir, "part").createOrReplaceTempView("part")
+    spread(load(spark, sf_dir, "part"), "p_partkey").createOrReplaceTempView("part")
     return search.search_doc_changes(spark.sql(_ENTITY), spark.sql(_FIELDS)).drop("text")

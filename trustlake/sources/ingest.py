@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from trustlake.functions.storage import written
 from trustlake.operators.search import resolve_tables
 
 # Schemas of the system, file suffixes, kinds of manifest nodes, type families of JSON values.
@@ -87,8 +88,11 @@ MANIFEST = "struct<nodes:map<string,struct<resource_type:string,schema:string,al
 
 
 def manifest_rows(manifests: DataFrame, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
-    """Nodes (node_id, kind, name) and dependencies (node_id, upstream) of build manifests; ids with colons are taken as with dots."""
-    m = manifests.select(F.from_json(F.col(json_col), MANIFEST).alias("m"))
+    """Nodes (node_id, kind, name) and dependencies (node_id, upstream) of build manifests; ids with colons are taken as with dots.
+
+    Manifests are parsed once, into a written table.
+    """
+    m = written(manifests.select(F.from_json(F.col(json_col), MANIFEST).alias("m")), "manifests")
     dotted = lambda c: F.translate(c, ":", ".")
     nodes = m.select(F.explode("m.nodes").alias("id", "n")).filter(F.col("n.resource_type").isin(NODE_KINDS))
     own = nodes.select(dotted(F.col("id")).alias("node_id"), F.col("n.resource_type").alias("kind"), F.concat_ws(".", "n.schema", "n.alias").alias("name"))
@@ -98,8 +102,11 @@ def manifest_rows(manifests: DataFrame, json_col: str = "json") -> tuple[DataFra
 
 
 def manifest_edges(manifests: DataFrame, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
-    """Edges between the names of a manifest's nodes, and upstreams that it does not have, counted."""
-    nodes, deps = manifest_rows(manifests, json_col)
+    """Edges between the names of a manifest's nodes, and upstreams that it does not have, counted.
+
+    Both sides of the joins are written, so that Spark knows how large they are and sends none to all tasks that is not small.
+    """
+    nodes, deps = (written(df, label) for df, label in zip(manifest_rows(manifests, json_col), ("nodes", "dependencies")))
     up = nodes.select(F.col("node_id").alias("upstream"), F.col("name").alias("from_name"))
     edges = deps.join(nodes, "node_id").join(up, "upstream").select("from_name", F.col("name").alias("to_name"))
     skipped = deps.join(up, "upstream", "left_anti").groupBy("upstream").agg(F.count("*").alias("skipped"))

@@ -24,3 +24,8 @@ def test_manifests_are_joined_by_sizes_that_are_known(spark, tmp_path):
     # Nothing is parsed again for either side of a join.
     assert "from_json" not in edges._jdf.queryExecution().optimizedPlan().toString()
     assert edges.count() == 120_000 and [r[:] for r in skipped.collect()] == [("model.p.gone", 60_000)]
+
+
+def test_assets_are_not_sent_to_all_tasks_by_an_estimate(spark, data):
+    plan = q_ingest._metrics(spark, data)[1]._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin [name") >= 3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -431,7 +432,8 @@ def resolve_tables(raw: DataFrame, entity: DataFrame) -> DataFrame:
     by_path = one(entity.select("urn", F.explode(suffixes).alias("key")), "key").withColumnRenamed("urn", "path_urn")
     by_name = one(entity.select("urn", F.col("display_name").alias("key")), "key").withColumnRenamed("urn", "name_urn")
     known = entity.select(F.col("urn").alias("name"), F.col("urn").alias("same_urn")).distinct()
-    out = names.join(known, "name", "left").join(by_path, "name", "left").join(by_name, "name", "left")
+    # Sizes are estimated by the columns that are read, paths are longer than these; so no side is sent to all tasks by an estimate.
+    out = reduce(lambda df, side: df.join(side.hint("merge"), "name", "left"), (known, by_path, by_name), names)
     return out.select("name", F.coalesce("same_urn", "path_urn", "name_urn").alias("urn"))
 
 

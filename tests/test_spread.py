@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustlake.plans import q_ingest
+from trustlake.plans.catalog import QUERIES
 from trustlake.plans.fixtures import spread
 
 
@@ -29,3 +30,8 @@ def test_manifests_are_joined_by_sizes_that_are_known(spark, tmp_path):
 def test_assets_are_not_sent_to_all_tasks_by_an_estimate(spark, data):
     plan = q_ingest._metrics(spark, data)[1]._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("SortMergeJoin [name") >= 3
+
+
+def test_properties_that_are_there_are_not_sent_to_all_tasks(spark, data):
+    plan = QUERIES["f11_validate_aspects"](spark, data)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [urn" in plan

@@ -222,5 +222,5 @@ def validate_aspects(aspects: DataFrame, definitions: DataFrame) -> DataFrame:
     )
     bad = j.withColumn("problem", problem).filter("problem IS NOT NULL").select("urn", "aspect_type", "property", "problem")
     there = props.filter("kind_found != 'null'").select("urn", "aspect_type", "property")
-    missing = aspects.select("urn", "aspect_type").distinct().join(d.filter("required").select("aspect_type", "property"), "aspect_type").join(there, ["urn", "aspect_type", "property"], "left_anti")
+    missing = aspects.select("urn", "aspect_type").distinct().join(d.filter("required").select("aspect_type", "property"), "aspect_type").join(there.hint("merge"), ["urn", "aspect_type", "property"], "left_anti")
     return bad.unionByName(missing.select("urn", "aspect_type", "property", F.lit("missing_required").alias("problem")))

@@ -20,7 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a five-word-shingle similarity of 0.8 or more, the one with the smallest id."""
+    """Of each group of documents linked by a five-word-shingle similarity of 0.8 or more, the one with the smallest id.
+
+    Pivot tables over SimHash fingerprints propose pairs, MinHash bands those that fingerprints miss, and the shingles decide.
+    """
     return nearcopies.keep_representatives(docs)
 
 

@@ -65,5 +65,14 @@ def test_stage_drops_copies_of_a_similarity_of_0_8(spark):
     assert sum(r.doc_id is None for r in kept) == 2
 
 
+def test_pivot_tables_propose_and_shingles_decide(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "candidates", lambda nodes: spark.createDataFrame([], "a long, b long"))
+    rows = corpus()
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copy_groups(spark.createDataFrame(rows, COLUMNS)).collect()}
+    want = brute_force(rows)
+    assert all(want[a] == want[b] for a, b in got.items())
+    assert len(set(got.values())) < len({simhash.fingerprint((t or "").encode(), 10**6) for i, t in rows if i is not None})
+
+
 def test_empty_table(spark):
     assert nearcopies.keep_representatives(spark.createDataFrame([], COLUMNS)).count() == 0

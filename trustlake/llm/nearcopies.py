@@ -2,17 +2,19 @@
 fingerprint's contract binds.
 
 Two documents link when the cosine of their sets of five-word shingles is 0.8 or more: the share of common shingles in the
-geometric mean of the two sizes. SimHash bits are signs of random projections and estimate this cosine; but a pair at 0.8
-differs in 13 of 64 bits on average, up to 24 to miss few, which chance meets everywhere, so fingerprints cannot find it.
+geometric mean of the two sizes. SimHash bits are signs of random projections and estimate this cosine.
 
 1. Equal sets are one node, so exact copies cost one row however many there are.
-2. Candidates. Sets that share one of 64 bands of four MinHashes meet. A pair at 0.8 has a Jaccard similarity of 0.667 if
-   both are of a size, of 0.64 at least; it shares no band with a chance of one in a million, of nine at most. Components
-   of these candidates hold all links that were met.
-3. Within such a component the links are verified by the sets themselves, breadth first: a set that is reached is not
+2. Candidates by pivot tables. Sets whose SimHash fingerprints differ in 4 bits or fewer meet, as in ``simhash``. A pair at
+   0.8 differs in 13 of 64 bits on average, up to 24 to miss few, which chance meets everywhere; so fingerprints find near
+   pairs and miss most of those close to 0.8.
+3. Candidates by bands, for the rest. Sets that share one of 64 bands of four MinHashes meet. A pair at 0.8 has a Jaccard
+   similarity of 0.667 if both are of a size, of 0.64 at least; it shares no band with a chance of one in a million, of
+   nine at most. Components of both kinds of candidates hold all links that were met.
+4. Within such a component the links are verified by the sets themselves, breadth first: a set that is reached is not
    compared again. A component with more than ``slice_shingles`` shingles is cut into slices, and each pair of slices is
    a group of its own, so that no task holds more than two slices.
-4. Components of the verified links are the groups.
+5. Components of the verified links are the groups.
 
 Shingles are told apart by 32 bits of their hashes. Defined cases: a text of fewer than five words is one shingle, texts
 without words have equal, empty sets; rows whose id is null take no part; other columns are ignored; an empty table gives
@@ -49,7 +51,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, node, keys, n, shingles): node names the set, n is its size; an empty set has no keys."""
+    """Rows (doc_id, node, fp, keys, n, shingles): node names the set, fp is its fingerprint, n its size; an empty set has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,15 +61,26 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sets = [np.unique(simhash.shingle_hashes(t, size)) for t in utf8(part)]
                 keys = [band_keys(s).view(np.int64) if len(s) else [] for s in sets]
                 nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                fps = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
                 sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, "doc_id"), pa.array(nodes), pa.array(keys, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int32()))],
-                    ["doc_id", "node", "keys", "n", "shingles"],
+                    [column(part, "doc_id"), pa.array(nodes), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int32()))],
+                    ["doc_id", "node", "fp", "keys", "n", "shingles"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return in_small_batches(own).mapInArrow(run, f"doc_id {kind}, node long, keys array<long>, n long, shingles array<int>")
+    return in_small_batches(own).mapInArrow(run, f"doc_id {kind}, node long, fp long, keys array<long>, n long, shingles array<int>")
+
+
+def pivot_candidates(nodes: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, that join every two sets whose fingerprints pivot tables link. ``nodes``: node, fp, n; a node stands there once."""
+    own = nodes.filter("n > 0").select("node", "fp")
+    least = materialize(own.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    same = own.join(least, "fp").filter("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in "ab"]
+    near = simhash.links(least.select("fp")).join(ends[0], "a").join(ends[1], "b")
+    return same.union(near.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -154,8 +167,8 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per input row with an id: doc_id and component_id (smallest id reachable over links)."""
     sets = materialize(shingle_sets(docs, id_col, text_col, size), "shingle-sets")
     of = materialize(sets.select("doc_id", "node"), "nodes-of-documents")
-    distinct = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct-sets")
-    met = materialize(simhash.stars(candidates(distinct)), "met")
+    distinct = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "distinct-sets")
+    met = materialize(simhash.stars(pivot_candidates(distinct).union(candidates(distinct)).distinct()), "met")
     met = met.union(met.select("root", F.col("root").alias("node")).distinct())
     # The set comes from the row with the smallest id; an id that stands there twice with one text gives it twice, which changes nothing.
     wanted = distinct.join(met, "node").select(F.col("least").alias("doc_id"), "node", "root", "n")

@@ -60,7 +60,11 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     """The SimHash as an unsigned integer: a bit is 1 if it is set in over half the shingle hashes."""
-    hashes = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes; of none it is zero."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

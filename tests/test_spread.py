@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trustlake.operators import contracts, graph
 from trustlake.plans import q_ingest
 from trustlake.plans.catalog import QUERIES
-from trustlake.plans.fixtures import spread
+from trustlake.plans.fixtures import VIEWS, load, spread
 
 
 def test_a_file_of_narrow_rows_is_dealt_out_by_its_rows(spark, tmp_path):
@@ -35,3 +36,38 @@ def test_assets_are_not_sent_to_all_tasks_by_an_estimate(spark, data):
 def test_properties_that_are_there_are_not_sent_to_all_tasks(spark, data):
     plan = QUERIES["f11_validate_aspects"](spark, data)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin [urn" in plan
+
+
+def test_edges_are_told_apart_by_numbers_and_equal_their_view(spark, data):
+    made, view = load(spark, data, "lineage_edge"), spark.sql(VIEWS["lineage_edge"])
+    assert made.schema.simpleString() == view.schema.simpleString()
+    assert made.exceptAll(view).isEmpty() and view.exceptAll(made).isEmpty()
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [l_suppkey" in plan and "Aggregate [l_partkey" in plan
+
+
+def test_rows_of_few_roots_are_not_dealt_out_by_their_block(spark, data):
+    plan = QUERIES["g1_closure"](spark, data)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [block" not in plan and "BroadcastHashJoin [block" in plan
+
+
+def test_many_roots_by_shuffle_give_the_same_closure(spark, monkeypatch):
+    edge = spark.range(3000).select(F.concat(F.lit("n"), F.col("id") % 500).alias("from_urn"), F.concat(F.lit("n"), (F.col("id") * 7 + 3) % 500).alias("to_urn"))
+    roots = spark.range(0, 500, 3).select(F.concat(F.lit("n"), "id").alias("root"))
+    few = sorted(graph.closure(edge, roots, "down", 3).collect())
+    monkeypatch.setattr(graph, "_SENT_ROWS", 10)
+    monkeypatch.setattr(graph, "_TASK_ROWS", 700)
+    assert few and sorted(graph.closure(edge, roots, "down", 3).collect()) == few
+
+
+def test_all_edges_meet_their_reviews_unsorted_and_once(spark, data):
+    plan = QUERIES["g8_reviews"](spark, data)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_gate_walks_once(spark, data, monkeypatch):
+    walks, own = [], graph.closure
+    for module in (graph, contracts):
+        monkeypatch.setattr(module, "closure", lambda *a, **k: walks.append(1) or own(*a, **k))
+    QUERIES["c4_gate"](spark, data)
+    assert len(walks) == 1

@@ -9,7 +9,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from trustlake.functions import text
 from trustlake.operators import search
 from trustlake.plans.catalog import QUERIES
 
@@ -114,3 +116,29 @@ def test_documents_are_cut_once_for_words_and_glossary(spark):
     terms = spark.createDataFrame([("hen", ["fox"])], "name string, synonyms array<string>")
     lists = search.word_lists(queries, terms, docs)
     assert sorted(r[:] for r in lists.collect()) == [(7, "glossary", 3, 1), (7, "lexical", 1, 1)]
+
+
+def test_terms_are_counted_text_by_text(spark):
+    rows = [(n, "one two one") for n in range(100)] + [(n, None) for n in range(100, 103)] + [(n, "!") for n in range(103, 106)]
+    made = search.postings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r[:] for r in made.collect()) == sorted((t, n, tf) for n in range(100) for t, tf in (("one", 2), ("two", 1)))
+    # Nothing is dealt out, so no task holds more than a few texts' terms.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan
+
+
+def test_rows_that_share_an_id_are_added_up(spark, monkeypatch):
+    monkeypatch.setattr(search, "_RUNS", 3)
+    rows = [("a", "x y x z"), ("b", "x"), ("a", "y"), (None, "x"), (None, "x w"), ("c", None)]
+    made = search.postings(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert set(made.collect()) == {("x", "a", 2), ("y", "a", 2), ("z", "a", 1), ("x", "b", 1), ("x", None, 2), ("w", None, 1)}
+
+
+def test_words_are_split_at_all_letters_and_digits(spark):
+    texts = {"fooBar1Baz": ["foo", "bar1", "baz"], "ABCd": ["abcd"], "aBC": ["a", "bc"], "\U0001d41aB \U0001d7cfA": ["\U0001d41a", "b", "\U0001d7cf", "a"], "\u00e9\u00c9": ["\u00e9", "\u00e9"], "": [], "a\U00010400": ["a", "\U00010428"]}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r[0]: r[1] for r in df.select("text", text.tokens(F.col("text"))).collect()}
+    assert got == texts
+    han = {"\u2e80\u2e81": ["\u2e80\u2e81"], "a\u3005b": ["\u3005"], "\U00020000\U00020001": ["\U00020000\U00020001"], "caf\u00e9": [], "\uff21": []}
+    df = spark.createDataFrame([(t,) for t in han], "text string")
+    assert {r[0]: r[1] for r in df.select("text", text.han_terms(F.col("text"))).collect()} == han

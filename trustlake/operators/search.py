@@ -36,10 +36,52 @@ def has_term(c: Column) -> Column:
     return F.coalesce(c.rlike(r"[\p{L}\p{N}\p{IsHan}]"), F.lit(False))
 
 
+#: Words or runs of texts that a task counts together.
+_RUNS = 1 << 18
+
+
+def _texts(batches: Iterator[pa.RecordBatch], lists: str) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of 500 texts or _RUNS entries of their lists at most, but for one text that has more."""
+    for batch in batches:
+        first, held = 0, 0
+        for i, n in enumerate(batch.column(lists).value_lengths().to_pylist()):
+            held += n
+            if held >= _RUNS or i - first >= 500:
+                yield batch.slice(first, i + 1 - first)
+                first, held = i + 1, 0
+        if first < batch.num_rows:
+            yield batch.slice(first)
+
+
+def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (term, doc_id, tf) of each row of a table, counted where its text is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _texts(batches, "terms"):
+            lists = part.column("terms")
+            distinct = lists.flatten().dictionary_encode()
+            if len(distinct):
+                rows = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                pairs, n = np.unique(rows * len(distinct.dictionary) + distinct.indices.to_numpy(), return_counts=True)
+                rows, terms = np.divmod(pairs, len(distinct.dictionary))
+                yield pa.RecordBatch.from_arrays([distinct.dictionary.take(pa.array(terms)), part.column("doc_id").take(pa.array(rows)), pa.array(n)], ["term", "doc_id", "tf"])
+
+    own = docs.select(F.col(id_col).alias("doc_id"), terms_of(F.col(text_col)).alias("terms"))
+    return own.mapInArrow(run, f"term string, doc_id {own.schema['doc_id'].dataType.simpleString()}, tf long")
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (term, doc_id, tf)."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.explode(terms_of(F.col(text_col))).alias("term"))
-    return own.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """Rows (term, doc_id, tf).
+
+    Terms are counted text by text, so nothing is held or dealt out for that; only those of rows that share an id are
+    added up.
+    """
+    shared = docs.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id")
+    if shared.isEmpty():
+        return _counted(docs, id_col, text_col)
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    both = _counted(docs.join(shared, same, "left_semi"), id_col, text_col).groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+    return _counted(docs.join(shared, same, "left_anti"), id_col, text_col).unionByName(both)
 
 
 def bucket_of(term: Column) -> Column:
@@ -196,8 +238,8 @@ def features(chunk: str) -> list[str]:
     return [*chunk, *(chunk[i : i + 2] for i in range(len(chunk) - 1))]
 
 
-#: Runs of texts that are summed together, and runs and features whose places a task remembers before it starts anew.
-_RUNS, _REMEMBERED = 1 << 18, 1 << 18
+#: Runs and features whose places a task remembers before it starts anew.
+_REMEMBERED = 1 << 18
 
 
 def text_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimension: int = DIMENSION) -> DataFrame:
@@ -249,15 +291,8 @@ def text_sums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
             out = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (sums.astype(np.int64), touched > 0)]
             return pa.RecordBatch.from_arrays([part.column("doc_id"), *out], ["doc_id", "sums", "touched"])
 
-        for batch in batches:
-            first, held = 0, 0
-            for i, n in enumerate(batch.column("chunks").value_lengths().to_pylist()):
-                held += n
-                if held >= _RUNS or i - first >= 500:
-                    yield summed(batch.slice(first, i + 1 - first))
-                    first, held = i + 1, 0
-            if first < batch.num_rows:
-                yield summed(batch.slice(first))
+        for part in _texts(batches, "chunks"):
+            yield summed(part)
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), chunks(F.col(text_col)).alias("chunks")).filter(F.size("chunks") > 0)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustlake.functions import storage
+from trustlake.plans import q_streaming
 from trustlake.streaming import jobs
 
 KEYS, SEQ = ["k"], "seq"
@@ -113,3 +114,15 @@ def test_grants_expire_by_the_time_of_other_rows(spark):
     jobs.run_available(jobs.started(sink, spark, **jobs.ROCKSDB))
     got = sorted((r.id, r.status) for r in spark.read.schema(states.schema).parquet(f"{out}/rows").collect())
     assert got == [("a", "ACTIVE"), ("a", "EXPIRED"), ("b", "ACTIVE"), ("b", "ACTIVE"), ("c", "REVOKED"), ("late", "EXPIRED"), ("z", "ACTIVE")]
+
+
+def test_files_of_a_micro_batch_grow_in_number_with_its_rows(spark, data, monkeypatch):
+    taken, own = [], jobs.event_stream
+    monkeypatch.setattr(q_streaming, "_FILE_ROWS", 120)
+    monkeypatch.setattr(jobs, "event_stream", lambda spark, path, files=None: taken.append((path, files)) or own(spark, path, files))
+    rows = spark.read.parquet(f"{data}/events.parquet").count()
+    out, files = q_streaming._audited(spark, data), -(-(rows // 2) // 120)
+    assert files > 1 and taken[0][1] == files and len(spark.read.parquet(taken[0][0]).inputFiles()) == 7 * files
+    log = jobs.progress(spark, f"{out}/progress").agg(F.count("*"), F.sum("input_rows"), F.max("input_rows")).first()
+    assert log[0] == 7 and log[1] == 3 * rows and log[2] < rows
+    assert spark.read.parquet(f"{out}/records").count() == spark.read.parquet(f"{data}/events.parquet").filter("event_id % 97 != 0").count()

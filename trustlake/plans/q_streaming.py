@@ -30,11 +30,21 @@ def _collected(spark, stream, mode):
     return spark.read.schema(schema).parquet(f"{out}/rows")
 
 
-def _folder(spark, sf_dir, table="events", files=6):
-    """A table in a folder of several files, which a stream takes one by one."""
-    path = new_path(spark, table)
-    load(spark, sf_dir, table).repartitionByRange(files, "event_id").write.parquet(path)
-    return path
+#: Rows of a file that a stream reads; a file is one task's.
+_FILE_ROWS = 250_000
+
+
+def _files(rows):
+    """The files of a micro-batch of so many rows."""
+    return max(1, -(-rows // _FILE_ROWS))
+
+
+def _folder(spark, sf_dir, table="events", batches=6):
+    """A table in a folder that a stream takes in some micro-batches, and the number of files that each has."""
+    path, own = new_path(spark, table), load(spark, sf_dir, table)
+    files = _files(own.count() // batches)
+    own.repartitionByRange(batches * files, "event_id").write.parquet(path)
+    return path, files
 
 
 def _in_turn(spark, df, order, files, label):
@@ -57,7 +67,7 @@ _INDEXED = "WITH l AS (SELECT user_id, event_id, event_type FROM events QUALIFY
 def _indexed(spark, sf_dir, compact=False):
     """An index by several micro-batches; the last event of an erring user takes the user out."""
     out = new_path(spark, "index")
-    events = jobs.event_stream(spark, _folder(spark, sf_dir), 1).withColumn("deleted", F.col("event_type") == "error")
+    events = jobs.event_stream(spark, *_folder(spark, sf_dir)).withColumn("deleted", F.col("event_type") == "error")
     jobs.run_available(jobs.index_events(events, out, f"{out}/checkpoint", ["user_id"], "event_id", 3))
     if compact:
         jobs.compact_index(spark, out, ["user_id"], "event_id")
@@ -97,16 +107,17 @@ _TWICE = "WITH d AS (SELECT event_id, ts, 'u' || user_id AS actor, 'app.' || eve
 
 def _audited(spark, sf_dir):
     """Each event three times: twice in its own micro-batch, once more in another."""
-    first, again = _folder(spark, sf_dir), new_path(spark, "again")
-    own = spark.read.parquet(first).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    own.repartitionByRange(4, "event_id").write.parquet(again)
-    spark.read.parquet(first).withColumn("copy", F.lit(2)).repartitionByRange(3, F.desc("event_id")).write.mode("append").parquet(again)
-    e = jobs.event_stream(spark, again, 1)
+    again, own = new_path(spark, "again"), load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    files = _files(own.count() // 2)
+    own.repartitionByRange(4 * files, "event_id").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).write.parquet(again)
+    own.withColumn("copy", F.lit(2)).repartitionByRange(3 * files, F.desc("event_id")).write.mode("append").parquet(again)
+    e = jobs.event_stream(spark, again, files)
     raw = e.select(
         F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("query_id"), F.col("ts").cast("timestamp").alias("event_time"), F.when(F.col("event_id") % 97 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("actor"), F.col("event_type").alias("operation"), F.concat(F.lit("app."), F.col("event_type")).alias("resource_raw")
     )
     entity = load(spark, sf_dir, "events").filter("event_type != 'error'").select(F.concat(F.lit("app."), F.col("event_type")).alias("name"), F.concat(F.lit("urn:asset:Dataset:prod.app."), F.col("event_type")).alias("urn")).distinct()
-    out = new_path(spark, "audit")
+    # Each micro-batch joins the entities, so they are not to be derived from the events each time.
+    entity, out = written(entity, "entities"), new_path(spark, "audit")
     jobs.run_available(jobs.ingest_audit_stream(raw, entity, "eng", out, f"{out}/checkpoint"))
     return out
 

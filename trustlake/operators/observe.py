@@ -148,18 +148,18 @@ def measure_slo(slo: DataFrame, metrics: DataFrame, rule_runs: DataFrame, collec
     return attainment(slo.join(parts, "slo_name", "left"))
 
 
-def open_incidents(found: DataFrame, incidents: DataFrame, edge: DataFrame, hops: int = 3) -> tuple[DataFrame, DataFrame]:
+def open_incidents(found: DataFrame, incidents: DataFrame, edge: DataFrame, hops: int = 3, stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """One new incident per anomalous dataset without an open one, with its worst severity; and the assets affected.
 
     The dataset itself is affected too, at depth 0. Affected assets are rows (dataset_urn, urn, depth), since a hub may
-    have any number of them.
+    have any number of them. URNs may be numbers in all three tables; ``stored`` is as in ``closure``.
     """
     held = incidents.filter(F.col("status").isin("OPEN", "MITIGATING")).select("dataset_urn")
     new = found.filter("flagged").join(held, "dataset_urn", "left_anti")
     worst = new.groupBy("dataset_urn").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"), F.count("*").alias("anomalies"))
     worst = written(worst, "incidents")
     roots = worst.select(F.col("dataset_urn").alias("root"))
-    down = closure(edge, roots, "down", hops).unionByName(roots.select("root", F.col("root").alias("urn"), F.lit(0).alias("depth")))
+    down = closure(edge, roots, "down", hops, stored).unionByName(roots.select("root", F.col("root").alias("urn"), F.lit(0).alias("depth")))
     affected = down.select(F.col("root").alias("dataset_urn"), "urn", "depth")
     counted = affected.groupBy("dataset_urn").agg(F.count("*").alias("affected"))
     return worst.join(counted, "dataset_urn").select("dataset_urn", "severity", "anomalies", "affected", F.lit("OPEN").alias("status")), affected

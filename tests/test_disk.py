@@ -76,6 +76,11 @@ def test_dealt_edges_are_those_of_the_view_repeated_and_without_keys(spark, data
     assert made.exceptAll(view).isEmpty() and view.exceptAll(made).isEmpty() and view.count() > view.distinct().count()
 
 
+def test_an_upsert_of_edges_deals_out_numbers_alone(spark, data):
+    plan, dealt = _exchanged(QUERIES["s10_upsert_edges"](spark, data))
+    assert plan.count("Exchange") == 1 and len(dealt) == 1 and "from_urn" in dealt[0] and plan.index("Exchange") > plan.index("is_new")
+
+
 def test_reviews_meet_edges_where_they_lie(spark, data, monkeypatch):
     monkeypatch.setattr(fixtures, "EDGE_ROWS", 5000)
     plan, dealt = _exchanged(QUERIES["g8_reviews"](spark, data))

@@ -218,18 +218,19 @@ def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return merged_edges(old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1))))
 
 
-def merged_edges(both: DataFrame) -> DataFrame:
+def merged_edges(both: DataFrame, dealt: bool = False) -> DataFrame:
     """``upsert_edges`` of one table of both, where ``is_new`` is 1 for what is new and else 0.
 
     Edges seldom repeat, so rows are dealt out once and sorted once, before any aggregate. A hash of the key leads the
-    order: URNs begin alike, so comparing them for each step of a sort is slow.
+    order: URNs begin alike, so comparing them for each step of a sort is slow. ``dealt`` says that rows have been dealt
+    out by from_urn and to_urn, so that wide rows stay where they are.
     """
-    whole = both.withColumn("dependency_kind", F.coalesce("dependency_kind", F.lit("VALUE")))
-    dealt = whole.withColumn("__key", F.xxhash64(*EDGE_KEY)).repartition("__key")
+    whole = both.withColumn("dependency_kind", F.coalesce("dependency_kind", F.lit("VALUE"))).withColumn("__key", F.xxhash64(*EDGE_KEY))
+    own = whole if dealt else whole.repartition("__key")
     order = F.struct("is_new", "seq")
     facts = [F.max_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in _EDGE_FACTS]
     state = F.when(F.max("is_new") == 1, "ACTIVE").otherwise(F.max_by("state", "seq")).alias("state")
-    return dealt.groupBy("__key", *EDGE_KEY).agg(F.max("confidence").alias("confidence"), F.sum("observed_count").alias("observed_count"), *facts, state, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).drop("__key")
+    return own.groupBy("__key", *EDGE_KEY).agg(F.max("confidence").alias("confidence"), F.sum("observed_count").alias("observed_count"), *facts, state, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).drop("__key")
 
 
 def emit_events(df: DataFrame, batch_id: int, order: list[str], bits: int = 40) -> DataFrame:
